@@ -33,17 +33,26 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, WORD_SPLIT), lambda t: t != "")
 
 
+def _adjacent(a: Column, sep: str = "") -> Column:
+    """Pairs of neighbours of an array, linear time (no per-element indexing)."""
+    return F.filter(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(1))),
+                               lambda x, y: F.concat(x, F.lit(sep), y)),
+                    lambda t: t.isNotNull())
+
+
 def word_bigrams(c: Column) -> Column:
-    w = words(c)
-    return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-                       lambda t, i: F.concat(w[i], F.lit(" "), t))
+    return _adjacent(words(c), " ")
 
 
 def char_ngrams(n: int) -> Callable[[Column], Column]:
+    """Character n-grams (code points of the basic plane), linear time."""
     def tok(c: Column) -> Column:
-        k = F.greatest(F.length(c) - (n - 1), F.lit(0))
-        return (F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.substring(c, i, n)))
-                .otherwise(F.array().cast("array<string>")))
+        chars = F.filter(F.split(c, ""), lambda t: t != "")
+        grams = chars
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(1))),
+                               lambda x, y: F.concat(x, y))
+        return F.filter(grams, lambda t: t.isNotNull())
     return tok
 
 
@@ -68,7 +77,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def verdict(score: Column, threshold: float = MATCH_THRESHOLD):
     """M3/M4: (shown, is_match). The verdict uses the unrounded score."""
-    return (F.format_string(SHOWN_FORMAT, score).alias("shown"),
+    return (F.when(score.isNotNull(), F.format_string(SHOWN_FORMAT, score)).alias("shown"),
             F.coalesce(score >= F.lit(threshold), F.lit(False)).alias("is_match"))
 
 
@@ -82,7 +91,8 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     """
     models = models or LEXICAL_MODELS
     norm = normalise if normalise_text else (lambda c: c)
-    lt, rt = norm(F.col(left)), norm(F.col(right))
+    pairs = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"))
+    lt, rt = F.col("_lt"), F.col("_rt")
     per_model = F.array(*[
         F.struct(F.lit(name).alias("model"),
                  F.concat(F.transform(tok(lt), lambda t: F.struct(t.alias("term"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
