@@ -15,6 +15,7 @@ from ..operators.extract import extract_functions
 from ..operators.render import item_texts
 from ..operators.similarity import MATCH_THRESHOLD, score_pairs
 from ..schemas import STATUS_OK, STATUS_PARSE_ERROR
+from .partitioning import spread
 from ..sources.replies import build_versions, parse_replies
 
 
@@ -26,8 +27,7 @@ def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int
     ``checkpoint`` cuts the lineage after parsing with a reliable checkpoint in the
     session's checkpoint folder, so lost executors never re-parse finished work.
     """
-    if partitions:
-        versions = versions.repartition(partitions)
+    versions = versions.repartition(partitions) if partitions else spread(versions, factor=4)
     funcs = extract_functions(versions)
     if checkpoint:
         funcs = funcs.checkpoint(eager=True)

@@ -23,6 +23,7 @@ from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_pa
 from ..sources.replies import build_versions, parse_replies, render_requests
 from ..functions.text import first_line
 from . import views as V
+from .partitioning import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -141,7 +142,7 @@ def _sources(spark, sf_dir):
 
 def q_extract_functions(spark, sf_dir):
     src = _sources(spark, sf_dir).select("pair_id", F.lit(0).alias("version"), "source")
-    f = extract_functions(src)
+    f = extract_functions(spread(src, factor=4))
     return f.select("pair_id", "func", F.col("walk_ord").cast("bigint").alias("walk_ord"),
                     F.array_join("args", ",").alias("args"),
                     F.size("stmts").cast("bigint").alias("n_stmts"),

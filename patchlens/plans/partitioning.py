@@ -1,0 +1,20 @@
+"""Parallelism guard for CPU-heavy row stages (parsing, tokenising).
+
+Byte-sized planning (file splits, AQE coalescing, broadcast joins that keep the probe
+side's splits) can leave a few MB of text - hours of CPU - in one or two tasks. Before a
+CPU-heavy per-row stage, make sure there are at least ``factor`` x cores partitions. On
+a large input the data already spans far more partitions and nothing is added.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, factor: int = 2, key: str | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    want = max(1, sc.defaultParallelism * factor)
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)

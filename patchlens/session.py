@@ -11,6 +11,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # text stages are CPU-heavy per byte (parsing, tokenising): never let AQE merge a
+    # few MB of text into a single task
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # source files vary from a few lines to many thousands; keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
