@@ -162,9 +162,9 @@ def encode_texts(text: Column, loader: Callable[[], object]) -> Column:
     failing encoder yields null vectors with the error text instead of failing the job.
     """
     import pandas as pd
+    from pyspark.sql.functions import PandasUDFType
 
-    @F.pandas_udf(ENCODED)
-    def _enc(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def _enc(batches):
         model, err = None, None
         try:
             model = loader()
@@ -180,7 +180,7 @@ def encode_texts(text: Column, loader: Callable[[], object]) -> Column:
             except Exception as exc:
                 yield pd.DataFrame({"vector": [None] * len(s), "error": [f"{type(exc).__name__}: {exc}"] * len(s)})
 
-    return _enc(text)
+    return F.pandas_udf(_enc, ENCODED, PandasUDFType.SCALAR_ITER)(text)
 
 
 def score_pairs(summaries: DataFrame, explanations: DataFrame, key: str = "pair_id",

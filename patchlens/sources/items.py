@@ -50,8 +50,9 @@ def corpus_keys(files: DataFrame, path: str = "path") -> DataFrame:
     the <project>/<digits>/<buggy|fixed>/ layout are skipped."""
     p = F.translate(F.col(path), "\\", "/")
     ok = p.rlike(CORPUS_PATH)
+    keep = [c for c in files.columns if c not in (path, "project", "bug_id", "label", "rel_path")]
     return (files.where(ok).select(
-        F.col(path).alias("path"),
+        F.col(path).alias("path"), *keep,
         F.regexp_extract(p, CORPUS_PATH, 2).alias("project"),
         F.regexp_extract(p, CORPUS_PATH, 3).cast("bigint").alias("bug_id"),
         F.regexp_extract(p, CORPUS_PATH, 4).alias("label"),
@@ -60,10 +61,10 @@ def corpus_keys(files: DataFrame, path: str = "path") -> DataFrame:
 
 def scan_corpus(spark: SparkSession, glob: str) -> DataFrame:
     """Whole files under a checkout root -> (path, project, bug_id, label, rel_path, source)."""
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(glob)
-           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source")))
-    keyed = corpus_keys(raw.withColumn("path", F.regexp_replace("path", "^file:", "")))
-    return keyed.join(raw.withColumn("path", F.regexp_replace("path", "^file:", "")), "path")
+    raw = (spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
+           .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
+                   F.col("value").alias("source")))
+    return corpus_keys(raw)
 
 
 def patch_path(header: F.Column) -> F.Column:
