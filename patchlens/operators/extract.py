@@ -19,6 +19,7 @@ from ..schemas import FUNCTION, NODE_FIELDS
 
 _ARROW_SCHEMA = to_arrow_schema(FUNCTION)
 _FLUSH_ROWS = 512
+_CONTAINERS = (ast.stmt, ast.excepthandler, ast.match_case)
 
 
 def _u(node):
@@ -89,11 +90,13 @@ def functions_of_source(pair_id, version, source):
         tree = ast.parse(source)
         out = []
         walk_ord = 0
-        # breadth-first over every nesting level, plain ``def`` only
+        # breadth-first over every nesting level, plain ``def`` only. Expression
+        # subtrees never hold a definition, so only statement containers are queued;
+        # dropping them keeps the relative breadth-first order of the definitions.
         queue = deque([tree])
         while queue:
             node = queue.popleft()
-            queue.extend(ast.iter_child_nodes(node))
+            queue.extend(c for c in ast.iter_child_nodes(node) if isinstance(c, _CONTAINERS))
             if isinstance(node, ast.FunctionDef):
                 out.append({
                     "pair_id": pair_id, "version": version, "func": node.name,

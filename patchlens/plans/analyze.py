@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..operators.align import function_changes, pair_functions
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts
-from ..operators.similarity import MATCH_THRESHOLD, score_pairs
-from ..schemas import STATUS_OK, STATUS_PARSE_ERROR
+from ..operators.similarity import MATCH_THRESHOLD, score_lexical
+from ..schemas import STATUS_NO_BUG, STATUS_OK, STATUS_PARSE_ERROR
 from .partitioning import spread
-from ..sources.replies import build_versions, parse_replies
+from ..sources.replies import parse_replies
 
 
 def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int | None = None,
@@ -41,25 +41,31 @@ def parse_status(functions: DataFrame) -> DataFrame:
         "pair_id", "version", F.lit(STATUS_PARSE_ERROR).alias("status"), "error")
 
 
-def run_items(buggy: DataFrame, replies: DataFrame, mode: str = "reference", models: dict | None = None,
-              threshold: float = MATCH_THRESHOLD, partitions: int | None = None) -> dict[str, DataFrame]:
+def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "reference",
+              models: dict | None = None, threshold: float = MATCH_THRESHOLD,
+              partitions: int | None = None) -> dict[str, DataFrame]:
     """End to end for items with a buggy source and a model reply.
 
-    ``buggy``: (pair_id, source); ``replies``: (pair_id, reply). Returns the lazily
-    planned frames ``parsed`` (reply status), ``changes``, ``texts`` (summary + JSON per
-    item) and ``scores`` (per item and model). Items without changes get an empty summary.
+    ``items``: (pair_id, source, reply) - or (pair_id, source) with ``replies``
+    (pair_id, reply) joined on the key. Both versions of an item come out of its one row
+    (a generator, no union and no second pass over the input). Returns the lazily planned
+    frames ``parsed`` (reply status), ``changes``, ``texts`` (summary + JSON per item) and
+    ``scores`` (per item and model). Items without changes get an empty summary.
     """
-    parsed = parse_replies(replies.select("pair_id", "reply"))
-    fixed = parsed.where(F.col("fixed").isNotNull()).select("pair_id", "fixed")
-    versions = build_versions(buggy.select("pair_id", "source").join(fixed.select("pair_id"), "pair_id", "left_semi"),
-                              fixed)
+    if replies is not None:
+        items = items.select("pair_id", "source").join(replies.select("pair_id", "reply"), "pair_id")
+    parsed = parse_replies(items.select("pair_id", "source", "reply"))
+    both = F.array(F.struct(F.lit(0).alias("version"), F.col("source").alias("source")),
+                   F.struct(F.lit(1).alias("version"), F.col("fixed").alias("source")))
+    versions = (parsed.where(F.col("fixed").isNotNull())
+                .select("pair_id", F.explode(both).alias("_v"))
+                .select("pair_id", "_v.version", "_v.source"))
     changes = analyze_corpus(versions, mode, partitions)
     texts = item_texts(changes)
     # every usable item gets a summary, empty when nothing changed
-    summaries = (parsed.where(F.col("status").isin(STATUS_OK, "no_bug")).select("pair_id", "explanation")
+    summaries = (parsed.where(F.col("status").isin(STATUS_OK, STATUS_NO_BUG)).select("pair_id", "explanation")
                  .join(texts.select("pair_id", "summary"), "pair_id", "left")
                  .select("pair_id", F.coalesce("summary", F.lit("")).alias("summary"),
                          F.coalesce("explanation", F.lit("")).alias("explanation")))
-    scores = score_pairs(summaries.select("pair_id", "summary"), summaries.select("pair_id", "explanation"),
-                         models=models, threshold=threshold)
+    scores = score_lexical(summaries, "pair_id", "summary", "explanation", models, threshold)
     return {"parsed": parsed, "changes": changes, "texts": texts, "scores": scores}

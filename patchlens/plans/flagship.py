@@ -10,8 +10,8 @@ from . import views as V
 from .analyze import run_items
 
 
-def corpus_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(buggy sources, replies) built from ``lineitem``: one Python file per order; the
+def corpus_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items (pair_id, source, reply) built from ``lineitem``: one Python file per order; the
     reply edits assigned values and returns of some definitions, wraps the code in a
     fence and appends an explanation (or is the no-bug sentinel)."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
@@ -26,11 +26,9 @@ def corpus_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         .otherwise(F.lit("No functional change."))
     reply = F.when(k % 7 == 5, F.lit("NO BUGS FOUND")).otherwise(
         F.concat(F.lit("Fixed Code:\n```python\n"), fixed, F.lit("\n```\n---EXPLANATION---\n"), explanation))
-    replies = buggy.select("pair_id", reply.alias("reply"))
-    return buggy, replies
+    return buggy.select("pair_id", "source", reply.alias("reply"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buggy, replies = corpus_inputs(spark, sf_dir)
-    out = run_items(buggy, replies)
+    out = run_items(corpus_inputs(spark, sf_dir))
     return out["scores"].select("pair_id", "model", F.round("score", 4).alias("score"), "shown", "is_match")

@@ -158,3 +158,14 @@ def test_breadth_first_order(spark):
     v = spark.createDataFrame([("p", 0, src)], "pair_id string, version int, source string")
     got = [r.func for r in extract_functions(v).orderBy("walk_ord").collect()]
     assert got == ["top", "inner", "m", "n"]
+
+
+def test_breadth_first_order_matches_full_walk():
+    import ast
+    from patchlens.operators.extract import functions_of_source
+    src = ("class A:\n    def m(self):\n        def inner():\n            pass\n        try:\n            pass\n"
+           "        except E:\n            def h():\n                pass\ndef top():\n    x = [lambda: 1]\n"
+           "    match x:\n        case 1:\n            def mc():\n                pass\n"
+           "async def skipped():\n    def in_async():\n        pass\n")
+    full = [n.name for n in ast.walk(ast.parse(src)) if isinstance(n, ast.FunctionDef)]
+    assert [r["func"] for r in functions_of_source("p", 0, src)] == full

@@ -1,0 +1,13 @@
+def test_item_stream_processes_new_files(spark, tmp_path):
+    from patchlens.streaming.micro_batch import start_item_stream
+    inp, out, ck = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
+    items = spark.createDataFrame([
+        ("1", "def f():\n    return 1\n", "def f():\n    return 2\n---EXPLANATION---\nreturn changed"),
+        ("2", "def g():\n    x = 1\n", "NO BUGS FOUND")], "pair_id string, source string, reply string")
+    items.write.parquet(str(inp))
+    q = start_item_stream(spark, str(inp), str(out), str(ck), once=True)
+    q.awaitTermination(120)
+    scores = spark.read.parquet(str(out / "scores"))
+    assert scores.select("pair_id").distinct().count() == 2
+    texts = {r.pair_id: r.summary for r in spark.read.parquet(str(out / "texts")).collect()}
+    assert texts["1"].startswith("Function: f\n- Change of type 'return_change' detected.")
