@@ -29,24 +29,34 @@ def last_wins(functions: DataFrame, keys=("pair_id", "version", "func"), order:
     return agg.select(*keys, *[F.col("_w")[c].alias(c) for c in payload + [order]], "first_ord")
 
 
-def pair_functions(functions: DataFrame, payload: str = "stmts", order: str = "walk_ord") -> DataFrame:
+def pair_functions(functions: DataFrame, payload: str = "stmts", order: str = "walk_ord",
+                   keep_errors: bool = False) -> DataFrame:
     """Last-wins per version and the inner join of old and new by name, in one aggregation.
 
     In: (pair_id, version, func, walk_ord, <payload>, ...). Out: (pair_id, func, first_ord,
     old_walk, new_walk, old_<payload>, new_<payload>) for names present in both versions;
     ``first_ord`` is the first place of the name in the old file.
+
+    ``keep_errors=True`` returns every group unfiltered plus ``error``: parse failures
+    (rows with a null ``func``) land in one (pair_id, null) group each, so callers can
+    derive both the pairs and the failures from the same shuffle.
     """
     v = F.col("version")
     w = F.col(order)
     old_w, new_w = F.when(v == OLD, w), F.when(v == NEW, w)
-    live = functions.where(F.col("func").isNotNull())
-    return (live.groupBy("pair_id", "func")
-            .agg(F.min(old_w).alias("first_ord"),
-                 F.max(old_w).alias("old_walk"),
-                 F.max(new_w).alias("new_walk"),
-                 F.max_by(F.col(payload), old_w).alias(f"old_{payload}"),
-                 F.max_by(F.col(payload), new_w).alias(f"new_{payload}"))
-            .where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull()))
+    has_error = "error" in functions.columns
+    live = functions if keep_errors else functions.where(F.col("func").isNotNull())
+    aggs = [F.min(old_w).alias("first_ord"),
+            F.max(old_w).alias("old_walk"),
+            F.max(new_w).alias("new_walk"),
+            F.max_by(F.col(payload), old_w).alias(f"old_{payload}"),
+            F.max_by(F.col(payload), new_w).alias(f"new_{payload}")]
+    if keep_errors:
+        aggs.append((F.max("error") if has_error else F.lit(None).cast("string")).alias("error"))
+    g = live.groupBy("pair_id", "func").agg(*aggs)
+    if keep_errors:
+        return g
+    return g.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
 
 
 def align_functions(pairs: DataFrame, old: str = "old_stmts", new: str = "new_stmts") -> DataFrame:

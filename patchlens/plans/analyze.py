@@ -35,6 +35,22 @@ def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int
     return function_changes(pairs, mode)
 
 
+def analyze_with_errors(versions: DataFrame, mode: str = "reference", partitions: int | None = None,
+                        checkpoint: bool = False) -> dict[str, DataFrame]:
+    """Like ``analyze_corpus`` but also returns ``errors`` (pair_id, error) for files the
+    parser rejected. Both come from the same aggregation, so files are parsed once."""
+    versions = versions.repartition(partitions) if partitions else spread(versions, factor=4)
+    funcs = extract_functions(versions)
+    if checkpoint:
+        funcs = funcs.checkpoint(eager=True)
+    groups = pair_functions(funcs, keep_errors=True)
+    pairs = (groups.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
+             .select("pair_id", "func", "first_ord", "old_stmts", "new_stmts"))
+    errors = (groups.where(F.col("error").isNotNull()).groupBy("pair_id")
+              .agg(F.min("error").alias("error")))
+    return {"changes": function_changes(pairs, mode), "errors": errors}
+
+
 def parse_status(functions: DataFrame) -> DataFrame:
     """(pair_id, version, status, error) for files the parser rejected."""
     return functions.where(F.col("error").isNotNull()).select(
@@ -49,8 +65,8 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
     ``items``: (pair_id, source, reply) - or (pair_id, source) with ``replies``
     (pair_id, reply) joined on the key. Both versions of an item come out of its one row
     (a generator, no union and no second pass over the input). Returns the lazily planned
-    frames ``parsed`` (reply status), ``changes``, ``texts`` (summary + JSON per item) and
-    ``scores`` (per item and model). Items without changes get an empty summary.
+    frames ``parsed`` (reply status), ``status`` (one outcome per item, parse failures
+    included), ``changes``, ``texts`` (summary + JSON per item) and ``scores`` (per item and model). Items without changes get an empty summary.
     """
     if replies is not None:
         items = items.select("pair_id", "source").join(replies.select("pair_id", "reply"), "pair_id")
@@ -60,12 +76,17 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
     versions = (parsed.where(F.col("fixed").isNotNull())
                 .select("pair_id", F.explode(both).alias("_v"))
                 .select("pair_id", "_v.version", "_v.source"))
-    changes = analyze_corpus(versions, mode, partitions)
+    analysed = analyze_with_errors(versions, mode, partitions)
+    changes = analysed["changes"]
     texts = item_texts(changes)
+    # one outcome per item: reply status, unless a version failed to parse
+    status = (parsed.select("pair_id", "status").join(analysed["errors"], "pair_id", "left")
+              .select("pair_id", F.when(F.col("error").isNotNull(), F.lit(STATUS_PARSE_ERROR))
+                      .otherwise(F.col("status")).alias("status"), "error"))
     # every usable item gets a summary, empty when nothing changed
     summaries = (parsed.where(F.col("status").isin(STATUS_OK, STATUS_NO_BUG)).select("pair_id", "explanation")
                  .join(texts.select("pair_id", "summary"), "pair_id", "left")
                  .select("pair_id", F.coalesce("summary", F.lit("")).alias("summary"),
                          F.coalesce("explanation", F.lit("")).alias("explanation")))
     scores = score_lexical(summaries, "pair_id", "summary", "explanation", models, threshold)
-    return {"parsed": parsed, "changes": changes, "texts": texts, "scores": scores}
+    return {"parsed": parsed, "status": status, "changes": changes, "texts": texts, "scores": scores}

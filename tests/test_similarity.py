@@ -79,3 +79,16 @@ def test_score_pairs_end_to_end(spark):
     assert s[("1", "word_tf")].score > 0.3
     assert s[("2", "word_tf")].score is None and s[("2", "word_tf")].is_match is False
     assert {r.pair_id: r.status for r in out["parsed"].collect()} == {"1": "ok", "2": "no_bug"}
+
+
+def test_run_items_reports_parse_errors_once(spark):
+    from patchlens.plans.analyze import run_items
+    items = spark.createDataFrame([
+        ("ok", "def f():\n    return 1\n", "def f():\n    return 2\n---EXPLANATION---\nx"),
+        ("bad", "def f(:\n", "def f():\n    pass\n---EXPLANATION---\ny"),
+        ("nod", "def f():\n    pass\n", "no delimiter here")], "pair_id string, source string, reply string")
+    out = run_items(items)
+    st = {r.pair_id: (r.status, r.error is not None) for r in out["status"].collect()}
+    assert st == {"ok": ("ok", False), "bad": ("parse_error", True), "nod": ("no_delimiter", False)}
+    plan = out["status"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1
