@@ -67,20 +67,40 @@ def align_functions(pairs: DataFrame, old: str = "old_stmts", new: str = "new_st
             .select(*keys, "pos", F.col("_z.o").alias("old"), F.col("_z.n").alias("new")))
 
 
-def _texts(stmts: Column) -> Column:
-    return F.transform(stmts, lambda s: s["text"])
+def with_moved(df: DataFrame, old: str = "old_stmts", new: str = "new_stmts", out: str = "_moved") -> DataFrame:
+    """Adds ``out`` = statement texts present on both sides whose FIRST positions
+    differ, as (statement, old_position, new_position), in old-body order.
+
+    O(n log n) per function and no per-element scans: both sides' texts are tagged
+    (text, side, index) and sorted together; the head of every (text, side) run holds the
+    first index; an old head directly followed by a new head of the same text is a shared
+    statement. Each step reads a column materialised by the step before it.
+    """
+    tag = lambda arr, side: F.transform(F.col(arr), lambda s, i: F.struct(
+        s["text"].alias("t"), F.lit(side).alias("side"), i.alias("i")))
+    keys = df.columns
+    rs = F.col("_rs")
+    step1 = df.select(*keys, F.sort_array(F.concat(tag(old, 0), tag(new, 1))).alias("_rs"))
 
+    def head(e, k):
+        prev = rs[k - 1]
+        return F.when(k == 0, e).otherwise(F.when((prev["t"] != e["t"]) | (prev["side"] != e["side"]), e))
 
-def reorder_items(old: Column, new: Column) -> Column:
-    """Distinct statement texts on both sides whose first positions differ,
-    in order of first appearance in the old body."""
-    ot, nt = _texts(old), _texts(new)
-    moved = F.transform(
-        F.array_intersect(ot, nt),
-        lambda t: F.struct(t.alias("statement"),
-                           (F.array_position(ot, t) - 1).cast("int").alias("old_position"),
-                           (F.array_position(nt, t) - 1).cast("int").alias("new_position")))
-    return F.filter(moved, lambda m: m["old_position"] != m["new_position"])
+    step2 = step1.select(*keys, F.filter(F.transform(rs, head), lambda e: e.isNotNull()).alias("_hs"))
+    hs = F.col("_hs")
+
+    def pair(e, j):
+        nxt = hs[j + 1]
+        hit = (e["side"] == 0) & (nxt["side"] == 1) & (nxt["t"] == e["t"]) & (nxt["i"] != e["i"])
+        return F.when(j + 1 < F.size(hs), F.when(hit, F.struct(
+            e["i"].cast("int").alias("old_position"), e["t"].alias("statement"),
+            nxt["i"].cast("int").alias("new_position"))))
+
+    moved = F.sort_array(F.filter(F.transform(hs, pair), lambda m: m.isNotNull()))
+    step3 = step2.select(*keys, F.transform(moved, lambda m: F.struct(
+        m["statement"].alias("statement"), m["old_position"].alias("old_position"),
+        m["new_position"].alias("new_position"))).alias(out))
+    return step3
 
 
 def diff_reordered(pairs: DataFrame, old: str = "old_stmts", new: str = "new_stmts", func: str = "func") -> DataFrame:
@@ -89,8 +109,8 @@ def diff_reordered(pairs: DataFrame, old: str = "old_stmts", new: str = "new_stm
     rec = lambda m: change_struct(REORDER_RULE.rule, REORDER_RULE.type, statement=m["statement"],
                                   old_position=m["old_position"], new_position=m["new_position"],
                                   function=F.col(func))
-    recs = F.transform(reorder_items(F.col(old), F.col(new)), rec)
-    out = pairs.select(*keys, F.posexplode(recs).alias("seq", "c"))
+    staged = with_moved(pairs, old, new)
+    out = staged.select(*keys, F.posexplode(F.transform(F.col("_moved"), rec)).alias("seq", "c"))
     return out.select(*keys, "seq", *[F.col("c")[f].alias(f) for f in CHANGE_PAYLOAD.fieldNames()])
 
 
@@ -110,6 +130,7 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
     """
     keys = [c for c in pairs.columns if c not in (old, new)]
     node_null = F.lit(None).cast(NODE)
+    pairs = with_moved(pairs, old, new)
     slots = F.transform(
         F.arrays_zip(F.col(old).alias("o"), F.col(new).alias("n")),
         lambda z, i: F.struct(F.lit(PHASE_SLOT).alias("phase"), i.alias("pos"), z["o"].alias("o"),
@@ -117,7 +138,7 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
                               F.lit(None).cast("int").alias("old_position"),
                               F.lit(None).cast("int").alias("new_position")))
     moved = F.transform(
-        reorder_items(F.col(old), F.col(new)),
+        F.col("_moved"),
         lambda m: F.struct(F.lit(PHASE_REORDER).alias("phase"), m["old_position"].alias("pos"),
                            node_null.alias("o"), node_null.alias("n"), m["statement"].alias("statement"),
                            m["old_position"].alias("old_position"), m["new_position"].alias("new_position")))
