@@ -296,7 +296,8 @@ def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 
-def score_lexical_sql() -> str:
+def score_lexical_sql(raw_sql: str | None = None) -> str:
+    raw_sql = raw_sql or V.text_pairs_sql()
     norm = lambda x: f"lower({_strip(x)})"
     parts = []
     for side, col in (("a", "summary"), ("b", "explanation")):
@@ -308,7 +309,7 @@ def score_lexical_sql() -> str:
                      f"unnest(list_transform(range(1, length({t}) - 1), lambda i: substr({t}, i, 3))) AS term FROM tp")
     union = "\n  UNION ALL ".join(parts)
     models = " UNION ALL ".join(f"SELECT '{m}' AS model" for m in ("word_tf", "word_bigram_tf", "char3_tf"))
-    return f"""WITH raw AS ({V.text_pairs_sql()}),
+    return f"""WITH raw AS ({raw_sql}),
 nt AS (SELECT pair_id, {norm('summary')} AS t_summary, {norm('explanation')} AS t_explanation FROM raw),
 tp AS (SELECT pair_id, t_summary, t_explanation, {_words('t_summary')} AS w_summary,
          {_words('t_explanation')} AS w_explanation FROM nt),
@@ -433,6 +434,38 @@ def status_counts_sql() -> str:
 SELECT project, status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY project, status"""
 
 
+def end_to_end_sql() -> str:
+    """Expected chain on the generated corpus: for orders with k % 3 = 0 every top-level
+    definition's assignment gains ``+ 1`` (R06, R21); for k % 3 = 1 its final return
+    subtracts (R17, R30); k % 7 = 5 replies are the sentinel; files holding a broken
+    return do not parse. Functions repeat names: the last definition wins, the first keeps
+    its place. Summaries are then scored like ``score_lexical``."""
+    q = "''"
+    nl = "chr(10)"
+    value_lines = (f"'- Value of variable {q}x{q} changed from {q}' || qv || '{q} to {q}' || qv || ' + 1{q}.' || {nl}"
+                   f" || '- Change of type {q}assignment_value_change{q} detected.' || {nl}")
+    return_lines = (f"'- Change of type {q}return_change{q} detected.' || {nl}"
+                    f" || '- Change of type {q}return_value_change{q} detected.' || {nl}")
+    raw = f"""WITH sb AS ({V.source_blocks_sql()}),
+files AS (SELECT l_orderkey, bool_or(s_ret = 'return x +') AS broken FROM sb GROUP BY l_orderkey),
+fn AS (SELECT l_orderkey, fname, min(pos) AS first_ord, arg_max(substr(s_assign, 5), pos) AS qv
+       FROM sb GROUP BY l_orderkey, fname),
+summ AS (
+  SELECT fn.l_orderkey,
+    string_agg('Function: ' || fname || {nl}
+      || CASE WHEN fn.l_orderkey % 3 = 0 THEN {value_lines} ELSE {return_lines} END || {nl}, '' ORDER BY first_ord) AS summary
+  FROM fn JOIN files ON files.l_orderkey = fn.l_orderkey
+  WHERE NOT files.broken AND fn.l_orderkey % 3 IN (0, 1) AND fn.l_orderkey % 7 <> 5
+  GROUP BY fn.l_orderkey)
+SELECT CAST(files.l_orderkey AS VARCHAR) AS pair_id, coalesce(summ.summary, '') AS summary,
+  CASE WHEN files.l_orderkey % 7 = 5 THEN ''
+       ELSE {nl} || CASE WHEN files.l_orderkey % 3 = 0 THEN 'Value of variable x changed; the assignment now adds one.'
+                         WHEN files.l_orderkey % 3 = 1 THEN 'The return value changed: subtraction instead of addition.'
+                         ELSE 'No functional change.' END END AS explanation
+FROM files LEFT JOIN summ ON summ.l_orderkey = files.l_orderkey"""
+    return score_lexical_sql(f"SELECT * FROM ({raw}) e2e")
+
+
 ORACLE = {
     "manifest_expand": manifest_expand_sql(),
     "manifest_versions": manifest_versions_sql(),
@@ -460,4 +493,5 @@ ORACLE = {
     "score_lexical": score_lexical_sql(),
     "score_dense": _dense((("dense", 1, 64),)),
     "score_models": _dense(V.VECTOR_MODELS),
+    "end_to_end": end_to_end_sql(),
 }

@@ -7,8 +7,7 @@ SF = "/root/testdata/sf0.001"
 def test_contract_keys():
     from __spark_entry__ import oracle_sql, queries
     q, o = queries(), oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"end_to_end"}
+    assert set(o) == set(q)
     assert not any(k.startswith("op") and k[2:3].isdigit() for k in q)
 
 
