@@ -308,7 +308,7 @@ def score_lexical_sql(raw_sql: str | None = None) -> str:
         parts.append(f"SELECT pair_id, 'char3_tf' AS model, '{side}' AS side, "
                      f"unnest(list_transform(range(1, length({t}) - 1), lambda i: substr({t}, i, 3))) AS term FROM tp")
     union = "\n  UNION ALL ".join(parts)
-    models = " UNION ALL ".join(f"SELECT '{m}' AS model" for m in ("word_tf", "word_bigram_tf", "char3_tf"))
+    base = " UNION ALL ".join(f"SELECT pair_id, '{m}' AS model FROM tp" for m in ("word_tf", "word_bigram_tf", "char3_tf"))
     return f"""WITH raw AS ({raw_sql}),
 nt AS (SELECT pair_id, {norm('summary')} AS t_summary, {norm('explanation')} AS t_explanation FROM raw),
 tp AS (SELECT pair_id, t_summary, t_explanation, {_words('t_summary')} AS w_summary,
@@ -317,7 +317,7 @@ t AS ({union}),
 tf AS (SELECT pair_id, model, term, CAST(count(*) FILTER (WHERE side = 'a') AS DOUBLE) AS a,
          CAST(count(*) FILTER (WHERE side = 'b') AS DOUBLE) AS b FROM t GROUP BY pair_id, model, term),
 agg AS (SELECT pair_id, model, sum(a * b) AS dot, sum(a * a) AS na, sum(b * b) AS nb FROM tf GROUP BY pair_id, model),
-base AS (SELECT pair_id, model FROM tp, ({models}) ms),
+base AS ({base}),
 sc AS (SELECT base.pair_id, base.model,
          CASE WHEN na > 0 AND nb > 0 THEN dot / (sqrt(na) * sqrt(nb)) END AS score
        FROM base LEFT JOIN agg ON agg.pair_id = base.pair_id AND agg.model = base.model)
@@ -389,10 +389,11 @@ SELECT project, CAST(unnest(range(1, n_bugs + 1)) AS BIGINT) AS bug_id FROM pr W
 
 def manifest_versions_sql() -> str:
     return f"""WITH b AS ({manifest_expand_sql()}),
-v AS (SELECT 0 AS version, 'buggy' AS label UNION ALL SELECT 1, 'fixed')
+v AS (SELECT project, bug_id, 0 AS version, 'buggy' AS label FROM b
+      UNION ALL SELECT project, bug_id, 1 AS version, 'fixed' AS label FROM b)
 SELECT project, bug_id, CAST(version AS BIGINT) AS version, label,
   'all_bugs/' || project || '/' || CAST(bug_id AS VARCHAR) || '/' || label AS path
-FROM b, v"""
+FROM v"""
 
 
 def corpus_keys_sql() -> str:
