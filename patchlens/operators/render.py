@@ -1,8 +1,8 @@
 """Change records -> sentences -> per-item summary text; K1 JSON form.
 
-Sentences are one ``CASE`` on ``type``. Per-item text (summary and JSON) is built in a
-single aggregation per item: one ``collect_list`` of small structs, sorted by
-(function place, phase, pos, seq) and folded with array functions.
+Sentences are one ``CASE`` on ``type``. Per-item text (summary and JSON) is built per
+function first (on the pairing step's partitioning), then per item from one small string
+per function, sorted by the function's first place.
 """
 
 from __future__ import annotations
@@ -70,42 +70,33 @@ def change_json() -> Column:
 
 
 def item_texts(changes: DataFrame, key: str = "pair_id", order=("phase", "pos", "seq")) -> DataFrame:
-    """Per item: ``summary`` (N8 blocks) and ``changes_json`` (K1 map func -> list) from one
-    aggregation. ``changes`` needs key, func, first_ord, the order columns and
-    CHANGE_PAYLOAD. Functions appear in ``first_ord`` order, records in ``order``."""
-    rows = changes.select(
-        key,
-        F.struct(F.col("first_ord").alias("f0"), F.col("func").alias("f1"),
-                 *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
-                 sentence().alias("s"), change_json().alias("j")).alias("r"))
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    """Per item: ``summary`` (N8 blocks) and ``changes_json`` (K1 map func -> list).
+
+    Two levels: records are folded per (item, function) into one text block and one JSON
+    fragment - on the keys the pairing step already partitioned by, so this needs no new
+    shuffle in the main chain - then only those small strings are shuffled per item and
+    joined in ``first_ord`` order. Records keep ``order`` inside a function.
+    """
+    rec = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
+                   sentence().alias("s"), change_json().alias("j"))
+    per_func = (changes.groupBy(key, "func", "first_ord")
+                .agg(F.array_sort(F.collect_list(rec)).alias("rs")))
     rs = F.col("rs")
-    n = F.size(rs)
-
-    def _other(a, b):
-        return ~(a["f1"].eqNullSafe(b["f1"]) & a["f0"].eqNullSafe(b["f0"]))
-
-    def starts(i):  # element i opens a new function block (CASE keeps indexes in range)
-        return F.when(i == 0, F.lit(True)).otherwise(_other(rs[i - 1], rs[i]))
-
-    def ends(i):
-        return F.when(i == n - 1, F.lit(True)).otherwise(_other(rs[i + 1], rs[i]))
-
-    summary = F.array_join(F.transform(rs, lambda r, i: F.concat(
-        F.when(starts(i), F.concat(F.lit(BLOCK_HEADER), r["f1"], F.lit("\n"))).otherwise(F.lit("")),
-        F.lit(LINE_PREFIX), r["s"], F.lit("\n"),
-        F.when(ends(i), F.lit("\n")).otherwise(F.lit(""))
-    )), "")
-    key_json = lambda r: F.regexp_replace(F.regexp_replace(F.to_json(F.array(r["f1"])), r"^\[", ""), r"\]$", "")
-    js = F.concat(F.lit("{"), F.array_join(F.transform(rs, lambda r, i: F.concat(
-        F.when(starts(i), F.concat(F.when(i > 0, F.lit(",")).otherwise(F.lit("")), key_json(r), F.lit(":[")))
-        .otherwise(F.lit(",")),
-        r["j"],
-        F.when(ends(i), F.lit("]")).otherwise(F.lit(""))
-    )), ""), F.lit("}"))
-    return g.select(key, summary.alias("summary"), js.alias("changes_json"),
-                    F.size(F.array_distinct(F.transform(rs, lambda r: F.struct(r["f0"], r["f1"])))).alias("n_functions"),
-                    n.alias("n_changes"))
+    key_json = F.regexp_replace(F.regexp_replace(F.to_json(F.array(F.col("func"))), r"^\[", ""), r"\]$", "")
+    block = F.concat(F.lit(BLOCK_HEADER), F.col("func"), F.lit("\n"),
+                     F.array_join(F.transform(rs, lambda r: F.concat(F.lit(LINE_PREFIX), r["s"], F.lit("\n"))), ""),
+                     F.lit("\n"))
+    frag = F.concat(key_json, F.lit(":["), F.array_join(F.transform(rs, lambda r: r["j"]), ","), F.lit("]"))
+    blocks = per_func.select(key, F.struct(F.col("first_ord").alias("f0"), F.col("func").alias("f1"),
+                                           block.alias("b"), frag.alias("j"), F.size(rs).alias("n")).alias("blk"))
+    g = blocks.groupBy(key).agg(F.array_sort(F.collect_list("blk")).alias("bs"))
+    bs = F.col("bs")
+    return g.select(key,
+                    F.array_join(F.transform(bs, lambda b: b["b"]), "").alias("summary"),
+                    F.concat(F.lit("{"), F.array_join(F.transform(bs, lambda b: b["j"]), ","), F.lit("}"))
+                    .alias("changes_json"),
+                    F.size(bs).alias("n_functions"),
+                    F.aggregate(bs, F.lit(0), lambda acc, b: acc + b["n"]).alias("n_changes"))
 
 
 def summarize(changes: DataFrame, key: str = "pair_id") -> DataFrame:
