@@ -7,7 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import table
+from patchlens.llm.common import bucket, table
+
+
+def op7_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return (predict(docs, fit(docs, lambda key: bucket(key, 5) != 0))
+            .select("doc_id", F.coalesce(bucket(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), lambda key: bucket(key, 4) != 2)
+    return score(docs, model).select(
+        "doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +43,8 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_language_backoff": op7_language_backoff,
+    "op8_compression_quality": op8_compression_quality,
     "op9_slot_shards": op9_slot_shards,
     "op10_simhash_pigeonring": op10_simhash_pigeonring,
 }
