@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from patchlens.llm.common import bucket, table
 
 
+def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from patchlens.llm.packing import pack, pieces
+
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
+    return (pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 4096)
+            .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+
+
 def op7_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchlens.llm.language import fit, predict
 
@@ -43,6 +53,7 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_swap_packing": op4_swap_packing,
     "op7_language_backoff": op7_language_backoff,
     "op8_compression_quality": op8_compression_quality,
     "op9_slot_shards": op9_slot_shards,
