@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from patchlens.llm.common import bucket, table
 
 
+def _of_kind(kind: str) -> Callable:
+    return lambda span: span["kind"] == kind
+
+
+def _spans_text(spans):
+    """kind:start:end, comma-joined, in the array's order."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +30,29 @@ def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
 
 
+def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.pii import KINDS, find
+
+    found = find(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+
+    return found.select(
+        "doc_id", *[F.size(F.filter(plain, _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(_spans_text(plain), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["plain"])).cast("long").alias("n_disguised"))
+
+
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.secrets import KINDS, find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    plain = F.filter("spans", lambda s: s["kind"] != "random")
+    return find(docs, fit(docs)).select(
+        "doc_id", *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(_spans_text(plain), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", _of_kind("random"))).cast("long").alias("n_random"))
+
+
 def op7_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchlens.llm.language import fit, predict
 
@@ -54,6 +87,8 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_swap_packing": op4_swap_packing,
+    "op5_deobfuscated_pii": op5_deobfuscated_pii,
+    "op6_markov_secrets": op6_markov_secrets,
     "op7_language_backoff": op7_language_backoff,
     "op8_compression_quality": op8_compression_quality,
     "op9_slot_shards": op9_slot_shards,
