@@ -20,6 +20,16 @@ def _spans_text(spans):
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op2_binned_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.fingerprints import compare_neighbours
+
+    def text(name: str):
+        return F.lower(F.hex(name)).alias(name)
+
+    return compare_neighbours(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +96,7 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_binned_fingerprints": op2_binned_fingerprints,
     "op4_swap_packing": op4_swap_packing,
     "op5_deobfuscated_pii": op5_deobfuscated_pii,
     "op6_markov_secrets": op6_markov_secrets,
