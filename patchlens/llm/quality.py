@@ -93,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Callable[[Column], Column
         return QualityModel(b"", b"", 0.0, 40.0 if 1 in counts else -40.0 if 0 in counts else 0.0)
     unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     kept = marked.where(unit < F.when(F.col("label") == 1, F.lit(sample_rows / counts[1])).otherwise(F.lit(sample_rows / counts[0])))
-    sample = (docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(kept, "id")
+    # the ids of the sample are broadcast: 2 * sample_rows of them are expected, however many rows there are
+    sample = (docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(kept), "id")
               .withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(3))))
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
