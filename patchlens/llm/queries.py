@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from patchlens.llm.common import bucket, table
 
 
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patchlens.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
 def _of_kind(kind: str) -> Callable:
     return lambda span: span["kind"] == kind
 
@@ -97,6 +103,7 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_binned_fingerprints": op2_binned_fingerprints,
+    "op3_prefix_forest": op3_prefix_forest,
     "op4_swap_packing": op4_swap_packing,
     "op5_deobfuscated_pii": op5_deobfuscated_pii,
     "op6_markov_secrets": op6_markov_secrets,
