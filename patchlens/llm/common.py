@@ -54,6 +54,26 @@ def arrow_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def with_text_columns(df: DataFrame, text: str, fn: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+    """``df``, all its columns untouched, and the columns that ``fn`` makes of a batch's texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(df.sparkSession)
+    more = StructType.fromDDL(schema)
+    if clash := {f.name for f in more} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    new = to_arrow_schema(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = fn(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[f.name], f.type) for f in new)],
+                                             schema=pa.schema([*batch.schema, *new]))
+
+    return df.mapInArrow(run, StructType([*df.schema, *more]))
+
+
 def bucket(column: Column, modulus: int) -> Column:
     """crc32 of a value's decimal text modulo ``modulus``; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % F.lit(modulus)

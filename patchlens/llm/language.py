@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import arrow_rows, settled, small_batches
+from patchlens.llm.common import settled, small_batches, with_text_columns
 
 ORDERS = (5, 4, 3, 2, 1)
 TOP_WORDS = 60_000
@@ -148,22 +148,22 @@ class Scores(dict):
         return np.zeros(self.size, np.float32)
 
 
-def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) for every row; the model is broadcast, its size bounded by its parameters."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def annotate(docs: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred",
+             score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its posterior; the model is broadcast, its size bounded by its parameters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
 
     def one(t: str | None) -> tuple[str, float]:
         found = words(t)
         if not found or not shared.value.languages:
             return UNKNOWN, 0.0
-        scores = state.get("scores")
-        if scores is None:
-            scores = state["scores"] = Scores(shared.value)
+        if "scores" not in state:
+            state["scores"] = Scores(shared.value)
+        scores, step = state["scores"], CACHE_WORDS // 4
         total = np.zeros(scores.size)
-        for at in range(0, len(found), CACHE_WORDS // 4):
-            part = found[at:at + CACHE_WORDS // 4]
+        for at in range(0, len(found), step):
+            part = found[at:at + step]
             if len(scores) + len(part) > CACHE_WORDS:
                 scores.clear()
             total += scores.table[np.fromiter(map(scores.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
@@ -171,10 +171,14 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
         best = int(np.argmax(evidence))
         return scores.model.languages[best], float(1 / np.exp(np.minimum(evidence - evidence[best], 0)).sum())
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        got = [one(t) for t in batch["text"]]
-        return {"id": batch["id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+    def run(texts: list) -> dict[str, list]:
+        got = [one(t) for t in texts]
+        return {prediction: [g[0] for g in got], score: [g[1] for g in got]}
+
+    return with_text_columns(docs, text, run, f"{prediction} string, {score} double")
 
-    kind = docs.schema[key].dataType.simpleString()
-    return (arrow_rows(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), run,
-                       f"id {kind}, lang_pred string, score double").withColumnRenamed("id", key))
+
+def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) for every row."""
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return annotate(rows, model).select(F.col("id").alias(key), "lang_pred", "score")

@@ -212,3 +212,12 @@ def pack(rows: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES
     for d in done[1:]:
         out = out.unionByName(d.drop("fill"))
     return out.drop("row_number")
+
+
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, key: str = "doc_id",
+                     text: str = "text") -> DataFrame:
+    """(key, piece, start, length, ids_crc32, sequence_id, offset): the pieces of all documents, packed. The ids themselves are
+    ``pieces``'; only their checksum travels through the packing."""
+    cut = pieces(docs, tokenizer_path, capacity, end_id, key, text)
+    return (pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+            .select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import arrow_rows
+from patchlens.llm.common import with_text_columns
 
 CHUNK = 1024
 LEVEL = 3
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Callable[[Column], Column
     raw = {r["label"]: bytes(r["raw"]) for r in
            sample.where("fold <> 0").select("id", "label", "text").groupBy("label").applyInPandas(train, "label int, raw binary").collect()}
     bad, good = raw.get(0, b""), raw.get(1, b"")
-    evidence = with_evidence(sample.where("fold = 0"), bad, good, "label").groupBy(
+    evidence = with_evidence(sample.where("fold = 0").select("label", "text"), bad, good).groupBy(
         "label", F.round("evidence", 4).alias("evidence")).count().collect()  # 20,001 values a label at most
     if {r["label"] for r in evidence} != {0, 1}:
         return QualityModel(bad, good, 10.0, 0.0)
@@ -130,26 +130,27 @@ def _weighted_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def with_evidence(rows: DataFrame, bad: bytes, good: bytes, keep: str) -> DataFrame:
-    """(keep, evidence) of every whole ``rows.text``."""
-    known: dict = {}
+def with_evidence(rows: DataFrame, bad: bytes, good: bytes, text: str = "text", name: str = "evidence") -> DataFrame:
+    """``rows`` with the evidence of each whole text."""
+    state: dict = {}
 
-    def run(batch: dict[str, list]) -> dict[str, list]:
-        if "measure" not in known:
-            known["measure"] = Evidence(bad, good)
-        measure = known["measure"]
-        return {keep: batch[keep], "evidence": [measure(t) for t in batch["text"]]}
+    def run(texts: list) -> dict[str, list]:
+        if "measure" not in state:
+            state["measure"] = Evidence(bad, good)
+        return {name: [state["measure"](t) for t in texts]}
 
-    kind = rows.schema[keep].dataType.simpleString()
-    return arrow_rows(rows.select(keep, "text"), run, f"{keep} {kind}, evidence double")
+    return with_text_columns(rows, text, run, f"{name} double")
+
+
+def probability(evidence: Column, model: QualityModel) -> Column:
+    line = evidence * F.lit(model.slope) + F.lit(model.offset)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(line, F.lit(-60.0)), F.lit(60.0))))
 
 
 def score(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """(key, evidence, score, predicted) for every row."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(
-        F.col("evidence") * F.lit(model.slope) + F.lit(model.offset), F.lit(-60.0)), F.lit(60.0))))
-    return (with_evidence(rows, model.bad, model.good, "id").withColumn("score", p)
+    return (with_evidence(rows, model.bad, model.good).withColumn("score", probability(F.col("evidence"), model))
             .select(F.col("id").alias(key), "evidence", "score",
                     F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")))

@@ -39,11 +39,9 @@ def op2_binned_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from patchlens.llm.packing import pack, pieces
+    from patchlens.llm.packing import packed_documents
 
-    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
-    return (pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 4096)
-            .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+    return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, end_id=1)
 
 
 def op5_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
