@@ -26,6 +26,16 @@ def _spans_text(spans):
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from patchlens.llm.sentencepieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return decode(encode(table(spark, sf_dir, "documents"), model), model).select(
+        "doc_id", F.size("ids").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_binned_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patchlens.llm.fingerprints import compare_neighbours
 
@@ -100,6 +110,7 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_lattice": op1_piece_lattice,
     "op2_binned_fingerprints": op2_binned_fingerprints,
     "op3_prefix_forest": op3_prefix_forest,
     "op4_swap_packing": op4_swap_packing,
