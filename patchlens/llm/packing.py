@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from patchlens.llm.common import settled, small_batches
 
-GROUP_PIECES = 8192
+GROUP_PIECES = 4096
 #: Free share of a sequence from which its pieces are packed again at the next level.
 DISSOLVE = 0.01
 #: White-space separated strings whose ids a worker process keeps; emptied when full.
@@ -120,16 +120,12 @@ def local_search(sizes: np.ndarray, where: np.ndarray, capacity: int) -> np.ndar
     fill(y) + d > fill(x)."""
     where = where.copy()
     fill = np.bincount(where, sizes, minlength=where.max() + 1).astype(np.int64) if len(where) else np.zeros(0, np.int64)
-    least = -(-int(sizes.sum()) // capacity)
-    done: set[int] = set()
-    while (fill > 0).sum() > least:
-        open_bins = [b for b in np.flatnonzero(fill) if b not in done]
-        if not open_bins:
-            break
-        x = min(open_bins, key=lambda b: (fill[b], b))
-        while fill[x] and _exchange(sizes, where, fill, x, capacity):
-            pass
-        done.add(x)
+    least, moved = -(-int(sizes.sum()) // capacity), True
+    while moved:  # passes over the open bins, least full first, until one changes nothing
+        moved = False
+        for x in sorted(np.flatnonzero((fill > 0) & (fill < capacity)), key=lambda b: (fill[b], b)):
+            while 0 < fill[x] < capacity and (fill > 0).sum() > least and _exchange(sizes, where, fill, x, capacity):
+                moved = True
     return np.unique(where, return_inverse=True)[1]
 
 
