@@ -1,8 +1,9 @@
 """E5/A1 last-wins, J3 name join, J4-J7 positional alignment, R36 tail, R37 reorder.
 
-Function rows are keyed by ``(pair_id, func)``; deduplication (the last definition of a
-name wins, the first keeps its place) and the old/new join are one hash aggregation on
-that key, so function facts are shuffled exactly once. Everything after it is per-row.
+Items that hold both versions are paired inside the parse stage (``extract.extract_pairs``).
+For function rows that come as a table, ``pair_functions`` does the same in one aggregation on
+``(pair_id, func)``: the last definition of a name wins, the first keeps its place. Everything
+after it is per-row.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHANGE_PAYLOAD, NODE
-from .rules import REORDER_RULE, branch1, branch2, change_struct, slot_records
+from .rules import REORDER_RULE, candidates, change_struct, payload_columns, with_firing
 
 OLD, NEW = 0, 1
 PHASE_SLOT, PHASE_REORDER = 0, 2
@@ -29,33 +30,22 @@ def last_wins(functions: DataFrame, keys=("pair_id", "version", "func"), order:
     return agg.select(*keys, *[F.col("_w")[c].alias(c) for c in payload + [order]], "first_ord")
 
 
-def pair_functions(functions: DataFrame, payload: str = "stmts", order: str = "walk_ord",
-                   keep_errors: bool = False) -> DataFrame:
+def pair_functions(functions: DataFrame, payload: str = "stmts", order: str = "walk_ord") -> DataFrame:
     """Last-wins per version and the inner join of old and new by name, in one aggregation.
 
     In: (pair_id, version, func, walk_ord, <payload>, ...). Out: (pair_id, func, first_ord,
     old_walk, new_walk, old_<payload>, new_<payload>) for names present in both versions;
     ``first_ord`` is the first place of the name in the old file.
-
-    ``keep_errors=True`` returns every group unfiltered plus ``error``: parse failures
-    (rows with a null ``func``) land in one (pair_id, null) group each, so callers can
-    derive both the pairs and the failures from the same shuffle.
     """
     v = F.col("version")
     w = F.col(order)
     old_w, new_w = F.when(v == OLD, w), F.when(v == NEW, w)
-    has_error = "error" in functions.columns
-    live = functions if keep_errors else functions.where(F.col("func").isNotNull())
-    aggs = [F.min(old_w).alias("first_ord"),
-            F.max(old_w).alias("old_walk"),
-            F.max(new_w).alias("new_walk"),
-            F.max_by(F.col(payload), old_w).alias(f"old_{payload}"),
-            F.max_by(F.col(payload), new_w).alias(f"new_{payload}")]
-    if keep_errors:
-        aggs.append((F.max("error") if has_error else F.lit(None).cast("string")).alias("error"))
-    g = live.groupBy("pair_id", "func").agg(*aggs)
-    if keep_errors:
-        return g
+    g = functions.where(F.col("func").isNotNull()).groupBy("pair_id", "func").agg(
+        F.min(old_w).alias("first_ord"),
+        F.max(old_w).alias("old_walk"),
+        F.max(new_w).alias("new_walk"),
+        F.max_by(F.col(payload), old_w).alias(f"old_{payload}"),
+        F.max_by(F.col(payload), new_w).alias(f"new_{payload}"))
     return g.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
 
 
@@ -121,12 +111,13 @@ def diff_tail(slots: DataFrame) -> DataFrame:
 
 
 def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_stmts",
-                     new: str = "new_stmts", func: str = "func") -> DataFrame:
+                     new: str = "new_stmts", func: str = "func", keep_items: bool = False) -> DataFrame:
     """All change rows of matched functions in one pass over ``pairs``.
 
     Out: keys of ``pairs`` + (phase, pos, seq) + CHANGE_PAYLOAD. Records of a function
     sort by (phase, pos, seq): aligned slots and the added tail in position order, then
-    reordered statements in old-body order.
+    reordered statements in old-body order. With ``keep_items`` the rows without a function
+    name stay, as rows without a rule.
     """
     keys = [c for c in pairs.columns if c not in (old, new)]
     node_null = F.lit(None).cast(NODE)
@@ -142,15 +133,17 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
         lambda m: F.struct(F.lit(PHASE_REORDER).alias("phase"), m["old_position"].alias("pos"),
                            node_null.alias("o"), node_null.alias("n"), m["statement"].alias("statement"),
                            m["old_position"].alias("old_position"), m["new_position"].alias("new_position")))
-    items = pairs.select(*keys, F.explode(F.concat(slots, moved)).alias("_it"))
-    o, n = F.col("_it.o"), F.col("_it.n")
-    staged = items.select(*keys, "_it", branch1(o, n).alias("_b1"), branch2(o, n).alias("_b2"))
+    explode = F.explode_outer if keep_items else F.explode
+    items = pairs.select(*keys, explode(F.concat(slots, moved)).alias("_it"))
     fn = F.col(func)
-    reorder_rec = change_struct(REORDER_RULE.rule, REORDER_RULE.type, statement=F.col("_it.statement"),
-                                old_position=F.col("_it.old_position"), new_position=F.col("_it.new_position"),
-                                function=fn)
-    recs = F.when(F.col("_it.phase") == PHASE_SLOT,
-                  slot_records(o, n, fn, F.col("_b1"), F.col("_b2"), mode)).otherwise(F.array(reorder_rec))
+    staged = with_firing(items.select(*keys, "_it", F.col("_it.o").alias("_o"), F.col("_it.n").alias("_n")), mode)
+    record = lambda hit, **payload: F.when(hit, F.struct(F.lit(0).alias("seq"), change_struct(
+        payload.pop("rule"), payload.pop("type"), **payload).alias("c")))
+    recs = candidates(fn, mode) + [record(
+        F.col("_it.phase") == PHASE_REORDER, rule=REORDER_RULE.rule, type=REORDER_RULE.type, statement=F.col("_it.statement"),
+        old_position=F.col("_it.old_position"), new_position=F.col("_it.new_position"), function=fn)]
+    if keep_items:
+        recs.append(record(fn.isNull(), rule=None, type=None))
     out = staged.select(*keys, F.col("_it.phase").alias("phase"), F.col("_it.pos").alias("pos"),
-                        F.posexplode(recs).alias("seq", "c"))
-    return out.select(*keys, "phase", "pos", "seq", *[F.col("c")[f].alias(f) for f in CHANGE_PAYLOAD.fieldNames()])
+                        F.explode(F.array(*recs)).alias("_c")).where(F.col("_c").isNotNull())
+    return out.select(*keys, "phase", "pos", *payload_columns())

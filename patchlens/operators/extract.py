@@ -1,4 +1,5 @@
-"""Source text -> one row per function definition with statement facts.
+"""Source text -> function rows with statement facts, or both versions of an
+item -> its functions present in both.
 
 This is the only Python stage of the engine. Each task parses the files of its
 Arrow batch with the standard-library parser and emits flat facts; every
@@ -13,12 +14,14 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..schemas import FUNCTION, NODE_FIELDS
+from ..schemas import FUNCTION, NODE_FIELDS, PAIRED
 
 _ARROW_SCHEMA = to_arrow_schema(FUNCTION)
 _FLUSH_ROWS = 512
+_PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, TypeError)
 _CONTAINERS = (ast.stmt, ast.excepthandler, ast.match_case)
 
 
@@ -30,8 +33,9 @@ def _alias_list(aliases):
     return [f"{a.name} as {a.asname}" if a.asname else a.name for a in aliases]
 
 
-def node_facts(node: ast.AST) -> dict:
-    """Flatten one node into the NODE struct (missing facts stay null)."""
+def node_facts(node: ast.AST, else_texts: bool = True) -> dict:
+    """Flatten one node into the NODE struct (missing facts stay null). The texts of an ``else``
+    are left out where no rule reads them."""
     kind = type(node).__name__
     f = dict.fromkeys(NODE_FIELDS)
     f["kind"] = kind
@@ -41,7 +45,8 @@ def node_facts(node: ast.AST) -> dict:
     if kind == "If":
         f["body_texts"] = [_u(b) for b in node.body]
         f["orelse_n"] = len(node.orelse)
-        f["orelse_texts"] = [_u(b) for b in node.orelse]
+        if else_texts:
+            f["orelse_texts"] = [_u(b) for b in node.orelse]
     elif kind == "For":
         f["target"] = _u(node.target)
         f["iter"] = _u(node.iter)
@@ -84,30 +89,52 @@ def node_facts(node: ast.AST) -> dict:
     return f
 
 
+def definitions(source):
+    """Plain ``def`` nodes of a file, breadth-first over every nesting level. Expression
+    subtrees never hold a definition, so only statement containers are queued; dropping the
+    rest keeps the relative breadth-first order of the definitions."""
+    queue = deque([ast.parse(source)])
+    while queue:
+        node = queue.popleft()
+        queue.extend(c for c in ast.iter_child_nodes(node) if isinstance(c, _CONTAINERS))
+        if isinstance(node, ast.FunctionDef):
+            yield node
+
+
+def _error_text(exc):
+    return f"{type(exc).__name__}: {exc}"
+
+
 def functions_of_source(pair_id, version, source):
-    """Yield FUNCTION rows for one file; a file that cannot be parsed yields one error row."""
+    """FUNCTION rows of one file; a file that cannot be parsed gives one error row."""
     try:
-        tree = ast.parse(source)
-        out = []
-        walk_ord = 0
-        # breadth-first over every nesting level, plain ``def`` only. Expression
-        # subtrees never hold a definition, so only statement containers are queued;
-        # dropping them keeps the relative breadth-first order of the definitions.
-        queue = deque([tree])
-        while queue:
-            node = queue.popleft()
-            queue.extend(c for c in ast.iter_child_nodes(node) if isinstance(c, _CONTAINERS))
-            if isinstance(node, ast.FunctionDef):
-                out.append({
-                    "pair_id": pair_id, "version": version, "func": node.name,
-                    "walk_ord": walk_ord, "args": [a.arg for a in node.args.args],
-                    "stmts": [node_facts(s) for s in node.body], "error": None,
-                })
-                walk_ord += 1
-        return out
-    except (SyntaxError, ValueError, RecursionError, MemoryError, TypeError) as exc:
+        return [{"pair_id": pair_id, "version": version, "func": node.name, "walk_ord": k,
+                 "args": [a.arg for a in node.args.args],
+                 "stmts": [node_facts(s) for s in node.body], "error": None}
+                for k, node in enumerate(definitions(source))]
+    except _PARSE_ERRORS as exc:
         return [{"pair_id": pair_id, "version": version, "func": None, "walk_ord": None,
-                 "args": None, "stmts": None, "error": f"{type(exc).__name__}: {exc}"}]
+                 "args": None, "stmts": None, "error": _error_text(exc)}]
+
+
+def functions_of_pair(pair_id, old, new, else_texts):
+    """PAIRED rows of one item: its own row first, then the functions in both versions. The last
+    definition of a name wins, its first one gives the place in the old file."""
+    own = {"pair_id": pair_id, "func": None, "first_ord": None, "old_stmts": None, "new_stmts": None, "error": None}
+    try:
+        found, first = [{}, {}], {}
+        for side, source in enumerate((old, new)):
+            for k, node in enumerate(definitions(source) if source is not None else ()):
+                found[side][node.name] = node
+                if side == 0:
+                    first.setdefault(node.name, k)
+        facts = lambda node: [node_facts(s, else_texts) for s in node.body]
+        return [own] + [
+            {"pair_id": pair_id, "func": name, "first_ord": first[name], "old_stmts": facts(node),
+             "new_stmts": facts(found[1][name]), "error": None}
+            for name, node in found[0].items() if name in found[1]]
+    except _PARSE_ERRORS as exc:
+        return [own | {"error": _error_text(exc)}]
 
 
 def _extract_batches(batches):
@@ -128,8 +155,7 @@ def _extract_batches(batches):
 def extract_functions(versions: DataFrame) -> DataFrame:
     """(pair_id, version, source) -> FUNCTION rows (parse failures as rows with ``error``).
 
-    Only the three input columns cross into Python. Callers should spread the
-    input over enough partitions first (files vary a lot in size).
+    Only the three input columns cross into Python.
     """
     src = versions.select(
         F.col("pair_id").cast("string").alias("pair_id"),
@@ -139,6 +165,28 @@ def extract_functions(versions: DataFrame) -> DataFrame:
     return src.mapInArrow(_extract_batches, FUNCTION)
 
 
-def parse_errors(functions: DataFrame) -> DataFrame:
-    """Rows of files that failed to parse: (pair_id, version, error)."""
-    return functions.where(F.col("error").isNotNull()).select("pair_id", "version", "error")
+def extract_pairs(items: DataFrame, carry: tuple[str, ...] = (), else_texts: bool = False) -> DataFrame:
+    """(pair_id, old, new) -> PAIRED rows; both versions are parsed where they lie.
+
+    ``carry`` names string columns that travel on each item's own row, once per item.
+    """
+    schema = T.StructType([*PAIRED, *(T.StructField(c, T.StringType()) for c in carry)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            cols = batch.to_pydict()
+            extra = list(zip(*(cols[c] for c in carry))) or [()] * batch.num_rows
+            for pid, old, new, more in zip(cols["pair_id"], cols["old"], cols["new"], extra):
+                got = functions_of_pair(pid, old, new, else_texts)
+                got[0].update(zip(carry, more))
+                rows.extend(got)
+                if len(rows) >= _FLUSH_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    src = items.select(*[F.col(c).cast("string").alias(c) for c in ("pair_id", "old", "new", *carry)])
+    return src.mapInArrow(run, schema)

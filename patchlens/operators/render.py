@@ -1,8 +1,8 @@
 """Change records -> sentences -> per-item summary text; K1 JSON form.
 
 Sentences are one ``CASE`` on ``type``. Per-item text (summary and JSON) is built per
-function first (on the pairing step's partitioning), then per item from one small string
-per function, sorted by the function's first place.
+function first, then per item from one small string per function, sorted by the
+function's first place.
 """
 
 from __future__ import annotations
@@ -69,29 +69,29 @@ def change_json() -> Column:
     return out
 
 
-def item_texts(changes: DataFrame, key: str = "pair_id", order=("phase", "pos", "seq")) -> DataFrame:
+def item_texts(changes: DataFrame, key: str = "pair_id", order=("phase", "pos", "seq"), carry=()) -> DataFrame:
     """Per item: ``summary`` (N8 blocks) and ``changes_json`` (K1 map func -> list).
 
-    Two levels: records are folded per (item, function) into one text block and one JSON
-    fragment - on the keys the pairing step already partitioned by, so this needs no new
-    shuffle in the main chain - then only those small strings are shuffled per item and
-    joined in ``first_ord`` order. Records keep ``order`` inside a function.
+    Records become their sentence and JSON text, are shuffled once on the item key, folded per
+    function and then per item in ``first_ord`` order; both folds run on that one partitioning.
+    Records keep ``order`` inside a function. Rows without a rule add no record but keep their
+    item, with an empty summary, and give it the ``carry`` columns.
     """
-    rec = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
-                   sentence().alias("s"), change_json().alias("j"))
-    per_func = (changes.groupBy(key, "func", "first_ord")
-                .agg(F.array_sort(F.collect_list(rec)).alias("rs")))
+    texts = changes.select(key, "func", "first_ord", *carry, F.when(F.col("rule").isNotNull(), F.struct(
+        *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], sentence().alias("s"), change_json().alias("j"))).alias("rec"))
+    per_func = (texts.repartition(key).groupBy(key, "func", "first_ord")
+                .agg(F.array_sort(F.collect_list("rec")).alias("rs"), *[F.max(c).alias(c) for c in carry]))
     rs = F.col("rs")
     key_json = F.regexp_replace(F.regexp_replace(F.to_json(F.array(F.col("func"))), r"^\[", ""), r"\]$", "")
     block = F.concat(F.lit(BLOCK_HEADER), F.col("func"), F.lit("\n"),
                      F.array_join(F.transform(rs, lambda r: F.concat(F.lit(LINE_PREFIX), r["s"], F.lit("\n"))), ""),
                      F.lit("\n"))
     frag = F.concat(key_json, F.lit(":["), F.array_join(F.transform(rs, lambda r: r["j"]), ","), F.lit("]"))
-    blocks = per_func.select(key, F.struct(F.col("first_ord").alias("f0"), F.col("func").alias("f1"),
-                                           block.alias("b"), frag.alias("j"), F.size(rs).alias("n")).alias("blk"))
-    g = blocks.groupBy(key).agg(F.array_sort(F.collect_list("blk")).alias("bs"))
+    blocks = per_func.select(key, *carry, F.when(F.size(rs) > 0, F.struct(
+        F.col("first_ord").alias("f0"), F.col("func").alias("f1"), block.alias("b"), frag.alias("j"), F.size(rs).alias("n"))).alias("blk"))
+    g = blocks.groupBy(key).agg(F.array_sort(F.collect_list("blk")).alias("bs"), *[F.max(c).alias(c) for c in carry])
     bs = F.col("bs")
-    return g.select(key,
+    return g.select(key, *carry,
                     F.array_join(F.transform(bs, lambda b: b["b"]), "").alias("summary"),
                     F.concat(F.lit("{"), F.array_join(F.transform(bs, lambda b: b["j"]), ","), F.lit("}"))
                     .alias("changes_json"),

@@ -1,9 +1,11 @@
 """Typed change records from aligned statement pairs, as one projection.
 
 Two independent first-match chains run on every aligned pair. Each chain picks at
-most one branch (``branch1`` / ``branch2``, computed once per row); a branch can emit
-several records. All records of a pair are built in one ``array_compact(array(...))``
-in emission order, so no Python runs here and the projection stays in codegen.
+most one branch (``branch1`` / ``branch2``, computed once per row); a branch owns a few
+rules, each of which may emit a record. The branch comes first: a pair has as many
+candidates as the largest branches have rules, not one for every rule, and which of them
+fire is computed once, as plain columns. The candidates are exploded from a plain array
+and the empty ones filtered, so no lambda keeps the stage out of generated code.
 """
 
 from __future__ import annotations
@@ -60,8 +62,10 @@ class Rule:
     type: str
     # JSON keys in record order after ``type``; ``old[]`` means the list column
     keys: tuple
-    when: Callable  # (o, n, b1, b2, mode) -> Column
-    payload: Callable  # (o, n, fn) -> dict[str, Column]
+    chain: int
+    branch: str | None
+    when: Callable | None  # (o, n, mode) -> Column; None: whenever the branch is taken
+    payload: Callable | None  # (o, n, fn) -> dict[str, Column]
     pipe: str = "Y"  # Y: fires from files, N: expression pairs only, X: dead in reference mode
 
 
@@ -88,121 +92,121 @@ def _else_changed(o, n, mode):
 RULES: list[Rule] = [
     # ---- chain 1
     Rule("R01", "condition_added", ("condition", "body[]", "function"),
-         lambda o, n, b1, b2, m: b1 == "if_added",
+         1, "if_added", None,
          lambda o, n, fn: {"condition": n["test"], "body": n["body_texts"], "function": fn}),
     Rule("R02", "condition_change", ("target", "old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "If") & differs(o["test"], n["test"]),
+         1, "If", lambda o, n, m: differs(o["test"], n["test"]),
          lambda o, n, fn: {"target": first_token(n["test"]), **_strs(o, n, "test")}),
     Rule("R03", "else_block_change", ("function",),
-         lambda o, n, b1, b2, m: (b1 == "If") & _else_changed(o, n, m),
+         1, "If", lambda o, n, m: _else_changed(o, n, m),
          lambda o, n, fn: {"function": fn}),
     Rule("R04", "loop_change", ("target", "old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "For") & (differs(o["target"], n["target"]) | differs(o["iter"], n["iter"])),
+         1, "For", lambda o, n, m: (differs(o["target"], n["target"]) | differs(o["iter"], n["iter"])),
          lambda o, n, fn: {"target": _loop(n), "old": _loop(o), "new": _loop(n)}),
     Rule("R05", "var_rename", ("old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "Assign") & differs(o["targets"][0], n["targets"][0]) & same(o["value"], n["value"]),
-         lambda o, n, fn: {"old": o["targets"][0], "new": n["targets"][0]}),
+         1, "Assign", lambda o, n, m: differs(F.get(o["targets"], 0), F.get(n["targets"], 0)) & same(o["value"], n["value"]),
+         lambda o, n, fn: {"old": F.get(o["targets"], 0), "new": F.get(n["targets"], 0)}),
     Rule("R06", "var_value_change", ("target", "old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "Assign") & same(o["targets"][0], n["targets"][0]) & differs(o["value"], n["value"]),
-         lambda o, n, fn: {"target": o["targets"][0], **_strs(o, n, "value")}),
+         1, "Assign", lambda o, n, m: same(F.get(o["targets"], 0), F.get(n["targets"], 0)) & differs(o["value"], n["value"]),
+         lambda o, n, fn: {"target": F.get(o["targets"], 0), **_strs(o, n, "value")}),
     Rule("R07", "param_change", ("function", "old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "FunctionDef") & differs(o["params"], n["params"]),
+         1, "FunctionDef", lambda o, n, m: differs(o["params"], n["params"]),
          lambda o, n, fn: {"function": o["name"], **_lists(o, n, "params")}),
     Rule("R08", "return_type_change", ("function", "old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "FunctionDef") & differs(o["returns"], n["returns"]),
+         1, "FunctionDef", lambda o, n, m: differs(o["returns"], n["returns"]),
          lambda o, n, fn: {"function": o["name"], **_strs(o, n, "returns")}),
     Rule("R09", "import_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "Import") & differs(o["names"], n["names"]),
+         1, "Import", lambda o, n, m: differs(o["names"], n["names"]),
          lambda o, n, fn: _lists(o, n, "names")),
     Rule("R10", "import_from_change", ("module", "old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "ImportFrom") & (differs(o["module"], n["module"]) | differs(o["names"], n["names"])),
+         1, "ImportFrom", lambda o, n, m: (differs(o["module"], n["module"]) | differs(o["names"], n["names"])),
          lambda o, n, fn: {"module": n["module"], **_lists(o, n, "names")}),
     Rule("R11", "exception_handler_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "Try") & differs(o["handlers"], n["handlers"]),
+         1, "Try", lambda o, n, m: differs(o["handlers"], n["handlers"]),
          lambda o, n, fn: _lists(o, n, "handlers")),
     Rule("R12", "raise_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "Raise") & differs(o["exc"], n["exc"]),
+         1, "Raise", lambda o, n, m: differs(o["exc"], n["exc"]),
          lambda o, n, fn: _strs(o, n, "exc")),
     Rule("R13", "class_decorator_change", ("class", "old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "ClassDef") & differs(o["decorators"], n["decorators"]),
+         1, "ClassDef", lambda o, n, m: differs(o["decorators"], n["decorators"]),
          lambda o, n, fn: {"class": o["name"], **_lists(o, n, "decorators")}),
     Rule("R14", "class_inheritance_change", ("class", "old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b1 == "ClassDef") & differs(o["bases"], n["bases"]),
+         1, "ClassDef", lambda o, n, m: differs(o["bases"], n["bases"]),
          lambda o, n, fn: {"class": o["name"], **_lists(o, n, "bases")}),
     Rule("R15", "string_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "Constant") & o["const_str"].isNotNull() & n["const_str"].isNotNull()
+         1, "Constant", lambda o, n, m: o["const_str"].isNotNull() & n["const_str"].isNotNull()
          & differs(o["const_str"], n["const_str"]),
          lambda o, n, fn: _strs(o, n, "const_str"), pipe="N"),
     Rule("R16", "fstring_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b1 == "JoinedStr") & differs(o["text"], n["text"]),
+         1, "JoinedStr", lambda o, n, m: differs(o["text"], n["text"]),
          lambda o, n, fn: _strs(o, n, "text"), pipe="N"),
     Rule("R17", "return_change", ("old", "new", "function"),
-         lambda o, n, b1, b2, m: (b1 == "Return") & differs(o["value"], n["value"]),
+         1, "Return", lambda o, n, m: differs(o["value"], n["value"]),
          lambda o, n, fn: {**_strs(o, n, "value"), "function": fn}),
     # ---- chain 2
     Rule("R18", "function_call_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "Call") & differs(o["func_dump"], n["func_dump"]),
+         2, "Call", lambda o, n, m: differs(o["func_dump"], n["func_dump"]),
          lambda o, n, fn: _strs(o, n, "func_text"), pipe="N"),
     Rule("R19", "function_arguments_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b2 == "Call") & differs(o["args"], n["args"]),
+         2, "Call", lambda o, n, m: differs(o["args"], n["args"]),
          lambda o, n, fn: _lists(o, n, "args"), pipe="N"),
     Rule("R20", "assignment_target_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b2 == "Assign") & differs(o["targets"], n["targets"]),
+         2, "Assign", lambda o, n, m: differs(o["targets"], n["targets"]),
          lambda o, n, fn: _lists(o, n, "targets")),
     Rule("R21", "assignment_value_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "Assign") & differs(o["value"], n["value"]),
+         2, "Assign", lambda o, n, m: differs(o["value"], n["value"]),
          lambda o, n, fn: _strs(o, n, "value")),
     Rule("R22", "if_condition_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "If") & differs(o["test"], n["test"]),
+         2, "If", lambda o, n, m: differs(o["test"], n["test"]),
          lambda o, n, fn: _strs(o, n, "test")),
     Rule("R23", "for_loop_target_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "For") & differs(o["target"], n["target"]),
+         2, "For", lambda o, n, m: differs(o["target"], n["target"]),
          lambda o, n, fn: _strs(o, n, "target")),
     Rule("R24", "for_loop_iterable_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "For") & differs(o["iter"], n["iter"]),
+         2, "For", lambda o, n, m: differs(o["iter"], n["iter"]),
          lambda o, n, fn: _strs(o, n, "iter")),
     Rule("R25", "while_condition_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "While") & differs(o["test"], n["test"]),
+         2, "While", lambda o, n, m: differs(o["test"], n["test"]),
          lambda o, n, fn: _strs(o, n, "test")),
     Rule("R26", "function_name_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "FunctionDef") & differs(o["name"], n["name"]),
+         2, "FunctionDef", lambda o, n, m: differs(o["name"], n["name"]),
          lambda o, n, fn: _strs(o, n, "name")),
     Rule("R27", "function_arguments_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b2 == "FunctionDef") & differs(o["params"], n["params"]),
+         2, "FunctionDef", lambda o, n, m: differs(o["params"], n["params"]),
          lambda o, n, fn: _lists(o, n, "params")),
     Rule("R32", "function_decorator_change", ("function", "old[]", "new[]"),
-         lambda o, n, b1, b2, m: F.lit(m == "strict") & (b2 == "FunctionDef") & differs(o["decorators"], n["decorators"]),
+         2, "FunctionDef", lambda o, n, m: differs(o["decorators"], n["decorators"]),
          lambda o, n, fn: {"function": o["name"], **_lists(o, n, "decorators")}, pipe="X"),
     Rule("R28", "class_name_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "ClassDef") & differs(o["name"], n["name"]),
+         2, "ClassDef", lambda o, n, m: differs(o["name"], n["name"]),
          lambda o, n, fn: _strs(o, n, "name")),
     Rule("R29", "class_base_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b2 == "ClassDef") & differs(o["bases"], n["bases"]),
+         2, "ClassDef", lambda o, n, m: differs(o["bases"], n["bases"]),
          lambda o, n, fn: _lists(o, n, "bases")),
     Rule("R30", "return_value_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "Return") & differs(o["value"], n["value"]),
+         2, "Return", lambda o, n, m: differs(o["value"], n["value"]),
          lambda o, n, fn: _strs(o, n, "value")),
     Rule("R31", "exception_handler_change", ("old[]", "new[]"),
-         lambda o, n, b1, b2, m: (b2 == "Try") & differs(o["handlers"], n["handlers"]),
+         2, "Try", lambda o, n, m: differs(o["handlers"], n["handlers"]),
          lambda o, n, fn: _lists(o, n, "handlers")),
     Rule("R33", "docstring_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "body") & o["docstring"].isNotNull() & n["docstring"].isNotNull()
+         2, "body", lambda o, n, m: o["docstring"].isNotNull() & n["docstring"].isNotNull()
          & differs(o["docstring"], n["docstring"]),
          lambda o, n, fn: _strs(o, n, "docstring")),
     Rule("R34", "attribute_assignment_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "Attribute") & differs(o["text"], n["text"]),
+         2, "Attribute", lambda o, n, m: differs(o["text"], n["text"]),
          lambda o, n, fn: _strs(o, n, "text"), pipe="N"),
     Rule("R35", "augmented_assignment_change", ("old", "new"),
-         lambda o, n, b1, b2, m: (b2 == "AugAssign") & differs(o["text"], n["text"]),
+         2, "AugAssign", lambda o, n, m: differs(o["text"], n["text"]),
          lambda o, n, fn: _strs(o, n, "text")),
 ]
 
 # Records emitted outside the per-pair chains.
-TAIL_RULE = Rule("R36", "condition_added", ("condition", "body[]", "function"),
-                 lambda o, n, b1, b2, m: o.isNull() & (n["kind"] == "If"),
+TAIL_RULE = Rule("R36", "condition_added", ("condition", "body[]", "function"), 0, None,
+                 lambda o, n, m: o.isNull() & (n["kind"] == "If"),
                  lambda o, n, fn: {"condition": n["test"], "body": n["body_texts"], "function": fn})
 REORDER_RULE = Rule("R37", "statement_reordered",
-                    ("statement", "old_position", "new_position", "function"), None, None)
+                    ("statement", "old_position", "new_position", "function"), 0, None, None, None)
 
 ALL_RULES = RULES + [TAIL_RULE, REORDER_RULE]
 RULE_KEYS = {r.rule: r.keys for r in ALL_RULES}
@@ -226,21 +230,59 @@ def branch2(o: Column, n: Column) -> Column:
             .when((ok == nk) & ok.isin(*CHAIN2_LATE_KINDS), ok))
 
 
-def slot_records(o: Column, n: Column, fn: Column, b1: Column, b2: Column, mode: str = "reference") -> Column:
-    """array<CHANGE_PAYLOAD> of one statement slot, in emission order.
-
-    ``o``/``n`` may be null: an aligned slot has both, an added tail slot has only ``n``.
-    """
+def _by_branch(chain: int, mode: str) -> dict[str, list[Rule]]:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    recs = []
+    out: dict[str, list[Rule]] = {}
     for r in RULES:
-        if r.pipe == "X" and mode != "strict":
-            continue
-        recs.append(F.when(r.when(o, n, b1, b2, mode), change_struct(r.rule, r.type, **r.payload(o, n, fn))))
-    recs.append(F.when(TAIL_RULE.when(o, n, b1, b2, mode),
-                       change_struct(TAIL_RULE.rule, TAIL_RULE.type, **TAIL_RULE.payload(o, n, fn))))
-    return F.array_compact(F.array(*recs))
+        if r.chain == chain and (r.pipe != "X" or mode == "strict"):
+            out.setdefault(r.branch, []).append(r)
+    return out
+
+
+def _places(mode: str) -> list[tuple[int, list[Rule]]]:
+    """(chain, rules) of each candidate: the k-th rule of every branch of the chain. Emission order."""
+    out = []
+    for chain in (1, 2):
+        branches = _by_branch(chain, mode).values()
+        for k in range(max(map(len, branches))):
+            out.append((chain, [rules[k] for rules in branches if len(rules) > k]))
+    return out
+
+
+def with_firing(pairs: DataFrame, mode: str = "reference", old: str = "_o", new: str = "_n") -> DataFrame:
+    """``pairs`` with the branches taken and which candidates fire (``_f0``, ``_f1``, ...)."""
+    o, n = F.col(old), F.col(new)
+    staged = pairs.select("*", branch1(o, n).alias("_b1"), branch2(o, n).alias("_b2"))
+    fires = []
+    for chain, rules in _places(mode):
+        branch, case = F.col(f"_b{chain}"), F
+        for r in rules:
+            case = case.when(branch == r.branch, F.lit(True) if r.when is None else r.when(o, n, mode))
+        fires.append(F.coalesce(case, F.lit(False)))
+    fires.append(F.coalesce(TAIL_RULE.when(o, n, mode), F.lit(False)))
+    return staged.select("*", *[f.alias(f"_f{k}") for k, f in enumerate(fires)])
+
+
+def candidates(fn: Column, mode: str = "reference", old: str = "_o", new: str = "_n") -> list[Column]:
+    """One struct (seq, CHANGE_PAYLOAD) or null for each candidate of a pair from ``with_firing``; ``seq`` counts the
+    records emitted before it."""
+    o, n = F.col(old), F.col(new)
+    places = [*_places(mode), (0, [TAIL_RULE])]
+    out = []
+    for k, (chain, rules) in enumerate(places):
+        fired = F.col(f"_f{k}")
+        before = sum((F.col(f"_f{j}").cast("int") for j in range(k)), F.lit(0))
+        case = F
+        for r in rules:
+            hit = fired & (F.col(f"_b{chain}") == r.branch) if chain else fired
+            case = case.when(hit, F.struct(before.alias("seq"), change_struct(r.rule, r.type, **r.payload(o, n, fn)).alias("c")))
+        out.append(case)
+    return out
+
+
+def payload_columns() -> list[Column]:
+    return [F.col("_c.seq").alias("seq"), *[F.col("_c.c")[f].alias(f) for f in CHANGE_PAYLOAD.fieldNames()]]
 
 
 def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str = "old", new: str = "new",
@@ -251,11 +293,8 @@ def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str = "old", new:
     enclosing function name. Output adds ``seq`` (emission index within the pair)
     and the CHANGE_PAYLOAD columns. Nodes of any kind are accepted.
     """
-    o, n = F.col(old), F.col(new)
     keys = [c for c in pairs.columns if c not in (old, new)]
-    staged = pairs.select(*keys, o.alias("_o"), n.alias("_n"),
-                          branch1(o, n).alias("_b1"), branch2(o, n).alias("_b2"))
-    recs = slot_records(F.col("_o"), F.col("_n"), F.col(func) if func in keys else F.lit(None).cast("string"),
-                        F.col("_b1"), F.col("_b2"), mode)
-    out = staged.select(*keys, F.posexplode(recs).alias("seq", "c"))
-    return out.select(*keys, "seq", *[F.col("c")[f].alias(f) for f in CHANGE_PAYLOAD.fieldNames()])
+    staged = with_firing(pairs.select(*keys, F.col(old).alias("_o"), F.col(new).alias("_n")), mode)
+    fn = F.col(func) if func in keys else F.lit(None).cast("string")
+    out = staged.select(*keys, F.explode(F.array(*candidates(fn, mode))).alias("_c")).where(F.col("_c").isNotNull())
+    return out.select(*keys, *payload_columns())

@@ -1,14 +1,14 @@
 """Vectors per model, cosine, verdict at a threshold.
 
 Two vector families:
-* lexical models (default): term-frequency vectors under a named tokenizer. The cosine
-  is exact and computed inside each row (sort + one fold), so tokens are never
-  exploded or shuffled; the work is linear in the data and splits with the rows.
-* dense vectors: ``array<float>`` columns supplied by the caller or produced by an
-  encoder hook (``encode_texts``); cosine is ``aggregate(zip_with(...))`` in the JVM.
+* lexical models (default): term-frequency vectors under a named tokenizer. Terms are
+  counted by two hash aggregations on one partitioning by item; the cosine is exact.
+* dense vectors: ``array<float>`` columns supplied by the caller; cosine is
+  ``aggregate(zip_with(...))`` in the JVM.
 
 Models are applied as a generator over a literal array (one row per item and model),
-never as a join, so the model list costs nothing to distribute.
+never as a join, so the model list costs nothing to distribute. A model that cannot score an item
+says why in ``error``; the others still score it.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import normalise
+from ..schemas import ERROR_EMPTY_TEXT, ERROR_MISSING_VECTOR, ERROR_UNEQUAL_LENGTH, ERROR_ZERO_NORM
 
 # ---- fixed values
 MATCH_THRESHOLD = 0.6
@@ -75,64 +75,47 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (na > 0) & (nb > 0), dot / (F.sqrt(na) * F.sqrt(nb)))
 
 
+def vector_error(a: Column, b: Column) -> Column:
+    """Why two vectors have no cosine; null when they have one."""
+    blank = lambda v: ~F.exists(v, lambda x: x != 0)
+    return (F.when(a.isNull() | b.isNull(), F.lit(ERROR_MISSING_VECTOR))
+            .when(F.size(a) != F.size(b), F.lit(ERROR_UNEQUAL_LENGTH))
+            .when(blank(a) | blank(b), F.lit(ERROR_ZERO_NORM)))
+
+
 def verdict(score: Column, threshold: float = MATCH_THRESHOLD):
     """M3/M4: (shown, is_match). The verdict uses the unrounded score."""
     return (F.when(score.isNotNull(), F.format_string(SHOWN_FORMAT, score)).alias("shown"),
             F.coalesce(score >= F.lit(threshold), F.lit(False)).alias("is_match"))
 
 
-def tf_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the term-frequency vectors of two token arrays, inside the row.
-
-    Both arrays are tagged by side, sorted together, and folded once: every run of
-    equal terms adds count_a * count_b to the dot product and the squares to the
-    norms. O(n log n) per row, exact, no token ever leaves its row (no shuffle).
-    Null when either side has no tokens.
-    """
-    tagged = F.sort_array(F.concat(
-        F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(1).alias("x"), F.lit(0).alias("y"))),
-        F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(0).alias("x"), F.lit(1).alias("y")))))
-    zero = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).cast("long").alias("ca"),
-                    F.lit(0).cast("long").alias("cb"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("na"),
-                    F.lit(0.0).alias("nb"))
-
-    def step(s, e):
-        same_term = s["p"].eqNullSafe(e["t"])
-        return F.when(same_term, F.struct(s["p"].alias("p"), (s["ca"] + e["x"]).alias("ca"),
-                                          (s["cb"] + e["y"]).alias("cb"), s["dot"].alias("dot"),
-                                          s["na"].alias("na"), s["nb"].alias("nb"))) \
-            .otherwise(F.struct(e["t"].alias("p"), e["x"].cast("long").alias("ca"), e["y"].cast("long").alias("cb"),
-                                (s["dot"] + s["ca"] * s["cb"]).alias("dot"), (s["na"] + s["ca"] * s["ca"]).alias("na"),
-                                (s["nb"] + s["cb"] * s["cb"]).alias("nb")))
-
-    def finish(s):
-        dot = s["dot"] + s["ca"] * s["cb"]
-        na = s["na"] + s["ca"] * s["ca"]
-        nb = s["nb"] + s["cb"] * s["cb"]
-        return F.when((na > 0) & (nb > 0), dot / (F.sqrt(na) * F.sqrt(nb)))
-
-    return F.aggregate(tagged, zero, step, finish)
-
-
 def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary", right: str = "explanation",
                   models: dict | None = None, threshold: float = MATCH_THRESHOLD,
-                  normalise_text: bool = True) -> DataFrame:
+                  normalise_text: bool = True, error: str | None = None) -> DataFrame:
     """(key, left text, right text) -> (key, model, score, shown, is_match, error).
 
-    Every (item, model) yields a row; an item with no tokens on a side gets a null
-    score and no match. Narrow: each row is scored where it lies.
+    One row per key in, one per (key, model) out; without terms on a side the score is null, with the
+    reason. ``error`` names a column of reasons already known. Terms are exploded and counted per
+    (key, model, term); everything is partitioned by the key once, so neither aggregation shuffles
+    again, and counting runs in generated code.
     """
-    from ..plans.partitioning import spread
     models = models or LEXICAL_MODELS
     norm = normalise if normalise_text else (lambda c: c)
-    pairs = spread(pairs.select(F.col(key), F.col(left), F.col(right)))
-    pairs = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"))
-    lt, rt = F.col("_lt"), F.col("_rt")
-    per_model = F.array(*[F.struct(F.lit(name).alias("model"), tf_cosine(tok(lt), tok(rt)).alias("score"))
-                          for name, tok in models.items()])
-    out = pairs.select(F.col(key), F.explode(per_model).alias("_m")).select(key, "_m.model", "_m.score")
+    known = F.col(error) if error else F.lit(None).cast("string")
+    texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e")).repartition(key)
+    sides = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(side).alias("side"), tok(F.col(text)).alias("terms"))
+                      for name, tok in models.items() for side, text in ((0, "_lt"), (1, "_rt"))])
+    terms = (texts.select(F.col(key), "_e", F.explode(sides).alias("_s"))
+             .select(key, "_e", "_s.model", "_s.side", F.explode_outer("_s.terms").alias("term")))
+    count = lambda side: F.count(F.when((F.col("side") == side) & F.col("term").isNotNull(), 1)).cast("double")
+    counted = terms.groupBy(key, "model", "term").agg(count(0).alias("a"), count(1).alias("b"), F.max("_e").alias("_e"))
+    a, b = F.col("a"), F.col("b")
+    sums = counted.groupBy(key, "model").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("na"), F.sum(b * b).alias("nb"),
+                                            F.max("_e").alias("_e"))
+    score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
+    out = sums.select(key, "model", score.alias("score"), "_e")
     return out.select(key, "model", "score", *verdict(F.col("score"), threshold),
-                      F.lit(None).cast("string").alias("error"))
+                      F.when(F.col("score").isNull(), F.coalesce("_e", F.lit(ERROR_EMPTY_TEXT))).alias("error"))
 
 
 def score_dense(pairs: DataFrame, key: str, left: str, right: str,
@@ -141,46 +124,13 @@ def score_dense(pairs: DataFrame, key: str, left: str, right: str,
     """Dense vectors per row. ``models`` = (name, start, width) slices of the vectors
     (1-based start); default: one model over the whole vector named ``dense``."""
     a, b = F.col(left), F.col(right)
-    if models is None:
-        spec = F.array(F.struct(F.lit("dense").alias("model"), cosine(a, b).alias("score")))
-    else:
-        spec = F.array(*[F.struct(F.lit(name).alias("model"),
-                                  cosine(F.slice(a, start, width), F.slice(b, start, width)).alias("score"))
-                         for name, start, width in models])
-    out = pairs.select(F.col(key), F.explode(spec).alias("_m")).select(key, "_m.model", "_m.score")
+    parts = [("dense", a, b)] if models is None else [
+        (name, F.slice(a, start, width), F.slice(b, start, width)) for name, start, width in models]
+    spec = F.array(*[F.struct(F.lit(name).alias("model"), cosine(x, y).alias("score"), vector_error(x, y).alias("error"))
+                     for name, x, y in parts])
+    out = pairs.select(F.col(key), F.explode(spec).alias("_m")).select(key, "_m.*")
     return out.select(key, "model", "score", *verdict(F.col("score"), threshold),
-                      F.lit(None).cast("string").alias("error"))
-
-
-ENCODED = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
-
-
-def encode_texts(text: Column, loader: Callable[[], object]) -> Column:
-    """M1 plug-in: vectors from an encoder object with ``encode(list[str]) -> 2-D array``.
-
-    The encoder is loaded once per task (iterator pandas UDF), not once per row; a
-    failing encoder yields null vectors with the error text instead of failing the job.
-    """
-    import pandas as pd
-    from pyspark.sql.functions import PandasUDFType
-
-    def _enc(batches):
-        model, err = None, None
-        try:
-            model = loader()
-        except Exception as exc:  # reported per row, the job goes on
-            err = f"{type(exc).__name__}: {exc}"
-        for s in batches:
-            if model is None:
-                yield pd.DataFrame({"vector": [None] * len(s), "error": [err] * len(s)})
-                continue
-            try:
-                vecs = model.encode(s.fillna("").tolist())
-                yield pd.DataFrame({"vector": [list(map(float, v)) for v in vecs], "error": [None] * len(s)})
-            except Exception as exc:
-                yield pd.DataFrame({"vector": [None] * len(s), "error": [f"{type(exc).__name__}: {exc}"] * len(s)})
-
-    return F.pandas_udf(_enc, ENCODED, PandasUDFType.SCALAR_ITER)(text)
+                      F.when(F.col("score").isNull(), F.col("error")).alias("error"))
 
 
 def score_pairs(summaries: DataFrame, explanations: DataFrame, key: str = "pair_id",

@@ -1,8 +1,9 @@
-"""Whole-corpus plans: versions -> change rows -> item texts -> scores.
+"""Whole-corpus plans: items or versions -> change rows -> item texts -> scores.
 
-Shuffles, in order: function facts once on (pair_id, func) (dedupe + name join), change
-rows once on pair_id (JSON + summary), summaries ⋈ explanations on pair_id, then the
-term counts of scoring. The only Python stage is the parser.
+An item's two versions are parsed together in one Arrow stage that also keeps the last
+definition of a name and matches old and new, so syntax facts are never shuffled. Change
+records are shuffled once, as text, on the item key; scores are counted on that partitioning.
+Building these plans runs nothing.
 """
 
 from __future__ import annotations
@@ -10,45 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.align import function_changes, pair_functions
-from ..operators.extract import extract_functions
+from ..operators.align import NEW, OLD, function_changes
+from ..operators.extract import extract_pairs
 from ..operators.render import item_texts
 from ..operators.similarity import MATCH_THRESHOLD, score_lexical
 from ..schemas import STATUS_NO_BUG, STATUS_OK, STATUS_PARSE_ERROR
-from .partitioning import spread
 from ..sources.replies import parse_replies
 
 
-def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int | None = None,
-                   checkpoint: bool = False) -> DataFrame:
-    """(pair_id, version, source) -> change rows (pair_id, func, first_ord, phase, pos, seq, payload).
+def pair_versions(versions: DataFrame) -> DataFrame:
+    """(pair_id, version, source) -> (pair_id, old, new): the source text is shuffled once."""
+    side = lambda v: F.max(F.when(F.col("version") == v, F.col("source")))
+    return versions.groupBy("pair_id").agg(side(OLD).alias("old"), side(NEW).alias("new"))
 
-    ``partitions`` spreads the files before parsing (for inputs with few, fat splits).
-    ``checkpoint`` cuts the lineage after parsing with a reliable checkpoint in the
-    session's checkpoint folder, so lost executors never re-parse finished work.
+
+def analyze_pairs(items: DataFrame, mode: str = "reference", partitions: int | None = None) -> DataFrame:
+    """(pair_id, old, new) -> change rows (pair_id, func, first_ord, phase, pos, seq, payload).
+
+    ``partitions`` deals the items out before parsing, for inputs with few, fat splits.
     """
-    versions = versions.repartition(partitions) if partitions else spread(versions, factor=4)
-    funcs = extract_functions(versions)
-    if checkpoint:
-        funcs = funcs.checkpoint(eager=True)
-    pairs = pair_functions(funcs).select("pair_id", "func", "first_ord", "old_stmts", "new_stmts")
+    items = items.repartition(partitions) if partitions else items
+    pairs = extract_pairs(items, else_texts=mode == "strict").where(F.col("func").isNotNull()).drop("error")
     return function_changes(pairs, mode)
 
 
-def analyze_with_errors(versions: DataFrame, mode: str = "reference", partitions: int | None = None,
-                        checkpoint: bool = False) -> dict[str, DataFrame]:
-    """Like ``analyze_corpus`` but also returns ``errors`` (pair_id, error) for files the
-    parser rejected. Both come from the same aggregation, so files are parsed once."""
-    versions = versions.repartition(partitions) if partitions else spread(versions, factor=4)
-    funcs = extract_functions(versions)
-    if checkpoint:
-        funcs = funcs.checkpoint(eager=True)
-    groups = pair_functions(funcs, keep_errors=True)
-    pairs = (groups.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
-             .select("pair_id", "func", "first_ord", "old_stmts", "new_stmts"))
-    errors = (groups.where(F.col("error").isNotNull()).groupBy("pair_id")
-              .agg(F.min("error").alias("error")))
-    return {"changes": function_changes(pairs, mode), "errors": errors}
+def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int | None = None) -> DataFrame:
+    """(pair_id, version, source) -> change rows."""
+    return analyze_pairs(pair_versions(versions), mode, partitions)
 
 
 def parse_status(functions: DataFrame) -> DataFrame:
@@ -63,30 +52,25 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
     """End to end for items with a buggy source and a model reply.
 
     ``items``: (pair_id, source, reply) - or (pair_id, source) with ``replies``
-    (pair_id, reply) joined on the key. Both versions of an item come out of its one row
-    (a generator, no union and no second pass over the input). Returns the lazily planned
-    frames ``parsed`` (reply status), ``status`` (one outcome per item, parse failures
-    included), ``changes``, ``texts`` (summary + JSON per item) and ``scores`` (per item and model). Items without changes get an empty summary.
+    (pair_id, reply) joined on the key; one row per pair_id. Returns lazily planned frames:
+    ``items`` (one outcome per item: pair_id, status, error, explanation, summary,
+    changes_json, n_functions, n_changes), ``changes`` (change rows) and ``scores`` (per
+    usable or unparsable item and model). The outcomes and scores come from one pass over the
+    items: what is needed of an item beside its functions travels on a row of its own.
     """
     if replies is not None:
         items = items.select("pair_id", "source").join(replies.select("pair_id", "reply"), "pair_id")
     parsed = parse_replies(items.select("pair_id", "source", "reply"))
-    both = F.array(F.struct(F.lit(0).alias("version"), F.col("source").alias("source")),
-                   F.struct(F.lit(1).alias("version"), F.col("fixed").alias("source")))
-    versions = (parsed.where(F.col("fixed").isNotNull())
-                .select("pair_id", F.explode(both).alias("_v"))
-                .select("pair_id", "_v.version", "_v.source"))
-    analysed = analyze_with_errors(versions, mode, partitions)
-    changes = analysed["changes"]
-    texts = item_texts(changes)
-    # one outcome per item: reply status, unless a version failed to parse
-    status = (parsed.select("pair_id", "status").join(analysed["errors"], "pair_id", "left")
-              .select("pair_id", F.when(F.col("error").isNotNull(), F.lit(STATUS_PARSE_ERROR))
-                      .otherwise(F.col("status")).alias("status"), "error"))
-    # every usable item gets a summary, empty when nothing changed
-    summaries = (parsed.where(F.col("status").isin(STATUS_OK, STATUS_NO_BUG)).select("pair_id", "explanation")
-                 .join(texts.select("pair_id", "summary"), "pair_id", "left")
-                 .select("pair_id", F.coalesce("summary", F.lit("")).alias("summary"),
-                         F.coalesce("explanation", F.lit("")).alias("explanation")))
-    scores = score_lexical(summaries, "pair_id", "summary", "explanation", models, threshold)
-    return {"parsed": parsed, "status": status, "changes": changes, "texts": texts, "scores": scores}
+    # a reply without code leaves nothing to compare
+    both = parsed.select("pair_id", F.when(F.col("fixed").isNotNull(), F.col("source")).alias("old"), F.col("fixed").alias("new"),
+                         "status", "explanation")
+    both = both.repartition(partitions) if partitions else both
+    facts = extract_pairs(both, carry=("status", "explanation"), else_texts=mode == "strict")
+    records = function_changes(facts, mode, keep_items=True)
+    outcome = item_texts(records, carry=("status", "explanation", "error"))
+    outcome = outcome.withColumn("status", F.when(F.col("error").isNotNull(), F.lit(STATUS_PARSE_ERROR)).otherwise(F.col("status")))
+    usable = outcome.where(F.col("status").isin(STATUS_OK, STATUS_NO_BUG, STATUS_PARSE_ERROR)).select(
+        "pair_id", F.when(F.col("error").isNull(), F.col("summary")).alias("summary"),
+        F.when(F.col("error").isNull(), F.coalesce("explanation", F.lit(""))).alias("explanation"), "error")
+    scores = score_lexical(usable, "pair_id", "summary", "explanation", models, threshold, error="error")
+    return {"items": outcome, "changes": records.where(F.col("rule").isNotNull()).drop("status", "explanation", "error"), "scores": scores}

@@ -15,7 +15,7 @@ from ..operators.align import align_functions, diff_reordered, diff_tail, last_w
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts, render_changes
 from ..operators.rules import diff_nodes
-from ..operators.similarity import LEXICAL_MODELS, score_dense, score_lexical
+from ..operators.similarity import LEXICAL_MODELS, score_dense, score_lexical, score_pairs
 from ..schemas import NODE
 from ..sources.changes_io import read_changes
 from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_path, resolve_items,
@@ -23,7 +23,6 @@ from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_pa
 from ..sources.replies import build_versions, parse_replies, render_requests
 from ..functions.text import first_line
 from . import views as V
-from .partitioning import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -100,10 +99,26 @@ def q_changes_json(spark, sf_dir):
 def q_changes_roundtrip(spark, sf_dir):
     t = item_texts(_node_changes(spark, sf_dir))
     r = read_changes(t)
-    m = F.col("record")
-    return r.select("pair_id", "func", F.col("idx").cast("bigint").alias("idx"), m["type"].alias("type"),
-                    m["old"].alias("old"), m["new"].alias("new"), m["function"].alias("function"),
-                    m["target"].alias("target"))
+    text = lambda f: F.coalesce(f, F.to_json(f"{f}_list")).alias(f)
+    return r.select("pair_id", "func", F.col("pos").cast("bigint").alias("idx"), "type", text("old"), text("new"),
+                    "function", "target")
+
+
+def q_summary_from_json(spark, sf_dir):
+    """Stored change sets rendered: rows -> JSON -> rows -> summary."""
+    stored = item_texts(_node_changes(spark, sf_dir)).select("pair_id", "changes_json")
+    return item_texts(read_changes(stored)).select("pair_id", "summary")
+
+
+def q_diff_strict(spark, sf_dir):
+    """Strict mode over nodes of every family: else texts compared, decorators of functions too."""
+    return _diff_out(diff_nodes(_node_pairs(spark, sf_dir, "all").drop("first_ord"), "strict"))
+
+
+def q_render_all_types(spark, sf_dir):
+    """Sentences of every template, the reordered, added and unknown ones too, over whole ``lineitem``."""
+    v = _view(spark, sf_dir, V.stored_records_sql(), "lineitem")
+    return render_changes(v).select("id", "type", "sentence")
 
 
 def q_render_sentences(spark, sf_dir):
@@ -142,7 +157,7 @@ def _sources(spark, sf_dir):
 
 def q_extract_functions(spark, sf_dir):
     src = _sources(spark, sf_dir).select("pair_id", F.lit(0).alias("version"), "source")
-    f = extract_functions(spread(src, factor=4))
+    f = extract_functions(src)
     return f.select("pair_id", "func", F.col("walk_ord").cast("bigint").alias("walk_ord"),
                     F.array_join("args", ",").alias("args"),
                     F.size("stmts").cast("bigint").alias("n_stmts"),
@@ -191,7 +206,7 @@ def q_reordered(spark, sf_dir):
 # ------------------------------------------------------------------ scoring
 
 def _score_out(df):
-    return df.select("pair_id", "model", F.round("score", 4).alias("score"), "shown", "is_match")
+    return df.select("pair_id", "model", F.round("score", 4).alias("score"), "shown", "is_match", "error")
 
 
 def q_score_lexical(spark, sf_dir):
@@ -199,6 +214,12 @@ def q_score_lexical(spark, sf_dir):
     return _score_out(score_lexical(p, "pair_id", "summary", "explanation", LEXICAL_MODELS))
 
 
+def q_score_pairs(spark, sf_dir):
+    """First lines of documents as summaries, whole conversations' turns as explanations."""
+    register(spark, sf_dir, "documents", "conversations")
+    return _score_out(score_pairs(spark.sql(V.first_lines_sql()), spark.sql(V.first_turns_sql()), "pair_id"))
+
+
 def q_score_dense(spark, sf_dir):
     p = _view(spark, sf_dir, V.vector_pairs_sql(), "embeddings")
     return _score_out(score_dense(p, "pair_id", "left_vec", "right_vec"))
@@ -273,7 +294,7 @@ def _resolved(spark, sf_dir):
 
 def q_item_status(spark, sf_dir):
     r = _resolved(spark, sf_dir)
-    return r.select("project", F.col("bug_id").cast("bigint").alias("bug_id"), "rel_path", "buggy_path", "status")
+    return r.select("project", F.col("bug_id").cast("bigint").alias("bug_id"), "rel_path", "buggy_path", "status", "error")
 
 
 def q_status_counts(spark, sf_dir):
@@ -315,6 +336,10 @@ QUERIES = {
     "changes_roundtrip": q_changes_roundtrip,
     "render_sentences": q_render_sentences,
     "summary_text": q_summary_text,
+    "summary_from_json": q_summary_from_json,
+    "diff_strict": q_diff_strict,
+    "render_all_types": q_render_all_types,
+    "score_pairs": q_score_pairs,
     "score_lexical": q_score_lexical,
     "score_dense": q_score_dense,
     "score_models": q_score_models,

@@ -12,23 +12,23 @@ from .analyze import run_items
 
 def corpus_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items (pair_id, source, reply) built from ``lineitem``: one Python file per order; the
-    reply edits assigned values and returns of some definitions, wraps the code in a
-    fence and appends an explanation (or is the no-bug sentinel)."""
+    reply edits assigned values, returns or conditions of its definitions, wraps the code in a
+    fence and appends an explanation, sometimes in the summary's own words (or is the no-bug
+    sentinel)."""
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
     buggy = spark.sql(V.sources_sql("spark"))
     src = F.col("source")
     k = F.col("pair_id").cast("bigint")
     fixed = F.when(k % 3 == 0, F.regexp_replace(src, r"(?m)^(    x = )(\d+)$", "$1$2 + 1")) \
         .when(k % 3 == 1, F.regexp_replace(src, r"(?m)^(    return x )\+", "$1-")) \
+        .when(k % 2 == 0, F.regexp_replace(src, r"(?m)^(    if x )>", "$1>=")) \
         .otherwise(src)
-    explanation = F.when(k % 3 == 0, F.lit("Value of variable x changed; the assignment now adds one."))\
-        .when(k % 3 == 1, F.lit("The return value changed: subtraction instead of addition."))\
-        .otherwise(F.lit("No functional change."))
     reply = F.when(k % 7 == 5, F.lit("NO BUGS FOUND")).otherwise(
-        F.concat(F.lit("Fixed Code:\n```python\n"), fixed, F.lit("\n```\n---EXPLANATION---\n"), explanation))
-    return buggy.select("pair_id", "source", reply.alias("reply"))
+        F.concat(F.lit("Fixed Code:\n```python\n"), fixed, F.lit("\n```\n---EXPLANATION---\n"), F.expr(V.explanation_sql("k"))))
+    return buggy.withColumn("k", k).select("pair_id", "source", reply.alias("reply"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = run_items(corpus_inputs(spark, sf_dir))
-    return out["scores"].select("pair_id", "model", F.round("score", 4).alias("score"), "shown", "is_match")
+    return out["scores"].select("pair_id", "model", F.round("score", 4).alias("score"), "shown", "is_match",
+                                F.regexp_extract("error", r"^(\w+)", 1).alias("error"))

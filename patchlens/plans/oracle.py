@@ -113,7 +113,7 @@ def _list_json(x: str) -> str:
     return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN '[]'::JSON ELSE to_json(string_split({x}, ';')) END)"
 
 
-def diff_rows_sql(family: str) -> str:
+def diff_rows_sql(family: str, rules=None) -> str:
     """CTE chain ending in ``rows``: one row per change, with ``seq`` and ``first_ord``."""
     b1 = (f"CASE WHEN n_kind = 'If' AND o_kind <> 'If' THEN 'if_added' "
           f"WHEN o_kind = n_kind AND o_kind IN {_in(_CHAIN1)} THEN o_kind END")
@@ -121,7 +121,7 @@ def diff_rows_sql(family: str) -> str:
           f"WHEN o_has_body AND n_has_body THEN 'body' "
           f"WHEN o_kind = n_kind AND o_kind IN ('Attribute', 'AugAssign') THEN o_kind END")
     sels = []
-    for rk, (rule, type_, where, payload) in enumerate(_RULE_SQL):
+    for rk, (rule, type_, where, payload) in enumerate(rules or _RULE_SQL):
         vals = ", ".join(f"CAST({payload.get(c, 'NULL')} AS VARCHAR) AS {c}" for c in _OUT)
         sels.append(f"SELECT pair_id, func, first_ord, pos, {rk} AS rk, '{rule}' AS rule, '{type_}' AS type, "
                     f"{vals} FROM b WHERE {where}")
@@ -132,8 +132,8 @@ r AS ({union}),
 rows AS (SELECT *, row_number() OVER (PARTITION BY pair_id, func, pos ORDER BY rk) - 1 AS seq FROM r)"""
 
 
-def diff_sql(family: str) -> str:
-    return f"""WITH {diff_rows_sql(family)}
+def diff_sql(family: str, rules=None) -> str:
+    return f"""WITH {diff_rows_sql(family, rules)}
 SELECT pair_id, func, CAST(pos AS BIGINT) AS pos, CAST(seq AS BIGINT) AS seq, rule, type, function, target, cls,
   module, old, new, old_list, new_list, cond, body
 FROM rows"""
@@ -179,16 +179,20 @@ SELECT pair_id, func, CAST(row_number() OVER (PARTITION BY pair_id, func ORDER B
 FROM rows"""
 
 
-def _sentence() -> str:
+def _sentence(cond: str = "cond", moved: bool = False) -> str:
+    # fixed values: the sentences' wording
     q = "''"
-    c = lambda x: f"coalesce({x}, 'None')"
+    c = lambda x: f"coalesce(CAST({x} AS VARCHAR), 'None')" if moved or x not in ("statement", "old_position", "new_position") else "''"
     return f"""CASE type
   WHEN 'var_rename' THEN 'Variable {q}' || {c('old')} || '{q} was renamed to {q}' || {c('new')} || '{q}.'
   WHEN 'var_value_change' THEN 'Value of variable {q}' || {c('target')} || '{q} changed from {q}' || {c('old')}
     || '{q} to {q}' || {c('new')} || '{q}.'
   WHEN 'condition_change' THEN 'Condition changed from {q}' || {c('old')} || '{q} to {q}' || {c('new')} || '{q}.'
-  WHEN 'condition_added' THEN 'A new condition {q}' || {c('cond')} || '{q} was added in function {q}'
+  WHEN 'condition_added' THEN 'A new condition {q}' || {c(cond)} || '{q} was added in function {q}'
     || {c('function')} || '{q}.'
+  WHEN 'statement_reordered' THEN 'Statement {q}' || {c('statement')} || '{q} moved from line ' || {c('old_position')}
+    || ' to ' || {c('new_position')} || ' in function {q}' || {c('function')} || '{q}.'
+  WHEN 'function_added' THEN 'Function {q}' || {c('function')} || '{q} was added.'
   ELSE 'Change of type {q}' || type || '{q} detected.' END"""
 
 
@@ -198,6 +202,25 @@ SELECT pair_id, func, CAST(pos AS BIGINT) AS pos, CAST(seq AS BIGINT) AS seq, ty
 FROM rows"""
 
 
+def render_all_types_sql() -> str:
+    return f"SELECT id, type, {_sentence('condition', True)} AS sentence FROM ({V.stored_records_sql()}) r"
+
+
+def diff_strict_sql() -> str:
+    """Strict mode adds the decorators of functions; the views hold no else texts, so equal else
+    parts are equal and R03 never fires."""
+    strict = [(r, t, w, p) for r, t, w, p in _RULE_SQL if r != "R03"]
+    at = [r for r, *_ in strict].index("R28")
+    strict.insert(at, ("R32", "function_decorator_change", f"b2 = 'FunctionDef' AND o_decorators {_D} n_decorators",
+                       dict(function="o_name", old_list="o_decorators", new_list="n_decorators")))
+    return diff_sql("all", strict)
+
+
+def score_pairs_sql() -> str:
+    return score_lexical_sql(f"SELECT s.pair_id, summary, explanation FROM ({V.first_lines_sql()}) s "
+                             f"JOIN ({V.first_turns_sql()}) e ON e.pair_id = s.pair_id")
+
+
 def summary_text_sql() -> str:
     return f"""WITH {diff_rows_sql("all")},
 s AS (SELECT pair_id, func, first_ord, pos, seq, {_sentence()} AS sentence FROM rows),
@@ -296,7 +319,7 @@ def _words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
 
 
-def score_lexical_sql(raw_sql: str | None = None) -> str:
+def score_lexical_sql(raw_sql: str | None = None, error: str = "NULL") -> str:
     raw_sql = raw_sql or V.text_pairs_sql()
     norm = lambda x: f"lower({_strip(x)})"
     parts = []
@@ -310,6 +333,7 @@ def score_lexical_sql(raw_sql: str | None = None) -> str:
     union = "\n  UNION ALL ".join(parts)
     base = " UNION ALL ".join(f"SELECT pair_id, '{m}' AS model FROM tp" for m in ("word_tf", "word_bigram_tf", "char3_tf"))
     return f"""WITH raw AS ({raw_sql}),
+known AS (SELECT pair_id AS known_id, {error} AS known FROM raw),
 nt AS (SELECT pair_id, {norm('summary')} AS t_summary, {norm('explanation')} AS t_explanation FROM raw),
 tp AS (SELECT pair_id, t_summary, t_explanation, {_words('t_summary')} AS w_summary,
          {_words('t_explanation')} AS w_explanation FROM nt),
@@ -321,8 +345,9 @@ base AS ({base}),
 sc AS (SELECT base.pair_id, base.model,
          CASE WHEN na > 0 AND nb > 0 THEN dot / (sqrt(na) * sqrt(nb)) END AS score
        FROM base LEFT JOIN agg ON agg.pair_id = base.pair_id AND agg.model = base.model)
-SELECT pair_id, model, round(score, 4) AS score, printf('%.2f', score) AS shown, coalesce(score >= 0.6, false) AS is_match
-FROM sc"""
+SELECT pair_id, model, round(score, 4) AS score, printf('%.2f', score) AS shown, coalesce(score >= 0.6, false) AS is_match,
+  CASE WHEN score IS NULL THEN coalesce(CAST(known AS VARCHAR), 'empty_text') END AS error
+FROM sc JOIN known ON known_id = pair_id"""
 
 
 def _dense(models) -> str:
@@ -334,7 +359,8 @@ def _dense(models) -> str:
                      f"CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) AS score FROM vp")
     union = " UNION ALL ".join(parts)
     return f"""WITH vp AS ({V.vector_pairs_sql()}), sc AS ({union})
-SELECT pair_id, model, round(score, 4) AS score, printf('%.2f', score) AS shown, coalesce(score >= 0.6, false) AS is_match
+SELECT pair_id, model, round(score, 4) AS score, printf('%.2f', score) AS shown, coalesce(score >= 0.6, false) AS is_match,
+  CASE WHEN score IS NULL THEN 'missing_vector' END AS error
 FROM sc"""
 
 
@@ -419,14 +445,19 @@ FROM p"""
 
 
 def item_status_sql() -> str:
-    return f"""WITH it AS ({V.items_sql()}), pp AS ({patch_path_sql()}), fl AS (SELECT DISTINCT path FROM ({V.files_sql()}) x),
-j AS (SELECT it.project, it.bug_id, pp.bug_id IS NOT NULL AS has_patch, pp.rel_path,
+    return f"""WITH it AS ({V.items_sql()}), pp AS ({patch_path_sql()}),
+hd AS (SELECT project, bug_id, min(regexp_split_to_array(patch, '\\r\\n|\\r|\\n')[1]) AS header FROM ({V.patches_sql()}) x GROUP BY project, bug_id), fl AS (SELECT DISTINCT path FROM ({V.files_sql()}) x),
+j AS (SELECT it.project, it.bug_id, pp.bug_id IS NOT NULL AS has_patch, pp.rel_path, hd.header,
         CASE WHEN pp.rel_path IS NOT NULL THEN it.project || '/' || CAST(it.bug_id AS VARCHAR) || '/buggy/' || it.project
           || '/' || pp.rel_path END AS buggy_path
-      FROM it LEFT JOIN pp ON pp.project = it.project AND pp.bug_id = it.bug_id)
+      FROM it LEFT JOIN pp ON pp.project = it.project AND pp.bug_id = it.bug_id
+      LEFT JOIN hd ON hd.project = it.project AND hd.bug_id = it.bug_id)
 SELECT j.project, CAST(j.bug_id AS BIGINT) AS bug_id, rel_path, buggy_path,
   CASE WHEN NOT has_patch THEN 'patch_missing' WHEN rel_path IS NULL THEN 'no_path'
-       WHEN fl.path IS NULL THEN 'file_missing' ELSE 'ok' END AS status
+       WHEN fl.path IS NULL THEN 'file_missing' ELSE 'ok' END AS status,
+  CASE WHEN NOT has_patch THEN 'patch_missing: ' || j.project || '/' || CAST(j.bug_id AS VARCHAR)
+       WHEN rel_path IS NULL THEN 'no_path: ' || header
+       WHEN fl.path IS NULL THEN 'file_missing: ' || buggy_path END AS error
 FROM j LEFT JOIN fl ON fl.path = j.buggy_path"""
 
 
@@ -438,33 +469,35 @@ SELECT project, status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY project, s
 def end_to_end_sql() -> str:
     """Expected chain on the generated corpus: for orders with k % 3 = 0 every top-level
     definition's assignment gains ``+ 1`` (R06, R21); for k % 3 = 1 its final return
-    subtracts (R17, R30); k % 7 = 5 replies are the sentinel; files holding a broken
-    return do not parse. Functions repeat names: the last definition wins, the first keeps
-    its place. Summaries are then scored like ``score_lexical``."""
+    subtracts (R17, R30); for the other even ones its condition admits equality (R02, R22);
+    k % 7 = 5 replies are the sentinel; files holding a broken return do not parse and have no
+    score. Functions repeat names: the last definition wins, the first keeps its place.
+    Summaries are then scored like ``score_lexical``."""
     q = "''"
     nl = "chr(10)"
+    other = lambda t: f" || '- Change of type {q}{t}{q} detected.' || {nl}"
     value_lines = (f"'- Value of variable {q}x{q} changed from {q}' || qv || '{q} to {q}' || qv || ' + 1{q}.' || {nl}"
-                   f" || '- Change of type {q}assignment_value_change{q} detected.' || {nl}")
-    return_lines = (f"'- Change of type {q}return_change{q} detected.' || {nl}"
-                    f" || '- Change of type {q}return_value_change{q} detected.' || {nl}")
+                   + other("assignment_value_change"))
+    return_lines = "''" + other("return_change") + other("return_value_change")
+    if_lines = f"'- Condition changed from {q}x > ' || dv || '{q} to {q}x >= ' || dv || '{q}.' || {nl}" + other("if_condition_change")
     raw = f"""WITH sb AS ({V.source_blocks_sql()}),
 files AS (SELECT l_orderkey, bool_or(s_ret = 'return x +') AS broken FROM sb GROUP BY l_orderkey),
-fn AS (SELECT l_orderkey, fname, min(pos) AS first_ord, arg_max(substr(s_assign, 5), pos) AS qv
+fn AS (SELECT l_orderkey, fname, min(pos) AS first_ord, arg_max(substr(s_assign, 5), pos) AS qv,
+         arg_max(regexp_extract(s_if, 'x > ([0-9]+)', 1), pos) AS dv
        FROM sb GROUP BY l_orderkey, fname),
 summ AS (
   SELECT fn.l_orderkey,
     string_agg('Function: ' || fname || {nl}
-      || CASE WHEN fn.l_orderkey % 3 = 0 THEN {value_lines} ELSE {return_lines} END || {nl}, '' ORDER BY first_ord) AS summary
+      || CASE WHEN fn.l_orderkey % 3 = 0 THEN {value_lines} WHEN fn.l_orderkey % 3 = 1 THEN {return_lines}
+         ELSE {if_lines} END || {nl}, '' ORDER BY first_ord) AS summary
   FROM fn JOIN files ON files.l_orderkey = fn.l_orderkey
-  WHERE NOT files.broken AND fn.l_orderkey % 3 IN (0, 1) AND fn.l_orderkey % 7 <> 5
+  WHERE NOT files.broken AND (fn.l_orderkey % 3 IN (0, 1) OR fn.l_orderkey % 2 = 0) AND fn.l_orderkey % 7 <> 5
   GROUP BY fn.l_orderkey)
-SELECT CAST(files.l_orderkey AS VARCHAR) AS pair_id, coalesce(summ.summary, '') AS summary,
-  CASE WHEN files.l_orderkey % 7 = 5 THEN ''
-       ELSE {nl} || CASE WHEN files.l_orderkey % 3 = 0 THEN 'Value of variable x changed; the assignment now adds one.'
-                         WHEN files.l_orderkey % 3 = 1 THEN 'The return value changed: subtraction instead of addition.'
-                         ELSE 'No functional change.' END END AS explanation
+SELECT CAST(files.l_orderkey AS VARCHAR) AS pair_id, files.broken,
+  CASE WHEN files.broken THEN '' ELSE coalesce(summ.summary, '') END AS summary,
+  CASE WHEN files.broken OR files.l_orderkey % 7 = 5 THEN '' ELSE {nl} || {V.explanation_sql("files.l_orderkey")} END AS explanation
 FROM files LEFT JOIN summ ON summ.l_orderkey = files.l_orderkey"""
-    return score_lexical_sql(f"SELECT * FROM ({raw}) e2e")
+    return score_lexical_sql(f"SELECT * FROM ({raw}) e2e", "CASE WHEN broken THEN 'SyntaxError' END")
 
 
 ORACLE = {
@@ -491,6 +524,10 @@ ORACLE = {
     "changes_roundtrip": changes_roundtrip_sql(),
     "render_sentences": render_sentences_sql(),
     "summary_text": summary_text_sql(),
+    "summary_from_json": summary_text_sql(),
+    "diff_strict": diff_strict_sql(),
+    "render_all_types": render_all_types_sql(),
+    "score_pairs": score_pairs_sql(),
     "score_lexical": score_lexical_sql(),
     "score_dense": _dense((("dense", 1, 64),)),
     "score_models": _dense(V.VECTOR_MODELS),

@@ -198,6 +198,15 @@ GROUP BY l_orderkey
 """
 
 
+def explanation_sql(k: str) -> str:
+    """The explanation that order ``k``'s reply gives for its change."""
+    return f"""CASE WHEN {k} % 3 = 0 THEN 'Value of variable x changed; the assignment now adds one.'
+    WHEN {k} % 3 = 1 AND {k} % 5 = 0 THEN 'Function: change of type return_change detected, change of type return_value_change detected.'
+    WHEN {k} % 3 = 1 THEN 'The return value changed: subtraction instead of addition.'
+    WHEN {k} % 2 = 0 THEN 'A condition now holds for equal values too.'
+    ELSE 'No functional change.' END"""
+
+
 def doc_pairs_sql() -> str:
     """Each document against a revision of itself: first line moved to the end and one line
     added, so slots differ, lines move and a tail appears. Statement = line."""
@@ -218,10 +227,40 @@ FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1
 """
 
 
+def first_lines_sql() -> str:
+    cut = f"instr(text, {NL})"
+    return f"""
+SELECT {s("doc_id")} AS pair_id, CASE WHEN {cut} > 0 THEN substr(text, 1, {cut} - 1) ELSE text END AS summary
+FROM documents
+"""
+
+
+def first_turns_sql() -> str:
+    return f"SELECT {s('conv_id')} AS pair_id, max(text) AS explanation FROM conversations WHERE turn = 0 GROUP BY conv_id"
+
+
+def stored_records_sql() -> str:
+    """One record a ``lineitem`` row, its type by turns: the template kinds and one without a template."""
+    q = "CAST(FLOOR(l_quantity) AS BIGINT)"
+    kinds = ("statement_reordered", "function_added", "var_rename", "condition_change", "condition_added", "var_value_change", "loop_change")
+    cases = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(kinds))
+    return f"""
+SELECT {s("l_orderkey")} || '-' || {s("l_linenumber")} || '-' || {s("l_partkey")} AS id, CASE {q} % 7 {cases} END AS type,
+  'f_' || {s("l_linenumber")} AS function, 'v' || {s(q)} AS target, 'a' || {s(q)} AS old, 'b' || {s(q)} AS new,
+  'x > ' || {s(q)} AS condition, 'call(' || {s(q)} || ')' AS statement,
+  CAST(l_linenumber AS INT) AS old_position, CAST(l_linenumber + 1 AS INT) AS new_position
+FROM lineitem
+"""
+
+
 def vector_pairs_sql() -> str:
+    """Neighbouring vectors, each vector with itself, and some without a partner: both
+    verdicts and a reason for a missing score occur."""
     return """
 SELECT CAST(e1.vec_id AS STRING) AS pair_id, e1.embedding AS left_vec, e2.embedding AS right_vec
 FROM embeddings e1 JOIN embeddings e2 ON e2.vec_id = e1.vec_id + 1
+UNION ALL SELECT CAST(vec_id AS STRING) || '-self', embedding, embedding FROM embeddings
+UNION ALL SELECT CAST(vec_id AS STRING) || '-none', embedding, NULL FROM embeddings WHERE vec_id % 7 = 0
 """
 
 
@@ -231,13 +270,14 @@ VECTOR_MODELS = (("slice4_a", 1, 4), ("slice4_b", 5, 4), ("slice8_a", 9, 8), ("s
 
 
 def replies_sql() -> str:
-    """Model replies from assistant turns, in every shape the parser must handle."""
+    """Model replies from assistant turns, in every shape the parser must handle; the user turn
+    before a reply is its source (empty if there is none)."""
     body = "text"
     expl = f"'  Changed: ' || {body} || '  '"
     delim = "'---EXPLANATION---'"
     fence = "'```'"
     return f"""
-SELECT {s("conv_id")} || '-' || {s("turn")} AS pair_id, text AS source,
+SELECT {s("conv_id")} || '-' || {s("turn")} AS pair_id, source,
   CASE
     WHEN length(text) % 7 = 0 THEN 'NO BUGS FOUND'
     WHEN length(text) % 7 = 1 THEN 'NO BUGS FOUND' || {NL}
@@ -249,8 +289,11 @@ SELECT {s("conv_id")} || '-' || {s("turn")} AS pair_id, text AS source,
     WHEN length(text) % 5 = 3 THEN 'fixed code: ' || {body} || {delim} || {expl} || {delim} || 'second part'
     ELSE {body} || {NL} || {delim} || {NL} || {expl}
   END AS reply
-FROM conversations
-WHERE role = 'assistant'
+FROM (SELECT a.conv_id, a.turn, a.text, coalesce(u.text, '') AS source
+  FROM (SELECT * FROM conversations WHERE role = 'assistant') a
+  LEFT JOIN (SELECT conv_id, turn + 1 AS next_turn, max(text) AS text FROM conversations WHERE role = 'user'
+             GROUP BY conv_id, turn + 1) u
+  ON u.conv_id = a.conv_id AND u.next_turn = a.turn) turns
 """
 
 

@@ -50,6 +50,17 @@ FUNCTION = T.StructType([
     T.StructField("error", S),
 ])
 
+# One row per function found in both versions of an item, and one row per item with a null
+# ``func``: it carries the parse error, if any, and what else the item brings along.
+PAIRED = T.StructType([
+    T.StructField("pair_id", S),
+    T.StructField("func", S),
+    T.StructField("first_ord", I),
+    T.StructField("old_stmts", T.ArrayType(NODE)),
+    T.StructField("new_stmts", T.ArrayType(NODE)),
+    T.StructField("error", S),
+])
+
 # Union of every payload key a change record can carry.
 CHANGE_PAYLOAD = T.StructType([
     T.StructField("rule", S),
@@ -68,16 +79,6 @@ CHANGE_PAYLOAD = T.StructType([
     T.StructField("old_position", I),
     T.StructField("new_position", I),
 ])
-CHANGE_FIELDS = [f.name for f in CHANGE_PAYLOAD.fields]
-
-SCORE = T.StructType([
-    T.StructField("pair_id", S),
-    T.StructField("model", S),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("shown", S),
-    T.StructField("is_match", T.BooleanType()),
-    T.StructField("error", S),
-])
 
 # Item outcomes, first failing check wins.
 STATUS_OK = "ok"
@@ -87,4 +88,9 @@ STATUS_FILE_MISSING = "file_missing"
 STATUS_NO_BUG = "no_bug"
 STATUS_NO_DELIMITER = "no_delimiter"
 STATUS_PARSE_ERROR = "parse_error"
-STATUS_CHECKOUT_FAILED = "checkout_failed"
+
+# Why a score is missing.
+ERROR_EMPTY_TEXT = "empty_text"
+ERROR_MISSING_VECTOR = "missing_vector"
+ERROR_UNEQUAL_LENGTH = "unequal_length"
+ERROR_ZERO_NORM = "zero_norm"

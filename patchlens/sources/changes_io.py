@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHANGES_JSON_SCHEMA = "map<string, array<map<string, string>>>"
+from ..operators.rules import ALL_RULES
+from ..schemas import CHANGE_PAYLOAD
+
+_TEXT_FIELDS = ("type", "function", "target", "class", "module", "old", "new", "condition", "statement")
+CHANGES_JSON_SCHEMA = ("map<string, array<struct<" + ", ".join(f"`{f}`: string" for f in _TEXT_FIELDS)
+                       + ", body: array<string>, old_position: int, new_position: int>>>")
+# a stored record names its type; rules of one type share their keys, so the first stands for all
+_RULE_OF_TYPE = {r.type: r.rule for r in reversed(ALL_RULES)}
+_LIST_TYPES = sorted({r.type for r in ALL_RULES if "old[]" in r.keys})
 
 
 def write_changes(changes: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
@@ -26,15 +34,20 @@ def write_changes_json(texts: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def read_changes(df: DataFrame, col: str = "changes_json", key: str = "pair_id") -> DataFrame:
-    """Nested JSON text -> one row per record (key, func, func_idx, idx, record map).
-
-    List-valued fields come back as their JSON text; records keep their order.
-    """
+    """Nested JSON text -> change rows as the renderer takes them: (key, func, first_ord,
+    phase, pos, seq) in stored order and the CHANGE_PAYLOAD columns, lists as lists and
+    positions as numbers. An unknown type keeps its record with a null rule."""
     m = F.from_json(F.col(col), CHANGES_JSON_SCHEMA)
-    funcs = df.select(key, F.posexplode(F.map_entries(m)).alias("func_idx", "_e"))
-    recs = funcs.select(key, F.col("_e.key").alias("func"), "func_idx",
-                        F.posexplode(F.col("_e.value")).alias("idx", "record"))
-    return recs
+    funcs = df.select(key, F.posexplode(F.map_entries(m)).alias("first_ord", "_e"))
+    recs = funcs.select(key, F.col("_e.key").alias("func"), "first_ord", F.posexplode(F.col("_e.value")).alias("pos", "r"))
+    r, is_list = F.col("r"), F.col("r.type").isin(*_LIST_TYPES)
+    rule = F.create_map(*[F.lit(x) for pair in sorted(_RULE_OF_TYPE.items()) for x in pair])[r["type"]]
+    as_list = lambda f: F.when(is_list, F.from_json(r[f], "array<string>"))
+    made = {"rule": rule, "old": F.when(~is_list, r["old"]), "new": F.when(~is_list, r["new"]),
+            "old_list": as_list("old"), "new_list": as_list("new")}
+    return recs.select(key, "func", "first_ord", F.lit(0).alias("phase"), "pos", F.lit(0).alias("seq"),
+                       *[(made[f.name] if f.name in made else r[f.name]).cast(f.dataType).alias(f.name)
+                         for f in CHANGE_PAYLOAD.fields])
 
 
 def write_summaries(texts: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -59,10 +59,17 @@ def corpus_keys(files: DataFrame, path: str = "path") -> DataFrame:
         F.regexp_extract(p, CORPUS_PATH, 5).alias("rel_path")))
 
 
+def list_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(path, project, bug_id, label, rel_path) of the files under a checkout root. Only the listing
+    is used, no file is opened: enough to resolve items before any source is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return corpus_keys(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path")))
+
+
 def scan_corpus(spark: SparkSession, glob: str) -> DataFrame:
     """Whole files under a checkout root -> (path, project, bug_id, label, rel_path, source)."""
     raw = (spark.read.option("recursiveFileLookup", "true").text(glob, wholetext=True)
-           .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("path"),
+           .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"),
                    F.col("value").alias("source")))
     return corpus_keys(raw)
 
@@ -79,25 +86,32 @@ def patch_path(header: F.Column) -> F.Column:
 
 
 def resolve_items(items: DataFrame, patches: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
-    """(project, bug_id, rel_path, buggy_path, status).
+    """(project, bug_id, rel_path, buggy_path, status, error).
 
     First failing check names the outcome: patch missing, no path in its first line,
-    buggy file missing. ``patches``: (project, bug_id, patch); ``files``: (path, ...).
+    buggy file missing; ``error`` says what was looked at. ``patches``: (project, bug_id, patch),
+    of several for one item the one with the smallest first line; ``files``: (path, ...). Only
+    items with a path meet the files, so no null key gathers in one task.
     """
-    p = patches.select("project", "bug_id", first_line(F.col("patch")).alias("_header"), F.lit(True).alias("_has_patch"))
+    p = (patches.select("project", "bug_id", F.coalesce(first_line(F.col("patch")), F.lit("")).alias("_header"))
+         .groupBy("project", "bug_id").agg(F.min("_header").alias("_header"), F.lit(True).alias("_has_patch")))
     j = items.select("project", "bug_id").join(p, ["project", "bug_id"], "left")
     rel = patch_path(F.col("_header"))
     parts = ([F.lit(root)] if root else []) + [F.col("project"), F.col("bug_id").cast("string"), F.lit("buggy"),
                                                F.col("project"), F.col("rel_path")]
     j = j.withColumn("rel_path", F.when(F.col("_has_patch"), rel))
     j = j.withColumn("buggy_path", F.when(F.col("rel_path").isNotNull(), F.concat_ws("/", *parts)))
-    f = files.select(F.col("path").alias("buggy_path"), F.lit(True).alias("_has_file")).dropDuplicates(["buggy_path"])
-    j = j.join(f, "buggy_path", "left")
+    f = files.select(F.col("path").alias("buggy_path")).where(F.col("buggy_path").isNotNull()).distinct().withColumn("_has_file", F.lit(True))
+    found = j.where(F.col("buggy_path").isNotNull()).join(f, "buggy_path", "left")
+    j = found.unionByName(j.where(F.col("buggy_path").isNull()).withColumn("_has_file", F.lit(None).cast("boolean")))
     status = (F.when(F.col("_has_patch").isNull(), F.lit(STATUS_PATCH_MISSING))
               .when(F.col("rel_path").isNull(), F.lit(STATUS_NO_PATH))
               .when(F.col("_has_file").isNull(), F.lit(STATUS_FILE_MISSING))
               .otherwise(F.lit(STATUS_OK)))
-    return j.select("project", "bug_id", "rel_path", "buggy_path", status.alias("status"))
+    seen = F.coalesce("buggy_path", "_header", F.concat_ws("/", "project", F.col("bug_id").cast("string")))
+    return (j.withColumn("status", status).select(
+        "project", "bug_id", "rel_path", "buggy_path", "status",
+        F.when(F.col("status") != STATUS_OK, F.concat(F.col("status"), F.lit(": "), seen)).alias("error")))
 
 
 def status_counts(items: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from patchlens.session import get_session
-    s = get_session("local[4]", app="patchlens-tests", shuffle_partitions=8)
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="patchlens-test-ckpt-"))
+    s = get_session("local[4]", app="patchlens-tests", shuffle_partitions=4, extra={
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="patchlens-test-ckpt-"), "spark.ui.showConsoleProgress": "false"})
     yield s
 
 

@@ -44,3 +44,11 @@ def test_corpus_keys_and_scan(spark, tmp_path):
     rows = scan_corpus(spark, str(root)).collect()
     assert [(r.project, r.bug_id, r.label, r.rel_path) for r in rows] == [("proj", 7, "buggy", "proj/pkg/m.py")]
     assert rows[0].source.startswith("def f()")
+    from patchlens.sources.items import list_corpus, resolve_items
+    listed = list_corpus(spark, str(root))
+    assert [r.path for r in listed.collect()] == [r.path for r in rows]
+    items = spark.createDataFrame([("proj", 7), ("proj", 8)], "project string, bug_id int")
+    patches = spark.createDataFrame([("proj", 7, "diff a/x b/pkg/m.py"), ("proj", 7, "diff a/x b/pkg/m.py\nmore")],
+                                    "project string, bug_id int, patch string")
+    got = {r.bug_id: (r.status, r.error) for r in resolve_items(items, patches, listed, str(root)).collect()}
+    assert got == {7: ("ok", None), 8: ("patch_missing", "patch_missing: proj/8")}

@@ -169,3 +169,57 @@ def test_breadth_first_order_matches_full_walk():
            "async def skipped():\n    def in_async():\n        pass\n")
     full = [n.name for n in ast.walk(ast.parse(src)) if isinstance(n, ast.FunctionDef)]
     assert [r["func"] for r in functions_of_source("p", 0, src)] == full
+
+
+def test_empty_targets_are_no_crash(spark):
+    from pyspark.sql import functions as F
+
+    from patchlens.operators.rules import diff_nodes
+    from patchlens.schemas import NODE
+    node = lambda kind, **f: F.struct(*[f.get(x.name, F.lit(None)).cast(x.dataType).alias(x.name) if x.name != "kind"
+                                        else F.lit(kind).alias("kind") for x in NODE.fields])
+    none = F.array().cast("array<string>")
+    df = spark.range(1).select("id", node("Assign", targets=none, value=F.lit("1")).alias("old"),
+                               node("Assign", targets=F.array(F.lit("a")), value=F.lit("1")).alias("new"))
+    assert [(r.rule, r.old, r.new) for r in diff_nodes(df).collect()] == [("R05", None, "a"), ("R20", None, None)]
+    df = spark.range(1).select("id", node("Expr", targets=none).alias("old"), node("Expr", targets=none).alias("new"))
+    assert diff_nodes(df).count() == 0
+
+
+def test_every_kind_cell_takes_one_branch_a_chain(spark):
+    from pyspark.sql import functions as F
+
+    from patchlens.operators.rules import CHAIN1_KINDS, CHAIN2_KINDS, CHAIN2_LATE_KINDS, RULES, diff_nodes
+    from patchlens.schemas import NODE
+    kinds = sorted({*CHAIN1_KINDS, *CHAIN2_KINDS, *CHAIN2_LATE_KINDS, "Expr", "With"})
+    cells = spark.createDataFrame([(a, b) for a in kinds for b in kinds], "ok string, nk string")
+
+    def node(kind, side):
+        fill = {"string": F.lit(side), "array<string>": F.array(F.lit(side)), "int": F.lit(0), "boolean": F.lit(True)}
+        return F.struct(*[(kind if f.name == "kind" else fill[f.dataType.simpleString()]).cast(f.dataType).alias(f.name) for f in NODE.fields])
+
+    rows = diff_nodes(cells.select("ok", "nk", node(F.col("ok"), "o").alias("old"), node(F.col("nk"), "n").alias("new"))).collect()
+    branch = {r.rule: (r.chain, r.branch) for r in RULES}
+    taken = {}
+    for r in rows:
+        taken.setdefault((r.ok, r.nk), set()).add(branch[r.rule])
+    for (a, b) in ((a, b) for a in kinds for b in kinds):
+        want = set()
+        if b == "If" and a != "If":
+            want.add((1, "if_added"))
+        elif a == b and a in CHAIN1_KINDS:
+            want.add((1, a))
+        if a == b and a in CHAIN2_KINDS:
+            want.add((2, a))
+        else:
+            want.add((2, "body"))
+        assert taken.get((a, b), set()) == want, (a, b)
+        assert [r.seq for r in rows if (r.ok, r.nk) == (a, b)] == list(range(len([r for r in rows if (r.ok, r.nk) == (a, b)])))
+
+
+def test_odd_definitions(spark):
+    from patchlens.operators.extract import extract_functions
+    src = "async def no():\n    pass\ndef f(a, b=1, /, c=2, *d, e, **g):\n    x = ( 1 )\n    return  'q'\n"
+    v = spark.createDataFrame([("p", 0, src)], "pair_id string, version int, source string")
+    (r,) = extract_functions(v).collect()
+    assert (r.func, r.args, [s.text for s in r.stmts]) == ("f", ["c"], ["x = 1", "return 'q'"])

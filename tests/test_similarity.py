@@ -51,21 +51,15 @@ def test_dense_cosine_and_slices(spark):
     assert got[("z", "all")] is None
 
 
-def test_encoder_hook_loads_once_and_reports_errors(spark):
-    from patchlens.operators.similarity import cosine, encode_texts
-
-    class Enc:
-        def encode(self, texts):
-            return [[float(len(t)), float(t.count("a")) + 1.0] for t in texts]
-
-    def boom():
-        raise RuntimeError("no model files")
-
-    df = spark.createDataFrame([("aa",), ("b",)], "t string")
-    ok = df.select(encode_texts(F.col("t"), Enc).alias("e")).collect()
-    assert [r.e.vector for r in ok] == [[2.0, 3.0], [1.0, 1.0]]
-    bad = df.select(encode_texts(F.col("t"), boom).alias("e")).collect()
-    assert all(r.e.vector is None and "no model files" in r.e.error for r in bad)
+def test_missing_scores_say_why(spark):
+    from patchlens.operators.similarity import score_dense, score_lexical
+    df = spark.createDataFrame([("none", [1.0], None), ("short", [1.0, 2.0], [1.0]), ("zero", [0.0, 0.0], [1.0, 1.0]), ("ok", [1.0], [2.0])],
+                               "pair_id string, a array<float>, b array<float>")
+    got = {r.pair_id: (r.error, r.is_match) for r in score_dense(df, "pair_id", "a", "b").collect()}
+    assert got == {"none": ("missing_vector", False), "short": ("unequal_length", False), "zero": ("zero_norm", False), "ok": (None, True)}
+    texts = spark.createDataFrame([("1", "a", None), ("2", "a b", "a b")], "pair_id string, summary string, explanation string")
+    got = {(r.pair_id, r.model): r.error for r in score_lexical(texts).collect()}
+    assert got[("1", "word_tf")] == "empty_text" and got[("2", "word_tf")] is None and len(got) == 6
 
 
 def test_score_pairs_end_to_end(spark):
@@ -78,7 +72,7 @@ def test_score_pairs_end_to_end(spark):
     s = {(r.pair_id, r.model): r for r in out["scores"].collect()}
     assert s[("1", "word_tf")].score > 0.3
     assert s[("2", "word_tf")].score is None and s[("2", "word_tf")].is_match is False
-    assert {r.pair_id: r.status for r in out["parsed"].collect()} == {"1": "ok", "2": "no_bug"}
+    assert {r.pair_id: r.status for r in out["items"].collect()} == {"1": "ok", "2": "no_bug"}
 
 
 def test_run_items_reports_parse_errors_once(spark):
@@ -88,7 +82,26 @@ def test_run_items_reports_parse_errors_once(spark):
         ("bad", "def f(:\n", "def f():\n    pass\n---EXPLANATION---\ny"),
         ("nod", "def f():\n    pass\n", "no delimiter here")], "pair_id string, source string, reply string")
     out = run_items(items)
-    st = {r.pair_id: (r.status, r.error is not None) for r in out["status"].collect()}
+    st = {r.pair_id: (r.status, r.error is not None) for r in out["items"].collect()}
     assert st == {"ok": ("ok", False), "bad": ("parse_error", True), "nod": ("no_delimiter", False)}
-    plan = out["status"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert plan.count("MapInArrow") == 1
+    scores = {r.pair_id: r for r in out["scores"].where("model = 'word_tf'").collect()}
+    assert set(scores) == {"ok", "bad"} and scores["bad"].score is None and scores["bad"].error.startswith("SyntaxError")
+    assert {r.rule for r in out["changes"].collect()} == {"R17", "R30"}
+    for frame in ("items", "scores"):
+        plan = out[frame]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("MapInArrow") == 1 and "RoundRobin" not in plan
+    assert "SortAggregate" not in out["items"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planning_runs_no_job(spark):
+    from patchlens.plans.flagship import flagship
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        frame = flagship(spark, "/root/testdata/sf0.001")
+        jobs = tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 1  # the schema of the parquet file
+    rows = frame.where("model = 'word_tf'").select("is_match", "error").distinct().collect()
+    assert {r.is_match for r in rows} == {True, False}
