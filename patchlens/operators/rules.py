@@ -43,17 +43,15 @@ def first_token(c: Column) -> Column:
     return F.regexp_extract(c, f"^{PY_WS_CLASS}*([^{PY_WS_CLASS[1:-1]}]+)", 1)
 
 
-def change_struct(rule: str, type_: str, **payload: Column) -> Column:
-    cols = []
-    for field in CHANGE_PAYLOAD.fields:
-        if field.name == "rule":
-            c = F.lit(rule)
-        elif field.name == "type":
-            c = F.lit(type_)
-        else:
-            c = payload.get(field.name, F.lit(None))
-        cols.append(c.cast(field.dataType).alias(field.name))
-    return F.struct(*cols)
+def blank_payload() -> dict[str, Column]:
+    """A null for every payload field; made once for all records of a plan."""
+    return {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGE_PAYLOAD.fields}
+
+
+def change_struct(rule: str, type_: str, blank: dict[str, Column] | None = None, **payload: Column) -> Column:
+    given = {"rule": F.lit(rule), "type": F.lit(type_), **payload}
+    made = {f.name: given[f.name].cast(f.dataType).alias(f.name) for f in CHANGE_PAYLOAD.fields if f.name in given}
+    return F.struct(*({**(blank or blank_payload()), **made}.values()))
 
 
 @dataclass(frozen=True)
@@ -269,14 +267,14 @@ def candidates(fn: Column, mode: str = "reference", old: str = "_o", new: str =
     records emitted before it."""
     o, n = F.col(old), F.col(new)
     places = [*_places(mode), (0, [TAIL_RULE])]
-    out = []
+    blank, out = blank_payload(), []
     for k, (chain, rules) in enumerate(places):
         fired = F.col(f"_f{k}")
         before = sum((F.col(f"_f{j}").cast("int") for j in range(k)), F.lit(0))
         case = F
         for r in rules:
             hit = fired & (F.col(f"_b{chain}") == r.branch) if chain else fired
-            case = case.when(hit, F.struct(before.alias("seq"), change_struct(r.rule, r.type, **r.payload(o, n, fn)).alias("c")))
+            case = case.when(hit, F.struct(before.alias("seq"), change_struct(r.rule, r.type, blank, **r.payload(o, n, fn)).alias("c")))
         out.append(case)
     return out
 
