@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +58,13 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """Entries to their rows of log frequencies, a column for each language."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    word_rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    gram_rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
 
 def _counts(rows: DataFrame, entries: Callable) -> DataFrame:
@@ -110,18 +114,21 @@ def fit(docs: DataFrame, learnable: Callable[[Column], Column], key: str = "doc_
     languages = sorted({l for _, l in totals})
     if not languages:
         return LanguageModel([], {}, {})
-    ranked = counted.groupBy("n", "entry").agg(
-        F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by"))
+    by_language = [F.sum(F.when(F.col("lang") == l, F.col("count"))).alias(f"c{k}") for k, l in enumerate(languages)]
 
-    def top(of: Column, most: int) -> dict[str, np.ndarray]:
-        kept = ranked.where(of).orderBy(F.desc("total"), "n", "entry").limit(most).collect()
-        out = {}
-        for r in kept:
-            by = {x["lang"]: x["count"] for x in r["by"]}
-            out[r["entry"]] = np.array([np.log((by.get(l, 0) + 0.1) / (totals.get((r["n"], l), 0) + 1)) for l in languages], np.float32)
-        return out
+    def top(of: Column, most: int) -> tuple[dict[str, int], np.ndarray]:
+        kept = (counted.where(of).groupBy("n", "entry").agg(F.sum("count").alias("total"), *by_language)
+                .orderBy(F.desc("total"), "n", "entry").limit(most).toArrow())
+        order = kept.column("n").to_numpy()
+        counts = np.column_stack([np.nan_to_num(kept.column(f"c{k}").to_numpy().astype(np.float64)) for k in range(len(languages))])
+        all_of = np.array([[totals.get((n, l), 0) for l in languages] for n in (0, *sorted(ORDERS))], np.float64)
+        place = {n: k for k, n in enumerate((0, *sorted(ORDERS)))}
+        rows = np.log((counts + 0.1) / (all_of[[place[n] for n in order.tolist()]] + 1)).astype(np.float32)
+        return dict(zip(kept.column("entry").to_pylist(), range(len(order)))), rows
 
-    return LanguageModel(languages, top(F.col("n") == 0, top_words), top(F.col("n") > 0, top_grams))
+    known, word_rows = top(F.col("n") == 0, top_words)
+    parts, gram_rows = top(F.col("n") > 0, top_grams)
+    return LanguageModel(languages, known, parts, word_rows, gram_rows)
 
 
 class Scores(dict):
@@ -140,11 +147,11 @@ class Scores(dict):
     def of(self, word: str) -> np.ndarray:
         known = self.model.words.get(word)
         if known is not None:
-            return known
+            return self.model.word_rows[known]
         for n in ORDERS:
             found = [v for g in grams(word, n) if (v := self.model.grams.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.model.gram_rows[found].mean(axis=0)
         return np.zeros(self.size, np.float32)
 
 
