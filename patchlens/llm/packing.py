@@ -5,7 +5,8 @@ alone. All others are dealt at random into groups of about ``GROUP_PIECES`` piec
 fit, then improved by local search: moves, one-for-one and two-for-one exchanges that take tokens out of an emptier sequence
 into the gaps of fuller ones, each raising the sum of squared fills, until sequences empty or no exchange is left.
 What lies in sequences with more than ``DISSOLVE`` of their room free is packed again with the other groups' leftovers, level by level, so the whole
-table ends with a few open sequences rather than a few for each group.
+table ends with a few open sequences rather than a few for each group. A level that leaves as many sequences as it was given is the last,
+and one that leaves more is dropped for the one before: some lengths fill no sequence.
 
 Edge cases: a null or empty text is a document of just the end id; special tokens' strings in a text are the tokenizer's
 to judge; equal rows are packed one by one; a null key is kept; an empty table gives an empty result.
@@ -171,13 +172,12 @@ def pack(rows: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES
     rows = settled(rows.withColumn("row_number", F.monotonically_increasing_id()))
     full = F.col("length") >= capacity
     done = [rows.where(full).withColumn("sequence_id", F.col("row_number") + F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))]
-    left, level = rows.where(~full), 0
+    left, level, base = rows.where(~full), 0, 0
+    count, before, given = left.count(), None, None
     fields = [*rows.columns, "sequence_id", "offset", "fill"]
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["sequence_id long", "offset long", "fill long"])
     while True:
-        count = left.count()
         groups = max(1, -(-count // group_pieces))
-        base = level << 54
 
         def packed(group: pa.Table) -> pa.Table:
             group = group.sort_by([("length", "descending"), ("row_number", "ascending")])
@@ -197,12 +197,17 @@ def pack(rows: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECES
         placed = settled(left.withColumn("group", F.pmod(F.xxhash64("row_number", F.lit(level)), F.lit(groups)))
                          .groupBy("group").applyInArrow(packed, kinds))
         again = F.col("fill") < capacity * (1 - DISSOLVE)
-        if groups == 1:
+        seen = placed.agg(F.count_distinct("sequence_id").alias("made"), F.count_distinct(F.when(again, F.col("sequence_id"))).alias("open"),
+                          F.count_if(again).alias("pieces")).first()
+        if given is not None and seen["made"] > given:  # worse than the level before
+            done.append(before)
+            break
+        if groups == 1 or seen["made"] == given:
             done.append(placed)
             break
         done.append(placed.where(~again))
-        left = placed.where(again).select(*rows.columns)
-        level += 1
+        before, given, count = placed.where(again), seen["open"], seen["pieces"]
+        left, level, base = before.select(*rows.columns), level + 1, base + (groups << 24)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d.drop("fill"))

@@ -130,6 +130,28 @@ def test_packing_levels(spark):
     assert max(fill.values()) <= 100 and len(fill) <= sum(fill.values()) / 100 * 1.05
 
 
+@pytest.mark.parametrize("lengths", [[51] * 60, ([51] + [17] * 2) * 40])
+def test_packing_ends_where_lengths_fill_no_sequence(spark, monkeypatch, lengths):
+    settled, levels = packing.settled, []
+
+    def counting(df):
+        levels.append(df)
+        assert len(levels) < 20, "the levels go on"
+        return settled(df)
+
+    monkeypatch.setattr(packing, "settled", counting)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "id long, length long")
+    got = packing.pack(df, capacity=100, group_pieces=16).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(lengths)))
+    held = {}
+    for r in got:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 100
+    assert lengths.count(51) <= len(held) <= lengths.count(51) * 1.2
+
+
 def test_local_search_empties_a_bin():
     sizes = np.array([60, 60, 50, 30, 40, 40, 20])  # first fit by hand leaves four bins; three hold them
     where = packing.local_search(sizes, np.array([0, 1, 2, 0, 1, 2, 3]), 100)
