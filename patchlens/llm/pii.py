@@ -48,6 +48,7 @@ _DIGITS = {w: str(k) for words in _DIGIT_WORDS.values() for k, w in enumerate(wo
 #: Spelled digits in a row that are taken for a number.
 _RUN = 4
 
+_ODD_CASE = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
 #: Next to these a shorter run of spelled digits counts as well.
 _JOINTS = ("plus ", " dot ", " punto ", " punkt ", " point ")
 
@@ -55,6 +56,7 @@ _FOLDABLE = re.compile("[­Ͱ-ԯ؀-῿​-‏⁠-⁤︀-️﻿！-～\U0001d400-
 _INVISIBLE = re.compile("[­​-‏⁠-⁤︀-️﻿]")
 _BRACKETED = re.compile(r"[\[({<]\s?(?:at|dot|arroba|punto|punkt|point|@|\.)\s?[\])}>]")
 _WORD = "|".join(sorted(_DIGITS, key=len, reverse=True))
+_PLUS = re.compile(rf"plus (?:[0-9]|(?:{_WORD})\b)")
 _DISGUISES = re.compile(rf"""(?ix)
     (?P<at>\s?[\[({{<]\s?(?:at|arroba|@)\s?[\])}}>]\s?)
   | (?P<dot>\s?[\[({{<]\s?(?:dot|punto|punkt|point|\.)\s?[\])}}>]\s?)
@@ -104,6 +106,11 @@ def matches(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _lower(text: str) -> str:
+    """Lower case as the patterns see it: they take these four for i, i, s and k."""
+    return text.translate(_ODD_CASE).lower()
+
+
 @lru_cache(maxsize=1 << 16)
 def _folded(char: str) -> str:
     if _INVISIBLE.match(char):
@@ -140,16 +147,16 @@ class Mapped:
 
 
 def _disguised(text: str) -> bool:
-    """Whether the second transducer may find anything; cheap, since most texts hold nothing."""
-    low = text.lower()
-    if "dot" in low or "punto" in low or "punkt" in low or "point" in low or _BRACKETED.search(low):
+    """False only if the second transducer changes nothing; cheap, since most texts hold nothing."""
+    low = _lower(text)
+    if "dot" in low or "punto" in low or "punkt" in low or "point" in low or _BRACKETED.search(low) or _PLUS.search(low):
         return True
     run, words = 0, low.replace("-", " ").split()
     if _DIGITS.keys().isdisjoint(words):
         return False
-    for w in words:
-        run = run + 1 if w.strip(".,;:!?()") in _DIGITS else 0
-        if run == _RUN:
+    for w in words:  # the inner words of a run stand alone; its first and last may touch quotes or brackets
+        run = run + 1 if w in _DIGITS else 0
+        if run == _RUN - 2:
             return True
     return False
 
@@ -166,8 +173,8 @@ def normalised(text: str) -> Mapped | None:
         for m in _DISGUISES.finditer(out.text):
             kind = m.lastgroup
             if kind == "digits":
-                words = re.split("[ -]", m[0].lower())
-                before, after = out.text[max(0, m.start() - 7):m.start()].lower(), out.text[m.end():m.end() + 7].lower()
+                words = re.split("[ -]", _lower(m[0]))
+                before, after = _lower(out.text[max(0, m.start() - 7):m.start()]), _lower(out.text[m.end():m.end() + 7])
                 if len(words) < _RUN and not before.endswith(_JOINTS) and not after.startswith(_JOINTS):
                     continue
                 new = "".join(_DIGITS[w] for w in words)

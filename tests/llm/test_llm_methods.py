@@ -192,6 +192,26 @@ def test_pii_disguises_map_back(text, kind, span):
     assert span is None or text[found[1]:found[2]] == span
 
 
+@pytest.mark.parametrize("text,span", [
+    ("call plus 49 30 1234567", "plus 49 30 1234567"), ("call plus four nine 30 1234567", "plus four nine 30 1234567"),
+    ('call "plus four nine three zero one two three four five"', "plus four nine three zero one two three four five"),
+    ("call plu\u017f four nine \u017fix zero one two three four five", "plu\u017f four nine \u017fix zero one two three four five")])
+def test_pii_finds_spelled_phones_without_other_hints(text, span):
+    assert [(k, text[a:b]) for k, a, b, _ in pii.spans(text)] == [("phone", span)]
+
+
+def test_pii_gate_refuses_only_what_stays(monkeypatch):
+    rng = random.Random(2)
+    parts = ["plus", "surplus", "Plus", "four", "Nine", "un", "neuf", "z\u00e9ro", "7", "49", "dot", "po\u0131nt", "[at]", "( \u017f)", "at", "x", '"', "(", "\u017fix",
+             "s\u0130x", "-", "\t", ",", "example", "@"]
+    texts = [rng.choice(" -").join(rng.choice(parts) + rng.choice(["", "", "", '"', ")"]) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    refused = [t for t in texts if not pii._disguised(t)]
+    assert 100 < len(refused)
+    monkeypatch.setattr(pii, "_disguised", lambda t: True)
+    folds = re.compile(pii._FOLDABLE)
+    assert [t for t in refused if not folds.search(t) and pii.normalised(t) is not None] == []
+
+
 def test_pii_leaves_prose_alone():
     for t in ("Meet me at noon on the dot.", "un deux trois, nous irons au bois", "one two three four", "price 12 345 678", "a dot b at c"):
         assert pii.spans(t) == []
