@@ -4,7 +4,7 @@ Plain identifiers are matched on the text itself. Disguised ones go through two
 keeps for every character it writes the source span it read: the first folds homoglyphs, foreign digits and
 full-width forms to ASCII and drops invisible characters; the second rewrites spelled digits and at/dot
 disguises. The same matchers run on what comes out, and their spans are mapped back to source characters. A mapped span is
-added where it touches no plain one.
+added unless it equals or lies within a plain one.
 
 Edge cases: a null or empty text has no spans; spans are in code points, end exclusive; overlapping spans of
 different kinds are all reported and masked as one; repeated rows give repeated results; a very long text is
@@ -192,10 +192,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     found = [(k, a, b, True) for k, a, b in matches(text)]
     if (shown := normalised(text)) is not None:
-        taken = sorted((a, b) for _, a, b, _ in found)
+        taken = [(a, b) for _, a, b, _ in found]
         for k, a, b in matches(shown.text):
             start, end = shown.starts[a], shown.ends[b - 1]
-            if not any(s < end and start < e for s, e in taken):
+            if not any(s <= start and end <= e for s, e in taken):
                 found.append((k, start, end, False))
     return [(KINDS[k], a, b, plain) for k, a, b, plain in sorted(found)]
 

@@ -212,6 +212,18 @@ def test_pii_gate_refuses_only_what_stays(monkeypatch):
     assert [t for t in refused if not folds.search(t) and pii.normalised(t) is not None] == []
 
 
+@pytest.mark.parametrize("whole,kind", [
+    ("j\u043ehn@example.com", "email"), ("10.0.0.1\uff12", "ip"), ("john@mail.ex\u0430mple.com", "email"),
+    ("john@mail.example [dot] com", "email"), ("+49 30 1234567 eight nine two one", "phone")])
+def test_pii_names_the_whole_of_a_half_disguised_identifier(whole, kind):
+    text = f"see {whole}, thanks"
+    found = pii.spans(text)
+    assert sorted(plain for *_, plain in found) == [False, True]
+    assert [(k, text[a:b]) for k, a, b, plain in found if not plain] == [(kind, whole)]
+    assert pii.masked(text, found) == f"see [{kind.upper()}], thanks"
+    assert pii.spans("a@b.de and four nine three zero") == [("email", 0, 6, True)]
+
+
 def test_pii_leaves_prose_alone():
     for t in ("Meet me at noon on the dot.", "un deux trois, nous irons au bois", "one two three four", "price 12 345 678", "a dot b at c"):
         assert pii.spans(t) == []
