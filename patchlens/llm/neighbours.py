@@ -3,7 +3,8 @@
 Each tree gives a vector a long hash string: ``SYMBOLS`` symbols, each the nearest of the 2 * dims signed axes after
 a random rotation of its own. A tree is a sorted array of these strings, held in blocks: rows of one first symbol, split
 evenly when there are more than ``BLOCK_ROWS``. A query descends in every tree to its longest matching prefixes; then all trees
-ascend together, one symbol at a time, until the prefixes they share with the query hold ``least`` candidates or the root is reached.
+ascend together, one symbol at a time, until the prefixes they share with the query hold a ``share`` of the indexed classes, ``least`` candidates at the fewest,
+or the root is reached. What is searched is thus a share of the table, whatever its size.
 Candidates are scored by cosine in double precision where they lie, next to the sorted strings.
 
 Equal vectors are one class that is indexed and queried once; a class keeps its ``k + 1`` smallest ids, which is
@@ -26,7 +27,8 @@ from patchlens.llm.common import settled, small_batches
 
 TREES = 40
 SYMBOLS = 4
-#: Candidates, counted in every tree that has them, at which the ascent stops.
+#: Candidates, counted in every tree that has them, at which the ascent stops: this share of the classes, but not fewer than ``LEAST``.
+SHARE = 0.05
 LEAST = 4096
 BLOCK_ROWS = 20_000
 SEED = 7
@@ -71,7 +73,8 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-           trees: int = TREES, symbols: int = SYMBOLS, least: int = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+           trees: int = TREES, symbols: int = SYMBOLS, least: int = LEAST, block_rows: int = BLOCK_ROWS,
+           share: float = SHARE) -> DataFrame:
     """(query_id, rank, id, score) of each query row's ``k`` nearest other rows found. ``is_query`` is a condition on ``table``."""
     spark = table.sparkSession
     small_batches(spark)
@@ -100,8 +103,9 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     leaf = (2 * dims) ** (symbols - 1)
     tree_of = lambda df, *more: df.select(F.posexplode("codes").alias("tree", "code"), "class_id", *more).withColumn(
         "first", F.expr(f"code div {leaf}"))
-    held = tree_of(index).groupBy("tree", "first").count()
-    parts = {(r["tree"], r["first"]): -(-r["count"] // block_rows) for r in held.collect()}  # trees * 2 * dims rows at most
+    held = tree_of(index).groupBy("tree", "first").count().collect()  # trees * 2 * dims rows at most
+    parts = {(r["tree"], r["first"]): -(-r["count"] // block_rows) for r in held}
+    enough = max(least, share * sum(r["count"] for r in held if r["tree"] == 0))
     splits = spark.createDataFrame([(*at, n) for at, n in parts.items()], "tree int, first long, parts long")
     stored = lambda *more: (tree_of(index, *more).join(F.broadcast(splits), ["tree", "first"])
                             .withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts"))).drop("parts"))
@@ -124,7 +128,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # the ascent: the longest prefix at which all trees together hold enough
     level = (both.groupBy("tree", "first", "part").applyInArrow(counted, "class_id long, level int, shared long")
              .groupBy("class_id", "level").agg(F.sum("shared").alias("shared")).groupBy("class_id")
-             .agg(F.coalesce(F.max(F.when(F.col("shared") >= least, F.col("level"))), F.lit(0)).alias("level")))
+             .agg(F.coalesce(F.max(F.when(F.col("shared") >= enough, F.col("level"))), F.lit(0)).alias("level")))
     leveled = settled(queries.select("class_id", "vector", "codes").join(level, "class_id"))
     prefixed = everywhere(tree_of(leveled.where("level > 0"), "vector", "level"))
     # the root of a tree is all of its blocks

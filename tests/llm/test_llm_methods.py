@@ -87,6 +87,20 @@ def test_neighbours_recall(spark, least, recall):
     assert hits >= recall * 5 * len(got)
 
 
+@pytest.mark.parametrize("n,recall", [(3000, 0.85), (12_000, 0.9)])
+def test_neighbours_recall_where_the_trees_decide(spark, n, recall):
+    # as on tables of millions, a two-symbol prefix holds ``least`` candidates and the root is never reached
+    m = np.random.default_rng(3).normal(size=(n, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(4)
+    asked = range(0, n, n // 50)
+    got: dict = {}
+    for r in neighbours.search(df, F.col("vec_id").isin(*asked), least=n // 1000).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    hits = sum(len(got[q] & set(np.argsort(-(m @ m[q]))[1:6].tolist())) for q in asked)
+    assert hits >= recall * 5 * len(asked)
+
+
 def test_neighbours_of_copies(spark):
     rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100, [2.0, 1.0]), (101, [1.0, 2.0])]
     got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(3, 100), trees=3)
