@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all bu
 columns of ``documents``.
 
 Edge cases: a row without a doc_id goes in the first stage, since no later result could name it; texts that are null or hold no
-letter are of no language and go there too; equal doc_ids leave the near-duplicate stage once; an empty table gives
+letter are of no language and go there too; rows of one doc_id are told apart by their text, and equal ones leave the near-duplicate
+stage once; an empty table gives
 an empty result.
 """
 
@@ -38,11 +39,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of linked fingerprints: the one with its smallest doc_id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=4, max_bits=4)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    kept = docs.join(first, "doc_id")
-    again = kept.where("_copies > 1").dropDuplicates(["doc_id"])
+    """One row of each component of linked fingerprints: the one with its smallest doc_id, of the smallest text hash if that is repeated."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    marked = docs.where("doc_id is not null").withColumn("_row", row)
+    groups = simhash.near_duplicates(marked.select("_row", "text"), shingle=4, max_bits=4, key="_row")
+    first = groups.where("_row = component_id").groupBy("_row").agg(F.count(F.lit(1)).alias("_copies"))
+    kept = marked.join(first, "_row")
+    again = kept.where("_copies > 1").dropDuplicates(["_row"])
     return kept.where("_copies = 1").unionByName(again).select(docs.columns)
 
 

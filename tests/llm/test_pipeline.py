@@ -39,6 +39,15 @@ def test_stages_keep_and_drop(spark):
     assert fill <= 4096
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = ("the cat sat on the mat by the door", "seven ships sailed out of the harbour at dawn", "bread and salt were all that they had left")
+    rows = [(1, a), (2, a), (2, b), (1, c), (1, c), (3, b), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF, "documents").schema)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, a), (2, b), (1, c)])
+
+
 def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         table(spark, SF, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
