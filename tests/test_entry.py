@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -12,6 +17,19 @@ def test_contract_keys():
     assert not any(k.startswith("op") and k[2:3].isdigit() for k in QUERIES)
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_rest_stands_alone(tmp_path, pipeline):
+    """A copy without the training-data folders, with and without the pipeline's file."""
+    copy = tmp_path / "copy"
+    skipped = shutil.ignore_patterns("llm", ".git", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"]))
+    shutil.copytree(Path(__file__).parents[1], copy, ignore=skipped)
+    code = ("import __spark_entry__ as e; from patchlens.plans.catalog import QUERIES; "
+            "assert set(e.queries()) == set(e.oracle_sql()) == set(QUERIES); print(len(QUERIES))")
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin", "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) >= 41
+
+
 def test_entry_runs(spark):
     from __spark_entry__ import entry
     df = entry(spark)
