@@ -97,7 +97,8 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     One row per key in, one per (key, model) out; without terms on a side the score is null, with the
     reason. ``error`` names a column of reasons already known. Terms are exploded and counted per
     (key, model, term); everything is partitioned by the key once, so neither aggregation shuffles
-    again, and counting runs in generated code.
+    again, and counting runs in generated code: the reason depends on the key, so it is one of the
+    grouping columns (a greatest text would make both aggregations sort every term).
     """
     models = models or LEXICAL_MODELS
     norm = normalise if normalise_text else (lambda c: c)
@@ -108,10 +109,9 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     terms = (texts.select(F.col(key), "_e", F.explode(sides).alias("_s"))
              .select(key, "_e", "_s.model", "_s.side", F.explode_outer("_s.terms").alias("term")))
     count = lambda side: F.count(F.when((F.col("side") == side) & F.col("term").isNotNull(), 1)).cast("double")
-    counted = terms.groupBy(key, "model", "term").agg(count(0).alias("a"), count(1).alias("b"), F.max("_e").alias("_e"))
+    counted = terms.groupBy(key, "_e", "model", "term").agg(count(0).alias("a"), count(1).alias("b"))
     a, b = F.col("a"), F.col("b")
-    sums = counted.groupBy(key, "model").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("na"), F.sum(b * b).alias("nb"),
-                                            F.max("_e").alias("_e"))
+    sums = counted.groupBy(key, "_e", "model").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("na"), F.sum(b * b).alias("nb"))
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
     out = sums.select(key, "model", score.alias("score"), "_e")
     return out.select(key, "model", "score", *verdict(F.col("score"), threshold),

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -105,3 +106,12 @@ def test_planning_runs_no_job(spark):
     assert len(jobs) <= 1  # the schema of the parquet file
     rows = frame.where("model = 'word_tf'").select("is_match", "error").distinct().collect()
     assert {r.is_match for r in rows} == {True, False}
+
+
+@pytest.mark.parametrize("name", ["score_lexical", "score_pairs", "end_to_end"])
+def test_terms_are_counted_by_hash_aggregation(spark, name):
+    from patchlens.plans.catalog import QUERIES
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("MapInArrow")] if "MapInArrow" in plan else plan  # end_to_end: above the parse stage
+    terms = plan[:plan.index("Generate explode(terms")] if "Generate explode(terms" in plan else plan
+    assert "SortAggregate" not in terms and " Sort " not in terms and terms.count("HashAggregate") >= 4
