@@ -7,6 +7,8 @@ engine code. Output columns are scalars with matching names and widths on both s
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ from ..sources.changes_io import read_changes
 from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_path, resolve_items,
                              status_counts)
 from ..sources.replies import build_versions, parse_replies, render_requests
+from ..sources.tree import PATCH_FILE, PATCH_FOLDER, resolve_tree, write_files
 from ..functions.text import first_line
+from ..session import ensure_checkpoint_dir
+from .analyze import run_tree
 from . import views as V
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -215,9 +220,9 @@ def q_score_lexical(spark, sf_dir):
 
 
 def q_score_pairs(spark, sf_dir):
-    """First lines of documents as summaries, whole conversations' turns as explanations."""
+    """Whole documents as summaries, all turns of a conversation, in order, as explanations."""
     register(spark, sf_dir, "documents", "conversations")
-    return _score_out(score_pairs(spark.sql(V.first_lines_sql()), spark.sql(V.first_turns_sql()), "pair_id"))
+    return _score_out(score_pairs(spark.sql(V.document_summaries_sql()), spark.sql(V.conversation_explanations_sql("spark")), "pair_id"))
 
 
 def q_score_dense(spark, sf_dir):
@@ -302,6 +307,32 @@ def q_status_counts(spark, sf_dir):
     return c.select("project", "status", F.col("n").cast("bigint").alias("n"))
 
 
+def _checkout_tree(spark, sf_dir) -> tuple[str, str]:
+    """(root, patches) of a checkout tree written from ``pages`` to the shared folder, one file for each row."""
+    register(spark, sf_dir, "pages")
+    top = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tree-{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode()):08x}"
+    patches = spark.sql(V.tree_patches_sql()).select(
+        F.concat_ws("/", "project", F.lit(PATCH_FOLDER), F.col("bug_id").cast("string"), F.lit(PATCH_FILE)).alias("path"), F.col("patch").alias("text"))
+    write_files(spark.sql(V.tree_files_sql()), f"{top}/all_bugs")
+    write_files(patches, f"{top}/projects")
+    return f"{top}/all_bugs", f"{top}/projects"
+
+
+def q_tree_items(spark, sf_dir):
+    """Items of a checkout tree on disk: listed, resolved through their diffs and read, in one plan over files."""
+    r = resolve_tree(spark, *_checkout_tree(spark, sf_dir))
+    return r.select("project", "bug_id", "rel_path", "buggy_path", "status", "error", F.md5(F.col("source").cast("binary")).alias("source_md5"))
+
+
+def q_tree_outcomes(spark, sf_dir):
+    """From the tree on disk to one outcome and summary an item, from ``patch_missing`` to ``parse_error``."""
+    root, patches = _checkout_tree(spark, sf_dir)
+    items = run_tree(spark, root, patches, spark.sql(V.tree_replies_sql()))["items"]
+    error = F.when(F.col("status") == "parse_error", F.regexp_extract("error", r"^(\w+)", 1)).otherwise(F.col("error"))
+    return items.select("pair_id", "status", F.col("n_functions").cast("bigint").alias("n_functions"),
+                        F.col("n_changes").cast("bigint").alias("n_changes"), "summary", error.alias("error"))
+
+
 QUERIES = {
     "manifest_expand": q_manifest_expand,
     "manifest_versions": q_manifest_versions,
@@ -309,6 +340,8 @@ QUERIES = {
     "patch_path": q_patch_path,
     "item_status": q_item_status,
     "status_counts": q_status_counts,
+    "tree_items": q_tree_items,
+    "tree_outcomes": q_tree_outcomes,
     "versions_union": q_versions_union,
     "request_text": q_request_text,
     "reply_parse": q_reply_parse,

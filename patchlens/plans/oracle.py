@@ -217,8 +217,8 @@ def diff_strict_sql() -> str:
 
 
 def score_pairs_sql() -> str:
-    return score_lexical_sql(f"SELECT s.pair_id, summary, explanation FROM ({V.first_lines_sql()}) s "
-                             f"JOIN ({V.first_turns_sql()}) e ON e.pair_id = s.pair_id")
+    return score_lexical_sql(f"SELECT s.pair_id, summary, explanation FROM ({V.document_summaries_sql()}) s "
+                             f"JOIN ({V.conversation_explanations_sql('duckdb')}) e ON e.pair_id = s.pair_id")
 
 
 def summary_text_sql() -> str:
@@ -466,6 +466,45 @@ def status_counts_sql() -> str:
 SELECT project, status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY project, status"""
 
 
+def _tree_sql() -> str:
+    """CTE ``tr``: the items of the generated tree, what their diffs name and what the checkout holds."""
+    rel = "replace(substr(list_filter(string_split(header, ' '), lambda t: starts_with(t, 'b/'))[1], 3), chr(92), '/')"
+    return f"""fl AS (SELECT * FROM ({V.tree_files_sql()}) x),
+it AS (SELECT DISTINCT split_part(path, '/', 1) AS project, CAST(split_part(path, '/', 2) AS BIGINT) AS bug_id FROM fl WHERE split_part(path, '/', 2) <> 'notes'),
+pt AS (SELECT project, bug_id, string_split(patch, chr(10))[1] AS header FROM ({V.tree_patches_sql()}) x),
+nm AS (SELECT it.project, it.bug_id, header, CASE WHEN starts_with(header, 'diff') THEN nullif({rel}, '') END AS rel_path
+       FROM it LEFT JOIN pt ON pt.project = it.project AND pt.bug_id = it.bug_id),
+np AS (SELECT *, CASE WHEN rel_path IS NOT NULL THEN project || '/' || CAST(bug_id AS VARCHAR) || '/buggy/' || project || '/' || rel_path END AS buggy_path FROM nm),
+tr AS (SELECT np.*, fl.text AS source,
+         CASE WHEN header IS NULL THEN 'patch_missing' WHEN rel_path IS NULL THEN 'no_path' WHEN fl.path IS NULL THEN 'file_missing' ELSE 'ok' END AS status,
+         CASE WHEN header IS NULL THEN 'patch_missing: ' || np.project || '/' || CAST(np.bug_id AS VARCHAR)
+              WHEN rel_path IS NULL THEN 'no_path: ' || header WHEN fl.path IS NULL THEN 'file_missing: ' || buggy_path END AS error
+       FROM np LEFT JOIN fl ON fl.path = np.buggy_path)"""
+
+
+def tree_items_sql() -> str:
+    return f"WITH {_tree_sql()} SELECT project, bug_id, rel_path, buggy_path, status, error, md5(source) AS source_md5 FROM tr"
+
+
+def tree_outcomes_sql() -> str:
+    """A page's function changes one value, if its file is Python and its reply usable code."""
+    q = "''"
+    page = "(tr.bug_id - 1) // 3"
+    summary = (f"'Function: page' || chr(10) || '- Value of variable {q}y{q} changed from {q}x + ' || CAST({page} AS VARCHAR) || '{q} to {q}x + '"
+               f" || CAST({page} + 1 AS VARCHAR) || '{q}.' || chr(10) || '- Change of type {q}assignment_value_change{q} detected.' || chr(10) || chr(10)")
+    return f"""WITH {_tree_sql()},
+rp AS (SELECT * FROM ({V.tree_replies_sql()}) x),
+st AS (SELECT tr.project || '/' || CAST(tr.bug_id AS VARCHAR) AS pair_id, {page} AS page,
+  CASE WHEN tr.status <> 'ok' THEN tr.status WHEN rp.reply IS NULL THEN 'reply_missing' WHEN {page} % 7 = 1 THEN 'no_delimiter'
+       WHEN {page} % 3 = 0 OR {page} % 7 = 2 THEN 'parse_error' WHEN {page} % 7 = 0 THEN 'no_bug' ELSE 'ok' END AS status,
+  tr.error, {summary} AS full_summary
+  FROM tr LEFT JOIN rp ON rp.project = tr.project AND rp.bug_id = tr.bug_id)
+SELECT pair_id, status, CAST(CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS BIGINT) AS n_functions,
+  CAST(CASE WHEN status = 'ok' THEN 2 ELSE 0 END AS BIGINT) AS n_changes, CASE WHEN status = 'ok' THEN full_summary ELSE '' END AS summary,
+  CASE WHEN status = 'parse_error' THEN 'SyntaxError' WHEN status = 'reply_missing' THEN 'reply_missing: ' || pair_id ELSE error END AS error
+FROM st"""
+
+
 def end_to_end_sql() -> str:
     """Expected chain on the generated corpus: for orders with k % 3 = 0 every top-level
     definition's assignment gains ``+ 1`` (R06, R21); for k % 3 = 1 its final return
@@ -506,6 +545,8 @@ ORACLE = {
     "corpus_keys": corpus_keys_sql(),
     "patch_path": patch_path_sql(),
     "item_status": item_status_sql(),
+    "tree_items": tree_items_sql(),
+    "tree_outcomes": tree_outcomes_sql(),
     "status_counts": status_counts_sql(),
     "versions_union": versions_union_sql(),
     "request_text": request_text_sql(),

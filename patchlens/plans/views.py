@@ -227,16 +227,18 @@ FROM documents d1 JOIN documents d2 ON d2.doc_id = d1.doc_id + 1
 """
 
 
-def first_lines_sql() -> str:
-    cut = f"instr(text, {NL})"
-    return f"""
-SELECT {s("doc_id")} AS pair_id, CASE WHEN {cut} > 0 THEN substr(text, 1, {cut} - 1) ELSE text END AS summary
-FROM documents
-"""
+def document_summaries_sql() -> str:
+    """Whole documents as summaries."""
+    return f"SELECT {s('doc_id')} AS pair_id, text AS summary FROM documents"
 
 
-def first_turns_sql() -> str:
-    return f"SELECT {s('conv_id')} AS pair_id, max(text) AS explanation FROM conversations WHERE turn = 0 GROUP BY conv_id"
+def conversation_explanations_sql(dialect: str) -> str:
+    """Whole conversations as explanations: all turns in their order, a line each."""
+    if dialect == "spark":
+        body = f"array_join(transform(array_sort(collect_list(struct(turn, coalesce(text, '') AS text))), x -> x.text), {NL})"
+    else:
+        body = f"string_agg(coalesce(text, ''), {NL} ORDER BY turn, coalesce(text, ''))"
+    return f"SELECT {s('conv_id')} AS pair_id, {body} AS explanation FROM conversations GROUP BY conv_id"
 
 
 def stored_records_sql() -> str:
@@ -333,5 +335,40 @@ FROM pages
 """
 
 
+def tree_files_sql() -> str:
+    """Files of a checkout tree from ``pages``: every third page's file holds its markup, the others a Python
+    function; each folder has a second file that no diff names, and there are folders that are no bugs."""
+    project = f"'proj' || {s('(page_id * 3 + 1) % 17')}"
+    code = (f"'def page(x):' || {NL} || '    y = x + ' || {s('page_id')} || {NL} || '    if y > 3:' || {NL} || '        return x' || {NL}"
+            f" || '    return y' || {NL}")
+    return f"""
+SELECT path, CASE WHEN page_id % 3 = 0 THEN html ELSE {code} END AS text FROM (SELECT page_id, html, {project} || '/' || {s("page_id * 3 + 1")}
+  || '/buggy/' || {project} || '/src' || {_url_path(False)} || '.py' AS path FROM pages) f
+UNION ALL SELECT {project} || '/' || {s("page_id * 3 + 1")} || '/buggy/' || {project} || '/unnamed.py' AS path, 'x = 1' AS text FROM pages
+UNION ALL SELECT {project} || '/notes/buggy/' || {project} || '/page' || {s("page_id")} || '.py' AS path, html AS text FROM pages
+"""
+
+
+def tree_patches_sql() -> str:
+    """Diffs of a checkout tree: those of ``patches_sql`` but for every eighth page."""
+    return f"SELECT project, bug_id, patch FROM ({patches_sql()}) p WHERE bug_id % 8 <> 0"
+
+
+def tree_replies_sql() -> str:
+    """Replies for a checkout tree: by turns a changed value, the sentinel, one without a delimiter, code that does not
+    parse, and none at all."""
+    project = f"'proj' || {s('(page_id * 3 + 1) % 17')}"
+    code = (f"'def page(x):' || {NL} || '    y = x + ' || {s('page_id + 1')} || {NL} || '    if y > 3:' || {NL} || '        return x' || {NL}"
+            f" || '    return y' || {NL}")
+    fence = "'```'"
+    return f"""
+SELECT {project} AS project, page_id * 3 + 1 AS bug_id,
+  CASE WHEN page_id % 7 = 0 THEN 'NO BUGS FOUND' WHEN page_id % 7 = 1 THEN {code}
+    WHEN page_id % 7 = 2 THEN 'def page(:' || '---EXPLANATION---' || 'broken'
+    ELSE {fence} || 'python' || {NL} || {code} || {fence} || '---EXPLANATION---' || 'The value of y is one more.' END AS reply
+FROM pages WHERE page_id % 11 <> 0
+"""
+
+
 def projects_sql() -> str:
     return f"SELECT lower(replace(p_brand, '#', '')) || '_' || {s('p_partkey')} AS project, p_size AS n_bugs FROM part"

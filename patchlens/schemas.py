@@ -85,6 +85,7 @@ STATUS_OK = "ok"
 STATUS_PATCH_MISSING = "patch_missing"
 STATUS_NO_PATH = "no_path"
 STATUS_FILE_MISSING = "file_missing"
+STATUS_REPLY_MISSING = "reply_missing"
 STATUS_NO_BUG = "no_bug"
 STATUS_NO_DELIMITER = "no_delimiter"
 STATUS_PARSE_ERROR = "parse_error"

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -14,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # source files vary from a few lines to many thousands; keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # conditions on project and bug reach the checkout tree's data source
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -36,11 +43,15 @@ def get_session(master: str | None = None, app: str = "patchlens", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster's ``spark.checkpoint.dir``. There is no fallback: a folder
-    of one machine would lose checkpoints with its executors."""
+    """The shared folder of the cluster's ``spark.checkpoint.dir``. On a cluster there is no fallback: a folder
+    of one machine would lose checkpoints with its executors. Only where driver and executors are one process
+    (master ``local``) a scratch folder is made, and removed when the process ends."""
     d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        raise ValueError("no checkpoint folder: set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("no checkpoint folder: set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="patchlens-scratch-")
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
