@@ -7,7 +7,9 @@ Counting is by Rabin-Karp fingerprints. A task lays the words of many texts in a
 polynomial P[i] = sum of hash(word j) * BASE^j modulo 2^64 gives an n-gram's fingerprint as (P[i + n] - P[i]) / BASE^i; language and
 n are mixed in. It sorts the fingerprints, tells apart different phrases of one fingerprint by their words, and passes on one
 entry for each: fingerprint, count, and a pointer to an occurrence. Entries are shuffled by ranges of fingerprints in packed
-blocks and added up there; only fingerprints counted ``least`` times in all go on. Their pointers, one for each task's share, are
+blocks and added up there; only fingerprints counted ``least`` times in all go on. One and two words are counted first: three words are as frequent
+as that only if both their pairs are, so the frequent pairs' fingerprints, in a bit filter of ``FILTER_BITS``, spare the second pass
+most of the rest (a false hit costs an entry, a miss cannot be). The pointers, one for each task's share, are
 then followed: they meet the texts by the texts' hash, and every share is read from its text. So counts are summed over
 real phrases and a collision between tasks comes apart; only frequent phrases are ever spelled out. Phrases that fall below ``least`` once collisions
 are gone are dropped.
@@ -45,6 +47,9 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 FLUSH_WORDS = 1 << 20
 BUCKET_ENTRIES = 1 << 22
 BLOCK_BYTES = 8 << 20
+#: Bits of the filter of frequent pairs, a power of two whatever the input, and the parts it is put together from.
+FILTER_BITS = 1 << 27
+FILTER_PARTS = 64
 #: Parts of a language's phrases that are ranked by themselves before the best are ranked together.
 RANK_PARTS = 64
 
@@ -78,30 +83,55 @@ def text_hash(lang: str, text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, xxhash.xxh32_intdigest(lang.encode()))
 
 
+class Numbers(dict):
+    """A word to its number, in order of appearance; ``hashes`` has the words' hashes by number. Number 0 stands between pieces and texts."""
+
+    def __init__(self):
+        super().__init__({_STOP: 0})
+        self.hashes = [0]
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return got
+
+
+class Filter:
+    """Fingerprints seen, two bits each; ``bits`` is a bit array as bytes, its length a power of two."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(prints: np.ndarray, size: int) -> np.ndarray:
+        shift = np.uint64(64 - (size - 1).bit_length())
+        return np.concatenate([prints >> shift, (prints * np.uint64(BASE)) >> shift])
+
+    def holds(self, prints: np.ndarray) -> np.ndarray:
+        at = self.places(prints, len(self.bits) * 8)
+        one = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+        return (one[:len(prints)] & one[len(prints):]).astype(bool)
+
+
 @dataclass
 class Held:
-    """The words of many texts in a row, until they are counted; number 0 stands between pieces and texts."""
+    """The words of many texts in a row, until they are counted."""
 
-    numbers: dict[bytes, int] = field(default_factory=lambda: {_STOP: 0})
-    hashes: list[int] = field(default_factory=lambda: [0])
+    numbers: Numbers = field(default_factory=Numbers)
     parts: list[np.ndarray] = field(default_factory=list)
     texts: list[tuple[int, str, int]] = field(default_factory=list)  # hash, language, place of the first word
     size: int = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        numbers, got = self.numbers, []
-        for w in tokens(text):
-            k = numbers.get(w)
-            if k is None:
-                k = numbers[w] = len(numbers)
-                self.hashes.append(xxhash.xxh64_intdigest(w))
-            got.append(k)
+        words = tokens(text)
         self.texts.append((text_hash(lang, text), lang, self.size))
-        self.parts.append(np.array([*got, 0], np.uint32))
-        self.size += len(got) + 1
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.parts.append(np.zeros(1, np.uint32))
+        self.size += len(words) + 1
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
-        """(fingerprints in order, place of an occurrence of each, count of each, words of each language)."""
+    def counted(self, orders: tuple[int, ...] = (1, 2, 3), pairs: Filter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+        """(fingerprints in order, place of an occurrence of each, count of each, words of each language) for phrases of ``orders`` words; of three
+        words only those whose pairs the filter holds."""
         words = np.concatenate(self.parts)
         places = np.array([p for _, _, p in self.texts] + [self.size], np.int64)
         names = sorted({lang for _, lang, _ in self.texts})
@@ -109,37 +139,46 @@ class Held:
         lang = np.repeat(code, np.diff(places))
         there = words > 0
         prefix = np.zeros(len(words) + 1, np.uint64)
-        hashed = np.array(self.hashes, np.uint64)[words]
+        hashed = np.array(self.numbers.hashes, np.uint64)[words]
         np.cumsum(hashed * _powers(len(words), BASE), out=prefix[1:])
         back = _powers(len(words), pow(BASE, -1, 1 << 64))
-        prints, at = [], []
-        for n in range(1, LONGEST + 1):
-            if len(words) < n:
-                break
-            whole = there[:len(words) - n + 1].copy()
+
+        def prints_at(i: np.ndarray, n: int) -> np.ndarray:
+            salt = np.array([_salt(name, n) for name in names], np.uint64)
+            f = (prefix[i + n] - prefix[i]) * back[i] + salt[lang[i]]
+            return (f & np.uint64(_MASK & ~3)) | np.uint64(n)
+
+        prints, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+        for n in orders:
+            whole = there[:max(0, len(words) - n + 1)].copy()
             for k in range(1, n):
                 whole &= there[k:len(words) - n + 1 + k]
             i = np.flatnonzero(whole)
-            salt = np.array([_salt(name, n) for name in names], np.uint64)
-            f = (prefix[i + n] - prefix[i]) * back[i] + salt[lang[i]]
-            prints.append((f & np.uint64(_MASK & ~3)) | np.uint64(n))
+            if n == LONGEST and pairs is not None:
+                i = i[pairs.holds(prints_at(i, 2))]
+                i = i[pairs.holds(prints_at(i + 1, 2))]
+            prints.append(prints_at(i, n))
             at.append(i.astype(np.uint32))
         f, i = np.concatenate(prints), np.concatenate(at)
-        order = np.argsort(f, kind="stable")
+        order = np.argsort(f)
         f, i = f[order], i[order]
-        new = np.r_[True, f[1:] != f[:-1]] if len(f) else np.zeros(0, bool)
-        differs = np.zeros(len(f), bool)  # from the entry before, of the same fingerprint
-        differs[1:] = lang[i[1:]] != lang[i[:-1]]
         padded = np.append(words, np.zeros(LONGEST, np.uint32))
-        for k in range(LONGEST):
-            differs[1:] |= (padded[i[1:] + k] != padded[i[:-1] + k]) & ((f[1:] & np.uint64(3)) > k)
-        if (differs & ~new).any():  # a collision: order each fingerprint's occurrences by their words
+
+        def other_phrase() -> np.ndarray:
+            """Whether an entry's phrase is not the one before it."""
+            out = np.ones(len(f), bool)
+            out[1:] = lang[i[1:]] != lang[i[:-1]]
+            for k in range(LONGEST):
+                out[1:] |= (padded[i[1:] + k] != padded[i[:-1] + k]) & ((f[1:] & np.uint64(3)) > k)
+            return out
+
+        new = np.ones(len(f), bool)
+        new[1:] = f[1:] != f[:-1]
+        if (other_phrase() & ~new).any():  # a collision: order each fingerprint's occurrences by their words
             order = np.lexsort((*(np.where((f & np.uint64(3)) > k, padded[i + k], 0) for k in range(LONGEST)), lang[i], f))
             f, i = f[order], i[order]
-            new = np.r_[True, f[1:] != f[:-1]]
-            new[1:] |= lang[i[1:]] != lang[i[:-1]]
-            for k in range(LONGEST):
-                new[1:] |= (padded[i[1:] + k] != padded[i[:-1] + k]) & ((f[1:] & np.uint64(3)) > k)
+            new[1:] = f[1:] != f[:-1]
+            new |= other_phrase()
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(f)))
         totals = np.bincount(lang[there], minlength=len(names))
@@ -160,14 +199,16 @@ def _bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(b for b in column.to_pylist() if b), kind)
 
 
-def _entries(docs: DataFrame, buckets: int, flush_words: int) -> DataFrame:
-    """Blocks of entries by bucket, a range of fingerprints; a row for each flush and language has its words, in the buckets below 0."""
+def _entries(docs: DataFrame, buckets: int, flush_words: int, orders: tuple[int, ...], pairs=None) -> DataFrame:
+    """Blocks of entries by bucket, a range of fingerprints; where single words are counted, a row for each flush and language has its words,
+    in the buckets below 0. ``pairs`` is a broadcast ``Filter``."""
     names = ["bucket", "prints", "at", "counts", "texts", "places", "lang", "words"]
     types = [pa.int32(), *[pa.binary()] * 5, pa.string(), pa.int64()]
 
     def flushed(held: Held) -> Iterator[pa.RecordBatch]:
-        prints, at, counts, totals = held.counted()
-        rows: list[tuple] = [(-1 - xxhash.xxh32_intdigest(lang.encode()) % 64, *[None] * 5, lang, n) for lang, n in totals.items() if n]
+        prints, at, counts, totals = held.counted(orders, pairs.value if pairs else None)
+        rows: list[tuple] = [(-1 - xxhash.xxh32_intdigest(lang.encode()) % 64, *[None] * 5, lang, n)
+                             for lang, n in totals.items() if n and 1 in orders]
         texts, places = np.array([h for h, _, _ in held.texts], np.uint64), np.array([p for _, _, p in held.texts], np.uint32)
         bounds = np.searchsorted(prints, np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64))
         for b, (x, y) in enumerate(zip([0, *bounds], [*bounds, len(prints)])):
@@ -198,7 +239,8 @@ def _entries(docs: DataFrame, buckets: int, flush_words: int) -> DataFrame:
 
 
 def _added_up(entries: DataFrame, least: int, blocks: int) -> DataFrame:
-    """The shares of fingerprints counted ``least`` times, by block of texts; the languages' words in blocks below 0."""
+    """The shares of fingerprints counted ``least`` times, by block of texts; the languages' words in block -1; the frequent pairs'
+    fingerprints, each once, in block -2."""
     names, types = ["block", "shares", "lang", "words"], [pa.int32(), pa.binary(), pa.string(), pa.int64()]
 
     def run(group: pa.Table) -> pa.Table:
@@ -222,12 +264,39 @@ def _added_up(entries: DataFrame, least: int, blocks: int) -> DataFrame:
         block = (shares["text"] % np.uint64(blocks)).astype(np.int32)
         shares = shares[np.argsort(block, kind="stable")]
         found, bounds = np.unique(np.sort(block), return_index=True)
-        parts = np.split(shares, bounds[1:])
-        return pa.Table.from_batches([_batch([(int(b), p.tobytes(), None, None) for b, p in zip(found, parts)], names, types)])
+        rows: list[tuple] = [(int(b), p.tobytes(), None, None) for b, p in zip(found, np.split(shares, bounds[1:]))]
+        twos = prints[order[first[total >= least]]]
+        rows.append((-2, twos[(twos & np.uint64(3)) == 2].tobytes(), None, None))
+        return pa.Table.from_batches([_batch(rows, names, types)])
 
     return entries.groupBy("bucket").applyInArrow(run, _SHARES)
 
 
+def _pair_filter(shares: DataFrame, size: int) -> Filter:
+    """The filter of the frequent pairs. Its parts are put together in tasks; the driver gets ``size`` bits in all."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                at = np.unique(Filter.places(np.frombuffer(blob, "<u8"), size))
+                bounds = np.searchsorted(at, np.arange(1, FILTER_PARTS) * (size // FILTER_PARTS))
+                rows = [(k, p.astype("<u8").tobytes()) for k, p in enumerate(np.split(at, bounds)) if len(p)]
+                yield _batch(rows, ["part", "places"], [pa.int32(), pa.binary()])
+
+    def joined(group: pa.Table) -> pa.Table:
+        part, bits = group.column("part")[0].as_py(), np.zeros(size // FILTER_PARTS, np.uint8)
+        for blob in group.column("places").to_pylist():
+            bits[np.frombuffer(blob, "<u8") - np.uint64(part * len(bits))] = 1
+        return pa.Table.from_batches([_batch([(part, np.packbits(bits, bitorder="little").tobytes())], ["part", "bits"], [pa.int32(), pa.binary()])])
+
+    parts = (shares.where("block = -2").select("shares").mapInArrow(spread, "part int, places binary")
+             .groupBy("part").applyInArrow(joined, "part int, bits binary"))
+    bits = np.zeros(size // 8, np.uint8)
+    for row in parts.collect():  # FILTER_PARTS rows, ``size`` bits
+        at = row["part"] * (size // FILTER_PARTS // 8)
+        bits[at:at + size // FILTER_PARTS // 8] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(bits)
+
+
 def _bodies(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, text, lang, body): each task's distinct texts, compressed, by the block that their hash names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,17 +340,19 @@ def _spelled(shares: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lang", flush_words: int = FLUSH_WORDS,
-                  bucket_entries: int = BUCKET_ENTRIES, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+                  bucket_entries: int = BUCKET_ENTRIES, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """((lang, n, phrase, count) of every phrase of 1 to 3 words that occurs ``least`` times, (lang, words) of every language). Both are settled."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    # a word takes five bytes and more in running text, and stands for up to three entries
-    buckets = max(1, -(-size * LONGEST // 5 // bucket_entries))
-    shares = settled(_added_up(_entries(rows, buckets, flush_words), least, blocks))
-    counts = settled(_spelled(shares, _bodies(rows, blocks)).where(F.col("count") >= least))
-    return counts, shares.where("block < 0").groupBy("lang").agg(F.sum("words").alias("words"))
+    # a word takes five bytes and more in running text, and stands for up to two entries in a pass
+    buckets = max(1, -(-size * 2 // 5 // bucket_entries))
+    short = settled(_added_up(_entries(rows, buckets, flush_words, (1, 2)), least, blocks))
+    pairs = docs.sparkSession.sparkContext.broadcast(_pair_filter(short, filter_bits))
+    long = _added_up(_entries(rows, buckets, flush_words, (3,), pairs), least, blocks)
+    counts = settled(_spelled(short.unionByName(long), _bodies(rows, blocks)).where(F.col("count") >= least))
+    return counts, short.where("block = -1").groupBy("lang").agg(F.sum("words").alias("words"))
 
 
 def mine(docs: DataFrame, least: int = 10, best: int = 2000, swallowed: int = 50, text: str = "text", lang: str = "lang", **sizes: int) -> DataFrame:

@@ -204,7 +204,7 @@ def test_phrases_equal_brute_force(spark):
                                                     for _ in range(rng.randint(0, 80)))) for _ in range(150)]
     docs += [("en", None), ("en", ""), (None, " ,. "), ("", "a b " * 20), ("en", "same words here again " * 3)] + [("en", "same words here again")] * 12
     df = spark.createDataFrame([(*d, 1, "x") for d in docs], "lang string, text string, block int, phrase string").repartition(5)
-    for sizes in ({}, {"flush_words": 300, "bucket_entries": 500, "block_bytes": 700}):
+    for sizes in ({}, {"flush_words": 300, "bucket_entries": 500, "block_bytes": 700, "filter_bits": 1 << 12}):
         for best in (2000, 4):
             assert phrases(collocations.mine(df, 3, best, 50, **sizes)) == brute_phrases(docs, 3, best, 50)
     assert collocations.mine(df.limit(0)).count() == 0
@@ -229,7 +229,7 @@ def test_collisions_within_a_flush_are_told_apart():
     held = collocations.Held()
     held.add("en", b"one two. one two. uno dos. one dos")
     for w in (b"uno", b"dos"):  # made to collide with "one" and "two"
-        held.hashes[held.numbers[w]] = held.hashes[held.numbers[{b"uno": b"one", b"dos": b"two"}[w]]]
+        held.numbers.hashes[held.numbers[w]] = held.numbers.hashes[held.numbers[{b"uno": b"one", b"dos": b"two"}[w]]]
     prints, at, counts, totals = held.counted()
     assert totals == {"en": 8}
     names = {v: k for k, v in held.numbers.items()}
@@ -248,6 +248,15 @@ def test_collisions_between_tasks_come_apart(spark):
     assert got == {("en", 2, "red fox", 6), ("en", 2, "old owl", 5)}
 
 
+def test_filter_never_misses():
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[collocations.Filter.places(prints[:2000], 1 << 16)] = 1
+    held = collocations.Filter(np.packbits(bits, bitorder="little")).holds(prints)
+    assert held[:2000].all() and held[2000:].mean() < 0.02
+
+
 def test_fingerprints_of_the_flush_are_those_of_the_phrase():
     held = collocations.Held()
     held.add("fr", "le Petit prince; ürsprung".encode())
