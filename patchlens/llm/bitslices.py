@@ -211,7 +211,10 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, key: str = "vec_id", v
         return pa.table([pa.array(c, pa.int64()) for c in (numbers, query_ids, found, scores)], names=["number", "query_id", "vec_id", "score"])
 
     place = ("block", "dims", "span")
-    found = built.groupBy(*place).cogroup(sent.groupBy(*place)).applyInArrow(answer, _FOUND)
+    # a number of its own: the shuffles are small and the work after them is not, so adaptive execution must not merge them
+    tasks = 2 * blocks * spans
+    found = (built.repartition(tasks, *place).groupBy(*place).cogroup(sent.repartition(tasks, *place).groupBy(*place))
+             .applyInArrow(answer, _FOUND))
     best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
