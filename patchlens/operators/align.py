@@ -1,8 +1,8 @@
 """E5/A1 last-wins, J3 name join, J4-J7 positional alignment, R36 tail, R37 reorder.
 
 Items that hold both versions are paired inside the parse stage (``extract.extract_pairs``).
-For function rows that come as a table, ``pair_functions`` does the same in one aggregation on
-``(pair_id, func)``: the last definition of a name wins, the first keeps its place. Everything
+For function rows that come as a table, ``pair_functions`` does the same by ``(pair_id, func)``: the last
+definition of a name wins, the first keeps its place; who wins is settled on numbers before any body moves. Everything
 after it is per-row.
 """
 
@@ -19,34 +19,52 @@ PHASE_SLOT, PHASE_REORDER = 0, 2
 
 
 def last_wins(functions: DataFrame, keys=("pair_id", "version", "func"), order: str = "walk_ord") -> DataFrame:
-    """One row per key: payload of the greatest ``order``, plus ``first_ord`` = smallest."""
+    """One row per key: payload of the greatest ``order``, plus ``first_ord`` = smallest.
+
+    Late materialisation: the winner of a name is found from its orders alone, in a hash aggregation of
+    numbers; payloads are then fetched by a join on the key that streams them past the winners, so they are
+    shuffled once and neither sorted nor aggregated (Spark's runtime filter cuts off rows without a winner where the table is large). Orders are unique
+    within a key, as the parse stage makes them.
+    """
     keys = list(keys)
     payload = [c for c in functions.columns if c not in keys and c not in (order, "error")]
     live = functions.where(F.col("func").isNotNull()) if "func" in keys else functions
-    agg = live.groupBy(*keys).agg(
-        F.max_by(F.struct(*payload, F.col(order)), F.col(order)).alias("_w"),
-        F.min(order).alias("first_ord"),
-    )
-    return agg.select(*keys, *[F.col("_w")[c].alias(c) for c in payload + [order]], "first_ord")
+    won = live.groupBy(*keys).agg(F.max(order).alias("_won"), F.min(order).alias("first_ord"))
+    return _fetched(live, won, keys, F.col(order) >= F.col("_won")).select(*keys, *payload, order, "first_ord")
+
+
+def _fetched(rows: DataFrame, winners: DataFrame, keys: list[str], chosen) -> DataFrame:
+    """``rows`` that win, with their winner's columns. ``chosen`` is no equality, so both sides are dealt by ``keys`` alone and the
+    winners stay where they were aggregated; they are the side that is hashed, the rows pass by."""
+    w = winners.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in winners.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(w.hint("shuffle_hash"), [*same, chosen], "inner").drop(*[f"_k_{k}" for k in keys])
 
 
 def pair_functions(functions: DataFrame, payload: str = "stmts", order: str = "walk_ord") -> DataFrame:
-    """Last-wins per version and the inner join of old and new by name, in one aggregation.
+    """Last-wins per version and the inner join of old and new by name.
 
     In: (pair_id, version, func, walk_ord, <payload>, ...). Out: (pair_id, func, first_ord,
     old_walk, new_walk, old_<payload>, new_<payload>) for names present in both versions;
-    ``first_ord`` is the first place of the name in the old file.
+    ``first_ord`` is the first place of the name in the old file. Winners and matches are found from orders
+    alone, as in ``last_wins``; each version's winning payloads are then fetched, and joined on the same partitioning.
     """
-    v = F.col("version")
-    w = F.col(order)
+    v, w = F.col("version"), F.col(order)
     old_w, new_w = F.when(v == OLD, w), F.when(v == NEW, w)
-    g = functions.where(F.col("func").isNotNull()).groupBy("pair_id", "func").agg(
-        F.min(old_w).alias("first_ord"),
-        F.max(old_w).alias("old_walk"),
-        F.max(new_w).alias("new_walk"),
-        F.max_by(F.col(payload), old_w).alias(f"old_{payload}"),
-        F.max_by(F.col(payload), new_w).alias(f"new_{payload}"))
-    return g.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
+    named = functions.where(F.col("func").isNotNull())
+    won = named.groupBy("pair_id", "func").agg(
+        F.min(old_w).alias("first_ord"), F.max(old_w).alias("old_walk"), F.max(new_w).alias("new_walk"))
+    won = won.where(F.col("old_walk").isNotNull() & F.col("new_walk").isNotNull())
+    keys = ["pair_id", "func"]
+
+    def side(version: int, walk: str, out: str, *more: str) -> DataFrame:
+        rows = named.where(v == version).select(*keys, w.alias("_at"), F.col(payload).alias(out))
+        return _fetched(rows, won.select(*keys, walk, *more), keys, F.col("_at") >= F.col(walk)).drop("_at")
+
+    old = side(OLD, "old_walk", f"old_{payload}", "first_ord")
+    new = side(NEW, "new_walk", f"new_{payload}").select(*[F.col(k).alias(f"_n_{k}") for k in keys], "new_walk", f"new_{payload}")
+    both = old.join(new, [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys], "inner")
+    return both.select("pair_id", "func", "first_ord", "old_walk", "new_walk", f"old_{payload}", f"new_{payload}")
 
 
 def align_functions(pairs: DataFrame, old: str = "old_stmts", new: str = "new_stmts") -> DataFrame:

@@ -13,6 +13,7 @@ says why in ``error``; the others still score it.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -99,18 +100,30 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     (key, model, term); everything is partitioned by the key once, so neither aggregation shuffles
     again, and counting runs in generated code: the reason depends on the key, so it is one of the
     grouping columns (a greatest text would make both aggregations sort every term).
+
+    A model is a tokenizer, whose terms weigh the same, or a fitted ``encoder.HashedIdf``, whose table of weights, bounded by
+    its number of buckets, is broadcast to the counted terms.
     """
     models = models or LEXICAL_MODELS
     norm = normalise if normalise_text else (lambda c: c)
     known = F.col(error) if error else F.lit(None).cast("string")
     texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e")).repartition(key)
-    sides = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(side).alias("side"), tok(F.col(text)).alias("terms"))
+    fitted = {name: m for name, m in models.items() if hasattr(m, "weights")}
+    sides = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(side).alias("side"), getattr(tok, "terms", tok)(F.col(text)).alias("terms"))
                       for name, tok in models.items() for side, text in ((0, "_lt"), (1, "_rt"))])
     terms = (texts.select(F.col(key), "_e", F.explode(sides).alias("_s"))
              .select(key, "_e", "_s.model", "_s.side", F.explode_outer("_s.terms").alias("term")))
     count = lambda side: F.count(F.when((F.col("side") == side) & F.col("term").isNotNull(), 1)).cast("double")
     counted = terms.groupBy(key, "_e", "model", "term").agg(count(0).alias("a"), count(1).alias("b"))
     a, b = F.col("a"), F.col("b")
+    if fitted:
+        tables = [m.weights.select(F.lit(name).alias("model"), F.col("bucket").cast("string").alias("term"), "weight") for name, m in fitted.items()]
+        counted = counted.join(F.broadcast(reduce(DataFrame.unionByName, tables)), ["model", "term"], "left")
+        plain = F.lit(1.0)
+        for name, m in fitted.items():
+            plain = F.when(F.col("model") == name, F.lit(m.unseen)).otherwise(plain)
+        weight = F.coalesce("weight", plain)
+        a, b = a * weight, b * weight
     sums = counted.groupBy(key, "_e", "model").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("na"), F.sum(b * b).alias("nb"))
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
     out = sums.select(key, "model", score.alias("score"), "_e")

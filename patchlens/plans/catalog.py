@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise
 from ..operators.align import align_functions, diff_reordered, diff_tail, last_wins, pair_functions
+from ..operators.encoder import encode, fit_hashed_idf
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts, render_changes
 from ..operators.rules import diff_nodes
@@ -225,6 +226,25 @@ def q_score_pairs(spark, sf_dir):
     return _score_out(score_pairs(spark.sql(V.document_summaries_sql()), spark.sql(V.conversation_explanations_sql("spark")), "pair_id"))
 
 
+def _document_frequencies(spark, sf_dir):
+    return fit_hashed_idf(_view(spark, sf_dir, "SELECT text FROM documents", "documents"))
+
+
+def q_encode_hashed(spark, sf_dir):
+    """M1: whole documents as sparse vectors of a fitted fixed-width encoder."""
+    d = _view(spark, sf_dir, "SELECT doc_id, text FROM documents", "documents")
+    v = encode(d, _document_frequencies(spark, sf_dir))
+    norm = F.sqrt(F.aggregate("vector.values", F.lit(0.0), lambda s, x: s + x * x))
+    return v.select("doc_id", F.size("vector.indices").cast("bigint").alias("n_indices"),
+                    F.md5(F.array_join("vector.indices", ",").cast("binary")).alias("indices_md5"), F.round(norm, 4).alias("norm"))
+
+
+def q_score_hashed_idf(spark, sf_dir):
+    """Neighbouring documents scored by the fitted encoder, in the place of a sentence encoder."""
+    p = _view(spark, sf_dir, V.text_pairs_sql(), "documents")
+    return _score_out(score_lexical(p, "pair_id", "summary", "explanation", {"hashed_idf": _document_frequencies(spark, sf_dir)}))
+
+
 def q_score_dense(spark, sf_dir):
     p = _view(spark, sf_dir, V.vector_pairs_sql(), "embeddings")
     return _score_out(score_dense(p, "pair_id", "left_vec", "right_vec"))
@@ -374,6 +394,8 @@ QUERIES = {
     "render_all_types": q_render_all_types,
     "score_pairs": q_score_pairs,
     "score_lexical": q_score_lexical,
+    "encode_hashed": q_encode_hashed,
+    "score_hashed_idf": q_score_hashed_idf,
     "score_dense": q_score_dense,
     "score_models": q_score_models,
 }

@@ -7,6 +7,7 @@ text assembly with ``string_agg``.
 
 from __future__ import annotations
 
+from ..operators.encoder import FEATURES
 from . import views as V
 
 WS = r"[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]"
@@ -221,6 +222,39 @@ def score_pairs_sql() -> str:
                              f"JOIN ({V.conversation_explanations_sql('duckdb')}) e ON e.pair_id = s.pair_id")
 
 
+def _hashed_sql(features: int) -> str:
+    """CTEs: ``idf`` with the buckets' weights over whole ``documents``, ``total`` with the number of texts."""
+    return f"""dt AS (SELECT doc_id, lower({_strip('text')}) AS t FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {features} AS bucket FROM (SELECT doc_id, unnest({_words('t')}) AS w FROM dt) x),
+total AS (SELECT count(*) AS n FROM dt),
+idf AS (SELECT bucket, ln((n + 1)::DOUBLE / (count(DISTINCT doc_id) + 1)) AS weight FROM dw, total GROUP BY bucket, n)"""
+
+
+def encode_hashed_sql() -> str:
+    return f"""WITH {_hashed_sql(FEATURES)},
+c AS (SELECT doc_id, bucket, count(*) AS n FROM dw GROUP BY ALL),
+v AS (SELECT doc_id, string_agg(CAST(c.bucket AS VARCHAR) || ':' || CAST(c.n AS VARCHAR), ',' ORDER BY c.bucket) AS counts,
+        count(*) AS n_indices, sqrt(sum(n * weight * n * weight)) AS norm FROM c JOIN idf ON idf.bucket = c.bucket GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(n_indices, 0) END AS BIGINT) AS n_indices,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(regexp_replace(counts, ':[0-9]+', '', 'g'), '')) END AS indices_md5,
+  CASE WHEN d.text IS NOT NULL THEN round(coalesce(norm, 0), 4) END AS norm
+FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id"""
+
+
+def score_hashed_idf_sql() -> str:
+    """Pairs of neighbouring documents by weighted buckets."""
+    side = lambda c: (f"SELECT pair_id, '{c}' AS side, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {FEATURES} AS bucket "
+                      f"FROM (SELECT pair_id, unnest({_words(f'lower({_strip(c)})')}) AS w FROM tp) x")
+    return f"""WITH {_hashed_sql(FEATURES)}, tp AS ({V.text_pairs_sql()}),
+b AS ({side('summary')} UNION ALL {side('explanation')}),
+c AS (SELECT pair_id, bucket, count(*) FILTER (side = 'summary') AS x, count(*) FILTER (side = 'explanation') AS y FROM b GROUP BY ALL),
+s AS (SELECT pair_id, sum(x * y * weight * weight) AS dot, sum(x * x * weight * weight) AS na, sum(y * y * weight * weight) AS nb
+      FROM (SELECT c.*, coalesce(idf.weight, ln(n + 1)) AS weight FROM c LEFT JOIN idf ON idf.bucket = c.bucket, total) z GROUP BY pair_id),
+r AS (SELECT tp.pair_id, CASE WHEN na > 0 AND nb > 0 THEN dot / (sqrt(na) * sqrt(nb)) END AS score FROM tp LEFT JOIN s ON s.pair_id = tp.pair_id)
+SELECT pair_id, 'hashed_idf' AS model, round(score, 4) AS score, CASE WHEN score IS NOT NULL THEN format('{{:.2f}}', score) END AS shown,
+  coalesce(score >= 0.6, false) AS is_match, CASE WHEN score IS NULL THEN 'empty_text' END AS error FROM r"""
+
+
 def summary_text_sql() -> str:
     return f"""WITH {diff_rows_sql("all")},
 s AS (SELECT pair_id, func, first_ord, pos, seq, {_sentence()} AS sentence FROM rows),
@@ -569,6 +603,8 @@ ORACLE = {
     "diff_strict": diff_strict_sql(),
     "render_all_types": render_all_types_sql(),
     "score_pairs": score_pairs_sql(),
+    "encode_hashed": encode_hashed_sql(),
+    "score_hashed_idf": score_hashed_idf_sql(),
     "score_lexical": score_lexical_sql(),
     "score_dense": _dense((("dense", 1, 64),)),
     "score_models": _dense(V.VECTOR_MODELS),
