@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHANGE_PAYLOAD, NODE
-from .rules import REORDER_RULE, candidates, change_struct, payload_columns, with_firing
+from .rules import EXTENDED, REORDER_RULE, candidates, change_struct, payload_columns, with_firing
 
 OLD, NEW = 0, 1
-PHASE_SLOT, PHASE_REORDER = 0, 2
+PHASE_SLOT, PHASE_EXPRESSION, PHASE_REORDER = 0, 1, 2
 
 
 def last_wins(functions: DataFrame, keys=("pair_id", "version", "func"), order: str = "walk_ord") -> DataFrame:
@@ -135,9 +135,11 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
     Out: keys of ``pairs`` + (phase, pos, seq) + CHANGE_PAYLOAD. Records of a function
     sort by (phase, pos, seq): aligned slots and the added tail in position order, then
     reordered statements in old-body order. With ``keep_items`` the rows without a function
-    name stay, as rows without a rule.
+    name stay, as rows without a rule. In mode ``extended`` the rules of the reference also read the pairs in the column ``exprs``;
+    those records come between, ``pos`` being the pair's place in the function.
     """
-    keys = [c for c in pairs.columns if c not in (old, new)]
+    keys = [c for c in pairs.columns if c not in (old, new, "exprs")]
+    extended, mode = mode == EXTENDED, "reference" if mode == EXTENDED else mode
     node_null = F.lit(None).cast(NODE)
     pairs = with_moved(pairs, old, new)
     slots = F.transform(
@@ -151,8 +153,13 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
         lambda m: F.struct(F.lit(PHASE_REORDER).alias("phase"), m["old_position"].alias("pos"),
                            node_null.alias("o"), node_null.alias("n"), m["statement"].alias("statement"),
                            m["old_position"].alias("old_position"), m["new_position"].alias("new_position")))
+    inside = F.transform(
+        F.col("exprs"),
+        lambda e, i: F.struct(F.lit(PHASE_EXPRESSION).alias("phase"), i.alias("pos"), e["old"].alias("o"), e["new"].alias("n"),
+                              F.lit(None).cast("string").alias("statement"), F.lit(None).cast("int").alias("old_position"),
+                              F.lit(None).cast("int").alias("new_position")))
     explode = F.explode_outer if keep_items else F.explode
-    items = pairs.select(*keys, explode(F.concat(slots, moved)).alias("_it"))
+    items = pairs.select(*keys, explode(F.concat(slots, *([inside] if extended else []), moved)).alias("_it"))
     fn = F.col(func)
     staged = with_firing(items.select(*keys, "_it", F.col("_it.o").alias("_o"), F.col("_it.n").alias("_n")), mode)
     record = lambda hit, **payload: F.when(hit, F.struct(F.lit(0).alias("seq"), change_struct(

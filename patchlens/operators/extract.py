@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..schemas import FUNCTION, NODE_FIELDS, PAIRED
+from ..schemas import EXPRESSIONS, FUNCTION, NODE_FIELDS, PAIRED
 
 _ARROW_SCHEMA = to_arrow_schema(FUNCTION)
 _FLUSH_ROWS = 512
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, TypeError)
 _CONTAINERS = (ast.stmt, ast.excepthandler, ast.match_case)
+# kinds of expressions that rules read
+_EXPRESSIONS = (ast.Constant, ast.JoinedStr, ast.Call, ast.Attribute)
 
 
 def _u(node):
@@ -89,6 +91,30 @@ def node_facts(node: ast.AST, else_texts: bool = True) -> dict:
     return f
 
 
+def expression_pairs(old: ast.stmt, new: ast.stmt):
+    """Two aligned statements walked in parallel: pairs of expressions at the same place, of the same kind and with
+    different texts, outermost first, from left to right. The walk ends where kinds part and does not enter
+    the statements of a body, nor the parts of a formatted string."""
+    todo = [(old, new)]
+    while todo:
+        a, b = todo.pop()
+        if type(a) is not type(b):
+            continue
+        if isinstance(a, _EXPRESSIONS):
+            if _u(a) == _u(b):
+                continue
+            yield a, b
+        if isinstance(a, ast.JoinedStr):
+            continue
+        inner = []
+        for field in a._fields:
+            x, y = getattr(a, field, None), getattr(b, field, None)
+            both = zip(x, y) if isinstance(x, list) and isinstance(y, list) else [(x, y)]
+            inner += [(c, d) for c, d in both if isinstance(c, ast.AST) and isinstance(d, ast.AST)
+                      and not isinstance(c, _CONTAINERS) and not isinstance(d, _CONTAINERS)]
+        todo += reversed(inner)
+
+
 def definitions(source):
     """Plain ``def`` nodes of a file, breadth-first over every nesting level. Expression
     subtrees never hold a definition, so only statement containers are queued; dropping the
@@ -117,9 +143,10 @@ def functions_of_source(pair_id, version, source):
                  "args": None, "stmts": None, "error": _error_text(exc)}]
 
 
-def functions_of_pair(pair_id, old, new, else_texts):
+def functions_of_pair(pair_id, old, new, else_texts, expressions=False):
     """PAIRED rows of one item: its own row first, then the functions in both versions. The last
-    definition of a name wins, its first one gives the place in the old file."""
+    definition of a name wins, its first one gives the place in the old file. With ``expressions``, ``exprs`` has the
+    pairs of expressions of aligned statements that differ."""
     own = {"pair_id": pair_id, "func": None, "first_ord": None, "old_stmts": None, "new_stmts": None, "error": None}
     try:
         found, first = [{}, {}], {}
@@ -129,10 +156,19 @@ def functions_of_pair(pair_id, old, new, else_texts):
                 if side == 0:
                     first.setdefault(node.name, k)
         facts = lambda node: [node_facts(s, else_texts) for s in node.body]
-        return [own] + [
-            {"pair_id": pair_id, "func": name, "first_ord": first[name], "old_stmts": facts(node),
-             "new_stmts": facts(found[1][name]), "error": None}
-            for name, node in found[0].items() if name in found[1]]
+
+        def inside(a, b, old_facts, new_facts):
+            return [{"pos": k, "old": node_facts(x, else_texts), "new": node_facts(y, else_texts)}
+                    for k, (s, t, f, g) in enumerate(zip(a.body, b.body, old_facts, new_facts)) if f["text"] != g["text"]
+                    for x, y in expression_pairs(s, t)]
+
+        rows = [own]
+        for name, node in found[0].items():
+            if name in found[1]:
+                before, after = facts(node), facts(found[1][name])
+                rows.append({"pair_id": pair_id, "func": name, "first_ord": first[name], "old_stmts": before, "new_stmts": after, "error": None}
+                            | ({"exprs": inside(node, found[1][name], before, after)} if expressions else {}))
+        return rows
     except _PARSE_ERRORS as exc:
         return [own | {"error": _error_text(exc)}]
 
@@ -165,12 +201,13 @@ def extract_functions(versions: DataFrame) -> DataFrame:
     return src.mapInArrow(_extract_batches, FUNCTION)
 
 
-def extract_pairs(items: DataFrame, carry: tuple[str, ...] = (), else_texts: bool = False) -> DataFrame:
+def extract_pairs(items: DataFrame, carry: tuple[str, ...] = (), else_texts: bool = False, expressions: bool = False) -> DataFrame:
     """(pair_id, old, new) -> PAIRED rows; both versions are parsed where they lie.
 
-    ``carry`` names string columns that travel on each item's own row, once per item.
+    ``carry`` names string columns that travel on each item's own row, once per item. ``expressions`` adds the column
+    ``exprs``: the differing expression pairs of aligned statements, with their statement's place.
     """
-    schema = T.StructType([*PAIRED, *(T.StructField(c, T.StringType()) for c in carry)])
+    schema = T.StructType([*PAIRED, *([EXPRESSIONS] if expressions else []), *(T.StructField(c, T.StringType()) for c in carry)])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -179,7 +216,7 @@ def extract_pairs(items: DataFrame, carry: tuple[str, ...] = (), else_texts: boo
             cols = batch.to_pydict()
             extra = list(zip(*(cols[c] for c in carry))) or [()] * batch.num_rows
             for pid, old, new, more in zip(cols["pair_id"], cols["old"], cols["new"], extra):
-                got = functions_of_pair(pid, old, new, else_texts)
+                got = functions_of_pair(pid, old, new, else_texts, expressions)
                 got[0].update(zip(carry, more))
                 rows.extend(got)
                 if len(rows) >= _FLUSH_ROWS:

@@ -20,6 +20,8 @@ from ..functions.text import PY_WS_CLASS
 from ..schemas import CHANGE_PAYLOAD
 
 MODES = ("reference", "strict")
+# of whole analyses: the reference's rules, on the expressions inside aligned statements too
+EXTENDED = "extended"
 
 # Kinds whose same-kind pairs own a branch in chain 1 / chain 2 (first match wins;
 # a new ``if`` facing any other kind is checked before them in chain 1).

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.align import NEW, OLD, function_changes
 from ..operators.extract import extract_pairs
 from ..operators.render import item_texts
+from ..operators.rules import EXTENDED
 from ..operators.similarity import MATCH_THRESHOLD, score_lexical
 from ..schemas import STATUS_NO_BUG, STATUS_OK, STATUS_PARSE_ERROR, STATUS_REPLY_MISSING
 from ..sources.replies import parse_replies
@@ -29,10 +30,11 @@ def pair_versions(versions: DataFrame) -> DataFrame:
 def analyze_pairs(items: DataFrame, mode: str = "reference", partitions: int | None = None) -> DataFrame:
     """(pair_id, old, new) -> change rows (pair_id, func, first_ord, phase, pos, seq, payload).
 
-    ``partitions`` deals the items out before parsing, for inputs with few, fat splits.
+    ``partitions`` deals the items out before parsing, for inputs with few, fat splits. Mode ``extended`` adds records of the
+    expressions inside aligned statements: strings, formatted strings, calls and attributes.
     """
     items = items.repartition(partitions) if partitions else items
-    pairs = extract_pairs(items, else_texts=mode == "strict").where(F.col("func").isNotNull()).drop("error")
+    pairs = extract_pairs(items, else_texts=mode == "strict", expressions=mode == EXTENDED).where(F.col("func").isNotNull()).drop("error")
     return function_changes(pairs, mode)
 
 
@@ -73,7 +75,7 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
     # a reply without code leaves nothing to compare
     both = parsed.select("pair_id", F.when(F.col("fixed").isNotNull(), F.col("source")).alias("old"), F.col("fixed").alias("new"), *carry)
     both = both.repartition(partitions) if partitions else both
-    facts = extract_pairs(both, carry=carry, else_texts=mode == "strict")
+    facts = extract_pairs(both, carry=carry, else_texts=mode == "strict", expressions=mode == EXTENDED)
     records = function_changes(facts, mode, keep_items=True)
     outcome = item_texts(records, carry=(*carry, "error"))
     outcome = outcome.withColumn("status", F.when(F.col("error").isNotNull(), F.lit(STATUS_PARSE_ERROR)).otherwise(F.col("status")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
-from ..operators.align import align_functions, diff_reordered, diff_tail, last_wins, pair_functions
+from ..operators.align import PHASE_EXPRESSION, align_functions, diff_reordered, diff_tail, last_wins, pair_functions
 from ..operators.encoder import encode, fit_hashed_idf
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts, render_changes
@@ -27,7 +27,7 @@ from ..sources.replies import build_versions, parse_replies, render_requests
 from ..sources.tree import PATCH_FILE, PATCH_FOLDER, resolve_tree, write_files
 from ..functions.text import first_line
 from ..session import ensure_checkpoint_dir
-from .analyze import run_tree
+from .analyze import analyze_pairs, run_tree
 from . import views as V
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -121,6 +121,14 @@ def q_diff_strict(spark, sf_dir):
     return _diff_out(diff_nodes(_node_pairs(spark, sf_dir, "all").drop("first_ord"), "strict"))
 
 
+def q_diff_expressions(spark, sf_dir):
+    """Records of the expressions inside aligned statements, from both versions' source texts (mode ``extended``)."""
+    ch = analyze_pairs(_view(spark, sf_dir, V.expression_items_sql("spark"), "lineitem"), "extended").where(F.col("phase") == PHASE_EXPRESSION)
+    text = lambda c: F.coalesce(F.col(c), _joined(f"{c}_list")).alias(c)
+    return ch.select("pair_id", "func", F.col("pos").cast("bigint").alias("pos"), F.col("seq").cast("bigint").alias("seq"), "rule", "type",
+                     text("old"), text("new"))
+
+
 def q_render_all_types(spark, sf_dir):
     """Sentences of every template, the reordered, added and unknown ones too, over whole ``lineitem``."""
     v = _view(spark, sf_dir, V.stored_records_sql(), "lineitem")
@@ -391,6 +399,7 @@ QUERIES = {
     "summary_text": q_summary_text,
     "summary_from_json": q_summary_from_json,
     "diff_strict": q_diff_strict,
+    "diff_expressions": q_diff_expressions,
     "render_all_types": q_render_all_types,
     "score_pairs": q_score_pairs,
     "score_lexical": q_score_lexical,

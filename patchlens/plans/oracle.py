@@ -266,6 +266,24 @@ SELECT pair_id, string_agg(block, '' ORDER BY first_ord, func) AS summary FROM f
 
 # ------------------------------------------------------------------ functions
 
+def diff_expressions_sql() -> str:
+    """Differing pairs of a function in the order of a parallel walk, a flag each; a pair's place is the number of flags before it."""
+    quoted = lambda c: f"chr(39) || {c} || chr(39)"
+    flags = ["f1", "f2", "greatest(f3, f4)", "f4", "f5", "greatest(f1, f2)", "f1", "f2"]
+    place = lambda k: "CAST(" + (" + ".join(flags[:k]) or "0") + " AS BIGINT)"
+    args = lambda side, which: (f"'x;' || {side}_i" if which == 2 else f"{quoted(side + '_k')} || ';' || {side}_p")
+    records = [  # (pair, fires, seq, rule, type, old, new)
+        (0, "f1 = 1", "0", "R15", "string_change", "o_s", "n_s"), (1, "f2 = 1", "0", "R16", "fstring_change", "o_f", "n_f"),
+        (2, "f3 = 1", "0", "R18", "function_call_change", "o_g", "n_g"), (2, "f4 = 1", "f3", "R19", "function_arguments_change", args("o", 2), args("n", 2)),
+        (4, "f5 = 1", "0", "R34", "attribute_assignment_change", "o_v", "n_v"),
+        (5, "f1 + f2 > 0", "0", "R19", "function_arguments_change", args("o", 5), args("n", 5)), (6, "f1 = 1", "0", "R15", "string_change", "o_k", "n_k"),
+        (7, "f2 = 1", "0", "R34", "attribute_assignment_change", "o_p", "n_p")]
+    return f"WITH e AS ({V.expression_sides_sql()})" + " UNION ALL ".join(
+        f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS pair_id, 'fn_' || CAST(place AS VARCHAR) AS func, {place(k)} AS pos, CAST({seq} AS BIGINT) AS seq, '{rule}' AS rule,
+  '{type_}' AS type, {old} AS old, {new} AS new FROM e WHERE {fires}""" for k, fires, seq, rule, type_, old, new in records)
+
+
 def functions_last_wins_sql() -> str:
     return f"""WITH fv AS ({V.functions_sql()})
 SELECT pair_id, CAST(version AS BIGINT) AS version, func, arg_max(body, walk_ord) AS body,
@@ -601,6 +619,7 @@ ORACLE = {
     "summary_text": summary_text_sql(),
     "summary_from_json": summary_text_sql(),
     "diff_strict": diff_strict_sql(),
+    "diff_expressions": diff_expressions_sql(),
     "render_all_types": render_all_types_sql(),
     "score_pairs": score_pairs_sql(),
     "encode_hashed": encode_hashed_sql(),

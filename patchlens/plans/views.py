@@ -137,6 +137,53 @@ FROM (
 """
 
 
+def _expression_rows_sql() -> str:
+    """A function for each ``lineitem`` row, with what changes in it: f1 a string, f2 a formatted string and an
+    attribute deep in a call, f3 a callee, f4 a number among arguments, f5 an attribute."""
+    q = "CAST(FLOOR(l_quantity) AS BIGINT)"
+    flag = lambda c, k: f"CASE WHEN {c} THEN 1 ELSE 0 END AS f{k}"
+    return f"""
+SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS INT) AS place,
+  {q} AS q, CAST(l_linenumber AS BIGINT) AS n, l_partkey % 5 AS a,
+  {flag("l_suppkey % 3 = 0", 1)}, {flag(f"{q} % 4 = 0", 2)}, {flag("l_partkey % 7 < 2", 3)}, {flag("l_suppkey % 5 = 1", 4)}, {flag("l_partkey % 2 = 0", 5)}
+FROM lineitem
+"""
+
+
+def expression_sides_sql() -> str:
+    """Texts of the expressions on both sides (``o_``, ``n_``) of every function."""
+    def both(name: str, expr) -> str:
+        old = expr(*["0"] * 5)
+        new = expr(*[f"f{k}" for k in range(1, 6)])
+        return f"{old} AS o_{name}, {new} AS n_{name}"
+
+    t = lambda e: s(e)
+    return f"""
+SELECT *, {both("s", lambda f1, f2, f3, f4, f5: f"'a' || {t(f'q + {f1}')}")},
+  {both("f", lambda f1, f2, f3, f4, f5: f"'f' || {Q} || '{{x}} ' || {t(f'n + {f2}')} || {Q}")},
+  {both("g", lambda f1, f2, f3, f4, f5: f"'g' || {t(f'a + {f3}')}")}, {both("i", lambda f1, f2, f3, f4, f5: t(f"q + {f4}"))},
+  {both("v", lambda f1, f2, f3, f4, f5: f"'x.attr' || {t(f'a + {f5}')}")}, {both("k", lambda f1, f2, f3, f4, f5: f"'k' || {t(f'n + {f1}')}")},
+  {both("p", lambda f1, f2, f3, f4, f5: f"'x.p.q' || {t(f'q + {f2}')}")}
+FROM ({_expression_rows_sql()}) e
+"""
+
+
+def expression_items_sql(dialect: str) -> str:
+    """One item per order: both versions of a Python file whose functions differ within statements only."""
+    def block(side: str) -> str:
+        line = lambda text: f"'    ' || {text} || {NL}"
+        return " || ".join(["'def fn_' || " + s("place") + " || '(x):' || " + NL, line(f"'s = ' || {Q} || {side}_s || {Q}"), line(f"'t = ' || {side}_f"),
+                            line(f"'u = ' || {side}_g || '(x, ' || {side}_i || ')'"), line(f"'v = ' || {side}_v"),
+                            line(f"'return h(' || {Q} || {side}_k || {Q} || ', ' || {side}_p || ')'")])
+
+    def joined(side: str) -> str:
+        if dialect == "spark":
+            return f"array_join(transform(array_sort(collect_list(struct(place, {block(side)} AS block))), x -> x.block), {NL})"
+        return f"string_agg({block(side)}, {NL} ORDER BY place)"
+    return f"SELECT {s('l_orderkey')} AS pair_id, {joined('o')} AS old, {joined('n')} AS new FROM ({expression_sides_sql()}) e GROUP BY l_orderkey"
+
+
 def functions_sql() -> str:
     """Function rows from ``orders``: file = customer, name from the order key (names
     repeat inside a file, so last-wins matters), version by order-key parity, walk order =

@@ -61,6 +61,10 @@ PAIRED = T.StructType([
     T.StructField("error", S),
 ])
 
+# Beside them, where expressions are compared too: pairs at the same place in aligned statements.
+EXPRESSIONS = T.StructField("exprs", T.ArrayType(T.StructType([
+    T.StructField("pos", I), T.StructField("old", NODE), T.StructField("new", NODE)])))
+
 # Union of every payload key a change record can carry.
 CHANGE_PAYLOAD = T.StructType([
     T.StructField("rule", S),
