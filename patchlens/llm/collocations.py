@@ -190,13 +190,24 @@ _SHARES = "block int, shares binary, lang string, words long"
 _SHARE = np.dtype([("text", "<u8"), ("print", "<u8"), ("at", "<u4"), ("count", "<u4")])
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """An array compressed byte plane by byte plane: small numbers leave their high planes empty."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def expanded(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _bytes(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(b for b in column.to_pylist() if b), kind)
+def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [expanded(b, kind) for b in column.to_pylist() if b]
 
 
 def _entries(docs: DataFrame, buckets: int, flush_words: int, orders: tuple[int, ...], pairs=None) -> DataFrame:
@@ -217,8 +228,9 @@ def _entries(docs: DataFrame, buckets: int, flush_words: int, orders: tuple[int,
                 which = np.searchsorted(places, at[x:y], "right") - 1
                 used, short = np.unique(which, return_inverse=True)
                 offset = at[x:y] - places[which]
-                rows.append((b, prints[x:y].tobytes(), offset.astype(np.uint32).tobytes(), counts[x:y].astype(np.uint32).tobytes(),
-                             texts[used].tobytes(), short.astype(np.uint32).tobytes(), None, None))
+                steps = np.diff(prints[x:y], prepend=np.uint64(0))
+                rows.append((b, squeezed(steps), squeezed(offset.astype("<u4")), squeezed(counts[x:y].astype("<u4")),
+                             squeezed(texts[used]), squeezed(short.astype("<u4")), None, None))
         for k in range(0, len(rows), 64):
             yield _batch(rows[k:k + 64], names, types)
 
@@ -249,24 +261,24 @@ def _added_up(entries: DataFrame, least: int, blocks: int) -> DataFrame:
             for lang, n in zip(group.column("lang").to_pylist(), group.column("words").to_pylist()):
                 total[lang] += n
             return pa.Table.from_batches([_batch([(-1, None, lang, n) for lang, n in total.items()], names, types)])
-        prints, counts = _bytes(group.column("prints"), "<u8"), _bytes(group.column("counts"), "<u4")
+        prints = np.concatenate([np.cumsum(steps, dtype=np.uint64) for steps in _arrays(group.column("prints"), "<u8")])
+        counts = np.concatenate(_arrays(group.column("counts"), "<u4"))
         order = np.argsort(prints, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(prints[order]) != 0])
         total = np.add.reduceat(counts[order].astype(np.int64), first)
         often = order[np.repeat(total >= least, np.diff(np.append(first, len(order))))]
         if not len(often):
             return pa.Table.from_batches([_batch([], names, types)])
-        short = [np.frombuffer(b, "<u4") for b in group.column("places").to_pylist()]
-        texts = [np.frombuffer(b, "<u8")[s] for b, s in zip(group.column("texts").to_pylist(), short)]
+        texts = [t[s] for t, s in zip(_arrays(group.column("texts"), "<u8"), _arrays(group.column("places"), "<u4"))]
         shares = np.empty(len(often), _SHARE)
         shares["text"], shares["print"] = np.concatenate(texts)[often], prints[often]
-        shares["at"], shares["count"] = _bytes(group.column("at"), "<u4")[often], counts[often]
+        shares["at"], shares["count"] = np.concatenate(_arrays(group.column("at"), "<u4"))[often], counts[often]
         block = (shares["text"] % np.uint64(blocks)).astype(np.int32)
-        shares = shares[np.argsort(block, kind="stable")]
+        shares = shares[np.lexsort((shares["text"], block))]
         found, bounds = np.unique(np.sort(block), return_index=True)
-        rows: list[tuple] = [(int(b), p.tobytes(), None, None) for b, p in zip(found, np.split(shares, bounds[1:]))]
+        rows: list[tuple] = [(int(b), squeezed(p), None, None) for b, p in zip(found, np.split(shares, bounds[1:]))]
         twos = prints[order[first[total >= least]]]
-        rows.append((-2, twos[(twos & np.uint64(3)) == 2].tobytes(), None, None))
+        rows.append((-2, squeezed(np.diff(twos[(twos & np.uint64(3)) == 2], prepend=np.uint64(0))), None, None))
         return pa.Table.from_batches([_batch(rows, names, types)])
 
     return entries.groupBy("bucket").applyInArrow(run, _SHARES)
@@ -277,15 +289,15 @@ def _pair_filter(shares: DataFrame, size: int) -> Filter:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                at = np.unique(Filter.places(np.frombuffer(blob, "<u8"), size))
+                at = np.unique(Filter.places(np.cumsum(expanded(blob, "<u8"), dtype=np.uint64), size))
                 bounds = np.searchsorted(at, np.arange(1, FILTER_PARTS) * (size // FILTER_PARTS))
-                rows = [(k, p.astype("<u8").tobytes()) for k, p in enumerate(np.split(at, bounds)) if len(p)]
+                rows = [(k, squeezed(np.diff(p, prepend=np.uint64(0)))) for k, p in enumerate(np.split(at, bounds)) if len(p)]
                 yield _batch(rows, ["part", "places"], [pa.int32(), pa.binary()])
 
     def joined(group: pa.Table) -> pa.Table:
         part, bits = group.column("part")[0].as_py(), np.zeros(size // FILTER_PARTS, np.uint8)
-        for blob in group.column("places").to_pylist():
-            bits[np.frombuffer(blob, "<u8") - np.uint64(part * len(bits))] = 1
+        for steps in _arrays(group.column("places"), "<u8"):
+            bits[np.cumsum(steps, dtype=np.uint64) - np.uint64(part * len(bits))] = 1
         return pa.Table.from_batches([_batch([(part, np.packbits(bits, bitorder="little").tobytes())], ["part", "bits"], [pa.int32(), pa.binary()])])
 
     parts = (shares.where("block = -2").select("shares").mapInArrow(spread, "part int, places binary")
@@ -300,7 +312,7 @@ def _pair_filter(shares: DataFrame, size: int) -> Filter:
 def _bodies(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, text, lang, body): each task's distinct texts, compressed, by the block that their hash names."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = zstandard.ZstdCompressor(level=1), set()
+        packer, seen = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             rows = []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -315,7 +327,8 @@ def _bodies(docs: DataFrame, blocks: int) -> DataFrame:
 def _spelled(shares: DataFrame, bodies: DataFrame) -> DataFrame:
     """(lang, n, phrase, count): every share read from its text."""
     def run(found: pa.Table, texts: pa.Table) -> pa.Table:
-        wanted = np.sort(_bytes(found.column("shares"), _SHARE), order="text")
+        wanted = np.concatenate([np.zeros(0, _SHARE), *_arrays(found.column("shares"), _SHARE)])
+        wanted = wanted[np.argsort(wanted["text"], kind="stable")]
         bounds = np.flatnonzero(np.r_[True, np.diff(wanted["text"]) != 0]) if len(wanted) else np.zeros(0, np.int64)
         spans = dict(zip(wanted["text"][bounds].tolist(), zip(bounds.tolist(), [*bounds[1:].tolist(), len(wanted)])))
         total, done, opener = Counter(), set(), zstandard.ZstdDecompressor()

@@ -243,11 +243,18 @@ def test_collisions_between_tasks_come_apart(spark):
     bodies = collocations._bodies(spark.createDataFrame([("en", a.decode()), ("en", b.decode())], "lang string, text string"), 1)
     same = 77 << 2 | 2  # one fingerprint for both phrases
     shares = np.array([(collocations.text_hash("en", t), same, 0, n) for t, n in ((a, 6), (b, 5))], collocations._SHARE)
-    df = spark.createDataFrame([(0, bytearray(shares.tobytes()), None, None)], "block int, shares binary, lang string, words long")
+    df = spark.createDataFrame([(0, bytearray(collocations.squeezed(shares)), None, None)], "block int, shares binary, lang string, words long")
     got = {(r["lang"], r["n"], r["phrase"], r["count"]) for r in collocations._spelled(df, bodies).collect()}
     assert got == {("en", 2, "red fox", 6), ("en", 2, "old owl", 5)}
 
 
+@pytest.mark.parametrize("kind", ["<u8", "<u4", collocations._SHARE])
+def test_squeezed_arrays_come_back(kind):
+    for n in (0, 1, 1000):
+        a = np.random.default_rng(n).integers(0, 256, n * np.dtype(kind).itemsize).astype(np.uint8).view(kind)
+        assert (collocations.expanded(collocations.squeezed(a), kind) == a).all()
+
+
 def test_filter_never_misses():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
