@@ -45,13 +45,22 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.pieces_of = self.tokenizer.model.tokenize
+        # how the tokenizer spells a lower-case letter for its merges
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0x100)) if _STEM.fullmatch(c) and c == c.lower()}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_STRINGS:
             self.clear()
         parts = _STEM.fullmatch(word)
-        stem = parts[1].lower() if parts else word
-        got = self[word] = self[stem] + self[parts[2]] if parts and (parts[2] or stem != word) else self.encode(word)
+        if not parts:
+            got = self.encode(word)
+        elif parts[2] or (stem := parts[1].lower()) != word:
+            got = self[parts[1].lower()] + (self[parts[2]] if parts[2] else b"")
+        else:  # a run of lower-case letters is one unit to the tokenizer: merged without normalising it again
+            got = np.array([p.id for p in self.pieces_of(stem.translate(self.spelling))], "<u4").tobytes()
+        self[word] = got
         return got
 
     def encode(self, text: str) -> bytes:

@@ -133,6 +133,17 @@ def test_packing_whole_and_tight(docs, texts):
     assert len(held) <= -(-sum(x[1] for x in want.values()) // 512) + 2
 
 
+def test_ids_of_odd_strings_equal_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, ids, rng = Tokenizer.from_file(path), packing.Ids(path), random.Random(1)
+    letters = [c for c in map(chr, range(0x100)) if c.isalpha()]
+    texts = ["a b\u2003c\u3000d", "x\x1cy z", "hello <|endoftext|> there", "", "  lead and trail  ", "Don't stop!! ok...", "a\x85b c\u200bd\ufeffe",
+             "ÀÉ ünï ½²", "\n\t\x0b\x0c\r", " q\u180ew z r", "e\u0301 É", *letters]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", ".", "?!", ",;", "'s"]) for _ in range(5000)]
+    for t in texts:
+        assert np.frombuffer(ids.of(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing_levels(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 90, 900))], "doc_id long, length long")
