@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlens.session import ensure_checkpoint_dir
+
 #: Rows of one Arrow batch: very long texts stay within a worker's memory.
 BATCH_ROWS = 512
 
@@ -18,19 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a scratch folder only where none is named (tests)."""
-    path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="llm-checkpoint-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder: later reads survive lost executors."""
-    shared_dir(df.sparkSession)
+    """``df`` computed once and written to the shared folder: later reads survive lost executors. The cluster clears the folder, or
+    Spark does with ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -16,6 +16,7 @@ teach nothing; ties go to the smaller language name; without training rows every
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -40,7 +41,9 @@ COUNTED_ENTRIES = 300_000
 #: Words of evidence beyond which a posterior grows no surer.
 EVIDENCE_WORDS = 20
 
-_WORDS = re.compile(r"[^\W\d_]+")
+# what ``\w`` takes beside letters, decimals and the underscore: fractions, raised and Roman numbers, ...
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _END = "\x00"
 
 
