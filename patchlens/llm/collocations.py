@@ -44,7 +44,7 @@ LONGEST = 3
 UNKNOWN = "und"
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 #: Bounds of what a task holds at once: words hashed, entries added up, bytes of texts looked into.
-FLUSH_WORDS = 1 << 20
+FLUSH_WORDS = 1 << 21
 BUCKET_ENTRIES = 1 << 22
 BLOCK_BYTES = 8 << 20
 #: Bits of the filter of frequent pairs, a power of two whatever the input, and the parts it is put together from.
@@ -187,7 +187,14 @@ class Held:
 
 _ENTRIES = "bucket int, prints binary, at binary, counts binary, texts binary, places binary, lang string, words long"
 _SHARES = "block int, shares binary, lang string, words long"
-_SHARE = np.dtype([("text", "<u8"), ("print", "<u8"), ("at", "<u4"), ("count", "<u4")])
+#: ``mark`` says how many words, and has upper bits of the fingerprint: should two texts have one hash, they tell whose the share is.
+_SHARE = np.dtype([("text", "<u8"), ("mark", "<u4"), ("at", "<u4"), ("count", "<u4")])
+
+
+def mark_of(prints):
+    """The mark of a fingerprint, or of an array of them."""
+    return prints >> 34 & ~3 | prints & 3 if isinstance(prints, int) else (
+        prints >> np.uint64(34) & np.uint64(_MASK & ~3) | prints & np.uint64(3)).astype(np.uint32)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -271,7 +278,7 @@ def _added_up(entries: DataFrame, least: int, blocks: int) -> DataFrame:
             return pa.Table.from_batches([_batch([], names, types)])
         texts = [t[s] for t, s in zip(_arrays(group.column("texts"), "<u8"), _arrays(group.column("places"), "<u4"))]
         shares = np.empty(len(often), _SHARE)
-        shares["text"], shares["print"] = np.concatenate(texts)[often], prints[often]
+        shares["text"], shares["mark"] = np.concatenate(texts)[often], mark_of(prints[often])
         shares["at"], shares["count"] = np.concatenate(_arrays(group.column("at"), "<u4"))[often], counts[often]
         block = (shares["text"] % np.uint64(blocks)).astype(np.int32)
         shares = shares[np.lexsort((shares["text"], block))]
@@ -332,18 +339,19 @@ def _spelled(shares: DataFrame, bodies: DataFrame) -> DataFrame:
         bounds = np.flatnonzero(np.r_[True, np.diff(wanted["text"]) != 0]) if len(wanted) else np.zeros(0, np.int64)
         spans = dict(zip(wanted["text"][bounds].tolist(), zip(bounds.tolist(), [*bounds[1:].tolist(), len(wanted)])))
         total, done, opener = Counter(), set(), zstandard.ZstdDecompressor()
-        for h, lang, body in zip(*(texts.column(c).to_pylist() for c in ("text", "lang", "body"))):
+        rows = list(zip(*(texts.column(c).to_pylist() for c in ("text", "lang", "body"))))
+        texts_of = Counter(h for h, _, _ in set(rows))
+        for h, lang, body in rows:
             span = spans.get(h & _MASK)
             if span is None or (lang, body) in done:
                 continue
             done.add((lang, body))
             words = tokens(opener.decompress(body))
-            alone = (h, span) not in done  # two texts of one hash: each share belongs to the one that gives its fingerprint
-            done.add((h, span))
-            for f, at, count in zip(*(wanted[c][span[0]:span[1]].tolist() for c in ("print", "at", "count"))):
-                phrase = words[at:at + (f & 3)]
-                if alone or fingerprint(lang, phrase) == f:
-                    total[lang, f & 3, b" ".join(phrase)] += count
+            alone = texts_of[h] == 1  # else each share belongs to the text that gives its fingerprint
+            for mark, at, count in zip(*(wanted[c][span[0]:span[1]].tolist() for c in ("mark", "at", "count"))):
+                phrase = words[at:at + (mark & 3)]
+                if alone or mark_of(fingerprint(lang, phrase)) == mark:
+                    total[lang, mark & 3, b" ".join(phrase)] += count
         rows = [(lang, n, phrase.decode(), count) for (lang, n, phrase), count in total.items()]
         return pa.Table.from_batches([_batch(rows, ["lang", "n", "phrase", "count"], [pa.string(), pa.int32(), pa.string(), pa.int64()])])
 

@@ -243,6 +243,7 @@ def test_collisions_between_tasks_come_apart(spark):
     bodies = collocations._bodies(spark.createDataFrame([("en", a.decode()), ("en", b.decode())], "lang string, text string"), 1)
     same = 77 << 2 | 2  # one fingerprint for both phrases
     shares = np.array([(collocations.text_hash("en", t), same, 0, n) for t, n in ((a, 6), (b, 5))], collocations._SHARE)
+    assert collocations.mark_of(1 << 63 | 3) == int(collocations.mark_of(np.array([1 << 63 | 3], np.uint64))[0]) == 1 << 29 | 3
     df = spark.createDataFrame([(0, bytearray(collocations.squeezed(shares)), None, None)], "block int, shares binary, lang string, words long")
     got = {(r["lang"], r["n"], r["phrase"], r["count"]) for r in collocations._spelled(df, bodies).collect()}
     assert got == {("en", 2, "red fox", 6), ("en", 2, "old owl", 5)}
@@ -264,6 +265,15 @@ def test_filter_never_misses():
     assert held[:2000].all() and held[2000:].mean() < 0.02
 
 
+def test_texts_of_one_hash_keep_their_own_shares(spark):
+    """Two texts made to share a hash: every share is read from the text that gives its fingerprint."""
+    bodies = collocations._bodies(spark.createDataFrame([("en", "red fox"), ("en", "old owl")], "lang string, text string"), 1).withColumn("text", F.lit(5).cast("long"))
+    phrases = ((b"red", b"fox"), (b"old", b"owl"), (b"red",))
+    shares = np.array([(5, collocations.mark_of(collocations.fingerprint("en", list(p))), 0, n) for n, p in enumerate(phrases, 1)], collocations._SHARE)
+    df = spark.createDataFrame([(0, bytearray(collocations.squeezed(shares)), None, None)], "block int, shares binary, lang string, words long")
+    assert {(r["phrase"], r["count"]) for r in collocations._spelled(df, bodies).collect()} == {("red fox", 1), ("old owl", 2), ("red", 3)}
+
+
 def test_fingerprints_of_the_flush_are_those_of_the_phrase():
     held = collocations.Held()
     held.add("fr", "le Petit prince; ürsprung".encode())
