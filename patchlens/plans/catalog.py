@@ -336,12 +336,12 @@ def q_status_counts(spark, sf_dir):
 
 
 def _checkout_tree(spark, sf_dir) -> tuple[str, str]:
-    """(root, patches) of a checkout tree written from ``pages`` to the shared folder, one file for each row."""
+    """(root, patches) of a checkout tree written from ``pages`` to the shared folder."""
     register(spark, sf_dir, "pages")
     top = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tree-{spark.sparkContext.applicationId}-{zlib.crc32(sf_dir.encode()):08x}"
-    patches = spark.sql(V.tree_patches_sql()).select(
+    patches = spark.sql(V.tree_patches_sql("spark")).select(
         F.concat_ws("/", "project", F.lit(PATCH_FOLDER), F.col("bug_id").cast("string"), F.lit(PATCH_FILE)).alias("path"), F.col("patch").alias("text"))
-    write_files(spark.sql(V.tree_files_sql()), f"{top}/all_bugs")
+    write_files(spark.sql(V.tree_files_sql("spark")), f"{top}/all_bugs")
     write_files(patches, f"{top}/projects")
     return f"{top}/all_bugs", f"{top}/projects"
 
@@ -355,7 +355,7 @@ def q_tree_items(spark, sf_dir):
 def q_tree_outcomes(spark, sf_dir):
     """From the tree on disk to one outcome and summary an item, from ``patch_missing`` to ``parse_error``."""
     root, patches = _checkout_tree(spark, sf_dir)
-    items = run_tree(spark, root, patches, spark.sql(V.tree_replies_sql()))["items"]
+    items = run_tree(spark, root, patches, spark.sql(V.tree_replies_sql("spark")))["items"]
     error = F.when(F.col("status") == "parse_error", F.regexp_extract("error", r"^(\w+)", 1)).otherwise(F.col("error"))
     return items.select("pair_id", "status", F.col("n_functions").cast("bigint").alias("n_functions"),
                         F.col("n_changes").cast("bigint").alias("n_changes"), "summary", error.alias("error"))

@@ -521,9 +521,9 @@ SELECT project, status, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY project, s
 def _tree_sql() -> str:
     """CTE ``tr``: the items of the generated tree, what their diffs name and what the checkout holds."""
     rel = "replace(substr(list_filter(string_split(header, ' '), lambda t: starts_with(t, 'b/'))[1], 3), chr(92), '/')"
-    return f"""fl AS (SELECT * FROM ({V.tree_files_sql()}) x),
+    return f"""fl AS (SELECT * FROM ({V.tree_files_sql('duckdb')}) x),
 it AS (SELECT DISTINCT split_part(path, '/', 1) AS project, CAST(split_part(path, '/', 2) AS BIGINT) AS bug_id FROM fl WHERE split_part(path, '/', 2) <> 'notes'),
-pt AS (SELECT project, bug_id, string_split(patch, chr(10))[1] AS header FROM ({V.tree_patches_sql()}) x),
+pt AS (SELECT project, bug_id, string_split(patch, chr(10))[1] AS header FROM ({V.tree_patches_sql('duckdb')}) x),
 nm AS (SELECT it.project, it.bug_id, header, CASE WHEN starts_with(header, 'diff') THEN nullif({rel}, '') END AS rel_path
        FROM it LEFT JOIN pt ON pt.project = it.project AND pt.bug_id = it.bug_id),
 np AS (SELECT *, CASE WHEN rel_path IS NOT NULL THEN project || '/' || CAST(bug_id AS VARCHAR) || '/buggy/' || project || '/' || rel_path END AS buggy_path FROM nm),
@@ -539,20 +539,20 @@ def tree_items_sql() -> str:
 
 
 def tree_outcomes_sql() -> str:
-    """A page's function changes one value, if its file is Python and its reply usable code."""
-    q = "''"
-    page = "(tr.bug_id - 1) // 3"
-    summary = (f"'Function: page' || chr(10) || '- Value of variable {q}y{q} changed from {q}x + ' || CAST({page} AS VARCHAR) || '{q} to {q}x + '"
-               f" || CAST({page} + 1 AS VARCHAR) || '{q}.' || chr(10) || '- Change of type {q}assignment_value_change{q} detected.' || chr(10) || chr(10)")
+    """Every function of an item changes one value, if the item's file is Python and its reply usable code."""
+    q, g = "''", "(tr.bug_id - 1) // 3"
+    block = (f"'Function: page_' || CAST(page_id AS VARCHAR) || chr(10) || '- Value of variable {q}y{q} changed from {q}x + ' || CAST(page_id AS VARCHAR) || '{q} to {q}x + '"
+             f" || CAST(page_id + 1 AS VARCHAR) || '{q}.' || chr(10) || '- Change of type {q}assignment_value_change{q} detected.' || chr(10) || chr(10)")
     return f"""WITH {_tree_sql()},
-rp AS (SELECT * FROM ({V.tree_replies_sql()}) x),
-st AS (SELECT tr.project || '/' || CAST(tr.bug_id AS VARCHAR) AS pair_id, {page} AS page,
-  CASE WHEN tr.status <> 'ok' THEN tr.status WHEN rp.reply IS NULL THEN 'reply_missing' WHEN {page} % 7 = 1 THEN 'no_delimiter'
-       WHEN {page} % 3 = 0 OR {page} % 7 = 2 THEN 'parse_error' WHEN {page} % 7 = 0 THEN 'no_bug' ELSE 'ok' END AS status,
-  tr.error, {summary} AS full_summary
-  FROM tr LEFT JOIN rp ON rp.project = tr.project AND rp.bug_id = tr.bug_id)
-SELECT pair_id, status, CAST(CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS BIGINT) AS n_functions,
-  CAST(CASE WHEN status = 'ok' THEN 2 ELSE 0 END AS BIGINT) AS n_changes, CASE WHEN status = 'ok' THEN full_summary ELSE '' END AS summary,
+rp AS (SELECT * FROM ({V.tree_replies_sql('duckdb')}) x),
+fn AS (SELECT page_id - page_id % {V.TREE_PAGES} AS g, string_agg({block}, '' ORDER BY page_id) AS full_summary, count(*) AS n FROM pages GROUP BY ALL),
+st AS (SELECT tr.project || '/' || CAST(tr.bug_id AS VARCHAR) AS pair_id,
+  CASE WHEN tr.status <> 'ok' THEN tr.status WHEN rp.reply IS NULL THEN 'reply_missing' WHEN {g} % 7 = 1 THEN 'no_delimiter'
+       WHEN {g} % 3 = 0 OR {g} % 7 = 2 THEN 'parse_error' WHEN {g} % 7 = 0 THEN 'no_bug' ELSE 'ok' END AS status,
+  tr.error, full_summary, n
+  FROM tr JOIN fn ON fn.g = {g} LEFT JOIN rp ON rp.project = tr.project AND rp.bug_id = tr.bug_id)
+SELECT pair_id, status, CAST(CASE WHEN status = 'ok' THEN n ELSE 0 END AS BIGINT) AS n_functions,
+  CAST(CASE WHEN status = 'ok' THEN 2 * n ELSE 0 END AS BIGINT) AS n_changes, CASE WHEN status = 'ok' THEN full_summary ELSE '' END AS summary,
   CASE WHEN status = 'parse_error' THEN 'SyntaxError' WHEN status = 'reply_missing' THEN 'reply_missing: ' || pair_id ELSE error END AS error
 FROM st"""
 

@@ -356,19 +356,19 @@ def items_sql() -> str:
     return f"SELECT 'proj' || {s('p_partkey % 17')} AS project, p_partkey AS bug_id FROM part"
 
 
-def patches_sql() -> str:
+def patches_sql(rows: str = "pages", key: str = "page_id") -> str:
     """Patch texts from ``pages``: the first line's shape depends on the URL (not a diff,
     no ``b/`` token, backslash separators, plain); the path keeps the query string."""
     rel = f"'src' || replace(replace(replace({_url_path(True)}, '?', '_'), '=', '_'), '&', '_') || '.py'"
     return f"""
-SELECT 'proj' || {s("(page_id * 3 + 1) % 17")} AS project, page_id * 3 + 1 AS bug_id,
+SELECT 'proj' || {s(f"({key} * 3 + 1) % 17")} AS project, {key} * 3 + 1 AS bug_id,
   CASE
     WHEN url LIKE '%.org/%' THEN 'index ' || {rel}
     WHEN url LIKE 'https://m.%' THEN 'diff --git a/' || {rel}
     WHEN url LIKE 'http://%' THEN 'diff --git a/' || {rel} || ' b/' || replace({rel}, '/', {BS})
     ELSE 'diff --git a/' || {rel} || ' b/' || {rel}
   END || {NL} || 'index 0000000..1111111 100644' || {NL} || '--- a/' || {rel} AS patch
-FROM pages
+FROM {rows}
 """
 
 
@@ -382,38 +382,54 @@ FROM pages
 """
 
 
-def tree_files_sql() -> str:
-    """Files of a checkout tree from ``pages``: every third page's file holds its markup, the others a Python
-    function; each folder has a second file that no diff names, and there are folders that are no bugs."""
-    project = f"'proj' || {s('(page_id * 3 + 1) % 17')}"
-    code = (f"'def page(x):' || {NL} || '    y = x + ' || {s('page_id')} || {NL} || '    if y > 3:' || {NL} || '        return x' || {NL}"
-            f" || '    return y' || {NL}")
+#: Pages whose functions make one file of the checkout tree.
+TREE_PAGES = 20
+
+
+def tree_groups_sql(dialect: str) -> str:
+    """``g`` with the first page's URL, a Python file of one function a page, the same with every value one more, and the pages' markup."""
+    code = lambda n: (f"'def page_' || {s('page_id')} || '(x):' || {NL} || '    y = x + ' || {s(n)} || {NL} || '    if y > 3:' || {NL}"
+                      f" || '        return x' || {NL} || '    return y' || {NL}")
+
+    def joined(text: str) -> str:
+        if dialect == "spark":
+            return f"array_join(transform(array_sort(collect_list(struct(page_id, {text} AS t))), x -> x.t), {NL})"
+        return f"string_agg({text}, {NL} ORDER BY page_id)"
+    return f"""
+SELECT page_id - page_id % {TREE_PAGES} AS g, min_by(url, page_id) AS url, {joined(code('page_id'))} AS code, {joined(code('page_id + 1'))} AS fixed,
+  {joined("coalesce(html, '')")} AS html
+FROM pages GROUP BY page_id - page_id % {TREE_PAGES}
+"""
+
+
+def tree_files_sql(dialect: str) -> str:
+    """Files of a checkout tree: every third item's file holds markup, the others Python functions; each folder has a second
+    file that no diff names, and there are folders that are no bugs."""
+    project, bug = f"'proj' || {s('(g * 3 + 1) % 17')}", s("g * 3 + 1")
+    groups = tree_groups_sql(dialect)
     return f"""
-SELECT path, CASE WHEN page_id % 3 = 0 THEN html ELSE {code} END AS text FROM (SELECT page_id, html, {project} || '/' || {s("page_id * 3 + 1")}
-  || '/buggy/' || {project} || '/src' || {_url_path(False)} || '.py' AS path FROM pages) f
-UNION ALL SELECT {project} || '/' || {s("page_id * 3 + 1")} || '/buggy/' || {project} || '/unnamed.py' AS path, 'x = 1' AS text FROM pages
-UNION ALL SELECT {project} || '/notes/buggy/' || {project} || '/page' || {s("page_id")} || '.py' AS path, html AS text FROM pages
+SELECT {project} || '/' || {bug} || '/buggy/' || {project} || '/src' || {_url_path(False)} || '.py' AS path,
+  CASE WHEN g % 3 = 0 THEN html ELSE code END AS text FROM ({groups}) a
+UNION ALL SELECT {project} || '/' || {bug} || '/buggy/' || {project} || '/unnamed.py' AS path, 'x = 1' AS text FROM ({groups}) b
+UNION ALL SELECT {project} || '/notes/buggy/' || {project} || '/page' || {s("g")} || '.py' AS path, html AS text FROM ({groups}) c
 """
 
 
-def tree_patches_sql() -> str:
-    """Diffs of a checkout tree: those of ``patches_sql`` but for every eighth page."""
-    return f"SELECT project, bug_id, patch FROM ({patches_sql()}) p WHERE bug_id % 8 <> 0"
+def tree_patches_sql(dialect: str) -> str:
+    """Diffs of a checkout tree, in the shapes of ``patches_sql``; every ninth item has none."""
+    return patches_sql(f"({tree_groups_sql(dialect)}) g WHERE g % 9 <> 0", "g")
 
 
-def tree_replies_sql() -> str:
-    """Replies for a checkout tree: by turns a changed value, the sentinel, one without a delimiter, code that does not
+def tree_replies_sql(dialect: str) -> str:
+    """Replies for a checkout tree: by turns changed values, the sentinel, one without a delimiter, code that does not
     parse, and none at all."""
-    project = f"'proj' || {s('(page_id * 3 + 1) % 17')}"
-    code = (f"'def page(x):' || {NL} || '    y = x + ' || {s('page_id + 1')} || {NL} || '    if y > 3:' || {NL} || '        return x' || {NL}"
-            f" || '    return y' || {NL}")
     fence = "'```'"
     return f"""
-SELECT {project} AS project, page_id * 3 + 1 AS bug_id,
-  CASE WHEN page_id % 7 = 0 THEN 'NO BUGS FOUND' WHEN page_id % 7 = 1 THEN {code}
-    WHEN page_id % 7 = 2 THEN 'def page(:' || '---EXPLANATION---' || 'broken'
-    ELSE {fence} || 'python' || {NL} || {code} || {fence} || '---EXPLANATION---' || 'The value of y is one more.' END AS reply
-FROM pages WHERE page_id % 11 <> 0
+SELECT 'proj' || {s('(g * 3 + 1) % 17')} AS project, g * 3 + 1 AS bug_id,
+  CASE WHEN g % 7 = 0 THEN 'NO BUGS FOUND' WHEN g % 7 = 1 THEN fixed
+    WHEN g % 7 = 2 THEN 'def page(:' || '---EXPLANATION---' || 'broken'
+    ELSE {fence} || 'python' || {NL} || fixed || {fence} || '---EXPLANATION---' || 'The value of y is one more.' END AS reply
+FROM ({tree_groups_sql(dialect)}) r WHERE g % 11 <> 0
 """
 
 
