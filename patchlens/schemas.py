@@ -93,6 +93,8 @@ STATUS_REPLY_MISSING = "reply_missing"
 STATUS_NO_BUG = "no_bug"
 STATUS_NO_DELIMITER = "no_delimiter"
 STATUS_PARSE_ERROR = "parse_error"
+ITEM_STATUSES = (STATUS_PATCH_MISSING, STATUS_NO_PATH, STATUS_FILE_MISSING, STATUS_REPLY_MISSING, STATUS_NO_DELIMITER, STATUS_PARSE_ERROR,
+                 STATUS_NO_BUG, STATUS_OK)
 
 # Why a score is missing.
 ERROR_EMPTY_TEXT = "empty_text"

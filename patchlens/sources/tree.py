@@ -198,6 +198,8 @@ def write_files(files: DataFrame, root: str, path: str = "path", text: str = "te
         store, top = store_of(root)
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ".." in name.split("/"):
+                    raise ValueError(f"{name} leads out of the folder")
                 target, data = f"{top}/{name}", (body or "").encode()
                 info = store.get_file_info(target)
                 if info.type == fs.FileType.File and info.size == len(data):
