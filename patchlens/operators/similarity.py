@@ -16,7 +16,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
@@ -27,6 +27,9 @@ MATCH_THRESHOLD = 0.6
 SHOWN_FORMAT = "%.2f"
 # ---- end of fixed values
 
+#: Buckets of stored text tables unless a caller says otherwise.
+BUCKETS = 64
+
 WORD_SPLIT = r"[^\p{L}\p{N}_]+"
 
 
@@ -84,15 +87,34 @@ def vector_error(a: Column, b: Column) -> Column:
             .when(blank(a) | blank(b), F.lit(ERROR_ZERO_NORM)))
 
 
+def two_places(x: Column) -> Column:
+    """The text of a double with two decimals, rounded from its exact binary value, ties to even, as Python's ``.2f`` does.
+
+    100 x is held exactly as a product and its rounding error (x is split into two halves of 26 bits, each of which times 100 is
+    exact), so its distance to the middle between two integers has the right sign. Exact below 2^44; larger numbers, infinities and NaN are
+    formatted by Spark.
+    """
+    a = F.abs(x)
+    product, shifted = a * 100.0, a * float((1 << 27) + 1)
+    high = shifted - (shifted - a)
+    error = (high * 100.0 - product) + (a - high) * 100.0
+    whole = F.floor(product)
+    over = (product - whole.cast("double") - 0.5) + error
+    n = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(a < float(1 << 44), text).otherwise(F.format_string(SHOWN_FORMAT, x))
+
+
 def verdict(score: Column, threshold: float = MATCH_THRESHOLD):
     """M3/M4: (shown, is_match). The verdict uses the unrounded score."""
-    return (F.when(score.isNotNull(), F.format_string(SHOWN_FORMAT, score)).alias("shown"),
+    return (F.when(score.isNotNull(), two_places(score)).alias("shown"),
             F.coalesce(score >= F.lit(threshold), F.lit(False)).alias("is_match"))
 
 
 def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary", right: str = "explanation",
                   models: dict | None = None, threshold: float = MATCH_THRESHOLD,
-                  normalise_text: bool = True, error: str | None = None) -> DataFrame:
+                  normalise_text: bool = True, error: str | None = None, dealt: bool = False) -> DataFrame:
     """(key, left text, right text) -> (key, model, score, shown, is_match, error).
 
     One row per key in, one per (key, model) out; without terms on a side the score is null, with the
@@ -102,12 +124,14 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     grouping columns (a greatest text would make both aggregations sort every term).
 
     A model is a tokenizer, whose terms weigh the same, or a fitted ``encoder.HashedIdf``, whose table of weights, bounded by
-    its number of buckets, is broadcast to the counted terms.
+    its number of buckets, is broadcast to the counted terms. ``dealt`` says that rows are partitioned by the key already, as those of
+    bucketed tables are; the texts then stay where they are.
     """
     models = models or LEXICAL_MODELS
     norm = normalise if normalise_text else (lambda c: c)
     known = F.col(error) if error else F.lit(None).cast("string")
-    texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e")).repartition(key)
+    texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e"))
+    texts = texts if dealt else texts.repartition(key)
     fitted = {name: m for name, m in models.items() if hasattr(m, "weights")}
     sides = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(side).alias("side"), getattr(tok, "terms", tok)(F.col(text)).alias("terms"))
                       for name, tok in models.items() for side, text in ((0, "_lt"), (1, "_rt"))])
@@ -151,3 +175,17 @@ def score_pairs(summaries: DataFrame, explanations: DataFrame, key: str = "pair_
     """J8 + M1-M6: summaries ⋈ explanations on the item key, then every lexical model."""
     pairs = summaries.select(key, "summary").join(explanations.select(key, "explanation"), key)
     return score_lexical(pairs, key, "summary", "explanation", models, threshold)
+
+
+def store_texts(texts: DataFrame, table: str, path: str, key: str = "pair_id", buckets: int = BUCKETS) -> None:
+    """``texts`` as a table bucketed and sorted by the key, under ``path``; tables of one bucket count meet without an exchange."""
+    # one writing task for each bucket, so a bucket is one file and its order is kept by a scan
+    (texts.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+
+
+def score_stored(spark: SparkSession, summaries: str, explanations: str, key: str = "pair_id",
+                 models: dict | None = None, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """J8 + M1-M6 over two tables of ``store_texts``: joined and counted bucket by bucket, so whole texts are never shuffled."""
+    pairs = spark.table(summaries).select(key, "summary").join(spark.table(explanations).select(key, "explanation").hint("merge"), key)
+    return score_lexical(pairs, key, "summary", "explanation", models, threshold, dealt=True)

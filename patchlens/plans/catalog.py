@@ -18,7 +18,7 @@ from ..operators.encoder import encode, fit_hashed_idf
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts, render_changes
 from ..operators.rules import diff_nodes
-from ..operators.similarity import LEXICAL_MODELS, score_dense, score_lexical, score_pairs
+from ..operators.similarity import LEXICAL_MODELS, score_dense, score_lexical, score_pairs, score_stored, store_texts
 from ..schemas import NODE
 from ..sources.changes_io import read_changes
 from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_path, resolve_items,
@@ -234,6 +234,16 @@ def q_score_pairs(spark, sf_dir):
     return _score_out(score_pairs(spark.sql(V.document_summaries_sql()), spark.sql(V.conversation_explanations_sql("spark")), "pair_id"))
 
 
+def q_score_stored_pairs(spark, sf_dir):
+    """J8 from co-located storage: whole documents and whole conversations as bucketed tables, scored without a shuffle."""
+    register(spark, sf_dir, "documents", "conversations")
+    top, mark = ensure_checkpoint_dir(spark).rstrip("/"), f"{zlib.crc32(sf_dir.encode()):08x}"
+    names = f"summaries_{mark}", f"explanations_{mark}"
+    for name, sql in zip(names, (V.document_summaries_sql(), V.conversation_explanations_sql("spark"))):
+        store_texts(spark.sql(sql), name, f"{top}/tables-{spark.sparkContext.applicationId}/{name}")
+    return _score_out(score_stored(spark, *names))
+
+
 def _document_frequencies(spark, sf_dir):
     return fit_hashed_idf(_view(spark, sf_dir, "SELECT text FROM documents", "documents"))
 
@@ -403,6 +413,7 @@ QUERIES = {
     "render_all_types": q_render_all_types,
     "score_pairs": q_score_pairs,
     "score_lexical": q_score_lexical,
+    "score_stored_pairs": q_score_stored_pairs,
     "encode_hashed": q_encode_hashed,
     "score_hashed_idf": q_score_hashed_idf,
     "score_dense": q_score_dense,

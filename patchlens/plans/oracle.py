@@ -622,6 +622,7 @@ ORACLE = {
     "diff_expressions": diff_expressions_sql(),
     "render_all_types": render_all_types_sql(),
     "score_pairs": score_pairs_sql(),
+    "score_stored_pairs": score_pairs_sql(),
     "encode_hashed": encode_hashed_sql(),
     "score_hashed_idf": score_hashed_idf_sql(),
     "score_lexical": score_lexical_sql(),

@@ -42,6 +42,36 @@ def test_verdict_uses_unrounded_score(spark):
     assert [(r.shown, r.is_match) for r in got] == [("0.60", False), ("0.60", True), (None, False)]
 
 
+def test_shown_scores_equal_python(spark):
+    import random
+    rng = random.Random(8)
+    values = [0.595, 0.125, 0.375, 0.005, 0.015, 0.995, 1.0, 0.0, -0.0, -0.001, -0.125, 0.6, 1e-300, 5e-324, 2.675, 1e6 + 0.125, 12345678.905, 2.0 ** 43 + 0.5, 1e18]
+    values += [rng.uniform(-1, 1) for _ in range(10_000)] + [rng.randrange(-10**6, 10**6) / 1000 for _ in range(2000)] + [
+        rng.randrange(-4000, 4000) / 800 for _ in range(2000)] + [rng.uniform(-1e12, 1e12) for _ in range(1000)]
+    from patchlens.operators.similarity import two_places
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", two_places(F.col("v")).alias("t")).collect()
+    assert [v for i, v in ((r.i, values[r.i]) for r in got if r.t != f"{values[r.i]:.2f}")] == []
+
+
+def test_stored_texts_are_scored_without_an_exchange(spark, tmp_path):
+    from patchlens.operators.similarity import score_pairs, score_stored, store_texts
+    s = spark.createDataFrame([(str(i), f"word{i % 7} of text {i}") for i in range(200)] + [(None, "x")], "pair_id string, summary string")
+    e = spark.createDataFrame([(str(i), f"word{i % 5} of text {i}") for i in range(0, 300, 3)] + [("5", None)], "pair_id string, explanation string")
+    for name, df in (("stored_s", s), ("stored_e", e)):
+        for _ in range(2):  # writing again replaces
+            store_texts(df, name, str(tmp_path / name), buckets=4)
+    try:
+        stored = score_stored(spark, "stored_s", "stored_e")
+        key = lambda r: (r.pair_id, r.model, r.score, r.shown, r.is_match, r.error)
+        assert sorted(map(key, stored.collect()), key=str) == sorted(map(key, score_pairs(s, e).collect()), key=str)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert len(list((tmp_path / "stored_s").glob("*.parquet"))) == 4
+    finally:
+        for name in ("stored_s", "stored_e"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_dense_cosine_and_slices(spark):
     from patchlens.operators.similarity import score_dense
     df = spark.createDataFrame([("p", [1.0, 0.0, 1.0, 1.0], [1.0, 0.0, 0.0, 1.0]), ("z", [0.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0, 1.0])],
