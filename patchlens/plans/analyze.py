@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.align import NEW, OLD, function_changes
+from ..operators.deal import deal_by_cost
 from ..operators.extract import extract_pairs
 from ..operators.render import item_texts
 from ..operators.rules import EXTENDED
@@ -27,13 +28,23 @@ def pair_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("pair_id").agg(side(OLD).alias("old"), side(NEW).alias("new"))
 
 
-def analyze_pairs(items: DataFrame, mode: str = "reference", partitions: int | None = None) -> DataFrame:
+def _dealt(items: DataFrame, partitions: int | None, by_cost: bool) -> DataFrame:
+    if not partitions:
+        return items
+    if not by_cost:
+        return items.repartition(partitions)
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return deal_by_cost(items, partitions, size("old") + size("new"))
+
+
+def analyze_pairs(items: DataFrame, mode: str = "reference", partitions: int | None = None, by_cost: bool = False) -> DataFrame:
     """(pair_id, old, new) -> change rows (pair_id, func, first_ord, phase, pos, seq, payload).
 
-    ``partitions`` deals the items out before parsing, for inputs with few, fat splits. Mode ``extended`` adds records of the
+    ``partitions`` deals the items out before parsing, for inputs with few, fat splits: by their number, or with ``by_cost``
+    by the length of their sources, which is measured in a pass of its own. Mode ``extended`` adds records of the
     expressions inside aligned statements: strings, formatted strings, calls and attributes.
     """
-    items = items.repartition(partitions) if partitions else items
+    items = _dealt(items, partitions, by_cost)
     pairs = extract_pairs(items, else_texts=mode == "strict", expressions=mode == EXTENDED).where(F.col("func").isNotNull()).drop("error")
     return function_changes(pairs, mode)
 
@@ -51,7 +62,7 @@ def parse_status(functions: DataFrame) -> DataFrame:
 
 def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "reference",
               models: dict | None = None, threshold: float = MATCH_THRESHOLD,
-              partitions: int | None = None) -> dict[str, DataFrame]:
+              partitions: int | None = None, by_cost: bool = False) -> dict[str, DataFrame]:
     """End to end for items with a buggy source and a model reply.
 
     ``items``: (pair_id, source, reply) - or (pair_id, source) with ``replies``
@@ -74,7 +85,7 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
         carry += ("known_error",)
     # a reply without code leaves nothing to compare
     both = parsed.select("pair_id", F.when(F.col("fixed").isNotNull(), F.col("source")).alias("old"), F.col("fixed").alias("new"), *carry)
-    both = both.repartition(partitions) if partitions else both
+    both = _dealt(both, partitions, by_cost)
     facts = extract_pairs(both, carry=carry, else_texts=mode == "strict", expressions=mode == EXTENDED)
     records = function_changes(facts, mode, keep_items=True)
     outcome = item_texts(records, carry=(*carry, "error"))
