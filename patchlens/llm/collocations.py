@@ -24,7 +24,7 @@ named are never read, so names cannot clash.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,11 +42,13 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 MILLION = 1_000_000
 LONGEST = 3
 UNKNOWN = "und"
+#: Bits of a fingerprint that are kept: fewer make smaller entries and more collisions, which cost a look at the text and no more.
+PRINT_BITS = 48
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 #: Bounds of what a task holds at once: words hashed, entries added up, bytes of texts looked into.
 FLUSH_WORDS = 1 << 21
 BUCKET_ENTRIES = 1 << 22
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 #: Bits of the filter of frequent pairs, a power of two whatever the input, and the parts it is put together from.
 FILTER_BITS = 1 << 27
 FILTER_PARTS = 64
@@ -76,7 +78,7 @@ def _salt(lang: str, n: int) -> int:
 def fingerprint(lang: str, words: list[bytes]) -> int:
     """The fingerprint of one phrase; its lowest two bits say how many words."""
     total = sum(xxhash.xxh64_intdigest(w) * pow(BASE, k, 1 << 64) for k, w in enumerate(words))
-    return ((total + _salt(lang, len(words))) & _MASK & ~3) | len(words)
+    return ((total + _salt(lang, len(words))) & _MASK) >> (64 - PRINT_BITS) & ~3 | len(words)
 
 
 def text_hash(lang: str, text: bytes) -> int:
@@ -104,8 +106,8 @@ class Filter:
 
     @staticmethod
     def places(prints: np.ndarray, size: int) -> np.ndarray:
-        shift = np.uint64(64 - (size - 1).bit_length())
-        return np.concatenate([prints >> shift, (prints * np.uint64(BASE)) >> shift])
+        width = (size - 1).bit_length()
+        return np.concatenate([prints >> np.uint64(2) & np.uint64(size - 1), (prints * np.uint64(BASE)) >> np.uint64(64 - width)])
 
     def holds(self, prints: np.ndarray) -> np.ndarray:
         at = self.places(prints, len(self.bits) * 8)
@@ -146,7 +148,7 @@ class Held:
         def prints_at(i: np.ndarray, n: int) -> np.ndarray:
             salt = np.array([_salt(name, n) for name in names], np.uint64)
             f = (prefix[i + n] - prefix[i]) * back[i] + salt[lang[i]]
-            return (f & np.uint64(_MASK & ~3)) | np.uint64(n)
+            return f >> np.uint64(64 - PRINT_BITS) & np.uint64(_MASK & ~3) | np.uint64(n)
 
         prints, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
         for n in orders:
@@ -193,8 +195,8 @@ _SHARE = np.dtype([("text", "<u8"), ("mark", "<u4"), ("at", "<u4"), ("count", "<
 
 def mark_of(prints):
     """The mark of a fingerprint, or of an array of them."""
-    return prints >> 34 & ~3 | prints & 3 if isinstance(prints, int) else (
-        prints >> np.uint64(34) & np.uint64(_MASK & ~3) | prints & np.uint64(3)).astype(np.uint32)
+    return prints >> (PRINT_BITS - 30) & ~3 | prints & 3 if isinstance(prints, int) else (
+        prints >> np.uint64(PRINT_BITS - 30) & np.uint64(_MASK & ~3) | prints & np.uint64(3)).astype(np.uint32)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -228,7 +230,7 @@ def _entries(docs: DataFrame, buckets: int, flush_words: int, orders: tuple[int,
         rows: list[tuple] = [(-1 - xxhash.xxh32_intdigest(lang.encode()) % 64, *[None] * 5, lang, n)
                              for lang, n in totals.items() if n and 1 in orders]
         texts, places = np.array([h for h, _, _ in held.texts], np.uint64), np.array([p for _, _, p in held.texts], np.uint32)
-        bounds = np.searchsorted(prints, np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64))
+        bounds = np.searchsorted(prints, np.array([-(-(b << PRINT_BITS) // buckets) for b in range(1, buckets)], np.uint64))
         for b, (x, y) in enumerate(zip([0, *bounds], [*bounds, len(prints)])):
             if x < y:
                 # the texts that this block points into, and places counted within them
@@ -338,7 +340,8 @@ def _spelled(shares: DataFrame, bodies: DataFrame) -> DataFrame:
         wanted = wanted[np.argsort(wanted["text"], kind="stable")]
         bounds = np.flatnonzero(np.r_[True, np.diff(wanted["text"]) != 0]) if len(wanted) else np.zeros(0, np.int64)
         spans = dict(zip(wanted["text"][bounds].tolist(), zip(bounds.tolist(), [*bounds[1:].tolist(), len(wanted)])))
-        total, done, opener = Counter(), set(), zstandard.ZstdDecompressor()
+        total: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        done, opener = set(), zstandard.ZstdDecompressor()
         rows = list(zip(*(texts.column(c).to_pylist() for c in ("text", "lang", "body"))))
         texts_of = Counter(h for h, _, _ in set(rows))
         for h, lang, body in rows:
@@ -351,8 +354,8 @@ def _spelled(shares: DataFrame, bodies: DataFrame) -> DataFrame:
             for mark, at, count in zip(*(wanted[c][span[0]:span[1]].tolist() for c in ("mark", "at", "count"))):
                 phrase = words[at:at + (mark & 3)]
                 if alone or mark_of(fingerprint(lang, phrase)) == mark:
-                    total[lang, mark & 3, b" ".join(phrase)] += count
-        rows = [(lang, n, phrase.decode(), count) for (lang, n, phrase), count in total.items()]
+                    total[lang, mark & 3][b" ".join(phrase)] += count
+        rows = [(lang, n, phrase.decode(), count) for (lang, n), found in total.items() for phrase, count in found.items()]
         return pa.Table.from_batches([_batch(rows, ["lang", "n", "phrase", "count"], [pa.string(), pa.int32(), pa.string(), pa.int64()])])
 
     return (shares.where("block >= 0").select("block", "shares").groupBy("block").cogroup(bodies.groupBy("block"))

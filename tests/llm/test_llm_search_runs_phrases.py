@@ -243,7 +243,7 @@ def test_collisions_between_tasks_come_apart(spark):
     bodies = collocations._bodies(spark.createDataFrame([("en", a.decode()), ("en", b.decode())], "lang string, text string"), 1)
     same = 77 << 2 | 2  # one fingerprint for both phrases
     shares = np.array([(collocations.text_hash("en", t), same, 0, n) for t, n in ((a, 6), (b, 5))], collocations._SHARE)
-    assert collocations.mark_of(1 << 63 | 3) == int(collocations.mark_of(np.array([1 << 63 | 3], np.uint64))[0]) == 1 << 29 | 3
+    assert collocations.mark_of(1 << 47 | 3) == int(collocations.mark_of(np.array([1 << 47 | 3], np.uint64))[0]) == 1 << 29 | 3
     df = spark.createDataFrame([(0, bytearray(collocations.squeezed(shares)), None, None)], "block int, shares binary, lang string, words long")
     got = {(r["lang"], r["n"], r["phrase"], r["count"]) for r in collocations._spelled(df, bodies).collect()}
     assert got == {("en", 2, "red fox", 6), ("en", 2, "old owl", 5)}
@@ -258,7 +258,7 @@ def test_squeezed_arrays_come_back(kind):
 
 def test_filter_never_misses():
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    prints = rng.integers(0, 1 << collocations.PRINT_BITS, 5000, dtype=np.uint64)
     bits = np.zeros(1 << 16, np.uint8)
     bits[collocations.Filter.places(prints[:2000], 1 << 16)] = 1
     held = collocations.Filter(np.packbits(bits, bitorder="little")).holds(prints)
