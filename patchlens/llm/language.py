@@ -16,7 +16,6 @@ teach nothing; ties go to the smaller language name; without training rows every
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -41,14 +40,17 @@ COUNTED_ENTRIES = 300_000
 #: Words of evidence beyond which a posterior grows no surer.
 EVIDENCE_WORDS = 20
 
-# what ``\w`` takes beside letters, decimals and the underscore: fractions, raised and Roman numbers, ...
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _END = "\x00"
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    found = _WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # ``\w`` takes more than letters: fractions, raised and Roman numbers, ... part words like any other sign
+    return [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:

@@ -28,7 +28,8 @@ from patchlens.llm.common import settled, small_batches
 GROUP_PIECES = 4096
 #: Free share of a sequence from which its pieces are packed again at the next level.
 DISSOLVE = 0.01
-#: White-space separated strings whose ids a worker process keeps; emptied when full.
+#: White-space separated strings whose ids a worker process keeps in each of two generations: a full one becomes the older, and strings
+#: that are still in use come over from it.
 CACHE_STRINGS = 500_000
 #: Outside white space these separate for Python but not for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -44,6 +45,7 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.pieces_of = self.tokenizer.model.tokenize
         # how the tokenizer spells a lower-case letter for its merges
@@ -52,7 +54,11 @@ class Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_STRINGS:
+            self.older = dict(self)
             self.clear()
+        if (got := self.older.get(word)) is not None:
+            self[word] = got
+            return got
         parts = _STEM.fullmatch(word)
         if not parts:
             got = self.encode(word)
