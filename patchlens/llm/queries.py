@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import bucket, table
+from patchlens.session import ensure_checkpoint_dir
 
 
 def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +97,16 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from patchlens.llm.shards import shard
+    """Placed by version 1 of a stored map; ``next_shard`` is the place under version 2, the map edited for one more shard."""
+    from patchlens.llm.shards import read_map, shard, slot_totals, store_map, with_next_shard, with_slots
 
-    return shard(table(spark, sf_dir, "documents"), 24).select(
+    docs = table(spark, sf_dir, "documents")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    placed = shard(docs, 24, path=path)
+    edited = store_map(spark, path, slot_totals(with_slots(docs)), 25)
+    return with_next_shard(placed, read_map(spark, path, edited)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ versioned map sends slots to shards. Rebalancing edits the map, never the hash,
 only when its slot does.
 
 Edge cases: a null text has no bytes (its record still counts ``ROW_BYTES``); records with a null
-key are spread by their text's hash; equal rows stay in one slot and take different positions; an
+key are spread by their text's hash; the slot follows the key, so equal texts of different keys may part; texts of any length count whole, and
+columns other than the two named are never read; equal rows stay in one slot and take different positions; an
 empty table gives an empty result and a map whose slots are dealt round the shards.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +126,30 @@ def assign(records: DataFrame, slot_map: list[tuple], key: str = "doc_id") -> Da
             .drop("slot_rank", "slot_start"))
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` dealt to ``shards`` shards of near equal bytes under a fresh map."""
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` dealt to ``shards`` shards of near equal bytes. Without ``path`` under a fresh map. With it the map is stored there: version 1 if there is
+    none yet, else an edit of the newest one for the rows as they are now; records are placed by what is read back."""
     records = with_slots(docs, key, text, slots)
-    return assign(records, first_map(slot_totals(records), shards, slots), key)
+    if path is None:
+        return assign(records, first_map(slot_totals(records), shards, slots), key)
+    spark = docs.sparkSession
+    return assign(records, read_map(spark, path, store_map(spark, path, slot_totals(records), shards, slots)), key)
+
+
+def store_map(spark: SparkSession, path: str, totals: Iterable[tuple[int, int, int]], shards: int, slots: int = SLOTS) -> int:
+    """Adds the map for these totals to the stored versions, the first or an edit of the newest; its version."""
+    try:
+        newest = read_map(spark, path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        newest = None
+    slot_map = rebalanced(newest, totals, shards) if newest else first_map(totals, shards, slots)
+    write_map(spark, slot_map, path)
+    return slot_map[0][4]
+
+
+def with_next_shard(placed: DataFrame, slot_map: list[tuple], name: str = "next_shard") -> DataFrame:
+    """``placed`` and the shard of its virtual slot under another version of the map."""
+    other = placed.sparkSession.createDataFrame([(r[0], r[1]) for r in slot_map], f"virtual_slot int, {name} int")
+    return placed.join(F.broadcast(other), "virtual_slot")

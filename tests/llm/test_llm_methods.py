@@ -133,6 +133,24 @@ def test_packing_whole_and_tight(docs, texts):
     assert len(held) <= -(-sum(x[1] for x in want.values()) // 512) + 2
 
 
+def test_stored_shard_maps_are_edited(spark, docs, tmp_path):
+    from patchlens.llm import queries
+
+    rows = queries.op9_slot_shards(spark, SF).collect()
+    assert len(rows) == docs.count() and {r["map_version"] for r in rows} == {1} and {r["shard"] for r in rows} <= set(range(24))
+    moved = [r for r in rows if r["next_shard"] != r["shard"]]
+    assert any(r["next_shard"] == 24 for r in rows) and 0 < len(moved) < len(rows) / 4
+    path = str(tmp_path / "maps")
+    first = {r["doc_id"]: r for r in shards.shard(docs, 4, 64, path=path).collect()}
+    fewer = {r["doc_id"]: r for r in shards.shard(docs, 3, 64, path=path).collect()}
+    assert {r["map_version"] for r in first.values()} == {1} and {r["map_version"] for r in fewer.values()} == {2}
+    stay = [k for k, r in first.items() if r["shard"] < 3 and fewer[k]["shard"] == r["shard"]]
+    assert {r["shard"] for r in fewer.values()} == {0, 1, 2} and len(stay) > len(first) / 2
+    assert shards.read_map(spark, path, 1) != shards.read_map(spark, path)
+    sizes = [sum(r["size"] for r in fewer.values() if r["shard"] == k) for k in range(3)]
+    assert max(sizes) - min(sizes) <= 0.25 * max(sizes)
+
+
 def test_ids_of_odd_strings_equal_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, ids, rng = Tokenizer.from_file(path), packing.Ids(path), random.Random(1)
