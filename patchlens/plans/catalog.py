@@ -169,9 +169,8 @@ def _sources(spark, sf_dir):
     return _view(spark, sf_dir, V.sources_sql("spark"), "lineitem")
 
 
-def q_extract_functions(spark, sf_dir):
-    src = _sources(spark, sf_dir).select("pair_id", F.lit(0).alias("version"), "source")
-    f = extract_functions(src)
+def _extracted(src: DataFrame) -> DataFrame:
+    f = extract_functions(src.select("pair_id", F.lit(0).alias("version"), "source"))
     return f.select("pair_id", "func", F.col("walk_ord").cast("bigint").alias("walk_ord"),
                     F.array_join("args", ",").alias("args"),
                     F.size("stmts").cast("bigint").alias("n_stmts"),
@@ -180,6 +179,15 @@ def q_extract_functions(spark, sf_dir):
                     F.regexp_extract("error", r"^(\w+)", 1).alias("error_kind"))
 
 
+def q_extract_functions(spark, sf_dir):
+    return _extracted(_sources(spark, sf_dir))
+
+
+def q_extract_odd_functions(spark, sf_dir):
+    """Plain definitions in non-canonical files: parameters of every kind, ``async def`` skipped but not what it holds."""
+    return _extracted(_view(spark, sf_dir, V.odd_sources_sql(), "part"))
+
+
 # ------------------------------------------------------------------ text pairs (statement = line)
 
 def _line_nodes(text: Column) -> Column:
@@ -386,6 +394,7 @@ QUERIES = {
     "reply_clean": q_reply_clean,
     "text_normalise": q_text_normalise,
     "extract_functions": q_extract_functions,
+    "extract_odd_functions": q_extract_odd_functions,
     "functions_last_wins": q_functions_last_wins,
     "functions_join": q_functions_join,
     "align_positions": q_align_positions,

@@ -328,6 +328,16 @@ bad AS (
 SELECT * FROM top UNION ALL SELECT * FROM inner_defs UNION ALL SELECT * FROM bad"""
 
 
+def extract_odd_sql() -> str:
+    """Of the method the one positional parameter that is not positional-only, canonical texts; the plain function inside the
+    ``async def``, breadth-first after it."""
+    no_error = "CAST(NULL AS VARCHAR) AS error_kind"
+    return f"""
+SELECT CAST(p_partkey AS VARCHAR) AS pair_id, 'm_' || CAST(p_partkey % 5 AS VARCHAR) AS func, CAST(0 AS BIGINT) AS walk_ord, 'q' AS args, CAST(2 AS BIGINT) AS n_stmts,
+  'Assign,Return' AS kinds, 'x = q + ' || CAST(p_size AS VARCHAR) || '|return x' AS texts, {no_error} FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'inner', CAST(1 AS BIGINT), 'z', CAST(1 AS BIGINT), 'Return', 'return [z, ' || CAST(p_size AS VARCHAR) || ']', {no_error} FROM part"""
+
+
 # ------------------------------------------------------------------ text pairs
 
 def _doc_lines() -> str:
@@ -606,6 +616,7 @@ ORACLE = {
     "reply_clean": reply_clean_sql(),
     "text_normalise": text_normalise_sql(),
     "extract_functions": extract_functions_sql(),
+    "extract_odd_functions": extract_odd_sql(),
     "functions_last_wins": functions_last_wins_sql(),
     "functions_join": functions_join_sql(),
     "align_positions": align_positions_sql(),

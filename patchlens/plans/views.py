@@ -245,6 +245,15 @@ GROUP BY l_orderkey
 """
 
 
+def odd_sources_sql() -> str:
+    """A Python file for each ``part``, not in canonical form: a method with parameters of every kind, an ``async def`` that holds
+    a plain one, comments, odd spacing and brackets, a lambda."""
+    n = s("p_size")
+    lines = ["'class C:'", "'    def m_' || " + s("p_partkey % 5") + " || '(self,p ,/, q=1, *rest, key = 2, **more):'", f"'        x=( q+' || {n} || ' )  # note'",
+             "'        return   x'", "''", "'async def a(y):'", f"'    def inner(z): return  [ z , ' || {n} || ' ]'", "'    return y'", "'lam = lambda t: t'"]
+    return f"SELECT {s('p_partkey')} AS pair_id, {f' || {NL} || '.join(lines)} AS source FROM part"
+
+
 def explanation_sql(k: str) -> str:
     """The explanation that order ``k``'s reply gives for its change."""
     return f"""CASE WHEN {k} % 3 = 0 THEN 'Value of variable x changed; the assignment now adds one.'
