@@ -2,7 +2,7 @@
 
 A text is cut into segments that no piece crosses. The distinct segments' substrings, no longer than the longest piece, are
 exploded and equi-joined to the piece table; the hits are the edges of each segment's lattice, grouped by segment and
-folded from left to right with a higher-order aggregate.
+folded from left to right.
 
 The public vocabulary is a byte-pair model, whose own encoding is no largest sum of scores (such a Viterbi fold differs from it
 on most words). So the fold's survivor at each position is not the best-scored edge but the only valid one: merges make
@@ -11,40 +11,47 @@ t after the survivor a at its left end is broken up if a lattice edge c crosses
 side and ends at a part of t's left side that are both still whole when c's merge has its turn. ``right`` and ``left``
 give, for each piece and each length of such a part, the rank of the merge that swallows it.
 
-The dearest step, the fold, is done once for each distinct segment. A bounded number of segments that are frequent in a bounded sample is
-broadcast; every other segment is looked up by block of documents, so a task holds one block's texts and its dictionary.
+Whether t may follow a thus depends on the two pieces alone, so a task remembers it for pairs seen (``PAIRS`` of them). That is why the
+fold runs over Arrow batches of lattices: a higher-order aggregate has no such memory and takes over 200 microseconds a segment.
+
+The vocabulary of all texts, with the blocks of documents each segment is in, is written to the shared folder. Segments of the most blocks
+are broadcast with their ids, ``FREQUENT`` at most; every other one is looked up by block, so a task holds one block's texts and dictionary.
 
 Edge cases: a null or empty text has no ids; spaces and a leading one are the piece mark; characters outside the
 vocabulary become their UTF-8 bytes' pieces; ids outside the vocabulary decode to nothing; rows with a null or repeated key are encoded
-one by one; an empty table gives an empty result.
+one by one; only the key and the text are read, whatever other columns are named; an unbroken run of letters, however long, is one
+segment, whose lattice a task holds as a row of at most ``Pieces.longest`` numbers a character; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from patchlens.llm.common import small_batches
+from patchlens.session import ensure_checkpoint_dir
 
 MARK = "▁"
-#: Of the sample that frequent segments are taken from (expected rows), and their number.
-SAMPLE_ROWS = 10_000
+#: Most segments that are broadcast with their ids.
 FREQUENT = 200_000
-#: Text bytes of a block of documents, and pairs that a task holds before it passes them on.
-BLOCK_BYTES = 8 << 20
-HELD_SEGMENTS = 300_000
-#: Blocks in one row of the segment table.
+#: Text bytes of a block of documents; words and segments that a task holds before it passes them on.
+BLOCK_BYTES = 16 << 20
+HELD_WORDS, HELD_SEGMENTS = 1_500_000, 400_000
+#: Blocks in one row of the segment table; segments that a task makes lattices of; remembered pairs of pieces.
 BLOCKS_A_ROW = 1000
+SEGMENTS_A_TASK = 20_000
+PAIRS = 1_000_000
 _NEVER = 1_000_000
 
 _LETTERS = regex.compile(f"{MARK}*\\p{{L}}+|{MARK}*[^\\p{{L}}{MARK}]+|{MARK}+")
@@ -104,6 +111,27 @@ class Pieces:
         rank = {p: order[-m.get_score(i)] for i, p in plain.items() if len(p) > 1}
         return {i: (rank.get(p, 0), *sides) for i, p in plain.items() if (sides := _parts(p, rank)) is not None}
 
+    @cached_property
+    def ranks(self) -> dict[str, int]:
+        """Rank of every piece that a merge makes."""
+        return {self.names[i]: p[0] for i, p in self.parts.items() if len(self.names[i]) > 1}
+
+    @cached_property
+    def characters(self) -> set[str]:
+        return {self.names[i] for i in self.parts if len(self.names[i]) == 1}
+
+    def follows(self, a: int, t: int) -> bool:
+        """Whether no earlier merge crosses the border of piece ``a`` and piece ``t`` after it."""
+        before, after, right, left = self.names[a], self.names[t], self.parts[a][1], self.parts[t][2]
+        for i in range(1, len(before) + 1):
+            if right[i] < 0:
+                continue
+            for j in range(1, min(len(after), self.longest - i) + 1):
+                rank = self.ranks.get(before[-i:] + after[:j])
+                if rank is not None and rank < right[i] and rank <= left[j]:
+                    return False
+        return True
+
     @cached_property
     def longest(self) -> int:
         return max(len(self.names[i]) for i in self.parts)
@@ -118,67 +146,69 @@ def segments_of(text: str | None, cut: regex.Pattern) -> list[str]:
     return cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _numbers(values: list[int]) -> Column:
-    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<int>")
-
-
 def encode_segments(words: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
-    """``words`` (``segment`` and the columns ``keep``) with the ``ids`` of each segment; rows should be distinct."""
-    spark = words.sparkSession
-    # a few thousand groups are held as objects in a task; sorting all edges instead costs several times more
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1000000")
-    longest, size = pieces.longest, len(pieces.names)
-    rank, row, right, left = [0] * size, [0] * size, [-1, _NEVER], [-1, _NEVER]  # row 0: a character outside the vocabulary
-    for i, (r, rs, ls) in pieces.parts.items():
-        rank[i], row[i] = r, len(right)
-        right += rs
-        left += ls
-    ranks, rows, rights, lefts = _numbers(rank), _numbers(row), _numbers(right), _numbers(left)
-    table = spark.createDataFrame([(pieces.names[i], i) for i in pieces.parts], "piece string, id int")
-
-    # edges, as one number each: end, start, id; sorted, longer ones of an end come first
-    subs = (words.select("segment", *keep, F.explode(F.expr("sequence(1, length(segment))")).alias("f"))
-            .select("segment", *keep, "f", F.explode(F.expr(f"sequence(1, least(f, {longest}))")).alias("l"))
-            .withColumn("piece", F.expr("substring(segment, f - l + 1, l)")))
-    edges = (subs.join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
-             .select("segment", *keep, F.expr("shiftleft(bigint(f), 42) + shiftleft(bigint(f - l), 21) + coalesce(id, 0)").alias("edge")))
-    lattice = edges.groupBy("segment", *keep).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # unpacked once: end, start, id, rank, and the id's row in the tables of parts
-    number = lambda e: e.bitwiseAND(F.lit(0x1FFFFF)).cast("int")
-    lattice = lattice.withColumn("edges", F.transform("edges", lambda e: F.struct(
-        F.shiftright(e, 42).cast("int").alias("f"), F.shiftright(e, 21).bitwiseAND(F.lit(0x1FFFFF)).cast("int").alias("s"),
-        number(e).alias("id"), F.get(ranks, number(e)).alias("rank"), F.get(rows, number(e)).alias("row"))))
-    lattice = lattice.withColumn("merged", F.filter("edges", lambda e: e["f"] - e["s"] > 1))
-    edge, window = "struct<f:int,s:int,id:int,rank:int,row:int>", longest * longest
-
-    def step(state: Column, e: Column) -> Column:
-        """``picks`` has the survivor that ends at each position, ``threats`` the edges that may cross it, as far as the survivor's own
-        merges let them; ``k`` counts the merged edges passed, so those that reach further come next."""
-        picks, k = state["picks"], (state["k"] + F.when(e["f"] - e["s"] > 1, 1).otherwise(0)).alias("k")
-        threats = F.filter(F.slice(F.col("merged"), state["k"] + 1, F.lit(window)), lambda c: (c["s"] < e["f"]) & (c["s"] >= e["s"]) & (
-            c["rank"] < F.get(rights, e["row"] + e["f"] - c["s"])) & (c["f"] > e["f"]))
-        broken = F.exists(F.get(state["threats"], e["s"] - 1), lambda c: (c["f"] <= e["f"]) & (
-            c["rank"] <= F.get(lefts, e["row"] + c["f"] - e["s"])))
-        valid = (F.size(picks) < e["f"]) & ((e["s"] == 0) | ~broken)
-        return F.when(valid, F.struct(k, F.concat(picks, F.array(e)).alias("picks"), F.concat(
-            state["threats"], F.array(threats)).alias("threats"))).otherwise(F.struct(k, picks.alias("picks"), state["threats"].alias("threats")))
-
-    start = F.struct(F.lit(0).alias("k"), F.array().cast(f"array<{edge}>").alias("picks"), F.array().cast(f"array<array<{edge}>>").alias("threats"))
-    picks = F.aggregate("edges", start, step)["picks"]
-    back = F.struct(F.size("picks").alias("at"), F.array().cast(f"array<{edge}>").alias("path"))
-
-    def walk(state: Column, e: Column) -> Column:
-        """From the last survivor to the one that ends where it starts, and so on."""
-        return F.when(e["f"] == state["at"], F.struct(e["s"].alias("at"), F.concat(F.array(e), state["path"]).alias("path"))).otherwise(state)
-
-    path = F.aggregate(F.reverse("picks"), back, walk)["path"]
-    spelled = lambda e: F.transform(F.regexp_extract_all(F.hex(F.encode(F.col("segment").substr(
-        e["f"], F.lit(1)), "UTF-8")), F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int") + pieces.first_byte)
-    ids = F.when(F.exists("path", lambda e: e["id"] == 0), F.flatten(F.transform(
-        "path", lambda e: F.when(e["id"] == 0, spelled(e)).otherwise(F.array(e["id"]))))).otherwise(F.transform("path", lambda e: e["id"]))
-    return (lattice.withColumn("picks", picks).withColumn("path", path)
-            .select("segment", *keep, F.when(F.size("picks") == F.length("segment"), ids).otherwise(
-                F.raise_error(F.concat(F.lit("no valid pieces for "), F.col("segment")))).alias("ids")))
+    """``words`` (``segment`` and the columns ``keep``; rows without repeats, dealt by segment) with each segment's ``ids``, packed as 32-bit
+    numbers. A segment that holds no piece at all is left out: see ``spelled``."""
+    longest = pieces.longest
+    if longest > 127 or len(pieces.names) >= 1 << 25:
+        raise ValueError("pieces of more than 127 characters, or 2^25 pieces and more")
+    table = words.sparkSession.createDataFrame([(pieces.names[i], i) for i in pieces.parts], "piece string, id int")
+    # an edge is one number: end, 127 less its length, id; in order, longer ones of an end come first
+    edges = (words.select("segment", *keep, F.explode(F.expr("sequence(1, length(segment))")).alias("f"))
+             .select("segment", *keep, "f", F.explode(F.expr(f"sequence(1, least(f, {longest}))")).alias("l"))
+             .withColumn("piece", F.expr("substring(segment, f - l + 1, l)")).join(F.broadcast(table), "piece")
+             .select("segment", *keep, F.expr("shiftleft(bigint(f), 32) + shiftleft(bigint(127 - l), 25) + id").alias("edge")))
+    lattice = edges.groupBy("segment", *keep).agg(F.sort_array(F.collect_list("edge")).alias("edges")).select(*keep, "segment", "edges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bool] = {}
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends, lengths, ids = (flat >> 32).tolist(), (127 - ((flat >> 25) & 127)).tolist(), (flat & ((1 << 25) - 1)).tolist()
+            at, out = [0, *np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()], []
+            for k, segment in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
+                here = slice(at[k], at[k + 1])
+                out.append(_fold(segment, ends[here], lengths[here], ids[here], pieces, known))
+                if len(known) > PAIRS:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
+
+    return lattice.mapInArrow(run, StructType([*lattice.schema.fields[:-1], StructField("ids", BinaryType())]))
+
+
+def _fold(segment: str, ends: list[int], lengths: list[int], ids: list[int], pieces: Pieces, known: dict[int, bool]) -> bytes:
+    """For each position the survivor that ends there, then the path back from the last one."""
+    picks, reach = [-1] * (len(segment) + 1), [1] * (len(segment) + 1)
+    for f, l, t in zip(ends, lengths, ids):
+        if picks[f] >= 0:
+            continue
+        if l < f and (a := picks[f - l]) >= 0:
+            pair = a << 25 | t
+            valid = known.get(pair)
+            if valid is None:
+                valid = known[pair] = pieces.follows(a, t)
+            if not valid:
+                continue
+        picks[f], reach[f] = t, l
+    path: list[int] = []
+    f = len(segment)
+    while f:
+        path += [picks[f]] if picks[f] >= 0 else reversed(_bytes_of(segment[f - 1], pieces))
+        f -= reach[f]
+    path.reverse()
+    return array("i", path).tobytes()
+
+
+def _bytes_of(character: str, pieces: Pieces) -> list[int]:
+    if character in pieces.characters:
+        raise ValueError(f"no valid pieces up to {character!r}")
+    return [b + pieces.first_byte for b in character.encode("utf-8", "replace")]
+
+
+def spelled(segment: str, pieces: Pieces) -> bytes:
+    """The ids of a segment without any piece: its characters' bytes."""
+    return array("i", [i for c in segment for i in _bytes_of(c, pieces)]).tobytes()
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -201,38 +231,45 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "text
     return rows.mapInArrow(run, StructType([*rows.schema, StructField(text, StringType())]))
 
 
-def _frequent(rows: DataFrame, pieces: Pieces, sample_rows: int, frequent: int) -> dict[str, bytes]:
-    """Segment to ids of those most frequent in a sample; ``frequent`` entries at most."""
-    total = rows.count()
-    share = 1.0 if total <= sample_rows else sample_rows / total
-    unit = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut = pieces.cut
+def _vocabulary(rows: DataFrame, cut: regex.Pattern) -> DataFrame:
+    """(segment, range, blocks) of all segments: a row for each ``BLOCKS_A_ROW`` blocks, with those that hold the segment."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, set[str]] = {}
+        held: dict[str, set[int]] = {}
+        parts: dict[str, list[str]] = {}
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                found.update(segments_of(t, cut))
-            if len(found) > HELD_SEGMENTS:
-                yield packed(found)
-                found.clear()
-        yield packed(found)
-
-    def packed(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["segment", "n"])
-
-    top = (rows.select("text").where(unit <= share).mapInArrow(count, "segment string, n long").groupBy("segment")
-           .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "segment").limit(frequent).select("segment"))
-    got = encode_segments(top.repartition("segment"), pieces, []).toArrow()
-    return {s: i for s, i in zip(got.column("segment").to_pylist(), map(_packed_ids, got.column("ids").to_pylist()))}
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                there = seen.setdefault(block, set())
+                fresh = set(_words(text)) - there
+                there |= fresh
+                for w in fresh:
+                    found = parts.get(w)
+                    if found is None:
+                        found = parts[w] = segments_of(w, cut)
+                    for s in found:
+                        got = held.get(s)
+                        if got is None:
+                            held[s] = {block}
+                        else:
+                            got.add(block)
+            if len(held) > HELD_SEGMENTS or sum(map(len, seen.values())) > HELD_WORDS:
+                yield packed(held)
+                seen, held, parts = {}, {}, {}
+        yield packed(held)
 
+    def packed(held: dict[str, set[int]]) -> pa.RecordBatch:
+        found = [(s, g, sorted(b for b in blocks if b // BLOCKS_A_ROW == g)) for s, blocks in held.items() for g in {b // BLOCKS_A_ROW for b in blocks}]
+        s, g, b = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(g, pa.int32()), pa.array(b, pa.list_(pa.int32()))],
+                                          names=["segment", "range", "blocks"])
 
-def _packed_ids(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+    return (rows.select("block", "text").mapInArrow(run, "segment string, range int, blocks array<int>")
+            .groupBy("segment", "range").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")))
 
 
-def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS,
-           frequent: int = FREQUENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT,
+           block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, ids) for every row."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -240,54 +277,50 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
     cut = pieces.cut
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    known = spark.sparkContext.broadcast(_frequent(rows, pieces, sample_rows, frequent))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, set] = {}
-        for batch in batches:
-            for block, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for chunk in _chunks(t):
-                    for s in cut.findall(chunk):
-                        if s not in known.value:
-                            held.setdefault(s, set()).add(block)
-            if len(held) > HELD_SEGMENTS:
-                yield packed(held)
-                held.clear()
-        yield packed(held)
-
-    def packed(held: dict[str, set]) -> pa.RecordBatch:
-        parts = [(s, g, sorted(b for b in found if b // BLOCKS_A_ROW == g)) for s, found in held.items() for g in {b // BLOCKS_A_ROW for b in found}]
-        s, g, b = zip(*parts) if parts else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(g, pa.int32()), pa.array(b, pa.list_(pa.int32()))],
-                                          names=["segment", "range", "blocks"])
-
-    vocabulary = (rows.select("block", "text").mapInArrow(rare, "segment string, range int, blocks array<int>")
-                  .groupBy("segment", "range").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")))
-    coded = (encode_segments(vocabulary, pieces, ["range", "blocks"])
-             .select(F.explode("blocks").alias("block"), "segment", "ids"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/segments-{uuid4().hex}"
+    _vocabulary(rows, cut).write.parquet(path, compression="zstd")
+    vocabulary = spark.read.parquet(path)
+    spread = vocabulary.groupBy(F.size("blocks").alias("n")).count().orderBy(F.desc("n")).collect()  # BLOCKS_A_ROW rows at most
+    bar, above = BLOCKS_A_ROW + 1, 0
+    for n, count in spread:
+        above += count
+        if above > frequent:
+            break
+        bar = n
+    tasks = max(1, -(-sum(r["count"] for r in spread) // SEGMENTS_A_TASK))
+    top = vocabulary.where(F.size("blocks") >= bar).select("segment").distinct().repartition(max(1, -(-frequent // SEGMENTS_A_TASK)), "segment")
+    got = encode_segments(top, pieces, []).toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(got.column("segment").to_pylist(), got.column("ids").to_pylist())))
+    rest = vocabulary.where(F.size("blocks") < bar).repartition(tasks, "segment")
+    coded = encode_segments(rest, pieces, ["range", "blocks"]).select(F.explode("blocks").alias("block"), "segment", "ids")
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=4)
         for batch in batches:
             body = [None if t is None else packer.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary()), batch.column(2)], names=["id", "body", "block"])
 
     def assembled(texts: pa.Table, found: pa.Table) -> pa.Table:
-        segments = dict(known.value)
-        segments.update(zip(found.column("segment").to_pylist(), map(_packed_ids, found.column("ids").to_pylist())))
-        chunks: dict[str, bytes] = {}
+        often = known.value
+        segments = dict(zip(found.column("segment").to_pylist(), found.column("ids").to_pylist()))
+        coded_words: dict[str, bytes] = {}
+
+        def ids_of(s: str) -> bytes:
+            got = often.get(s)
+            if got is None:
+                got = segments.get(s)
+            return spelled(s, pieces) if got is None else got
+
         values, ends = [], [0]
         for body in texts.column("body").to_pylist():
-            parts = []
-            for c in _occurring(zstandard.decompress(body).decode("utf-8", "surrogatepass") if body else None):
-                got = chunks.get(c)
-                if got is None:
-                    got = chunks[c] = b"".join([segments[s] for s in cut.findall(c)])
-                parts.append(got)
-            values.append(b"".join(parts))
+            words = _words(zstandard.decompress(body).decode("utf-8", "surrogatepass") if body else None)
+            for w in set(words) - coded_words.keys():
+                coded_words[w] = b"".join(map(ids_of, segments_of(w, cut)))
+            values.append(b"".join(map(coded_words.__getitem__, words)))
             ends.append(ends[-1] + len(values[-1]) // 4)
         flat = pa.array(np.frombuffer(b"".join(values), np.int32))
         return pa.table({"id": texts.column("id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
@@ -297,15 +330,11 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
             .withColumnRenamed("id", key))
 
 
-def _occurring(text: str | None) -> list[str]:
-    """The text in parts at whose borders segments end too: a mark and what follows up to the next space. A space more, or a mark
-    in the text itself, makes the whole text one part."""
+def _words(text: str | None) -> list[str]:
+    """The text in parts at whose borders segments end too: the words between single spaces. Where spaces meet or stand at an end, or the text
+    has a mark of its own, the whole text is one part."""
     if not text:
         return []
     if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-        return [MARK + text.replace(" ", MARK)]
-    return [MARK + c for c in text.split(" ")]
-
-
-def _chunks(text: str | None) -> set[str]:
-    return set(_occurring(text))
+        return [text]
+    return text.split(" ")

@@ -36,7 +36,7 @@ def test_sentencepieces_equal_the_library(spark, docs, texts):
            -4: "don't stop-me... http://x.y/z?q=1&b=2 ½²³ _a_b", -5: "a▁b"}
     some = {k: v[:3000] for k, v in list(texts.items())[:40]} | odd
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string").select("doc_id", F.col("text").alias("body"))
-    coded = sentencepieces.encode(df, path, text="body", sample_rows=10, frequent=50, block_bytes=20_000)
+    coded = sentencepieces.encode(df, path, text="body", frequent=50, block_bytes=20_000)
     got = sentencepieces.decode(coded, path).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {k: model.encode(t) for k, t in some.items()}
     assert {r["doc_id"]: r["text"] for r in got} == {k: model.decode(model.encode(t)) for k, t in some.items()}
