@@ -318,7 +318,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         values, ends = [], [0]
         for body in texts.column("body").to_pylist():
             words = _words(zstandard.decompress(body).decode("utf-8", "surrogatepass") if body else None)
-            for w in set(words) - coded_words.keys():
+            for w in {w for w in words if w not in coded_words}:
                 coded_words[w] = b"".join(map(ids_of, segments_of(w, cut)))
             values.append(b"".join(map(coded_words.__getitem__, words)))
             ends.append(ends[-1] + len(values[-1]) // 4)
@@ -326,6 +326,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         return pa.table({"id": texts.column("id"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
 
     bodies = rows.select("id", "text", "block").mapInArrow(squeezed, f"id {kind}, body binary, block int")
+    # a count of its own on both sides: by their small size blocks would be put together in a few tasks
+    bodies, coded = bodies.repartition(blocks, "block"), coded.repartition(blocks, "block")
     return (bodies.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assembled, f"id {kind}, ids array<int>")
             .withColumnRenamed("id", key))
 
