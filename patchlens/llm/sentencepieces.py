@@ -29,6 +29,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 from uuid import uuid4
 
 import numpy as np
@@ -47,11 +48,13 @@ MARK = "▁"
 FREQUENT = 200_000
 #: Text bytes of a block of documents; words and segments that a task holds before it passes them on.
 BLOCK_BYTES = 16 << 20
-HELD_WORDS, HELD_SEGMENTS = 1_500_000, 400_000
+HELD_WORDS, HELD_SEGMENTS = 800_000, 250_000
 #: Blocks in one row of the segment table; segments that a task makes lattices of; remembered pairs of pieces.
 BLOCKS_A_ROW = 1000
 SEGMENTS_A_TASK = 20_000
 PAIRS = 1_000_000
+#: Segments of one batch that a task passes on.
+PACKED_SEGMENTS = 20_000
 _NEVER = 1_000_000
 
 _LETTERS = regex.compile(f"{MARK}*\\p{{L}}+|{MARK}*[^\\p{{L}}{MARK}]+|{MARK}+")
@@ -236,7 +239,7 @@ def _vocabulary(rows: DataFrame, cut: regex.Pattern) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[str]] = {}
-        held: dict[str, set[int]] = {}
+        held: dict[str, list[int]] = {}
         parts: dict[str, list[str]] = {}
         for batch in batches:
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -250,17 +253,22 @@ def _vocabulary(rows: DataFrame, cut: regex.Pattern) -> DataFrame:
                     for s in found:
                         got = held.get(s)
                         if got is None:
-                            held[s] = {block}
-                        else:
-                            got.add(block)
+                            held[s] = [block]
+                        elif got[-1] != block:
+                            got.append(block)
             if len(held) > HELD_SEGMENTS or sum(map(len, seen.values())) > HELD_WORDS:
-                yield packed(held)
+                yield from packed(held)
                 seen, held, parts = {}, {}, {}
-        yield packed(held)
+        yield from packed(held)
 
-    def packed(held: dict[str, set[int]]) -> pa.RecordBatch:
-        found = [(s, g, sorted(b for b in blocks if b // BLOCKS_A_ROW == g)) for s, blocks in held.items() for g in {b // BLOCKS_A_ROW for b in blocks}]
-        s, g, b = zip(*found) if found else ((), (), ())
+    def packed(held: dict[str, list[int]]) -> Iterator[pa.RecordBatch]:
+        entries = iter(held.items())
+        while some := list(islice(entries, PACKED_SEGMENTS)):
+            yield one(some)
+
+    def one(some: list[tuple[str, list[int]]]) -> pa.RecordBatch:
+        found = [(s, g, sorted({b for b in blocks if b // BLOCKS_A_ROW == g})) for s, blocks in some for g in {b // BLOCKS_A_ROW for b in blocks}]
+        s, g, b = zip(*found)
         return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(g, pa.int32()), pa.array(b, pa.list_(pa.int32()))],
                                           names=["segment", "range", "blocks"])
 

@@ -42,6 +42,21 @@ def test_sentencepieces_equal_the_library(spark, docs, texts):
     assert {r["doc_id"]: r["text"] for r in got} == {k: model.decode(model.encode(t)) for k, t in some.items()}
 
 
+def test_sentencepieces_of_long_runs_and_settings(spark, monkeypatch):
+    """Unbroken runs equal the library's ids whatever the memory for pairs and the broadcast share; no session setting of grouping changes."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = {1: "the" * 2000, 2: "漢字" * 50 + "x", 3: "☃", 4: None, 5: "ab" * 300 + " internationalisierung", 6: "ab" * 300 + " internationalisierung"}
+    monkeypatch.setattr(sentencepieces, "PAIRS", 3)
+    threshold = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(threshold)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for frequent in (0, 1000):
+        got = {r["doc_id"]: r["ids"] for r in sentencepieces.encode(df, path, frequent=frequent, block_bytes=1000).collect()}
+        assert got == {k: model.encode(t or "") for k, t in texts.items()}
+    assert spark.conf.get(threshold) == before
+
+
 def jaccard(a, b):
     def shingles(t):
         w = t.lower().split()
