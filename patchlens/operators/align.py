@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHANGE_PAYLOAD, NODE
-from .rules import EXTENDED, REORDER_RULE, candidates, change_struct, payload_columns, with_firing
+from .rules import ALL_RULES, EXTENDED, NO_RULE, REORDER_RULE, candidate, candidates, change_struct, payload_columns, with_firing
 
 OLD, NEW = 0, 1
 PHASE_SLOT, PHASE_EXPRESSION, PHASE_REORDER = 0, 1, 2
@@ -162,13 +162,10 @@ def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_
     items = pairs.select(*keys, explode(F.concat(slots, *([inside] if extended else []), moved)).alias("_it"))
     fn = F.col(func)
     staged = with_firing(items.select(*keys, "_it", F.col("_it.o").alias("_o"), F.col("_it.n").alias("_n")), mode)
-    record = lambda hit, **payload: F.when(hit, F.struct(F.lit(0).alias("seq"), change_struct(
-        payload.pop("rule"), payload.pop("type"), **payload).alias("c")))
-    recs = candidates(fn, mode) + [record(
-        F.col("_it.phase") == PHASE_REORDER, rule=REORDER_RULE.rule, type=REORDER_RULE.type, statement=F.col("_it.statement"),
-        old_position=F.col("_it.old_position"), new_position=F.col("_it.new_position"), function=fn)]
+    recs = [*candidates(mode), candidate(F.col("_it.phase") == PHASE_REORDER, F.lit(ALL_RULES.index(REORDER_RULE)))]
     if keep_items:
-        recs.append(record(fn.isNull(), rule=None, type=None))
-    out = staged.select(*keys, F.col("_it.phase").alias("phase"), F.col("_it.pos").alias("pos"),
-                        F.explode(F.array(*recs)).alias("_c")).where(F.col("_c").isNotNull())
-    return out.select(*keys, "phase", "pos", *payload_columns())
+        recs.append(candidate(fn.isNull(), F.lit(NO_RULE)))
+    out = staged.select(*keys, "_it", "_o", "_n", F.explode(F.array(*recs)).alias("_c")).where(F.col("_c").isNotNull())
+    moved_fields = {f: F.col(f"_it.{f}") for f in ("statement", "old_position", "new_position")}
+    return out.select(*keys, F.col("_it.phase").alias("phase"), F.col("_it.pos").alias("pos"),
+                      *payload_columns(fn, mode, reordered={**moved_fields, "function": fn}))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import apart
 from .rules import ALL_RULES
 
 # ---- fixed values: sentence templates (must equal the reference's wording)
@@ -34,7 +35,7 @@ def sentence(type_: Column | None = None) -> Column:
     """N1-N7 over CHANGE_PAYLOAD columns in scope."""
     c = F.col
     type_ = c("type") if type_ is None else type_
-    return (F.when(type_ == "var_rename", F.format_string(TPL_VAR_RENAME, _py(c("old")), _py(c("new"))))
+    return (F.when(apart(type_) == "var_rename", F.format_string(TPL_VAR_RENAME, _py(c("old")), _py(c("new"))))
             .when(type_ == "var_value_change",
                   F.format_string(TPL_VAR_VALUE, _py(c("target")), _py(c("old")), _py(c("new"))))
             .when(type_ == "condition_change", F.format_string(TPL_CONDITION_CHANGE, _py(c("old")), _py(c("new"))))

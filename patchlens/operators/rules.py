@@ -4,8 +4,8 @@ Two independent first-match chains run on every aligned pair. Each chain picks a
 most one branch (``branch1`` / ``branch2``, computed once per row); a branch owns a few
 rules, each of which may emit a record. The branch comes first: a pair has as many
 candidates as the largest branches have rules, not one for every rule, and which of them
-fire is computed once, as plain columns. The candidates are exploded from a plain array
-and the empty ones filtered, so no lambda keeps the stage out of generated code.
+fire is computed once, as plain columns. Candidates are two numbers each, exploded from a plain array
+and the empty ones filtered; the payload is built after that, for the records that are left.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_WS_CLASS
+from ..functions.text import PY_WS_CLASS, apart
 from ..schemas import CHANGE_PAYLOAD
 
 MODES = ("reference", "strict")
@@ -209,6 +209,8 @@ REORDER_RULE = Rule("R37", "statement_reordered",
                     ("statement", "old_position", "new_position", "function"), 0, None, None, None)
 
 ALL_RULES = RULES + [TAIL_RULE, REORDER_RULE]
+#: Code of a row that carries no record.
+NO_RULE = -1
 RULE_KEYS = {r.rule: r.keys for r in ALL_RULES}
 RULE_TYPES = {r.rule: r.type for r in ALL_RULES}
 
@@ -260,29 +262,47 @@ def with_firing(pairs: DataFrame, mode: str = "reference", old: str = "_o", new:
         for r in rules:
             case = case.when(branch == r.branch, F.lit(True) if r.when is None else r.when(o, n, mode))
         fires.append(F.coalesce(case, F.lit(False)))
-    fires.append(F.coalesce(TAIL_RULE.when(o, n, mode), F.lit(False)))
+    fires.append(F.coalesce(apart(TAIL_RULE.when(o, n, mode)), F.lit(False)))
     return staged.select("*", *[f.alias(f"_f{k}") for k, f in enumerate(fires)])
 
 
-def candidates(fn: Column, mode: str = "reference", old: str = "_o", new: str = "_n") -> list[Column]:
-    """One struct (seq, CHANGE_PAYLOAD) or null for each candidate of a pair from ``with_firing``; ``seq`` counts the
-    records emitted before it."""
-    o, n = F.col(old), F.col(new)
-    places = [*_places(mode), (0, [TAIL_RULE])]
-    blank, out = blank_payload(), []
-    for k, (chain, rules) in enumerate(places):
-        fired = F.col(f"_f{k}")
+def _code(rule: Rule) -> int:
+    return ALL_RULES.index(rule)
+
+
+def candidate(fires: Column, code: Column, seq: Column | None = None) -> Column:
+    return F.when(fires, F.struct((F.lit(0) if seq is None else seq).alias("seq"), code.alias("code")))
+
+
+def candidates(mode: str = "reference") -> list[Column]:
+    """One struct (seq, code) or null for each candidate of a pair from ``with_firing``: ``code`` is its rule's place in ``ALL_RULES``,
+    ``seq`` counts the records emitted before it."""
+    out = []
+    for k, (chain, rules) in enumerate([*_places(mode), (0, [TAIL_RULE])]):
         before = sum((F.col(f"_f{j}").cast("int") for j in range(k)), F.lit(0))
-        case = F
+        code = F
         for r in rules:
-            hit = fired & (F.col(f"_b{chain}") == r.branch) if chain else fired
-            case = case.when(hit, F.struct(before.alias("seq"), change_struct(r.rule, r.type, blank, **r.payload(o, n, fn)).alias("c")))
-        out.append(case)
+            code = code.when(F.col(f"_b{chain}") == r.branch, F.lit(_code(r))) if chain else F.lit(_code(r))
+        out.append(candidate(F.col(f"_f{k}"), code, before))
     return out
 
 
-def payload_columns() -> list[Column]:
-    return [F.col("_c.seq").alias("seq"), *[F.col("_c.c")[f].alias(f) for f in CHANGE_PAYLOAD.fieldNames()]]
+def payload_columns(fn: Column, mode: str = "reference", old: str = "_o", new: str = "_n", reordered: dict[str, Column] | None = None) -> list[Column]:
+    """``seq`` and the CHANGE_PAYLOAD columns of the candidate ``_c``: a field is one choice among the rules that give it, so only
+    records that fired are built. ``reordered`` has what a reordered statement's record holds."""
+    o, n, code = F.col(old), F.col(new), F.col("_c.code")
+    cases = {f.name: F for f in CHANGE_PAYLOAD.fields}
+    for r in ALL_RULES:
+        if r is REORDER_RULE:
+            payload = reordered
+        else:
+            payload = r.payload(o, n, fn) if r.pipe != "X" or mode == "strict" else None
+        if payload is None:
+            continue
+        for name, value in {"rule": F.lit(r.rule), "type": F.lit(r.type), **payload}.items():
+            cases[name] = cases[name].when(code == _code(r), value)
+    return [apart(F.col("_c.seq")).alias("seq"), *[(F.lit(None) if cases[f.name] is F else cases[f.name]).cast(f.dataType).alias(f.name)
+                                            for f in CHANGE_PAYLOAD.fields]]
 
 
 def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str = "old", new: str = "new",
@@ -296,5 +316,5 @@ def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str = "old", new:
     keys = [c for c in pairs.columns if c not in (old, new)]
     staged = with_firing(pairs.select(*keys, F.col(old).alias("_o"), F.col(new).alias("_n")), mode)
     fn = F.col(func) if func in keys else F.lit(None).cast("string")
-    out = staged.select(*keys, F.explode(F.array(*candidates(fn, mode))).alias("_c")).where(F.col("_c").isNotNull())
-    return out.select(*keys, *payload_columns())
+    out = staged.select(*keys, "_o", "_n", F.explode(F.array(*candidates(mode))).alias("_c")).where(F.col("_c").isNotNull())
+    return out.select(*keys, *payload_columns(fn, mode))

@@ -47,8 +47,8 @@ def _view(spark, sf_dir, sql, *tables) -> DataFrame:
 # ------------------------------------------------------------------ node views -> NODE
 
 def _list(c: Column) -> Column:
-    return F.when(c.isNull(), F.lit(None).cast("array<string>")) \
-        .when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ";"))
+    """A ``;``-joined list of texts that are not empty; reads ``c`` once, so that its expression is computed where it is split."""
+    return F.filter(F.split(c, ";"), lambda x: x != "")
 
 
 def view_node(prefix: str) -> Column:
