@@ -2,7 +2,7 @@
 
 Two vector families:
 * lexical models (default): term-frequency vectors under a named tokenizer. Terms are
-  counted by two hash aggregations on one partitioning by item; the cosine is exact.
+  counted per item, in Arrow batches; the cosine is exact.
 * dense vectors: ``array<float>`` columns supplied by the caller; cosine is
   ``aggregate(zip_with(...))`` in the JVM.
 
@@ -16,8 +16,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise
 from ..schemas import ERROR_EMPTY_TEXT, ERROR_MISSING_VECTOR, ERROR_UNEQUAL_LENGTH, ERROR_ZERO_NORM
@@ -56,7 +60,9 @@ def char_ngrams(n: int) -> Callable[[Column], Column]:
         for k in range(1, n):
             grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(1))),
                                lambda x, y: F.concat(x, y))
-        return F.filter(grams, lambda t: t.isNotNull())
+        # the regex engine steps by UTF-16 units, so it serves texts without characters of two
+        return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.filter(grams, lambda t: t.isNotNull())).otherwise(
+            F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
     return tok
 
 
@@ -112,19 +118,79 @@ def verdict(score: Column, threshold: float = MATCH_THRESHOLD):
             F.coalesce(score >= F.lit(threshold), F.lit(False)).alias("is_match"))
 
 
+def distinct_terms(*sides: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Counts of the distinct terms of each row, rows being lists of terms on one or more sides: (terms, row, index of the term, a count for
+    each side), in row order. Null lists and null terms count nothing."""
+    width, n = len(sides), len(sides[0])
+    flat = pa.concat_arrays([s.flatten() for s in sides])
+    lengths = [pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False) for s in sides]
+    row = np.concatenate([np.repeat(np.arange(n, dtype="int64"), k) for k in lengths])
+    side = np.repeat(np.arange(width), [int(k.sum()) for k in lengths])
+    coded = flat.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    place = (row * size + coded.indices.fill_null(0).to_numpy(zero_copy_only=False)) * width + side
+    if coded.indices.null_count:
+        place = place[coded.indices.is_valid().to_numpy(zero_copy_only=False)]
+    found, times = np.unique(place, return_counts=True)
+    key = found // width
+    first = np.diff(key, prepend=-1) != 0
+    at, key = np.cumsum(first) - 1, key[first]
+    counts = []
+    for k in range(width):
+        here = found % width == k
+        counts.append(np.zeros(len(key)))
+        counts[-1][at[here]] = times[here]
+    return coded.dictionary, key // size, key % size, counts
+
+
+_SUMS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("dot", "na", "nb")])
+_COUNTS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())]))
+
+
+def lists_by_row(row: np.ndarray, n: int, **fields: pa.Array) -> pa.Array:
+    """One list of structs for each of ``n`` rows, from entries in row order."""
+    ends = np.searchsorted(row, np.arange(n + 1)).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+
+
+def _product_sums(left: pa.Array, right: pa.Array) -> pa.Array:
+    _, row, _, (a, b) = distinct_terms(left, right)
+    return pa.StructArray.from_arrays([pa.array(np.bincount(row, x, len(left))) for x in (a * b, a * a, b * b)], ["dot", "na", "nb"])
+
+
+def _term_counts(left: pa.Array, right: pa.Array) -> pa.Array:
+    terms, row, index, (a, b) = distinct_terms(left, right)
+    return lists_by_row(row, len(left), term=terms.take(pa.array(index)), a=pa.array(a), b=pa.array(b))
+
+
+def _products(left: Column, right: Column) -> Column:
+    return F.arrow_udf(_product_sums, _SUMS)(left, right)
+
+
+def _counts(left: Column, right: Column) -> Column:
+    return F.arrow_udf(_term_counts, _COUNTS)(left, right)
+
+
+def all_terms(tok: Callable[[Column], Column], text: str, more: str = "_more") -> Column:
+    """The terms of an item's column ``text`` and of the same field of ``more``, the further rows of its key (null: none)."""
+    none = F.array().cast("array<string>")
+    rest = F.flatten(F.transform(more, lambda t: F.coalesce(tok(t[text]), none)))
+    own = F.coalesce(tok(F.col(text)), none)
+    return F.when(F.col(more).isNull(), own).otherwise(F.concat(own, rest))
+
+
 def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary", right: str = "explanation",
                   models: dict | None = None, threshold: float = MATCH_THRESHOLD,
                   normalise_text: bool = True, error: str | None = None, dealt: bool = False) -> DataFrame:
     """(key, left text, right text) -> (key, model, score, shown, is_match, error).
 
-    One row per key in, one per (key, model) out; without terms on a side the score is null, with the
-    reason. ``error`` names a column of reasons already known. Terms are exploded and counted per
-    (key, model, term); everything is partitioned by the key once, so neither aggregation shuffles
-    again, and counting runs in generated code: the reason depends on the key, so it is one of the
-    grouping columns (a greatest text would make both aggregations sort every term).
+    One row per (key, model) out; without terms on a side the score is null, with the reason. ``error`` names a column
+    of reasons already known. Texts of one key are brought together once, as texts: their terms are made and counted
+    where they lie, in Arrow batches of whole items, and never become rows of an aggregation, whose memory
+    and spills would grow with all terms of a task.
 
     A model is a tokenizer, whose terms weigh the same, or a fitted ``encoder.HashedIdf``, whose table of weights, bounded by
-    its number of buckets, is broadcast to the counted terms. ``dealt`` says that rows are partitioned by the key already, as those of
+    its number of buckets, is broadcast to the distinct terms of each item. ``dealt`` says that rows are partitioned by the key already, as those of
     bucketed tables are; the texts then stay where they are.
     """
     models = models or LEXICAL_MODELS
@@ -132,23 +198,33 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     known = F.col(error) if error else F.lit(None).cast("string")
     texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e"))
     texts = texts if dealt else texts.repartition(key)
+    grouped = texts.groupBy(key, "_e").agg(F.collect_list(F.struct("_lt", "_rt")).alias("_ts"))
+    items = grouped.select(key, "_e", *[F.get("_ts", 0)[side].alias(side) for side in ("_lt", "_rt")],
+                           F.when(F.size("_ts") > 1, F.slice("_ts", 2, F.size("_ts"))).alias("_more"))
+    parts = []
+    for name, m in models.items():
+        tok = getattr(m, "terms", m)
+        sides = [all_terms(tok, side) for side in ("_lt", "_rt")]
+        sums = _products(*sides) if not hasattr(m, "weights") else F.lit(None).cast(_SUMS)
+        counts = _counts(*sides) if hasattr(m, "weights") else F.lit(None).cast(_COUNTS)
+        parts.append(F.struct(F.lit(name).alias("model"), sums.alias("sums"), counts.alias("counts")))
+    rows = items.select(key, "_e", F.explode(F.array(*parts)).alias("_s"))
     fitted = {name: m for name, m in models.items() if hasattr(m, "weights")}
-    sides = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(side).alias("side"), getattr(tok, "terms", tok)(F.col(text)).alias("terms"))
-                      for name, tok in models.items() for side, text in ((0, "_lt"), (1, "_rt"))])
-    terms = (texts.select(F.col(key), "_e", F.explode(sides).alias("_s"))
-             .select(key, "_e", "_s.model", "_s.side", F.explode_outer("_s.terms").alias("term")))
-    count = lambda side: F.count(F.when((F.col("side") == side) & F.col("term").isNotNull(), 1)).cast("double")
-    counted = terms.groupBy(key, "_e", "model", "term").agg(count(0).alias("a"), count(1).alias("b"))
-    a, b = F.col("a"), F.col("b")
     if fitted:
+        rows = rows.select(key, "_e", F.col("_s.model").alias("model"), F.col("_s.sums").alias("sums"), F.explode_outer("_s.counts").alias("c"))
         tables = [m.weights.select(F.lit(name).alias("model"), F.col("bucket").cast("string").alias("term"), "weight") for name, m in fitted.items()]
-        counted = counted.join(F.broadcast(reduce(DataFrame.unionByName, tables)), ["model", "term"], "left")
-        plain = F.lit(1.0)
+        rows = rows.withColumn("term", F.col("c.term")).join(F.broadcast(reduce(DataFrame.unionByName, tables)), ["model", "term"], "left")
+        unseen = F.lit(1.0)
         for name, m in fitted.items():
-            plain = F.when(F.col("model") == name, F.lit(m.unseen)).otherwise(plain)
-        weight = F.coalesce("weight", plain)
-        a, b = a * weight, b * weight
-    sums = counted.groupBy(key, "_e", "model").agg(F.sum(a * b).alias("dot"), F.sum(a * a).alias("na"), F.sum(b * b).alias("nb"))
+            unseen = F.when(F.col("model") == name, F.lit(m.unseen)).otherwise(unseen)
+        weight = F.coalesce("weight", unseen)
+        a, b = F.col("c.a") * weight, F.col("c.b") * weight
+        of = lambda name, product: F.coalesce(F.col("sums")[name], product, F.lit(0.0))
+        rows = rows.select(key, "_e", "model", of("dot", a * b).alias("dot"), of("na", a * a).alias("na"), of("nb", b * b).alias("nb"))
+    else:
+        rows = rows.select(key, "_e", "_s.model", "_s.sums.*")
+    # without weights there is one row for each key and model by now; a Python projection forgets how stored texts are dealt
+    sums = rows if dealt and not fitted else rows.groupBy(key, "_e", "model").agg(*[F.sum(c).alias(c) for c in ("dot", "na", "nb")])
     score = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("dot") / (F.sqrt("na") * F.sqrt("nb")))
     out = sums.select(key, "model", score.alias("score"), "_e")
     return out.select(key, "model", "score", *verdict(F.col("score"), threshold),
