@@ -9,7 +9,9 @@ comparison, join and grouping afterwards is a Spark expression.
 from __future__ import annotations
 
 import ast
+import gc
 from collections import deque
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,30 +20,33 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schemas import EXPRESSIONS, FUNCTION, NODE_FIELDS, PAIRED
+from .unparse import dump, unparse as _u
 
 _ARROW_SCHEMA = to_arrow_schema(FUNCTION)
 _FLUSH_ROWS = 512
 _PARSE_ERRORS = (SyntaxError, ValueError, RecursionError, MemoryError, TypeError)
 _CONTAINERS = (ast.stmt, ast.excepthandler, ast.match_case)
+# fields that hold statements, in a node's own order of fields
+_NESTED = {kind: tuple(f for f in kind._fields if f in ("body", "handlers", "orelse", "finalbody", "cases"))
+           for kind in (ast.Module, *(k for k in vars(ast).values() if isinstance(k, type) and issubclass(k, _CONTAINERS)))}
+_LEAVES = {k for k in vars(ast).values() if isinstance(k, type) and issubclass(k, (ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop))}
+_LEAVES.add(ast.Name)
+_NO_FACTS = dict.fromkeys(NODE_FIELDS)
 # kinds of expressions that rules read
 _EXPRESSIONS = (ast.Constant, ast.JoinedStr, ast.Call, ast.Attribute)
 
 
-def _u(node):
-    return ast.unparse(node)
-
-
 def _alias_list(aliases):
     return [f"{a.name} as {a.asname}" if a.asname else a.name for a in aliases]
 
 
-def node_facts(node: ast.AST, else_texts: bool = True) -> dict:
+def node_facts(node: ast.AST, else_texts: bool = True, text: str | None = None) -> dict:
     """Flatten one node into the NODE struct (missing facts stay null). The texts of an ``else``
-    are left out where no rule reads them."""
+    are left out where no rule reads them. ``text`` is the node's own text where it is known."""
     kind = type(node).__name__
-    f = dict.fromkeys(NODE_FIELDS)
+    f = _NO_FACTS.copy()
     f["kind"] = kind
-    f["text"] = _u(node)
+    f["text"] = _u(node) if text is None else text
     if kind in ("If", "While"):
         f["test"] = _u(node.test)
     if kind == "If":
@@ -78,7 +83,7 @@ def node_facts(node: ast.AST, else_texts: bool = True) -> dict:
     elif kind == "Constant":
         f["const_str"] = node.value if isinstance(node.value, str) else None
     elif kind == "Call":
-        f["func_dump"] = ast.dump(node.func)
+        f["func_dump"] = dump(node.func)
         f["func_text"] = _u(node.func)
         f["args"] = [_u(a) for a in node.args]
     body = getattr(node, "body", None)
@@ -92,8 +97,13 @@ def node_facts(node: ast.AST, else_texts: bool = True) -> dict:
 
 
 def expression_pairs(old: ast.stmt, new: ast.stmt):
+    """The pairs of ``differing`` without their texts."""
+    return ((a, b) for a, b, _, _ in differing(old, new))
+
+
+def differing(old: ast.stmt, new: ast.stmt):
     """Two aligned statements walked in parallel: pairs of expressions at the same place, of the same kind and with
-    different texts, outermost first, from left to right. The walk ends where kinds part and does not enter
+    different texts, and these texts, outermost first, from left to right. The walk ends where kinds part and does not enter
     the statements of a body, nor the parts of a formatted string."""
     todo = [(old, new)]
     while todo:
@@ -101,16 +111,18 @@ def expression_pairs(old: ast.stmt, new: ast.stmt):
         if type(a) is not type(b):
             continue
         if isinstance(a, _EXPRESSIONS):
-            if _u(a) == _u(b):
+            text, other = _u(a), _u(b)
+            if text == other:
                 continue
-            yield a, b
+            yield a, b, text, other
         if isinstance(a, ast.JoinedStr):
             continue
         inner = []
         for field in a._fields:
             x, y = getattr(a, field, None), getattr(b, field, None)
-            both = zip(x, y) if isinstance(x, list) and isinstance(y, list) else [(x, y)]
-            inner += [(c, d) for c, d in both if isinstance(c, ast.AST) and isinstance(d, ast.AST)
+            both = zip(x, y) if isinstance(x, list) and isinstance(y, list) else ((x, y),)
+            # names, operators and the like hold no expression
+            inner += [(c, d) for c, d in both if isinstance(c, ast.AST) and isinstance(d, ast.AST) and c.__class__ not in _LEAVES
                       and not isinstance(c, _CONTAINERS) and not isinstance(d, _CONTAINERS)]
         todo += reversed(inner)
 
@@ -122,7 +134,8 @@ def definitions(source):
     queue = deque([ast.parse(source)])
     while queue:
         node = queue.popleft()
-        queue.extend(c for c in ast.iter_child_nodes(node) if isinstance(c, _CONTAINERS))
+        for field in _NESTED[node.__class__]:
+            queue.extend(getattr(node, field))
         if isinstance(node, ast.FunctionDef):
             yield node
 
@@ -158,9 +171,9 @@ def functions_of_pair(pair_id, old, new, else_texts, expressions=False):
         facts = lambda node: [node_facts(s, else_texts) for s in node.body]
 
         def inside(a, b, old_facts, new_facts):
-            return [{"pos": k, "old": node_facts(x, else_texts), "new": node_facts(y, else_texts)}
+            return [{"pos": k, "old": node_facts(x, else_texts, p), "new": node_facts(y, else_texts, q)}
                     for k, (s, t, f, g) in enumerate(zip(a.body, b.body, old_facts, new_facts)) if f["text"] != g["text"]
-                    for x, y in expression_pairs(s, t)]
+                    for x, y, p, q in differing(s, t)]
 
         rows = [own]
         for name, node in found[0].items():
@@ -173,19 +186,35 @@ def functions_of_pair(pair_id, old, new, else_texts, expressions=False):
         return [own | {"error": _error_text(exc)}]
 
 
-def _extract_batches(batches):
-    rows = []
-    for batch in batches:
-        cols = batch.to_pydict()
-        for pid, ver, src in zip(cols["pair_id"], cols["version"], cols["source"]):
-            if src is None:
-                continue
-            rows.extend(functions_of_source(pid, ver, src))
+def _flushed(rows_of_items: Iterable[list[dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Items' rows in batches of ``_FLUSH_ROWS`` and more. A syntax tree holds no cycle, so none is looked for while trees are made: the
+    collector would walk every tree several times before it is dropped."""
+    rows: list[dict] = []
+    on = gc.isenabled()
+    try:
+        gc.disable()
+        for got in rows_of_items:
+            rows += got
             if len(rows) >= _FLUSH_ROWS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+                gc.collect(0)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    finally:
+        if on:
+            gc.enable()
+
+
+def _extract_batches(batches):
+    def items():
+        for batch in batches:
+            cols = batch.to_pydict()
+            for pid, ver, src in zip(cols["pair_id"], cols["version"], cols["source"]):
+                if src is not None:
+                    yield functions_of_source(pid, ver, src)
+
+    yield from _flushed(items(), _ARROW_SCHEMA)
 
 
 def extract_functions(versions: DataFrame) -> DataFrame:
@@ -211,19 +240,16 @@ def extract_pairs(items: DataFrame, carry: tuple[str, ...] = (), else_texts: boo
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        rows = []
-        for batch in batches:
-            cols = batch.to_pydict()
-            extra = list(zip(*(cols[c] for c in carry))) or [()] * batch.num_rows
-            for pid, old, new, more in zip(cols["pair_id"], cols["old"], cols["new"], extra):
-                got = functions_of_pair(pid, old, new, else_texts, expressions)
-                got[0].update(zip(carry, more))
-                rows.extend(got)
-                if len(rows) >= _FLUSH_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        def found():
+            for batch in batches:
+                cols = batch.to_pydict()
+                extra = list(zip(*(cols[c] for c in carry))) or [()] * batch.num_rows
+                for pid, old, new, more in zip(cols["pair_id"], cols["old"], cols["new"], extra):
+                    got = functions_of_pair(pid, old, new, else_texts, expressions)
+                    got[0].update(zip(carry, more))
+                    yield got
+
+        yield from _flushed(found(), arrow)
 
     src = items.select(*[F.col(c).cast("string").alias(c) for c in ("pair_id", "old", "new", *carry)])
     return src.mapInArrow(run, schema)
