@@ -6,26 +6,33 @@ has a vector. A bucket weighs ln((n + 1) / (df + 1)), n texts being fitted, df o
 
 Fitting counts buckets, partially in each task, so at most ``features`` numbers leave a task whatever the text. A model is a
 table of at most ``features`` rows, the proven bound under which it is broadcast (``MOST_FEATURES``). Terms themselves are never
-shuffled.
+shuffled, nor are they rows of an aggregation: a text's buckets are counted where it lies, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalise
-from .similarity import ERROR_EMPTY_TEXT, words
+from .similarity import ERROR_EMPTY_TEXT, lists_by_row, words
 
 FEATURES = 1 << 18
 #: Beyond this a model would be too large to broadcast.
 MOST_FEATURES = 1 << 21
 VECTOR = "struct<size:int,indices:array<int>,values:array<double>>"
+_VECTOR = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())),
+                        T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
 def bucket_of(term: Column, features: int) -> Column:
@@ -78,21 +85,64 @@ def fit_hashed_idf(texts: DataFrame, text: str = "text", features: int = FEATURE
     return HashedIdf(features, n, weights, tokens)
 
 
+def counted(buckets: pa.Array, features: int) -> pa.Array:
+    """Lists of buckets to lists of (bucket, times), sorted; a null bucket counts nothing."""
+    lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
+    row, flat = np.repeat(np.arange(len(buckets), dtype="int64"), lengths), buckets.flatten()
+    if flat.null_count:
+        row, flat = row[flat.is_valid().to_numpy(zero_copy_only=False)], flat.drop_null()
+    place, times = np.unique(row * features + flat.to_numpy(zero_copy_only=False), return_counts=True)
+    return lists_by_row(place // features, len(buckets), bucket=pa.array((place % features).astype("int32")), times=pa.array(times))
+
+
+def _counts(buckets: Column, features: int) -> Column:
+    return F.arrow_udf(lambda lists: counted(lists, features), "array<struct<bucket:int,times:long>>")(buckets)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, has, pos, bucket, value), a vector's in a row from the one that is its first (``pos`` 0, or null without a term), to vectors."""
+    def vectors(held: list[pa.RecordBatch], starts: np.ndarray) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        there = rows.column("bucket").is_valid().to_numpy()
+        ends = pa.array(np.r_[0, np.cumsum(there)][np.r_[starts, len(there)]].astype("int32"))
+        lists = [pa.ListArray.from_arrays(ends, rows.column(c).drop_null().combine_chunks()) for c in ("bucket", "value")]
+        own = rows.select([0, 1]).take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in own.columns], *lists], names=[*own.column_names, "indices", "values"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        firsts = np.flatnonzero(pc.fill_null(batch.column(2), 0).to_numpy() == 0)
+        if len(firsts) and (firsts[-1] or held):
+            last = firsts[-1]
+            held.append(batch.slice(0, last))
+            # what is held begins with a vector's first row
+            before = sum(b.num_rows for b in held[:-1])
+            starts = np.r_[[0] if before else [], before + firsts[:-1]].astype("int64")
+            yield vectors(held, starts)
+            held, batch = [], batch.slice(last)
+        held.append(batch)
+    if held:
+        yield vectors(held, np.zeros(1 if sum(b.num_rows for b in held) else 0, "int64"))
+
+
 def encode(texts: DataFrame, model: HashedIdf, key: str = "doc_id", text: str = "text", normalise_text: bool = True) -> DataFrame:
     """(key, vector) of every row, one row for each key; a null text has a null vector, one without terms an empty one.
 
-    The texts are partitioned by the key once; buckets are counted, weighed and gathered on that partitioning.
+    The texts are partitioned by the key once, and those of one key gathered as texts. Their buckets are counted in Arrow batches, and pass
+    by the broadcast weights in their order, in which a vector is put together again: a task holds texts and one vector, not all their terms.
     """
     t = normalise(F.col(text)) if normalise_text else F.col(text)
     rows = texts.select(F.col(key), t.alias("_t")).repartition(key)
-    buckets = F.transform(model.tokens(F.col("_t")), lambda w: bucket_of(w, model.features))
-    terms = rows.select(key, F.col("_t").isNotNull().alias("_has"), F.explode_outer(buckets).alias("bucket"))
-    counted = terms.groupBy(key, "_has", "bucket").agg(F.count("bucket").alias("n"))
-    weighed = counted.join(F.broadcast(model.weights), "bucket", "left")
-    part = F.when(F.col("bucket").isNotNull(), F.struct("bucket", (F.col("n") * F.coalesce("weight", F.lit(model.unseen))).alias("value")))
-    gathered = weighed.groupBy(key, "_has").agg(F.sort_array(F.collect_list(part)).alias("_v"))
-    vector = F.struct(F.lit(model.features).alias("size"), F.col("_v.bucket").alias("indices"), F.col("_v.value").alias("values"))
-    return gathered.select(key, F.when(F.col("_has"), vector.cast(VECTOR)).alias("vector"))
+    rows = rows.groupBy(key, F.col("_t").isNotNull().alias("_has")).agg(F.collect_list("_t").alias("_ts"))
+    buckets = F.flatten(F.transform("_ts", lambda x: F.transform(model.tokens(x), lambda w: bucket_of(w, model.features))))
+    counts = rows.select(key, "_has", F.posexplode_outer(_counts(buckets, model.features)).alias("_pos", "_c"))
+    terms = counts.select(key, "_has", "_pos", F.col("_c.bucket").alias("bucket"), F.col("_c.times").alias("n"))
+    passed = terms.join(F.broadcast(model.weights), "bucket", "left").select(
+        key, "_has", "_pos", "bucket", (F.col("n") * F.coalesce("weight", F.lit(model.unseen))).alias("value"))
+    kind = texts.schema[key].dataType
+    found = passed.mapInArrow(_gathered, T.StructType([T.StructField(key, kind), T.StructField("_has", T.BooleanType()), *_VECTOR.fields[1:]]))
+    vector = F.struct(F.lit(model.features).alias("size"), "indices", "values")
+    return found.select(key, F.when(F.col("_has"), vector.cast(VECTOR)).alias("vector"))
 
 
 def sparse_cosine(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from patchlens.operators.encoder import MOST_FEATURES, HashedIdf, encode, fit_hashed_idf, score_vectors, sparse_cosine
+from patchlens.operators.encoder import MOST_FEATURES, HashedIdf, bucket_of, encode, fit_hashed_idf, score_vectors, sparse_cosine
 from patchlens.operators.similarity import LEXICAL_MODELS, score_lexical, score_pairs
 
 TEXTS = [(1, "the cat sat on the mat"), (2, "The dog sat"), (3, ""), (4, None), (5, "ünd ÜND über"), (6, "cat " * 5000), (7, "!!! ???")]
@@ -98,3 +98,36 @@ def test_terms_are_never_shuffled(spark):
     # one exchange of texts by their key above the terms; fitting exchanges counted buckets only
     assert encoding.count("Exchange hashpartitioning(doc_id") + fitting.count("Exchange hashpartitioning(doc_id") == 1
     assert "Exchange hashpartitioning(bucket" in fitting and "Sort " not in plan and "SortAggregate" not in plan
+
+
+def test_terms_of_a_task_are_never_rows_of_an_aggregation(spark):
+    """Texts are gathered by key and counted in Arrow batches; keys may repeat, be null, or have a null text beside others."""
+    rows = [(1, "a b a"), (1, "b c"), (1, None), (2, None), (3, ""), (None, "a"), (None, "a d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit_hashed_idf(d, features=1 << 10)
+    out = encode(d, model)
+    encoding = out._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    aggregates = [line for line in encoding.splitlines() if "Aggregate(" in line]
+    assert aggregates and all("collect_list(_t" in line for line in aggregates)
+    weight = {r.bucket: r.weight for r in model.weights.collect()}
+    at = {w: spark.range(1).select(bucket_of(F.lit(w), 1 << 10)).first()[0] for w in "abcd"}
+
+    def vector(**counts):
+        return sorted((at[w], n * weight[at[w]]) for w, n in counts.items())
+
+    got = sorted((str(r.doc_id), r.vector is None, [] if r.vector is None else [*zip(r.vector["indices"], r.vector["values"])]) for r in out.collect())
+    assert got == sorted([("1", False, vector(a=2, b=2, c=1)), ("1", True, []), ("2", True, []), ("3", False, []), ("None", False, vector(a=2, d=1))])
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 100])
+def test_vectors_are_put_together_across_batches(batch):
+    import pyarrow as pa
+
+    from patchlens.operators.encoder import _gathered
+    vectors = [("a", [(1, 0.5), (2, 1.5), (9, 2.0)]), ("b", []), ("c", [(4, 1.0)]), (None, []), ("d", [(3, 0.0), (5, 1.0)])]
+    rows = [(k, True, p, b, v) for k, terms in vectors for p, (b, v) in (enumerate(terms) if terms else [(None, (None, None))])]
+    kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.float64()]
+    made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["_k", "_has", "pos", "bucket", "value"])
+    got = [r for b in _gathered(made.slice(k, batch) for k in range(0, len(rows), batch)) for r in b.to_pylist()]
+    assert [(r["_k"], [*zip(r["indices"], r["values"])]) for r in got] == vectors
+    assert not [r for b in _gathered(iter([made.slice(0, 0)])) for r in b.to_pylist()]
