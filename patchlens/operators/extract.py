@@ -217,16 +217,18 @@ def _extract_batches(batches):
     yield from _flushed(items(), _ARROW_SCHEMA)
 
 
-def extract_functions(versions: DataFrame) -> DataFrame:
+def extract_functions(versions: DataFrame, partitions: int | None = None) -> DataFrame:
     """(pair_id, version, source) -> FUNCTION rows (parse failures as rows with ``error``).
 
-    Only the three input columns cross into Python.
+    Only the three input columns cross into Python. ``partitions`` deals the files out before parsing, for inputs with few, fat splits.
     """
     src = versions.select(
         F.col("pair_id").cast("string").alias("pair_id"),
         F.col("version").cast("int").alias("version"),
         F.col("source").cast("string").alias("source"),
     )
+    if partitions:
+        src = src.repartition(partitions)
     return src.mapInArrow(_extract_batches, FUNCTION)
 
 

@@ -169,8 +169,8 @@ def _sources(spark, sf_dir):
     return _view(spark, sf_dir, V.sources_sql("spark"), "lineitem")
 
 
-def _extracted(src: DataFrame) -> DataFrame:
-    f = extract_functions(src.select("pair_id", F.lit(0).alias("version"), "source"))
+def _extracted(src: DataFrame, partitions: int | None = None) -> DataFrame:
+    f = extract_functions(src.select("pair_id", F.lit(0).alias("version"), "source"), partitions)
     return f.select("pair_id", "func", F.col("walk_ord").cast("bigint").alias("walk_ord"),
                     F.array_join("args", ",").alias("args"),
                     F.size("stmts").cast("bigint").alias("n_stmts"),
@@ -184,8 +184,9 @@ def q_extract_functions(spark, sf_dir):
 
 
 def q_extract_odd_functions(spark, sf_dir):
-    """Plain definitions in non-canonical files: parameters of every kind, ``async def`` skipped but not what it holds."""
-    return _extracted(_view(spark, sf_dir, V.odd_sources_sql(), "part"))
+    """Plain definitions in non-canonical files: parameters of every kind, ``async def`` skipped but not what it holds. A row of
+    ``part`` is a few bytes and the file made of it hundreds, so splits by bytes would leave the parsing to a task or two."""
+    return _extracted(_view(spark, sf_dir, V.odd_sources_sql(), "part"), 4 * spark.sparkContext.defaultParallelism)
 
 
 # ------------------------------------------------------------------ text pairs (statement = line)

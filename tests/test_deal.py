@@ -51,3 +51,10 @@ def test_analyses_are_the_same_however_dealt(spark):
     assert sorted(map(key, analyze_pairs(df, partitions=4, by_cost=True).collect())) == sorted(map(key, analyze_pairs(df).collect()))
     items = df.select("pair_id", F.col("old").alias("source"), F.concat("new", F.lit("---EXPLANATION---x")).alias("reply"))
     assert run_items(items, partitions=4, by_cost=True)["items"].where("n_changes = 2").count() == 60
+
+
+def test_small_rows_with_large_sources_are_parsed_by_many_tasks(spark):
+    from patchlens.plans.catalog import QUERIES
+    found = QUERIES["extract_odd_functions"](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p"), "func")
+    assert found.select("p").distinct().count() >= 2 * spark.sparkContext.defaultParallelism
+    assert found.count() == 400
