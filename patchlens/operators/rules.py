@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PY_WS_CLASS, apart
-from ..schemas import CHANGE_PAYLOAD
+from ..schemas import CHANGE_PAYLOAD, NODE
 
 MODES = ("reference", "strict")
 # of whole analyses: the reference's rules, on the expressions inside aligned statements too
@@ -305,16 +305,64 @@ def payload_columns(fn: Column, mode: str = "reference", old: str = "_o", new: s
                                             for f in CHANGE_PAYLOAD.fields]]
 
 
-def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str = "old", new: str = "new",
-               func: str = "func") -> DataFrame:
+class _Reading:
+    """A node that notes which of its fields a rule reads."""
+
+    def __init__(self, node: Column):
+        self.node, self.fields = node, set()
+
+    def __getitem__(self, field: str) -> Column:
+        self.fields.add(field)
+        return self.node[field]
+
+    def isNull(self) -> Column:
+        return self.node.isNull()
+
+
+def read_fields(mode: str = "reference") -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    """For the old and the new side: each NODE field that some rule reads, with the branches of these rules. A branch is the kind of the nodes
+    whose fields it reads, but for ``body``, which takes any kind that has one."""
+    found: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
+    fn = F.lit(None).cast("string")
+    for r in [r for chain in (1, 2) for rules in _by_branch(chain, mode).values() for r in rules] + [TAIL_RULE]:
+        sides = _Reading(F.col("_o")), _Reading(F.col("_n"))
+        if r.when is not None:
+            r.when(*sides, mode)
+        if r.payload is not None:
+            r.payload(*sides, fn)
+        kind = "If" if r is TAIL_RULE or r.branch == "if_added" else r.branch
+        for side, fields in zip(sides, found):
+            for f in side.fields:
+                fields.setdefault(f, set()).add(kind)
+    return found
+
+
+def read_node(node: dict[str, Column], fields: dict[str, set[str]]) -> Column:
+    """A NODE struct of the columns in ``node``, null in place of what no rule reads of a node of its kind; that is not made, then."""
+    out = []
+    for f in NODE.fields:
+        kinds, c = sorted(fields.get(f.name, ())), node[f.name]
+        if f.name not in ("kind", "has_body") and "body" not in kinds:
+            c = F.when(node["kind"].isin(kinds), c) if kinds else F.lit(None)
+        out.append(c.cast(f.dataType).alias(f.name))
+    return F.struct(*out)
+
+
+def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str | dict[str, Column] = "old", new: str | dict[str, Column] = "new",
+               func: str = "func", keys: list[str] | None = None) -> DataFrame:
     """Aligned node pairs -> one row per change record.
 
     ``pairs`` carries any key columns plus ``old``/``new`` NODE structs and the
     enclosing function name. Output adds ``seq`` (emission index within the pair)
-    and the CHANGE_PAYLOAD columns. Nodes of any kind are accepted.
+    and the CHANGE_PAYLOAD columns. Nodes of any kind are accepted. Instead of a struct's name, ``old`` or ``new`` may give the
+    column of each NODE field; a field is then computed only for kinds of which a rule reads it. ``keys`` names the
+    key columns, if these are not all others.
     """
-    keys = [c for c in pairs.columns if c not in (old, new)]
-    staged = with_firing(pairs.select(*keys, F.col(old).alias("_o"), F.col(new).alias("_n")), mode)
+    given, fields = {"_o": old, "_n": new}, dict(zip(("_o", "_n"), read_fields(mode)))
+    if keys is None:
+        keys = [c for c in pairs.columns if c not in [n for n in given.values() if isinstance(n, str)]]
+    nodes = [(F.col(c) if isinstance(c, str) else read_node(c, fields[side])).alias(side) for side, c in given.items()]
+    staged = with_firing(pairs.select(*keys, *nodes), mode)
     fn = F.col(func) if func in keys else F.lit(None).cast("string")
     out = staged.select(*keys, "_o", "_n", F.explode(F.array(*candidates(mode))).alias("_c")).where(F.col("_c").isNotNull())
     return out.select(*keys, *payload_columns(fn, mode))

@@ -51,23 +51,19 @@ def _list(c: Column) -> Column:
     return F.filter(F.split(c, ";"), lambda x: x != "")
 
 
-def view_node(prefix: str) -> Column:
-    fields = []
+def view_node(prefix: str) -> dict[str, Column]:
+    """The column of each NODE field, from the view's columns of one side."""
+    fields = {}
     for f in NODE.fields:
-        name = f"{prefix}_{f.name}"
-        if f.name == "orelse_texts":
-            c = F.lit(None)
-        elif f.name in V.LIST_FIELDS:
-            c = _list(F.col(name))
-        else:
-            c = F.col(name)
-        fields.append(c.cast(f.dataType).alias(f.name))
-    return F.struct(*fields)
-
-
-def _node_pairs(spark, sf_dir, family) -> DataFrame:
+        c = F.col(f"{prefix}_{f.name}") if f.name != "orelse_texts" else F.lit(None)
+        fields[f.name] = (_list(c) if f.name in V.LIST_FIELDS else c).cast(f.dataType)
+    return fields
+
+
+def _node_changes_of(spark, sf_dir, family, mode: str = "reference") -> DataFrame:
+    """Change records of a family's statement slots, the nodes made of the view's columns as the rules read them."""
     v = _view(spark, sf_dir, V.node_pairs_sql(family), "lineitem")
-    return v.select("pair_id", "func", "first_ord", "pos", view_node("o").alias("old"), view_node("n").alias("new"))
+    return diff_nodes(v, mode, view_node("o"), view_node("n"), keys=["pair_id", "func", "first_ord", "pos"])
 
 
 def _joined(c: str) -> Column:
@@ -87,13 +83,12 @@ def _diff_out(ch: DataFrame) -> DataFrame:
 
 def q_diff(family):
     def run(spark, sf_dir):
-        return _diff_out(diff_nodes(_node_pairs(spark, sf_dir, family).drop("first_ord")))
+        return _diff_out(_node_changes_of(spark, sf_dir, family))
     return run
 
 
 def _node_changes(spark, sf_dir):
-    ch = diff_nodes(_node_pairs(spark, sf_dir, "all"))
-    return ch.withColumn("phase", F.lit(0))
+    return _node_changes_of(spark, sf_dir, "all").withColumn("phase", F.lit(0))
 
 
 def q_changes_json(spark, sf_dir):
@@ -118,7 +113,7 @@ def q_summary_from_json(spark, sf_dir):
 
 def q_diff_strict(spark, sf_dir):
     """Strict mode over nodes of every family: else texts compared, decorators of functions too."""
-    return _diff_out(diff_nodes(_node_pairs(spark, sf_dir, "all").drop("first_ord"), "strict"))
+    return _diff_out(_node_changes_of(spark, sf_dir, "all", "strict"))
 
 
 def q_diff_expressions(spark, sf_dir):

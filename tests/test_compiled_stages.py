@@ -33,3 +33,26 @@ def test_terms_never_become_rows_of_an_aggregation(spark):
     assert got == {("1", "word_tf"): (0.5, None), ("1", "char3_tf"): (0.0, None), ("2", "word_tf"): (1.0, None), ("2", "char3_tf"): (1.0, None),
                    (None, "word_tf"): (1.0, None), (None, "char3_tf"): (0.0, None), ("3", "word_tf"): (None, "empty_text"),
                    ("3", "char3_tf"): (None, "empty_text"), ("4", "word_tf"): (None, "empty_text"), ("4", "char3_tf"): (None, "empty_text")}
+
+
+def test_fields_that_no_rule_reads_are_not_made(spark):
+    """Nodes given by their fields' columns: a ``while`` has only its test made, and the records are those of whole nodes."""
+    from patchlens.operators.rules import diff_nodes
+    from patchlens.schemas import NODE
+
+    def fields(side, unread):
+        texts = {"kind": F.col("kind"), "text": F.col(f"{side}_text"), "test": F.col(f"{side}_test"), "has_body": F.lit(True),
+                 "targets": F.array(F.col(f"{side}_text")), "value": F.col(f"{side}_test"), "docstring": F.col(f"{side}_text")}
+        blank = lambda f: F.when(F.col("kind") == "While", F.raise_error(F.lit(f"{f.name} was made"))) if unread else F.lit(None)
+        return {f.name: texts.get(f.name, blank(f)).cast(f.dataType) for f in NODE.fields}
+
+    pairs = spark.createDataFrame([(1, "While", "a", "b", "x", "y"), (2, "While", "a", "a", "x", "x"), (2, "While", "a", "a", "x", "x"),
+                                   (None, "Assign", "a", "b", "x", "y"), (4, "If", "a", None, "x", "y"), (5, "With", "a", "b", "x", "x"), (6, None, "a", "b", "x", "y")],
+                                  "k int, kind string, o_text string, n_text string, o_test string, n_test string")
+    for mode in ("reference", "strict"):
+        got = diff_nodes(pairs, mode, fields("o", True), fields("n", True), keys=["k"])
+        whole = pairs.select("k", *[F.struct(*[c.alias(f) for f, c in fields(side, False).items()]).alias(name) for side, name in (("o", "old"), ("n", "new"))])
+        want = diff_nodes(whole, mode)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert {(r.k, r.rule) for r in got.collect()} >= {(1, "R25"), (None, "R20"), (4, "R02"), (5, "R33")}
