@@ -348,6 +348,13 @@ def read_node(node: dict[str, Column], fields: dict[str, set[str]]) -> Column:
     return F.struct(*out)
 
 
+def may_fire(o: Column, n: Column) -> Column:
+    """False or null only for pairs that no branch takes and that are no tail; reads nothing but kinds and ``has_body``. Stands apart, since
+    filters are pushed down to where kinds are made and repeat that expression."""
+    return ((o["kind"] == n["kind"]) & n["kind"].isin(*dict.fromkeys(CHAIN1_KINDS + CHAIN2_KINDS + CHAIN2_LATE_KINDS))
+            | (n["kind"] == "If") | (o["has_body"] & apart(n["has_body"])))
+
+
 def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str | dict[str, Column] = "old", new: str | dict[str, Column] = "new",
                func: str = "func", keys: list[str] | None = None) -> DataFrame:
     """Aligned node pairs -> one row per change record.
@@ -355,14 +362,15 @@ def diff_nodes(pairs: DataFrame, mode: str = "reference", old: str | dict[str, C
     ``pairs`` carries any key columns plus ``old``/``new`` NODE structs and the
     enclosing function name. Output adds ``seq`` (emission index within the pair)
     and the CHANGE_PAYLOAD columns. Nodes of any kind are accepted. Instead of a struct's name, ``old`` or ``new`` may give the
-    column of each NODE field; a field is then computed only for kinds of which a rule reads it. ``keys`` names the
-    key columns, if these are not all others.
+    column of each NODE field; a field is then computed only for kinds of which a rule reads it. Pairs that no rule can take are
+    dropped on their kinds, before any other field is made. ``keys`` names the key columns, if these are not all others.
     """
     given, fields = {"_o": old, "_n": new}, dict(zip(("_o", "_n"), read_fields(mode)))
     if keys is None:
         keys = [c for c in pairs.columns if c not in [n for n in given.values() if isinstance(n, str)]]
+    kinds = [F.col(c) if isinstance(c, str) else F.struct(*[c[f].alias(f) for f in ("kind", "has_body")]) for c in given.values()]
     nodes = [(F.col(c) if isinstance(c, str) else read_node(c, fields[side])).alias(side) for side, c in given.items()]
-    staged = with_firing(pairs.select(*keys, *nodes), mode)
+    staged = with_firing(pairs.where(may_fire(*kinds)).select(*keys, *nodes), mode)
     fn = F.col(func) if func in keys else F.lit(None).cast("string")
     out = staged.select(*keys, "_o", "_n", F.explode(F.array(*candidates(mode))).alias("_c")).where(F.col("_c").isNotNull())
     return out.select(*keys, *payload_columns(fn, mode))

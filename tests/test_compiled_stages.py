@@ -56,3 +56,28 @@ def test_fields_that_no_rule_reads_are_not_made(spark):
         assert got.columns == want.columns
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert {(r.k, r.rule) for r in got.collect()} >= {(1, "R25"), (None, "R20"), (4, "R02"), (5, "R33")}
+
+
+def test_pairs_that_no_rule_can_take_are_dropped_before_nodes_are_made(spark):
+    """Fields of such pairs are never computed, not even those read of their kinds; null and odd kinds keep the records they had."""
+    from patchlens.operators.rules import diff_nodes
+    from patchlens.schemas import NODE
+
+    def fields(side):
+        kind, fails = F.col(f"{side}_kind"), F.when(F.col("k") == 0, F.raise_error(F.lit("made"))).otherwise(F.col(f"{side}_text"))
+        made = {"kind": kind, "has_body": kind.isin("With", "For"), "test": fails, "target": fails, "iter": fails, "docstring": fails}
+        return {f.name: made.get(f.name, F.lit(None)).cast(f.dataType) for f in NODE.fields}
+
+    rows = [(0, "For", "Expr", "a", "b"), (0, "Expr", "For", "a", "b"), (0, "Expr", "Expr", "a", "b"), (0, None, None, "a", "b"), (0, "While", None, "a", "b"),
+            (1, "For", "With", "a", "b"), (2, "While", "While", "a", "b"), (3, "Expr", "If", "a", "b"), (4, None, "If", "a", "b"), (5, "For", "For", "a", "a")]
+    pairs = spark.createDataFrame(rows, "k int, o_kind string, n_kind string, o_text string, n_text string")
+    got = {(r.k, r.rule) for r in diff_nodes(pairs, old=fields("o"), new=fields("n"), keys=["k"]).collect()}
+    assert got == {(1, "R33"), (2, "R25"), (3, "R01")}
+
+
+def test_lineitem_is_shuffled_as_read(spark):
+    """The view's window takes the rows as they were dealt: one exchange, of the seven columns read."""
+    plan = QUERIES["diff_exceptions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "Project" not in below and "FLOOR" not in below
