@@ -1,6 +1,6 @@
 """E5/A1 last-wins, J3 name join, J4-J7 positional alignment, R36 tail, R37 reorder.
 
-Items that hold both versions are paired inside the parse stage (``extract.extract_pairs``).
+Items that hold both versions are paired and aligned inside the parse stage (``extract.extract_pairs``).
 For function rows that come as a table, ``pair_functions`` does the same by ``(pair_id, func)``: the last
 definition of a name wins, the first keeps its place; who wins is settled on numbers before any body moves. Everything
 after it is per-row.
@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CHANGE_PAYLOAD, NODE
+from ..schemas import CHANGE_PAYLOAD, PHASE_REORDER
 from .rules import ALL_RULES, EXTENDED, NO_RULE, REORDER_RULE, candidate, candidates, change_struct, payload_columns, with_firing
 
 OLD, NEW = 0, 1
-PHASE_SLOT, PHASE_EXPRESSION, PHASE_REORDER = 0, 1, 2
 
 
 def last_wins(functions: DataFrame, keys=("pair_id", "version", "func"), order: str = "walk_ord") -> DataFrame:
@@ -128,44 +127,23 @@ def diff_tail(slots: DataFrame) -> DataFrame:
     return diff_nodes(slots.where(F.col("old").isNull() & F.col("new").isNotNull()))
 
 
-def function_changes(pairs: DataFrame, mode: str = "reference", old: str = "old_stmts",
-                     new: str = "new_stmts", func: str = "func", keep_items: bool = False) -> DataFrame:
-    """All change rows of matched functions in one pass over ``pairs``.
+def function_changes(slots: DataFrame, mode: str = "reference", func: str = "func", keep_items: bool = False) -> DataFrame:
+    """All change rows of matched functions in one pass over the SLOT rows of ``extract_pairs``, which has aligned their statements.
 
-    Out: keys of ``pairs`` + (phase, pos, seq) + CHANGE_PAYLOAD. Records of a function
+    Out: keys of ``slots`` + (phase, pos, seq) + CHANGE_PAYLOAD. Records of a function
     sort by (phase, pos, seq): aligned slots and the added tail in position order, then
     reordered statements in old-body order. With ``keep_items`` the rows without a function
-    name stay, as rows without a rule. In mode ``extended`` the rules of the reference also read the pairs in the column ``exprs``;
+    name stay, as rows without a rule. In mode ``extended`` the rules of the reference also read pairs of expressions;
     those records come between, ``pos`` being the pair's place in the function.
     """
-    keys = [c for c in pairs.columns if c not in (old, new, "exprs")]
-    extended, mode = mode == EXTENDED, "reference" if mode == EXTENDED else mode
-    node_null = F.lit(None).cast(NODE)
-    pairs = with_moved(pairs, old, new)
-    slots = F.transform(
-        F.arrays_zip(F.col(old).alias("o"), F.col(new).alias("n")),
-        lambda z, i: F.struct(F.lit(PHASE_SLOT).alias("phase"), i.alias("pos"), z["o"].alias("o"),
-                              z["n"].alias("n"), F.lit(None).cast("string").alias("statement"),
-                              F.lit(None).cast("int").alias("old_position"),
-                              F.lit(None).cast("int").alias("new_position")))
-    moved = F.transform(
-        F.col("_moved"),
-        lambda m: F.struct(F.lit(PHASE_REORDER).alias("phase"), m["old_position"].alias("pos"),
-                           node_null.alias("o"), node_null.alias("n"), m["statement"].alias("statement"),
-                           m["old_position"].alias("old_position"), m["new_position"].alias("new_position")))
-    inside = F.transform(
-        F.col("exprs"),
-        lambda e, i: F.struct(F.lit(PHASE_EXPRESSION).alias("phase"), i.alias("pos"), e["old"].alias("o"), e["new"].alias("n"),
-                              F.lit(None).cast("string").alias("statement"), F.lit(None).cast("int").alias("old_position"),
-                              F.lit(None).cast("int").alias("new_position")))
-    explode = F.explode_outer if keep_items else F.explode
-    items = pairs.select(*keys, explode(F.concat(slots, *([inside] if extended else []), moved)).alias("_it"))
-    fn = F.col(func)
-    staged = with_firing(items.select(*keys, "_it", F.col("_it.o").alias("_o"), F.col("_it.n").alias("_n")), mode)
-    recs = [*candidates(mode), candidate(F.col("_it.phase") == PHASE_REORDER, F.lit(ALL_RULES.index(REORDER_RULE)))]
+    own = ("phase", "pos", "old", "new", "statement", "old_position", "new_position")
+    keys = [c for c in slots.columns if c not in own]
+    mode = "reference" if mode == EXTENDED else mode
+    fn, at = F.col(func), ("phase", "pos")
+    moved = ("statement", "old_position", "new_position")
+    staged = with_firing(slots.select(*keys, *at, *moved, F.col("old").alias("_o"), F.col("new").alias("_n")), mode)
+    recs = [*candidates(mode), candidate(F.col("phase") == PHASE_REORDER, F.lit(ALL_RULES.index(REORDER_RULE)))]
     if keep_items:
         recs.append(candidate(fn.isNull(), F.lit(NO_RULE)))
-    out = staged.select(*keys, "_it", "_o", "_n", F.explode(F.array(*recs)).alias("_c")).where(F.col("_c").isNotNull())
-    moved_fields = {f: F.col(f"_it.{f}") for f in ("statement", "old_position", "new_position")}
-    return out.select(*keys, F.col("_it.phase").alias("phase"), F.col("_it.pos").alias("pos"),
-                      *payload_columns(fn, mode, reordered={**moved_fields, "function": fn}))
+    out = staged.select(*keys, *at, *moved, "_o", "_n", F.explode(F.array(*recs)).alias("_c")).where(F.col("_c").isNotNull())
+    return out.select(*keys, *at, *payload_columns(fn, mode, reordered={**{f: F.col(f) for f in moved}, "function": fn}))

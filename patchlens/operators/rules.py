@@ -232,6 +232,22 @@ def branch2(o: Column, n: Column) -> Column:
             .when((ok == nk) & ok.isin(*CHAIN2_LATE_KINDS), ok))
 
 
+def branches(old: str | None, new: str, bodies: bool) -> list[str]:
+    """``branch1`` and ``branch2`` (those taken) of plain kinds, and the tail's for an ``old`` of None; ``bodies``: both nodes have one."""
+    if new == "If" and old != "If":
+        first = "if_added"
+    else:
+        first = new if old == new and new in CHAIN1_KINDS else None
+    second = None
+    if old == new and new in CHAIN2_KINDS:
+        second = new
+    elif old is not None and bodies:
+        second = "body"
+    elif old == new and new in CHAIN2_LATE_KINDS:
+        second = new
+    return [b for b in (first, second) if b]
+
+
 def _by_branch(chain: int, mode: str) -> dict[str, list[Rule]]:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -319,10 +335,9 @@ class _Reading:
         return self.node.isNull()
 
 
-def read_fields(mode: str = "reference") -> tuple[dict[str, set[str]], dict[str, set[str]]]:
-    """For the old and the new side: each NODE field that some rule reads, with the branches of these rules. A branch is the kind of the nodes
-    whose fields it reads, but for ``body``, which takes any kind that has one."""
-    found: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
+def fields_by_branch(mode: str = "reference") -> dict[str, tuple[set[str], set[str]]]:
+    """The NODE fields that the rules of each branch read, of the old and the new side; the tail's rule reads as ``if_added`` does."""
+    found: dict[str, tuple[set[str], set[str]]] = {}
     fn = F.lit(None).cast("string")
     for r in [r for chain in (1, 2) for rules in _by_branch(chain, mode).values() for r in rules] + [TAIL_RULE]:
         sides = _Reading(F.col("_o")), _Reading(F.col("_n"))
@@ -330,10 +345,19 @@ def read_fields(mode: str = "reference") -> tuple[dict[str, set[str]], dict[str,
             r.when(*sides, mode)
         if r.payload is not None:
             r.payload(*sides, fn)
-        kind = "If" if r is TAIL_RULE or r.branch == "if_added" else r.branch
-        for side, fields in zip(sides, found):
-            for f in side.fields:
-                fields.setdefault(f, set()).add(kind)
+        for side, fields in zip(sides, found.setdefault("if_added" if r is TAIL_RULE else r.branch, (set(), set()))):
+            fields |= side.fields
+    return found
+
+
+def read_fields(mode: str = "reference") -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    """For the old and the new side: each NODE field that some rule reads, with the branches of these rules. A branch is the kind of the nodes
+    whose fields it reads, but for ``body``, which takes any kind that has one."""
+    found: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
+    for branch, sides in fields_by_branch(mode).items():
+        for names, fields in zip(sides, found):
+            for f in names:
+                fields.setdefault(f, set()).add("If" if branch == "if_added" else branch)
     return found
 
 

@@ -1,7 +1,7 @@
 """Whole-corpus plans: items or versions -> change rows -> item texts -> scores.
 
 An item's two versions are parsed together in one Arrow stage that also keeps the last
-definition of a name and matches old and new, so syntax facts are never shuffled. Change
+definition of a name, matches old and new and aligns their statements, so syntax facts are never shuffled. Change
 records are shuffled once, as text, on the item key; scores are counted on that partitioning.
 Building these plans runs nothing.
 """
@@ -15,7 +15,6 @@ from ..operators.align import NEW, OLD, function_changes
 from ..operators.deal import deal_by_cost
 from ..operators.extract import extract_pairs
 from ..operators.render import item_texts
-from ..operators.rules import EXTENDED
 from ..operators.similarity import MATCH_THRESHOLD, score_lexical
 from ..schemas import STATUS_NO_BUG, STATUS_OK, STATUS_PARSE_ERROR, STATUS_REPLY_MISSING
 from ..sources.replies import parse_replies
@@ -45,8 +44,8 @@ def analyze_pairs(items: DataFrame, mode: str = "reference", partitions: int | N
     expressions inside aligned statements: strings, formatted strings, calls and attributes.
     """
     items = _dealt(items, partitions, by_cost)
-    pairs = extract_pairs(items, else_texts=mode == "strict", expressions=mode == EXTENDED).where(F.col("func").isNotNull()).drop("error")
-    return function_changes(pairs, mode)
+    slots = extract_pairs(items, mode=mode).where(F.col("func").isNotNull()).drop("error")
+    return function_changes(slots, mode)
 
 
 def analyze_corpus(versions: DataFrame, mode: str = "reference", partitions: int | None = None) -> DataFrame:
@@ -86,8 +85,8 @@ def run_items(items: DataFrame, replies: DataFrame | None = None, mode: str = "r
     # a reply without code leaves nothing to compare
     both = parsed.select("pair_id", F.when(F.col("fixed").isNotNull(), F.col("source")).alias("old"), F.col("fixed").alias("new"), *carry)
     both = _dealt(both, partitions, by_cost)
-    facts = extract_pairs(both, carry=carry, else_texts=mode == "strict", expressions=mode == EXTENDED)
-    records = function_changes(facts, mode, keep_items=True)
+    slots = extract_pairs(both, carry=carry, mode=mode)
+    records = function_changes(slots, mode, keep_items=True)
     outcome = item_texts(records, carry=(*carry, "error"))
     outcome = outcome.withColumn("status", F.when(F.col("error").isNotNull(), F.lit(STATUS_PARSE_ERROR)).otherwise(F.col("status")))
     if known:

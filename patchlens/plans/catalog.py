@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
-from ..operators.align import PHASE_EXPRESSION, align_functions, diff_reordered, diff_tail, last_wins, pair_functions
+from ..operators.align import align_functions, diff_reordered, diff_tail, last_wins, pair_functions
 from ..operators.encoder import encode, fit_hashed_idf
 from ..operators.extract import extract_functions
 from ..operators.render import item_texts, render_changes
 from ..operators.rules import diff_nodes
 from ..operators.similarity import LEXICAL_MODELS, score_dense, score_lexical, score_pairs, score_stored, store_texts
-from ..schemas import NODE
+from ..schemas import NODE, PHASE_EXPRESSION
 from ..sources.changes_io import read_changes
 from ..sources.items import (corpus_keys, expand_bugs, expand_manifest, patch_path, resolve_items,
                              status_counts)
@@ -28,6 +28,7 @@ from ..sources.tree import PATCH_FILE, PATCH_FOLDER, resolve_tree, write_files
 from ..functions.text import first_line
 from ..session import ensure_checkpoint_dir
 from .analyze import analyze_pairs, run_tree
+from .flagship import flagship, lines_by_order
 from . import views as V
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -121,7 +122,8 @@ def q_diff_strict(spark, sf_dir):
 
 def q_diff_expressions(spark, sf_dir):
     """Records of the expressions inside aligned statements, from both versions' source texts (mode ``extended``)."""
-    ch = analyze_pairs(_view(spark, sf_dir, V.expression_items_sql("spark"), "lineitem"), "extended").where(F.col("phase") == PHASE_EXPRESSION)
+    lines_by_order(spark, sf_dir)
+    ch = analyze_pairs(spark.sql(V.expression_items_sql("spark")), "extended").where(F.col("phase") == PHASE_EXPRESSION)
     text = lambda c: F.coalesce(F.col(c), _joined(f"{c}_list")).alias(c)
     return ch.select("pair_id", "func", F.col("pos").cast("bigint").alias("pos"), F.col("seq").cast("bigint").alias("seq"), "rule", "type",
                      text("old"), text("new"))
@@ -430,7 +432,6 @@ QUERIES = {
 
 
 def q_end_to_end(spark, sf_dir):
-    from .flagship import flagship
     return flagship(spark, sf_dir)
 
 

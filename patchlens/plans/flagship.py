@@ -10,6 +10,13 @@ from . import views as V
 from .analyze import run_items
 
 
+def lines_by_order(spark: SparkSession, sf_dir: str) -> None:
+    """``lineitem`` dealt out by order as it is read, where the views' windows would shuffle the columns that they make. The number of partitions is
+    given: an order's lines are few bytes and much parsing, so tasks merged by bytes would leave cores idle at the end."""
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition(tasks, "l_orderkey").createOrReplaceTempView("lineitem")
+
+
 def corpus_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items (pair_id, source, reply) built from ``lineitem``: one Python file per order; the
     reply edits assigned values, returns or conditions of its definitions, wraps the code in a

@@ -50,20 +50,24 @@ FUNCTION = T.StructType([
     T.StructField("error", S),
 ])
 
-# One row per function found in both versions of an item, and one row per item with a null
-# ``func``: it carries the parse error, if any, and what else the item brings along.
-PAIRED = T.StructType([
+# What the parse stage gives of an item with two versions: one row with a null ``func``, which carries the parse error, if any, and what
+# else the item brings along, and rows of its functions present in both versions, in three phases. A slot is a pair of statements at one
+# place (``old`` is null in the added tail), an expression pair comes from inside aligned statements, a reordered statement has its
+# text and both places. Nodes hold what rules read of their kinds; pairs that no rule can take have no row.
+SLOT = T.StructType([
     T.StructField("pair_id", S),
     T.StructField("func", S),
     T.StructField("first_ord", I),
-    T.StructField("old_stmts", T.ArrayType(NODE)),
-    T.StructField("new_stmts", T.ArrayType(NODE)),
     T.StructField("error", S),
+    T.StructField("phase", I),
+    T.StructField("pos", I),
+    T.StructField("old", NODE),
+    T.StructField("new", NODE),
+    T.StructField("statement", S),
+    T.StructField("old_position", I),
+    T.StructField("new_position", I),
 ])
-
-# Beside them, where expressions are compared too: pairs at the same place in aligned statements.
-EXPRESSIONS = T.StructField("exprs", T.ArrayType(T.StructType([
-    T.StructField("pos", I), T.StructField("old", NODE), T.StructField("new", NODE)])))
+PHASE_SLOT, PHASE_EXPRESSION, PHASE_REORDER = 0, 1, 2
 
 # Union of every payload key a change record can carry.
 CHANGE_PAYLOAD = T.StructType([
