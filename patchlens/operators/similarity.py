@@ -31,6 +31,9 @@ MATCH_THRESHOLD = 0.6
 SHOWN_FORMAT = "%.2f"
 # ---- end of fixed values
 
+#: Rows whose n-grams are counted at once; their numbers take some hundred bytes a part.
+_ROWS = 512
+
 #: Buckets of stored text tables unless a caller says otherwise.
 BUCKETS = 64
 
@@ -52,6 +55,15 @@ def word_bigrams(c: Column) -> Column:
     return _adjacent(words(c), " ")
 
 
+def split_words(c: Column) -> Column:
+    """``words`` with empty ones among them, for ``ngram_sums``, which passes these over; no lambda runs over every word."""
+    return F.split(c, WORD_SPLIT)
+
+
+# of tokenizers whose terms are n neighbours in a text: the parts that are neighbours (None: its characters) and n; see ``ngram_sums``
+words.grams, word_bigrams.grams = (split_words, 1), (split_words, 2)
+
+
 def char_ngrams(n: int) -> Callable[[Column], Column]:
     """Character n-grams (code points of the basic plane), linear time."""
     def tok(c: Column) -> Column:
@@ -63,6 +75,7 @@ def char_ngrams(n: int) -> Callable[[Column], Column]:
         # the regex engine steps by UTF-16 units, so it serves texts without characters of two
         return F.when(c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.filter(grams, lambda t: t.isNotNull())).otherwise(
             F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+    tok.grams = (None, n)
     return tok
 
 
@@ -163,6 +176,77 @@ def _term_counts(left: pa.Array, right: pa.Array) -> pa.Array:
     return lists_by_row(row, len(left), term=terms.take(pa.array(index)), a=pa.array(a), b=pa.array(b))
 
 
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, int, np.ndarray]:
+    """(number of each part, how many numbers, how many parts in each text) of texts that are strings, or lists of parts, of which empty ones are
+    passed over."""
+    if pa.types.is_list(texts.type):
+        parts = texts.flatten()
+        text = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+        there = pc.fill_null(pc.not_equal(parts, ""), False)
+        coded = parts.filter(there).dictionary_encode()
+        return (coded.indices.to_numpy(zero_copy_only=False).astype("int64"), len(coded.dictionary),
+                np.bincount(text[there.to_numpy(zero_copy_only=False)], minlength=len(texts)))
+    strings = [b.decode("utf-8", "replace") if b else "" for b in texts.cast(pa.binary()).to_pylist()]
+    points = np.frombuffer("".join(strings).encode("utf-32-le"), "<u4").astype("int64")
+    used = np.zeros(points.max(initial=0) + 1, bool)
+    used[points] = True
+    return (np.cumsum(used) - 1)[points], int(used.sum()), np.fromiter(map(len, strings), "int64", len(strings))
+
+
+def ngram_sums(left: pa.Array, right: pa.Array, sizes: list[int]) -> list[pa.Array]:
+    """For each n of ``sizes``, of rows that are lists of texts on two sides: the sums of products of the counts of their n-grams, which do
+    not reach over a text's end. A text is a string, whose parts are its characters, or a list of parts. N-grams are numbers, never texts."""
+    rows, texts = len(left), [s.flatten() for s in (left, right)]
+    row = np.concatenate([np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)) for s in (left, right)])
+    part, base, lengths = _numbered(pa.concat_arrays(texts))
+    text = np.repeat(np.arange(len(row)), lengths)
+    # twice the row, and one more on the right side
+    place = row * 2 + (np.arange(len(row)) >= len(texts[0]))
+    out = []
+    for n in sizes:
+        gram, count = part, max(base, 1)
+        for k in range(1, n):
+            if count * max(base, 1) * (rows + 1) * 2 >= 1 << 63:
+                found, gram = np.unique(gram, return_inverse=True)
+                count = max(len(found), 1)
+            gram, count = gram[:-1] * base + part[k:], count * max(base, 1)
+        inside = text[:len(gram)] == text[len(text) - len(gram):]
+        at = place[text[:len(gram)][inside]]
+        # one key for a gram of a row, its lowest bit the side
+        key, times = np.unique((((at >> 1) * count + gram[inside]) << 1) | (at & 1), return_counts=True)
+        of, times = (key >> 1) // count, times.astype("float64")
+        both = np.flatnonzero((key[:-1] ^ 1) == key[1:]) if len(key) else key
+        both = both[key[both] & 1 == 0]
+        sums = [np.bincount(of[both], times[both] * times[both + 1], rows)]
+        sums += [np.bincount(of[key & 1 == side], times[key & 1 == side] ** 2, rows) for side in (0, 1)]
+        out.append(pa.StructArray.from_arrays([pa.array(x.astype("float64")) for x in sums], ["dot", "na", "nb"]))
+    return out
+
+
+def _sums_of(sizes: list[int]) -> Callable:
+    """``ngram_sums`` of a batch, ``_ROWS`` rows at a time."""
+    def some(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(ngram_sums(left, right, sizes), [f"n{k}" for k in range(len(sizes))])
+
+    def sums(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.concat_arrays([some(left.slice(k, _ROWS), right.slice(k, _ROWS)) for k in range(0, max(len(left), 1), _ROWS)])
+    return sums
+
+
+def _ngram_products(models: dict[str, Callable], texts: str, sides: tuple[str, str]) -> dict[str, Column]:
+    """The sums of products of each model whose terms are n-grams, from a list of texts; parts are made once for all models that share them."""
+    bases: dict[Callable | None, list[str]] = {}
+    for name, tok in models.items():
+        bases.setdefault(tok.grams[0], []).append(name)
+    out = {}
+    for base, names in bases.items():
+        kind = T.StructType([T.StructField(f"n{k}", _SUMS) for k in range(len(names))])
+        lists = [F.col(texts)[side] if base is None else F.transform(F.col(texts)[side], base) for side in sides]
+        found = F.arrow_udf(_sums_of([models[name].grams[1] for name in names]), kind)(*lists)
+        out |= {name: found[f"n{k}"] for k, name in enumerate(names)}
+    return out
+
+
 def _products(left: Column, right: Column) -> Column:
     return F.arrow_udf(_product_sums, _SUMS)(left, right)
 
@@ -187,7 +271,8 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     One row per (key, model) out; without terms on a side the score is null, with the reason. ``error`` names a column
     of reasons already known. Texts of one key are brought together once, as texts: their terms are made and counted
     where they lie, in Arrow batches of whole items, and never become rows of an aggregation, whose memory
-    and spills would grow with all terms of a task.
+    and spills would grow with all terms of a task. Terms that are n neighbours in a text are counted as numbers, from
+    the parts that models share (``ngram_sums``).
 
     A model is a tokenizer, whose terms weigh the same, or a fitted ``encoder.HashedIdf``, whose table of weights, bounded by
     its number of buckets, is broadcast to the distinct terms of each item. ``dealt`` says that rows are partitioned by the key already, as those of
@@ -199,10 +284,15 @@ def score_lexical(pairs: DataFrame, key: str = "pair_id", left: str = "summary",
     texts = pairs.select(F.col(key), norm(F.col(left)).alias("_lt"), norm(F.col(right)).alias("_rt"), known.alias("_e"))
     texts = texts if dealt else texts.repartition(key)
     grouped = texts.groupBy(key, "_e").agg(F.collect_list(F.struct("_lt", "_rt")).alias("_ts"))
+    grams = {name: m for name, m in models.items() if hasattr(m, "grams") and not hasattr(m, "weights")}
     items = grouped.select(key, "_e", *[F.get("_ts", 0)[side].alias(side) for side in ("_lt", "_rt")],
-                           F.when(F.size("_ts") > 1, F.slice("_ts", 2, F.size("_ts"))).alias("_more"))
+                           F.when(F.size("_ts") > 1, F.slice("_ts", 2, F.size("_ts"))).alias("_more"), "_ts")
+    products = _ngram_products(grams, "_ts", ("_lt", "_rt"))
     parts = []
     for name, m in models.items():
+        if name in products:
+            parts.append(F.struct(F.lit(name).alias("model"), products[name].alias("sums"), F.lit(None).cast(_COUNTS).alias("counts")))
+            continue
         tok = getattr(m, "terms", m)
         sides = [all_terms(tok, side) for side in ("_lt", "_rt")]
         sums = _products(*sides) if not hasattr(m, "weights") else F.lit(None).cast(_SUMS)
