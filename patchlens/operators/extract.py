@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import ast
 import gc
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -42,6 +41,7 @@ _NO_FACTS = dict.fromkeys(NODE_FIELDS)
 # kinds of expressions that rules read, and all that have a place in the source
 _EXPRESSIONS = (ast.Constant, ast.JoinedStr, ast.Call, ast.Attribute)
 _PLACED = {k for k in vars(ast).values() if isinstance(k, type) and issubclass(k, ast.expr)}
+_DECORATED = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 # fields that hold expressions or what has such in it; the parts of a formatted string are not looked at
 _BARE = (str, int, object, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
 _INNER = {kind: tuple(f for f, t in kind._field_types.items() if kind is not ast.JoinedStr and f not in _NESTED.get(kind, ())
@@ -130,7 +130,8 @@ def node_facts(node: ast.AST, else_texts: bool = True, text: str | None = None)
 
 
 class _Source:
-    """A file's bytes by the places of its nodes; not of files with line ends or marks that the parser counts in its own way."""
+    """A file's bytes, and the place at which each line begins, so that a node's source is found by its lines and columns; not of files with
+    line ends or marks that the parser counts in its own way."""
 
     def __init__(self, text: str):
         self.data = text.encode()
@@ -140,10 +141,6 @@ class _Source:
     def of(cls, text: str) -> _Source | None:
         return None if "\r" in text or "\f" in text or "\ufeff" in text else cls(text)
 
-    def cut(self, node) -> bytes:
-        starts = self.starts
-        return self.data[starts[node.lineno - 1] + node.col_offset:starts[node.end_lineno - 1] + node.end_col_offset]
-
 
 def expression_pairs(old: ast.stmt, new: ast.stmt):
     """The pairs of ``differing`` alone."""
@@ -155,12 +152,16 @@ def differing(old: ast.stmt, new: ast.stmt, u: Callable, before: _Source | None
     different texts (made by ``u``), outermost first, from left to right. The walk ends where kinds part and does not enter
     the statements of a body, nor the parts of a formatted string; nor expressions that are the same in the sources ``before`` and ``after``,
     where these are given."""
-    placed = before is not None and after is not None
+    if placed := before is not None and after is not None:
+        (data, starts), (other, begins) = (before.data, before.starts), (after.data, after.starts)
     todo = [(old, new)]
     while todo:
         a, b = todo.pop()
         kind = a.__class__
-        if kind is not b.__class__ or (placed and kind in _PLACED and before.cut(a) == after.cut(b)):
+        if kind is not b.__class__:
+            continue
+        if (placed and kind in _PLACED and data[starts[a.lineno - 1] + a.col_offset:starts[a.end_lineno - 1] + a.end_col_offset]
+                == other[begins[b.lineno - 1] + b.col_offset:begins[b.end_lineno - 1] + b.end_col_offset]):
             continue
         if kind in _EXPRESSIONS:
             if u(a) == u(b):
@@ -182,11 +183,10 @@ def definitions(source):
     """Plain ``def`` nodes of a file, breadth-first over every nesting level. Expression
     subtrees never hold a definition, so only statement containers are queued; dropping the
     rest keeps the relative breadth-first order of the definitions."""
-    queue = deque([ast.parse(source)])
-    while queue:
-        node = queue.popleft()
+    queue = [ast.parse(source)]
+    for node in queue:
         for field in _NESTED[node.__class__]:
-            queue.extend(getattr(node, field))
+            queue += [n for n in getattr(node, field) if _NESTED[n.__class__]]
         if isinstance(node, ast.FunctionDef):
             yield node
 
@@ -207,12 +207,19 @@ def functions_of_source(pair_id, version, source):
                  "args": None, "stmts": None, "error": _error_text(exc)}]
 
 
-def _same_source(a: ast.stmt, b: ast.stmt, before: _Source, after: _Source) -> bool:
-    """Whether two statements are one short text in their sources; decorators stand outside a node's place."""
-    if a.__class__ is not b.__class__:
-        return False
-    cut = before.cut(a)
-    return len(cut) <= _SHORT and cut == after.cut(b) and not getattr(a, "decorator_list", None) and not getattr(b, "decorator_list", None)
+def _same_sources(old: list, new: list, before: _Source, after: _Source) -> list[bool]:
+    """Of each place in either body, whether both statements are one short text in their sources; decorators stand outside a node's place."""
+    (data, starts), (other, begins) = (before.data, before.starts), (after.data, after.starts)
+    out = []
+    for a, b in zip(old, new):
+        same = a is b
+        if not same and a.__class__ is b.__class__:
+            i, j = starts[a.lineno - 1] + a.col_offset, starts[a.end_lineno - 1] + a.end_col_offset
+            k = begins[b.lineno - 1] + b.col_offset
+            same = (begins[b.end_lineno - 1] + b.end_col_offset - k == j - i and data[i:j] == other[k:k + j - i]
+                    and not (a.__class__ in _DECORATED and (a.decorator_list or b.decorator_list)))
+        out.append(same and starts[a.end_lineno - 1] + a.end_col_offset - starts[a.lineno - 1] - a.col_offset <= _SHORT)
+    return out + [False] * (max(len(old), len(new)) - len(out))
 
 
 def _likeness(node: ast.stmt):
@@ -233,10 +240,12 @@ def statement_texts(old: list, new: list, u: Callable, before: _Source | None =
     a pair has no record of a change, and its text is at the same first place on both sides."""
     if before is None or after is None:
         return [u(n) for n in old], [u(n) for n in new]
-    same = [_same_source(a, b, before, after) for a, b in zip(old, new)]
-    same += [False] * (max(len(old), len(new)) - len(same))
+    same = _same_sources(old, new, before, after)
+    if all(same):
+        return [None] * len(old), [None] * len(new)
     odd = {_likeness(n) for side in (old, new) for n, s in zip(side, same) if not s}
-    return tuple([None if s and _likeness(n) not in odd else u(n) for n, s in zip(side, same)] for side in (old, new))
+    own = [None if s and _likeness(n) not in odd else u(n) for n, s in zip(old, same)]
+    return own, [own[k] if s else u(n) for k, (n, s) in enumerate(zip(new, same))]
 
 
 def moved_statements(old: list, new: list) -> list[tuple[int, str, int]]:
